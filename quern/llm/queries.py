@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, decontaminate, mixing
+from quern.llm import chat, decontaminate, mixing, secrets, simhash, topk
 from quern.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,19 @@ def op6_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations")).withColumn("text_md5", F.md5("text"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return found.withColumn("base_sha256", F.sha2("base_spans", 256)).drop("base_spans")
+
+
 OP3_SQL = r"""
 WITH words AS (
   SELECT 0 AS kind, doc_id AS id, row_number() OVER () AS r, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS w FROM documents
@@ -77,13 +90,32 @@ SELECT *, md5(text) AS text_md5 FROM rendered
 """
 
 
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS c
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.c, v.c) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op3_decontaminate": op3_decontaminate,
         "op6_chat_perspectives": op6_chat_perspectives,
+        "op8_simhash": op8_simhash,
+        "op9_topk": op9_topk,
+        "op10_secrets": op10_secrets,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op6_chat_perspectives": OP6_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op6_chat_perspectives": OP6_SQL, "op9_topk": OP9_SQL}
