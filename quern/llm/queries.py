@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, decontaminate, mixing, secrets, simhash, topk
+from quern.llm import chat, decontaminate, mixing, ppm, secrets, simhash, topk
 from quern.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations")).withColumn("text_md5", F.md5("text"))
 
@@ -110,6 +114,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op3_decontaminate": op3_decontaminate,
+        "op5_ppm_score": op5_ppm_score,
         "op6_chat_perspectives": op6_chat_perspectives,
         "op8_simhash": op8_simhash,
         "op9_topk": op9_topk,
