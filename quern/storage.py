@@ -14,6 +14,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a narrow table that one task writes without strain.
+ROWS_A_FILE = 1_000_000
+
 _OWN: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -29,9 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` once to the shared folder and return a scan of it."""
+def materialize(df: DataFrame, name: str = "table", rows: int | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and return a scan of it.
+
+    Where the caller knows about how many ``rows`` there are, no more files are
+    written than those need.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS_A_FILE)
     path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append((spark, path))
