@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, decontaminate, mixing, ppm, secrets, simhash, topk
+from quern.llm import chat, decontaminate, mixing, ppm, secrets, simhash, topk, toxicity
 from quern.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op6_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations")).withColumn("text_md5", F.md5("text"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -116,6 +120,7 @@ def queries() -> dict[str, Query]:
         "op3_decontaminate": op3_decontaminate,
         "op5_ppm_score": op5_ppm_score,
         "op6_chat_perspectives": op6_chat_perspectives,
+        "op7_toxicity": op7_toxicity,
         "op8_simhash": op8_simhash,
         "op9_topk": op9_topk,
         "op10_secrets": op10_secrets,
