@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, decontaminate, mixing, ppm, secrets, simhash, topk, toxicity
+from quern.llm import chat, decontaminate, lines, mixing, ppm, secrets, simhash, substrings, topk, toxicity
 from quern.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,10 +17,20 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).documents
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = substrings.repeated_spans(table(spark, sf_dir, "documents"))
+    return spans.select("doc_id", "first_doc_id", "start", "stop", (F.col("stop") - F.col("start")).alias("n_bytes"), "n_chunks")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = lines.repeated_chunks(table(spark, sf_dir, "documents"))
+    return gone.select("doc_id", "first_doc_id", F.col("start").alias("first_line"), F.col("stop").alias("end_line"), (F.col("stop") - F.col("start")).alias("n_lines"))
+
+
 def op5_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_corpus(table(spark, sf_dir, "documents"))
 
@@ -117,7 +127,9 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_decontaminate": op3_decontaminate,
+        "op4_line_dedup": op4_line_dedup,
         "op5_ppm_score": op5_ppm_score,
         "op6_chat_perspectives": op6_chat_perspectives,
         "op7_toxicity": op7_toxicity,
