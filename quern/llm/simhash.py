@@ -7,11 +7,12 @@ within ``r`` bits, linked fingerprints collide on one.
 A whole 64-bit ball of radius 2 has 2,081 variants, which is 16 kB of shuffle for
 every distinct fingerprint.  So the balls are first drawn in each 32-bit half: of 4
 differing bits one half has at most 2, hence a ball of radius 1 (33 variants) in
-each half finds every link with 66 variants.  Fingerprints that collide in a half
-are verified pair by pair where a variant gathers few of them.  Where it gathers
-many (a large group of near copies), no pairs are formed: all its fingerprints emit
-their whole ball of 2,081, and as any two that collide there are within 4 bits, each
-variant links them to its smallest fingerprint, a star.  No link is lost.
+each half finds every link with 66 variants.  One shuffle deals them out, sorted by
+variant.  Where a variant gathers few fingerprints they are verified in place and a
+spanning forest of the links goes out, not all pairs.  Where it gathers many (a large
+group of near copies), no pairs are formed: all its fingerprints emit their whole
+ball of 2,081, and as any two that collide there are within 4 bits, each variant
+links them to its smallest fingerprint, a star.  No link is lost.
 
 Copies never meet: all of it runs on distinct fingerprints.
 
@@ -63,19 +64,16 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a long)."""
+    """doc_id, text_key (a hash of the text), fp (the fingerprint's bits as a long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t.as_py(), width) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            fps = [fingerprint(t.as_py(), width) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "text_key", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
-
-
-def _distance(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
+    rows = docs.select(F.col(id_col).alias("doc_id"), _text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, fp long")
 
 
 def _half_balls(fps: DataFrame) -> DataFrame:
@@ -98,20 +96,64 @@ def _whole_balls(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
 
 
-def links(fps: DataFrame, *, few: int = 64) -> DataFrame:
+def _forest(fps: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links within 4 bits that connect whatever such links connect."""
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
+    fresh = np.ones(len(fps), bool)
+    for i in range(len(fps)):
+        if fresh[i]:
+            fresh[i] = False
+            stack = [i]
+            while stack:
+                at = stack.pop()
+                for to in np.flatnonzero(near[at] & fresh).tolist():
+                    fresh[to] = False
+                    stack.append(to)
+                    yield int(fps[at]), int(fps[to])
+
+
+def _meet(batches: Iterator[pa.RecordBatch], few: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """From (key, fp) sorted by key: the links of each key's fingerprints, or (fp, fp) for those of a key with more than ``few``."""
+    keys, fps = np.empty(0, np.int64), np.empty(0, np.int64)
+    for batch in _with_end(batches):
+        if batch is not None:
+            keys, fps = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in ((0, keys), (1, fps)))
+        edges = np.flatnonzero(np.diff(keys)) + 1
+        starts, stops = np.concatenate([[0], edges]).astype(np.int64), np.append(edges, len(keys)).astype(np.int64)
+        open_ = len(starts) - 1 if batch is not None else len(starts)  # the last key may go on in the next batch
+        pairs: list[tuple[int, int]] = []
+        for i in np.flatnonzero(stops[:open_] - starts[:open_] > 1):
+            met = fps[starts[i] : stops[i]]
+            pairs += _forest(met.view(np.uint64)) if len(met) <= few else [(x, x) for x in met.view(np.uint64).tolist()]
+        if batch is not None:
+            keys, fps = keys[starts[-1] :], fps[starts[-1] :]
+            if len(keys) > 2 * few:
+                pairs += [(x, x) for x in fps.view(np.uint64).tolist()]
+                keys, fps = keys[: few + 1], fps[: few + 1]
+        if pairs:
+            yield tuple(np.array(x, np.uint64).view(np.int64) for x in zip(*pairs, strict=True))
+
+
+def _with_end(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
+
+
+def links(fps: DataFrame, *, few: int = 256, rows: int | None = None) -> DataFrame:
     """a, b: verified links within 4 bits that connect all linked fingerprints of ``fps`` (distinct fp).
 
-    Variants that gather at most ``few`` fingerprints give all their pairs; larger ones are linked by stars.
+    Variants that gather at most ``few`` fingerprints have their pairs compared in place and give a
+    spanning forest of the links; larger ones are linked by stars over the whole balls.
     """
-    balls = _half_balls(fps)
-    shared = materialize(balls.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "variants")
-    met = materialize(balls.join(shared, "key"), "met")
-    gathered = met.filter(F.col("n") <= few).groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
-    near = (
-        gathered.select("fps", F.posexplode("fps").alias("at", "a")).select("a", F.explode(F.slice("fps", F.col("at") + 2, F.size("fps"))).alias("b"))
-        .filter(_distance(F.col("a"), F.col("b")) <= 4).distinct()
-    )
-    crowded = materialize(met.filter(F.col("n") > few).select("fp").distinct(), "crowded")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b in _meet(batches, few):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    balls = _half_balls(fps).select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
+    met = materialize(balls.mapInArrow(run, "a long, b long").distinct(), "met", rows)
+    near = met.filter("a <> b")
+    crowded = materialize(met.filter("a = b").select(F.col("a").alias("fp")), "crowded", rows)
     if crowded.isEmpty():
         return near
     whole = _whole_balls(crowded)
@@ -120,24 +162,51 @@ def links(fps: DataFrame, *, few: int = 64) -> DataFrame:
     return near.union(stars)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, few: int = 64) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), one row a document."""
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, few: int) -> tuple[DataFrame, DataFrame, int]:
+    """doc_id, text_key, fp of every row; fp, label of every fingerprint; the number of rows."""
     marked = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "fingerprints")
-    lowest = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("lowest")), "lowest")
-    labels = materialize(connected_components(links(lowest.select("fp"), few=few), "a", "b"), "components")
-    joined = lowest.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "lowest", F.coalesce("label", "fp").alias("label"))
-    least = materialize(joined.groupBy("label").agg(F.min("lowest").alias("component_id")), "least")
-    owners = materialize(joined.join(least, "label").select(F.col("fp").alias("_fp"), "component_id"), "owners")
+    rows = marked.count()
+    fps = materialize(marked.select("fp").distinct(), "fps", rows)
+    labels = materialize(connected_components(links(fps, few=few, rows=rows), "a", "b", rows), "components", rows)
+    owners = fps.join(labels, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("label", "fp").alias("label"))
+    return marked, materialize(owners, "owners", rows), rows
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, few: int = 256) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), one row a document."""
+    marked, owners, rows = _grouped(docs, id_col, text_col, width, few)
+    lowest = marked.groupBy("fp").agg(F.min("doc_id").alias("lowest"))
+    lowest = materialize(lowest.join(owners, F.col("fp") == F.col("_fp")).select("_fp", "label", "lowest"), "lowest", rows)
+    least = materialize(lowest.groupBy("label").agg(F.min("lowest").alias("component_id")), "least", rows)
+    named = materialize(lowest.join(least, "label").select("_fp", "component_id"), "named", rows)
     return (
-        marked.join(owners, F.col("fp") == F.col("_fp"))
+        marked.join(named, F.col("fp") == F.col("_fp"))
         .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     )
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each component, the one of the smallest id (of rows that repeat it, one)."""
-    groups = near_duplicates(docs, id_col=id_col, **options)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    names = docs.columns
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(*[F.col(c) for c in names if c != id_col]))
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept")), "left_semi").withColumn("_nth", first).filter("_nth = 1").select(*names)
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, few: int = 256, small: int = 1_000_000) -> DataFrame:
+    """``docs`` with one document of each component, the one of the smallest id (then text hash); of exact repeats, one.
+
+    The keys of the rows that go are broadcast if there are at most ``small``.
+    """
+    marked, owners, rows = _grouped(docs, id_col, text_col, width, few)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    grouped = materialize(marked.join(owners, F.col("fp") == F.col("_fp")).select("label", "doc_id", "text_key").groupBy("label", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")), "grouped", rows)
+    keepers = materialize(grouped.groupBy("label").agg(F.min(key).alias("keeper")), "keepers", rows)
+    judged = grouped.join(keepers, "label").withColumn("stays", key.eqNullSafe(F.col("keeper")))
+    names = [F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")]
+    gone = materialize(judged.filter("not stays").select(*names), "gone", rows)
+    again = materialize(judged.filter("stays and n > 1").select(*names), "again", rows)
+    same = docs[id_col].eqNullSafe(F.col("_id")) & (_text_key(docs[text_col]) == F.col("_key"))
+    kept = docs.join(F.broadcast(gone) if gone.count() <= small else gone, same, "left_anti")
+    if again.isEmpty():
+        return kept
+    columns = docs.columns
+    nth = F.row_number().over(Window.partitionBy(id_col, "_hash").orderBy(*[F.col(c) for c in columns if c != id_col]))
+    once = docs.join(again, same, "left_semi").withColumn("_hash", _text_key(F.col(text_col))).withColumn("_nth", nth).filter("_nth = 1").select(*columns)
+    return kept.join(again, same, "left_anti").unionByName(once)
