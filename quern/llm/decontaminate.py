@@ -91,8 +91,11 @@ def contaminated_pairs(
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that hold a test item; options as for :func:`contaminated_pairs`."""
+def decontaminate(docs: DataFrame, items: DataFrame, *, small_found: int = 1_000_000, **options) -> DataFrame:
+    """``docs`` without the documents that hold a test item; options as for :func:`contaminated_pairs`.
+
+    The ids that go are broadcast if there are at most ``small_found``.
+    """
     doc_id = options.get("doc_id", "doc_id")
-    found = contaminated_pairs(docs, items, **options).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs[doc_id].eqNullSafe(F.col("_found")), "left_anti")
+    found = materialize(contaminated_pairs(docs, items, **options).select(F.col("doc_id").alias("_found")).distinct(), "found")
+    return docs.join(F.broadcast(found) if found.count() <= small_found else found, docs[doc_id].eqNullSafe(F.col("_found")), "left_anti")
