@@ -26,8 +26,18 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracles() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
+
+
+def _load() -> None:
+    """Import the modules that register queries."""
+    from importlib import import_module
+
+    for name in ("text_queries", "retrieval_queries", "web_queries", "graph_queries", "verdict_queries", "metric_queries", "dataset_queries"):
+        import_module(f"quern.plans.{name}")
