@@ -1,5 +1,262 @@
-"""Placeholder."""
-from pyspark.sql import Column, functions as F
+"""The typed knowledge graph: build, link, neighbours, bridges, entity contexts.
+
+Nodes are rows of (node_id, label, node_type, sty, definition, source, ord), edges of
+(src, dst, rel, source, ord); ``ord`` is any orderable value that says which row came
+first.  Everything is joins and windows over these tables.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from quern.functions import text as T
+from quern.storage import materialize
+
+# Relations that carry knowledge, by their use, and relations to skip.
+USEFUL_RELATIONS = (
+    "isa", "inverse_isa", "may_treat", "may_prevent", "may_be_treated_by", "mechanism_of_action", "has_mechanism_of_action", "has_physiologic_effect",
+    "has_active_ingredient", "has_ingredient", "causative_agent", "finding_site", "has_target", "associated_with", "causes", "has_part", "part_of",
+    "disease_may_have_finding", "disease_may_have_associated_disease", "classified_as", "has_manifestation", "mapped_to", "due_to", "occurs_in",
+    "RO", "RB", "RN", "PAR", "CHD", "has_tradename", "tradename_of", "precise_active_ingredient_of", "ingredient_of", "form_of", "has_form",
+    "procedure_context_of", "associated_procedure_of", "component_of", "measured_by", "has_side_effect", "side_effect_of", "adverse_effect_of",
+    "has_adverse_effect", "contraindicated_with", "may_cause", "has_contraindication", "produces",
+)
+SKIPPED_RELATIONS = ("has_class", "has_answer", "has_expanded_form", "expanded_form_of", "property_of", "time_aspect_of", "system_of", "scale_type_of")
+HIGH_OUT = (
+    "may_treat", "may_prevent", "may_be_treated_by", "mechanism_of_action", "has_mechanism_of_action", "has_physiologic_effect", "has_active_ingredient",
+    "causative_agent", "finding_site", "has_target", "associated_with", "causes", "classified_as", "disease_may_have_finding", "has_side_effect",
+    "side_effect_of", "adverse_effect_of", "has_adverse_effect", "contraindicated_with", "may_cause", "has_contraindication", "produces",
+)
+MEDIUM = ("isa", "inverse_isa", "RO", "RB", "RN", "PAR", "CHD")
+HIGH_IN = (
+    "may_treat", "may_prevent", "may_be_treated_by", "mechanism_of_action", "has_mechanism_of_action", "has_physiologic_effect", "has_active_ingredient",
+    "causative_agent", "causes", "has_target", "has_side_effect", "side_effect_of", "adverse_effect_of", "has_adverse_effect", "may_cause", "produces",
+)
+# Labels of administrative nodes.
+JUNK_LABELS = (
+    "^Dose form", "^Frequency prescribed", "^Refills prescribed", "^Amount dispensed", "^Days' supply", "^Date ", "^Medication volume",
+    "^Medication duration", "^Quantity prescribed", "^Reason for missed", ":Type:Pt:", ":Num:Pt:", ":NRat:Pt:", ":Date:Pt:", ":Vol:Pt:",
+    ":Find:Pt:", ":Prid:Pt:", ":Time:Pt:",
+)
+# Single words that are no entity, and option words that do not count.
+STOPWORDS = (
+    "the", "and", "with", "this", "that", "for", "which", "patient", "history", "effects", "following", "primary", "primarily", "through", "these",
+    "those", "have", "has", "had", "been", "most", "likely", "would", "what", "how", "does", "used", "man", "woman", "year", "old", "new", "due",
+    "commonly", "known", "type", "including", "also", "one", "two", "her", "his", "she", "day", "days", "ago", "weeks",
+)
 OPTION_SKIP = ("selective", "inhibition", "blockade", "activation", "receptor", "yes", "no", "true", "false")
+
+
+def is_junk(label: Column) -> Column:
+    return F.rlike(label, F.lit("|".join(JUNK_LABELS)))
+
+
 def option_words(text: Column) -> Column:
+    """The distinct words of an option that count."""
     return F.array_except(F.filter(F.split(F.lower(text), " "), lambda w: w != ""), F.array(*[F.lit(w) for w in OPTION_SKIP]))
+
+
+# --- Build ---------------------------------------------------------------------------------------
+
+
+def first_wins(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """One row a key, the first by ``order``."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
+
+
+def last_wins(edges: DataFrame) -> DataFrame:
+    """One edge for each ordered pair: its place is the first one's, its relation and source the last one's."""
+    last = F.max_by(F.struct("rel", "source"), "ord")
+    return edges.groupBy("src", "dst").agg(last.alias("last"), F.min("ord").alias("ord")).select("src", "dst", "last.rel", "last.source", "ord")
+
+
+def known_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges whose ends are both nodes."""
+    ids = nodes.select("node_id").distinct()
+    return edges.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
+
+
+def build(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph: first row of a node wins, last relation of a pair wins, loose ends go."""
+    kept = first_wins(nodes, ["node_id"], F.asc("ord"))
+    return kept, last_wins(known_ends(edges, kept))
+
+
+def crosswalk(rows: DataFrame, mapping: DataFrame, id_col: str, prefix: str = "SCT:") -> DataFrame:
+    """``rows`` with node_id: the mapped id, else the prefixed own id; of several mappings the greatest ``ord`` wins."""
+    last = mapping.groupBy("own_id").agg(F.max_by("mapped_id", "ord").alias("mapped_id"))
+    return rows.join(last, rows[id_col] == last["own_id"], "left").withColumn("node_id", F.coalesce("mapped_id", F.concat(F.lit(prefix), F.col(id_col).cast("string")))).drop("own_id", "mapped_id")
+
+
+def concept_terms(descriptions: DataFrame) -> DataFrame:
+    """concept, fsn, pt of ``descriptions(concept, kind, term, ord)``: the last full name, the first preferred term that is not empty."""
+    return descriptions.groupBy("concept").agg(
+        F.max_by(F.when(F.col("kind") == "fsn", F.col("term")), F.when(F.col("kind") == "fsn", F.col("ord"))).alias("fsn"),
+        F.min_by(F.when((F.col("kind") == "pt") & (F.col("term") != ""), F.col("term")), F.when((F.col("kind") == "pt") & (F.col("term") != ""), F.col("ord"))).alias("pt"),
+    )
+
+
+# --- Neighbours ----------------------------------------------------------------------------------
+
+
+def neighbours(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, *, incoming: bool = False) -> DataFrame:
+    """seed, rel, node_id, label, definition, ord of the nodes one edge away."""
+    near, far = ("dst", "src") if incoming else ("src", "dst")
+    ends = nodes.select(F.col("node_id").alias("_far"), "label", "definition")
+    return (
+        edges.join(seeds.select(F.col("node_id").alias("_near")).distinct(), F.col(near) == F.col("_near"))
+        .join(ends, F.col(far) == F.col("_far")).select(F.col("_near").alias("seed"), "rel", F.col("_far").alias("node_id"), "label", "definition", "ord")
+    )
+
+
+def bridges(seeds: DataFrame, edges: DataFrame, relations: tuple[str, ...] = HIGH_OUT) -> DataFrame:
+    """seed, rel, via, bridge_rel, other: two edges of the given relations from one seed to another."""
+    strong = edges.filter(F.col("rel").isin(*relations))
+    ids = seeds.select("node_id").distinct()
+    out = strong.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").select(F.col("src").alias("seed"), "rel", F.col("dst").alias("via"))
+    back = strong.join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi").select(F.col("src").alias("via"), F.col("rel").alias("bridge_rel"), F.col("dst").alias("other"))
+    return out.join(back, "via").filter(F.col("seed") != F.col("other")).select("seed", "rel", "via", "bridge_rel", "other")
+
+
+# --- Linking -------------------------------------------------------------------------------------
+
+
+def _ranked(rows: DataFrame, by: list[str], order: list[Column], most: int) -> DataFrame:
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).filter(F.col("rank") < most)
+
+
+def link_exact(queries: DataFrame, nodes: DataFrame, most: int = 10) -> DataFrame:
+    """qid, rank, node_id: nodes whose label is a run of up to five words of ``queries(qid, text)``.
+
+    Longer runs come first, then earlier ones, then earlier nodes.  As a node has one
+    label and only ``most`` are wanted, no more nodes of a label are joined.
+    """
+    words = queries.select("qid", T.ascii_tokens(F.col("text")).alias("w"))
+    each = F.array(*[F.struct(F.lit(n).alias("n"), T.ngrams(F.col("w"), n).alias("g")) for n in range(5, 0, -1)])
+    grams = words.select("qid", F.explode(each).alias("e")).select("qid", "e.n", F.posexplode("e.g").alias("at", "gram"))
+    single = (F.col("n") == 1) & ((F.length("gram") < 4) | F.col("gram").isin(*STOPWORDS))
+    found = grams.filter(~single).groupBy("qid", "gram").agg(F.min(F.struct((-F.col("n")).alias("n"), "at")).alias("place"))
+    labels = _ranked(nodes.select(F.lower("label").alias("gram"), "node_id", "ord").distinct(), ["gram"], [F.asc("ord")], most).drop("rank")
+    hits = found.join(labels, "gram").groupBy("qid", "node_id").agg(F.min(F.struct("place", "ord")).alias("place"))
+    return _ranked(hits, ["qid"], [F.asc("place")], most).select("qid", "rank", "node_id")
+
+
+def link_fuzzy(terms: DataFrame, nodes: DataFrame, most: int = 5) -> DataFrame:
+    """qid, rank, node_id: nodes whose label holds the term of ``terms(qid, text)`` of three characters or more.
+
+    Nodes with a definition come first, then UMLS nodes, then shorter labels.  Labels are
+    found by the term's first three characters, an equality join, and then compared.
+    """
+    wanted = terms.select("qid", F.lower(T.strip(F.col("text"))).alias("term")).filter(F.length("term") >= 3).withColumn("tri", F.substring("term", 1, 3))
+    score = F.when(F.trim(F.coalesce("definition", F.lit(""))) != "", 10).otherwise(0) + F.when(F.col("node_type") == "umls", 5).otherwise(0)
+    each = nodes.select("node_id", F.lower("label").alias("label"), score.alias("rank_class"), "ord")
+    each = materialize(_ranked(each, ["label", "rank_class"], [F.asc("ord")], most).drop("rank"), "labels")
+    tris = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("label") - 2), lambda i: F.substring(F.col("label"), i, 3)))
+    index = each.select("label").distinct().filter(F.length("label") >= 3).select("label", F.explode(tris).alias("tri"))
+    matched = index.join(wanted, "tri").filter(F.contains("label", "term")).select("qid", "label").distinct()
+    hits = matched.join(each, "label").withColumn("score", F.col("rank_class") - F.length("label") * 0.01)
+    best = hits.groupBy("qid", "node_id").agg(F.max("score").alias("score"), F.min("ord").alias("ord"))
+    return _ranked(best, ["qid"], [F.desc("score"), F.asc("ord")], most).select("qid", "rank", "node_id")
+
+
+def seeds(queries: DataFrame, entities: DataFrame, options: DataFrame, nodes: DataFrame) -> DataFrame:
+    """qid, rank, node_id, in order of first appearance.
+
+    From the query by exact links (10), from each of ``entities(qid, at, text)`` by exact
+    (3) and fuzzy (3) links, from each of ``options(qid, at, text)`` with two words that
+    count by fuzzy links (2).
+    """
+    def linked(rows: DataFrame, link, most: int, stage: int, kind: int) -> DataFrame:
+        keyed = rows.select(F.struct("qid", "at").alias("qid"), "text")
+        return link(keyed, nodes, most).select("qid.qid", F.struct(F.lit(stage).alias("stage"), F.col("qid.at").alias("at"), F.lit(kind).alias("kind"), "rank").alias("place"), "node_id")
+
+    query = queries.select("qid", F.lit(0).alias("at"), "text")
+    counted = options.filter(F.size(option_words(F.col("text"))) >= 2)
+    union = linked(query, link_exact, 10, 0, 0)
+    for rows, link, most, stage, kind in ((entities, link_exact, 3, 1, 0), (entities, link_fuzzy, 3, 1, 1), (counted, link_fuzzy, 2, 2, 0)):
+        union = union.unionByName(linked(rows, link, most, stage, kind))
+    first = union.groupBy("qid", "node_id").agg(F.min("place").alias("place"))
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("place")) - 1).select("qid", "rank", "node_id")
+
+
+# --- Entity contexts -----------------------------------------------------------------------------
+
+
+def _relation_lines(hits: DataFrame, prefix: str) -> DataFrame:
+    """node, section lines: for each relation its first five distinct labels, relations in order."""
+    labels = F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", "label"))), lambda x: x["label"])), 1, 5)
+    shown = F.initcap(F.translate("rel", "_", " "))
+    lines = hits.groupBy("seed", "rel").agg(labels.alias("labels")).select("seed", "rel", F.concat(F.lit(prefix), shown, F.lit(": "), F.array_join("labels", ", ")).alias("line"))
+    return lines.groupBy("seed").agg(F.transform(F.array_sort(F.collect_list(F.struct("rel", "line"))), lambda x: x["line"]).alias("lines"))
+
+
+def contexts(seeded: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """qid, rank, node_id, title, content: a document for each of ``seeded(qid, rank, node_id)`` that has anything to say.
+
+    A neighbour's definition is not repeated where the neighbour is an earlier seed with
+    a document of its own; whether a seed has one never depends on the others, so this
+    is a join and not a loop.
+    """
+    ids = seeded.select("node_id").distinct()
+    quiet = edges.filter(~F.col("rel").isin(*SKIPPED_RELATIONS))
+    known = quiet.filter(F.col("rel").isin(*HIGH_OUT, *MEDIUM))
+    first_five = lambda hits: _ranked(hits, ["seed", "rel"], [F.asc("ord")], 5).drop("rank")
+    clean = ~is_junk(F.col("label"))
+    out = neighbours(ids, nodes, known).filter(clean)
+    strong, medium = out.filter(F.col("rel").isin(*HIGH_OUT)), first_five(out.filter(F.col("rel").isin(*MEDIUM)))
+    strong = materialize(strong, "strong")
+    back = first_five(neighbours(ids, nodes, quiet.filter(F.col("rel").isin(*HIGH_IN, *MEDIUM)), incoming=True).filter(clean))
+    out_lines, in_lines = _relation_lines(strong.unionByName(medium), "- "), _relation_lines(back, "- [Inverse] ")
+
+    # Details: of the first three neighbours of each strong relation, their definitions and the bridges to other seeds.
+    # Relations come in the order in which the seed's edges first show them.
+    rel_at = F.min("ord").over(Window.partitionBy("seed", "rel"))
+    nearest = _ranked(strong.withColumn("rel_at", rel_at), ["seed", "rel"], [F.asc("ord")], 3)
+    per_query = seeded.select("qid", F.col("node_id").alias("seed"), F.col("rank").alias("seed_rank"))
+    details = per_query.join(nearest.withColumnRenamed("rank", "nth").withColumnRenamed("node_id", "via").withColumnRenamed("label", "via_label"), "seed")
+    own = nodes.select(F.col("node_id").alias("seed"), F.col("label").alias("seed_label"), "sty", F.col("definition").alias("seed_definition"))
+    head = F.array_compact(F.array(
+        F.when(F.coalesce("sty", F.lit("")) != "", F.concat(F.lit("Type: "), "sty")),
+        F.when(F.coalesce("seed_definition", F.lit("")) != "", F.concat(F.lit("Definition: "), F.substring("seed_definition", 1, 400))),
+    ))
+    empty = F.array().cast("array<string>")
+    basis = (
+        ids.withColumnRenamed("node_id", "seed").join(own, "seed").filter(~is_junk(F.col("seed_label")))
+        .join(out_lines.withColumnRenamed("lines", "outs"), "seed", "left").join(in_lines.withColumnRenamed("lines", "ins"), "seed", "left")
+        .select("seed", "seed_label", F.concat(head, F.coalesce("outs", empty), F.coalesce("ins", empty)).alias("lines"))
+    )
+    basis = materialize(basis, "basis")
+    # A strong neighbour gives a line by itself, so details never decide whether there is a document.
+    speaking = seeded.join(basis.filter(F.size("lines") > 0).select(F.col("seed").alias("node_id")), "node_id", "left_semi").select(F.col("qid").alias("_q"), F.col("node_id").alias("_n"), F.col("rank").alias("_r"))
+    fresh = details.join(speaking, (F.col("qid") == F.col("_q")) & (F.col("via") == F.col("_n")) & (F.col("_r") < F.col("seed_rank")), "left_anti")
+    defined = fresh.filter(F.length(F.trim("definition")) > 30).select("qid", "seed", F.struct("rel_at", "nth", F.lit(0).cast("long").alias("kind"), F.lit(-1).alias("other")).alias("place"),
+        F.concat(F.lit("  ["), "via_label", F.lit("]: "), F.substring(F.trim("definition"), 1, 200)).alias("line"))
+    others = seeded.select(F.col("qid").alias("_q"), F.col("node_id").alias("other"), F.col("rank").alias("other_rank"))
+    links = edges.filter(F.col("rel").isin(*HIGH_OUT)).select(F.col("src").alias("via"), F.col("dst").alias("other"), F.col("rel").alias("bridge_rel"))
+    names = nodes.select(F.col("node_id").alias("other"), F.col("label").alias("other_label"))
+    bridged = (
+        fresh.join(links, "via").filter(F.col("other") != F.col("seed")).join(others, ["other"]).filter(F.col("qid") == F.col("_q")).join(names, "other")
+        .select("qid", "seed", F.struct("rel_at", "nth", F.lit(1).cast("long").alias("kind"), F.col("other_rank").alias("other")).alias("place"),
+            F.concat(F.lit("  ["), "via_label", F.lit("] --"), "bridge_rel", F.lit("--> ["), "other_label", F.lit("]")).alias("line"))
+    )
+    eight = _ranked(defined.unionByName(bridged), ["qid", "seed"], [F.asc("place"), F.asc("line")], 8).groupBy("qid", "seed").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]).alias("details"))
+    return (
+        seeded.join(basis.filter(F.size("lines") > 0).withColumnRenamed("seed", "node_id"), "node_id")
+        .join(eight.withColumnRenamed("seed", "node_id"), ["qid", "node_id"], "left")
+        .withColumn("body", F.concat("lines", F.when(F.col("details").isNotNull(), F.concat(F.array(F.lit("Related details:")), "details")).otherwise(empty)))
+        .select("qid", "rank", "node_id", F.concat(F.lit("KG: "), "seed_label").alias("title"), F.concat(F.lit("Entity: "), "seed_label", F.lit("\n"), F.array_join("body", "\n")).alias("content"))
+    )
+
+
+def retrieve(queries: DataFrame, seeded: DataFrame, nodes: DataFrame, edges: DataFrame, propositions: DataFrame | None = None, k: int = 20, min_score: float = 0.15) -> DataFrame:
+    """qid, rank, title, content, score: the seeds' documents in order that pass the relevance gate, propositions first, all of score 1."""
+    from quern.operators.retrieval import relevance_gate
+
+    docs = contexts(seeded, nodes, edges).select("qid", "rank", F.col("rank").cast("long").alias("doc_id"), "title", "content")
+    if propositions is not None:
+        text = F.concat(F.lit("Key medical claims to verify:\n"), F.array_join(F.transform("propositions", lambda p: F.concat(F.lit("- "), p)), "\n"))
+        docs = docs.unionByName(propositions.filter(F.size("propositions") > 0).select("qid", F.lit(-1).alias("rank"), F.lit(-2).cast("long").alias("doc_id"), F.lit("Atomic Propositions").alias("title"), text.alias("content")))
+    gated = relevance_gate(docs, queries, min_score=min_score)
+    return gated.filter(F.col("rank") < k).select("qid", "rank", "title", "content", F.lit(1.0).alias("score"))

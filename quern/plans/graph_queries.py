@@ -1 +1,286 @@
-"""Queries."""
+"""Queries over the knowledge graph, which is derived from the order tables.
+
+Nodes: regions, nations, suppliers and parts.  Edges: nation-region, supplier-nation,
+and supplier-part, one row a line item, whose relation depends on the line number.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.operators import graph
+from quern.plans.catalog import register
+from quern.sources import ontology
+from quern.storage import materialize
+from quern.tables import table
+
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: table(spark, sf_dir, n)
+    node = lambda kind, key, label, typ, sty, definition, n: [
+        F.concat(F.lit(kind + ":"), F.col(key).cast("string")).alias("node_id"), F.col(label).alias("label"), F.lit(typ).alias("node_type"), sty.alias("sty"),
+        definition.alias("definition"), F.lit(kind).alias("source"), (F.lit(n * 10**12) + F.col(key).cast("long")).alias("ord"),
+    ]
+    place = lambda c: F.concat(F.col(c), F.lit(" is a place of trade for many kinds of goods and people"))
+    return (
+        t("region").select(*node("R", "r_regionkey", "r_name", "umls", F.lit("region"), place("r_name"), 0))
+        .unionByName(t("nation").select(*node("N", "n_nationkey", "n_name", "umls", F.lit("nation"), place("n_name"), 1)))
+        .unionByName(t("supplier").select(*node("S", "s_suppkey", "s_name", "snomed", F.lit("supplier"), F.lit(""), 2)))
+        .unionByName(t("part").select(*node("P", "p_partkey", "p_name", "rxnorm", F.col("p_type"), F.lit(""), 3)))
+    )
+
+
+def _edge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: table(spark, sf_dir, n)
+    node = lambda kind, c: F.concat(F.lit(kind + ":"), F.col(c).cast("string"))
+    zero = F.lit(0).cast("long")
+    place = lambda n, *c: F.struct(F.lit(n).alias("p"), *[x.alias(f"k{i}") for i, x in enumerate(c)], F.lit(0.0).alias("k5") if len(c) < 6 else c[5].alias("k5"))
+    key = lambda n, c: place(n, F.col(c).cast("long"), zero, zero, zero, zero)
+    line = [F.col(c).cast("long") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    line_place = lambda n: F.struct(F.lit(n).alias("p"), *[x.alias(f"k{i}") for i, x in enumerate(line)], zero.alias("k4"), F.col("l_extendedprice").alias("k5"))
+    rel = F.when(F.col("l_linenumber") % 3 == 0, "may_treat").when(F.col("l_linenumber") % 3 == 1, "associated_with").otherwise("causes")
+    items = t("lineitem")
+    nations = t("nation")
+    edge = lambda df, src, dst, rel, source, at: df.select(src.alias("src"), dst.alias("dst"), rel.alias("rel"), F.lit(source).alias("source"), at.alias("ord"))
+    return (
+        edge(nations, node("N", "n_nationkey"), node("R", "n_regionkey"), F.lit("part_of"), "umls", key(0, "n_nationkey"))
+        .unionByName(edge(nations, node("R", "n_regionkey"), node("N", "n_nationkey"), F.lit("isa"), "umls", key(1, "n_nationkey")))
+        .unionByName(edge(t("supplier"), node("S", "s_suppkey"), node("N", "s_nationkey"), F.lit("associated_with"), "snomed", key(2, "s_suppkey")))
+        .unionByName(edge(items, node("S", "l_suppkey"), node("P", "l_partkey"), rel, "rxnorm", line_place(3)))
+        .unionByName(edge(items, node("P", "l_partkey"), node("S", "l_suppkey"), F.lit("may_be_treated_by"), "rxnorm", line_place(4)))
+    )
+
+
+_KN = f"""kn AS (
+SELECT 'R:' || r_regionkey AS node_id, r_name AS label, 'umls' AS node_type, 'region' AS sty, r_name || ' is a place of trade for many kinds of goods and people' AS definition, 'R' AS source, CAST(r_regionkey AS BIGINT) AS ord FROM region
+UNION ALL SELECT 'N:' || n_nationkey, n_name, 'umls', 'nation', n_name || ' is a place of trade for many kinds of goods and people', 'N', {10**12} + n_nationkey FROM nation
+UNION ALL SELECT 'S:' || s_suppkey, s_name, 'snomed', 'supplier', '', 'S', {2 * 10**12} + s_suppkey FROM supplier
+UNION ALL SELECT 'P:' || p_partkey, p_name, 'rxnorm', p_type, '', 'P', {3 * 10**12} + p_partkey FROM part)"""
+_REL = "CASE l_linenumber % 3 WHEN 0 THEN 'may_treat' WHEN 1 THEN 'associated_with' ELSE 'causes' END"
+_KE = f"""kr AS (
+SELECT 'N:' || n_nationkey AS src, 'R:' || n_regionkey AS dst, 'part_of' AS rel, 'umls' AS source, 0 AS p, CAST(n_nationkey AS BIGINT) AS k0, 0 AS k1, 0 AS k2, 0 AS k3, 0.0 AS k5 FROM nation
+UNION ALL SELECT 'R:' || n_regionkey, 'N:' || n_nationkey, 'isa', 'umls', 1, n_nationkey, 0, 0, 0, 0.0 FROM nation
+UNION ALL SELECT 'S:' || s_suppkey, 'N:' || s_nationkey, 'associated_with', 'snomed', 2, s_suppkey, 0, 0, 0, 0.0 FROM supplier
+UNION ALL SELECT 'S:' || l_suppkey, 'P:' || l_partkey, {_REL}, 'rxnorm', 3, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem
+UNION ALL SELECT 'P:' || l_partkey, 'S:' || l_suppkey, 'may_be_treated_by', 'rxnorm', 4, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem),
+ko AS (SELECT src, dst, rel, source, row_number() OVER (ORDER BY p, k0, k1, k2, k3, k5) AS ord FROM kr),
+ke AS (SELECT src, dst, arg_max(rel, ord) AS rel, arg_max(source, ord) AS source, min(ord) AS ord FROM ko
+  WHERE src IN (SELECT node_id FROM kn) AND dst IN (SELECT node_id FROM kn) GROUP BY src, dst)"""
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    nodes, edges = graph.build(_nodes(spark, sf_dir), _edge_rows(spark, sf_dir))
+    return materialize(nodes, "nodes"), materialize(edges, "edges")
+
+
+_JUNK = "|".join(p.replace("'", "''") for p in graph.JUNK_LABELS)
+_IN = lambda values: ", ".join(f"'{v}'" for v in values)
+
+
+@register("kg_nodes", f"WITH {_KN}, x AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sty, ord) AS n FROM kn) SELECT node_id, label, node_type, sty, definition, source FROM x WHERE n = 1")
+def kg_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first node of each label, as the left joins of the node build keep the first row of a concept."""
+    nodes = _nodes(spark, sf_dir)
+    base, types, definitions = nodes.drop("sty", "definition"), nodes.select("node_id", "sty"), nodes.filter("definition <> ''").select("node_id", "definition")
+    joined = base.join(types, "node_id", "left").join(definitions, "node_id", "left").withColumn("definition", F.coalesce("definition", F.lit("")))
+    return graph.first_wins(joined, ["label"], F.asc("sty"), F.asc("ord")).select("node_id", "label", "node_type", "sty", "definition", "source")
+
+
+@register("kg_edges_semi", f"WITH {_KN}, {_KE} SELECT src, dst, rel, count(*) AS n FROM ko WHERE src IN (SELECT node_id FROM kn WHERE sty <> 'ECONOMY') AND dst IN (SELECT node_id FROM kn WHERE sty <> 'ECONOMY') GROUP BY src, dst, rel")
+def kg_edges_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = graph.known_ends(_edge_rows(spark, sf_dir), _nodes(spark, sf_dir).filter("sty <> 'ECONOMY'"))
+    return kept.groupBy("src", "dst", "rel").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("kg_edges_last_wins", f"WITH {_KN}, {_KE} SELECT src, dst, rel, source FROM ke")
+def kg_edges_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.last_wins(_edge_rows(spark, sf_dir)).select("src", "dst", "rel", "source")
+
+
+@register("kg_build", f"WITH {_KN}, {_KE} SELECT rel, source, count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM ke GROUP BY rel, source")
+def kg_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, edges = graph.build(_nodes(spark, sf_dir), _edge_rows(spark, sf_dir))
+    return edges.groupBy("rel", "source").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
+
+
+@register("kg_crosswalk", "SELECT s_suppkey, coalesce((SELECT 'N:' || max(n_nationkey) FROM nation WHERE n_regionkey = s_suppkey % 7), 'SCT:' || s_suppkey) AS node_id FROM supplier")
+def kg_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers are mapped by s_suppkey % 7 to the last nation of that region, if there is one."""
+    mapping = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("own_id"), F.concat(F.lit("N:"), F.col("n_nationkey").cast("string")).alias("mapped_id"), F.col("n_nationkey").alias("ord"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 7).alias("region"))
+    return graph.crosswalk(rows, mapping, "region").select("s_suppkey", F.when(F.startswith("node_id", F.lit("SCT:")), F.concat(F.lit("SCT:"), F.col("s_suppkey").cast("string"))).otherwise(F.col("node_id")).alias("node_id"))
+
+
+@register("rxnorm_nodes", "SELECT p_name, arg_min(p_type, p_type || '|' || p_brand || '|' || lpad(CAST(p_partkey AS VARCHAR), 12, '0')) AS tty, count(*) AS n FROM part GROUP BY p_name")
+def rxnorm_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").groupBy("p_name").agg(F.min_by("p_type", F.struct("p_type", "p_brand", "p_partkey")).alias("tty"), F.count(F.lit(1)).alias("n"))
+
+
+@register("concept_terms", """SELECT p_brand AS concept, arg_max(p_name, p_partkey) FILTER (WHERE p_size % 2 = 0) AS fsn, arg_min(p_type, p_partkey) FILTER (WHERE p_size % 2 = 1) AS pt FROM part GROUP BY p_brand""")
+def concept_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("concept"), F.when(F.col("p_size") % 2 == 0, "fsn").otherwise("pt").alias("kind"),
+        F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(F.col("p_type")).alias("term"), F.col("p_partkey").alias("ord"))
+    return graph.concept_terms(rows)
+
+
+@register("kg_edge_filter", f"WITH {_KN}, {_KE} SELECT rel, rel IN ({_IN(graph.HIGH_OUT)}) AS high, rel IN ({_IN(graph.MEDIUM)}) AS medium, count(*) AS edges FROM ke WHERE rel IN ({_IN(graph.USEFUL_RELATIONS)}) AND rel NOT IN ({_IN(graph.SKIPPED_RELATIONS)}) GROUP BY rel")
+def kg_edge_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = graph.last_wins(_edge_rows(spark, sf_dir)).filter(F.col("rel").isin(*graph.USEFUL_RELATIONS) & ~F.col("rel").isin(*graph.SKIPPED_RELATIONS))
+    return edges.groupBy("rel").agg(F.count(F.lit(1)).alias("edges")).select("rel", F.col("rel").isin(*graph.HIGH_OUT).alias("high"), F.col("rel").isin(*graph.MEDIUM).alias("medium"), "edges")
+
+
+_LABELS = "l AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Dose form ' || p_name WHEN 1 THEN p_name || ':Type:Pt:' || p_brand WHEN 2 THEN 'Date ' || p_size ELSE p_name END AS label FROM part)"
+
+
+@register("junk_label_filter", f"WITH {_LABELS} SELECT p_partkey, label FROM l WHERE NOT regexp_matches(label, '{_JUNK}')")
+def junk_label_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 5
+    label = F.when(k == 0, F.concat(F.lit("Dose form "), "p_name")).when(k == 1, F.concat("p_name", F.lit(":Type:Pt:"), "p_brand")).when(k == 2, F.concat(F.lit("Date "), F.col("p_size").cast("string"))).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", label.alias("label")).filter(~graph.is_junk(F.col("label")))
+
+
+@register("kg_neighbors_out", f"WITH {_KN}, {_KE} SELECT ke.src AS seed, rel, dst AS node_id, label FROM ke JOIN kn ON kn.node_id = ke.dst WHERE src LIKE 'S:%'")
+def kg_neighbors_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = graph.build(_nodes(spark, sf_dir), _edge_rows(spark, sf_dir))
+    return graph.neighbours(nodes.filter("source = 'S'"), nodes, edges).select("seed", "rel", "node_id", "label")
+
+
+@register("kg_neighbors_in", f"WITH {_KN}, {_KE} SELECT ke.dst AS seed, rel, src AS node_id, label FROM ke JOIN kn ON kn.node_id = ke.src WHERE dst LIKE 'N:%'")
+def kg_neighbors_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = graph.build(_nodes(spark, sf_dir), _edge_rows(spark, sf_dir))
+    return graph.neighbours(nodes.filter("source = 'N'"), nodes, edges, incoming=True).select("seed", "rel", "node_id", "label")
+
+
+@register("kg_bridges", f"""WITH {_KN}, {_KE}, s AS (SELECT node_id FROM kn WHERE source IN ('N', 'S')), h AS (SELECT * FROM ke WHERE rel IN ({_IN(graph.HIGH_OUT)}))
+SELECT a.src AS seed, b.dst AS other, count(*) AS bridges FROM h a JOIN h b ON a.dst = b.src WHERE a.src IN (SELECT node_id FROM s) AND b.dst IN (SELECT node_id FROM s) AND a.src <> b.dst GROUP BY 1, 2""")
+def kg_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = graph.build(_nodes(spark, sf_dir), _edge_rows(spark, sf_dir))
+    return graph.bridges(nodes.filter("source in ('N', 'S')"), edges).groupBy("seed", "other").agg(F.count(F.lit(1)).alias("bridges"))
+
+
+def _entity_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query a part: its name and a nation's."""
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n"), "n_name")
+    return table(spark, sf_dir, "part").withColumn("n", F.col("p_partkey") % 25).join(F.broadcast(nations), "n").select(F.col("p_partkey").alias("qid"), F.concat("p_name", F.lit(" from "), "n_name").alias("text"), "p_name", "n_name", "p_type")
+
+
+_EQ = "eq AS (SELECT p_partkey AS qid, p_name || ' from ' || n_name AS text, p_name, n_name, p_type FROM part JOIN nation ON n_nationkey = p_partkey % 25)"
+_STOP = _IN(graph.STOPWORDS)
+
+
+def _exact(p: str, source: str, key: str, most: int) -> str:
+    """CTEs that end in {p}x({key}, rank, node_id)."""
+    return rf"""
+{p}w AS (SELECT {key}, regexp_extract_all(lower(text), '[a-zA-Z0-9\-]+') AS w FROM {source}),
+{p}g AS (SELECT {key}, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram FROM {p}w, unnest([1, 2, 3, 4, 5]) AS a(n), unnest(range(1, len(w) - n + 2)) AS b(i)),
+{p}k AS (SELECT {key}, gram, min((5 - n) * 1000000 + i) AS place FROM {p}g WHERE NOT (n = 1 AND (length(gram) < 4 OR gram IN ({_STOP}))) GROUP BY {key}, gram),
+{p}l AS (SELECT * FROM (SELECT lower(label) AS gram, node_id, ord, row_number() OVER (PARTITION BY lower(label) ORDER BY ord) AS r FROM kn) WHERE r <= {most}),
+{p}h AS (SELECT {key}, node_id, ord, min(place) AS place FROM {p}k JOIN {p}l USING (gram) GROUP BY {key}, node_id, ord),
+{p}x AS (SELECT * FROM (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY place, ord) - 1 AS rank, node_id FROM {p}h) WHERE rank < {most})"""
+
+
+def _fuzzy(p: str, source: str, key: str, most: int) -> str:
+    return rf"""
+{p}t AS (SELECT {key}, lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS term FROM {source}),
+{p}c AS (SELECT *, CASE WHEN trim(definition, ' ') <> '' THEN 10 ELSE 0 END + CASE WHEN node_type = 'umls' THEN 5 ELSE 0 END AS cls FROM kn),
+{p}l AS (SELECT * FROM (SELECT lower(label) AS label, node_id, ord, cls, row_number() OVER (PARTITION BY lower(label), cls ORDER BY ord) AS r FROM {p}c) WHERE r <= {most}),
+{p}d AS (SELECT DISTINCT {key}, label FROM (SELECT DISTINCT label FROM {p}l) JOIN {p}t ON length(term) >= 3 AND contains(label, term)),
+{p}h AS (SELECT {key}, node_id, ord, max(cls - length(label) * CAST(0.01 AS DOUBLE)) AS score FROM {p}d JOIN {p}l USING (label) GROUP BY {key}, node_id, ord),
+{p}x AS (SELECT * FROM (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, ord) - 1 AS rank, node_id FROM {p}h) WHERE rank < {most})"""
+
+
+@register("entity_link_exact", f"WITH {_KN}, {_EQ}, {_exact('a', 'eq', 'qid', 10)} SELECT qid, CAST(rank AS INTEGER) AS rank, node_id FROM ax")
+def entity_link_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.link_exact(_entity_queries(spark, sf_dir).select("qid", "text"), _nodes(spark, sf_dir), 10)
+
+
+_FQ = "fq AS (SELECT qid, split_part(p_name, ' ', 2) AS text FROM eq)"
+
+
+@register("entity_link_fuzzy", f"WITH {_KN}, {_EQ}, {_FQ}, {_fuzzy('z', 'fq', 'qid', 5)} SELECT qid, CAST(rank AS INTEGER) AS rank, node_id FROM zx")
+def entity_link_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = _entity_queries(spark, sf_dir).select("qid", F.split_part("p_name", F.lit(" "), F.lit(2)).alias("text"))
+    return graph.link_fuzzy(terms, _nodes(spark, sf_dir), 5)
+
+
+@register("kg_seeds", f"""WITH {_KN}, {_EQ}, en AS (SELECT qid, 0 AS at, n_name AS text FROM eq), op AS (SELECT qid, 0 AS at, p_name AS text FROM eq),
+{_exact('a', 'eq', 'qid', 10)}, {_exact('b', 'en', 'qid', 3)}, {_fuzzy('c', 'en', 'qid', 3)}, {_fuzzy('e', 'op', 'qid', 2)},
+u AS (SELECT qid, node_id, rank AS place FROM ax UNION ALL SELECT qid, node_id, 100 + rank FROM bx UNION ALL SELECT qid, node_id, 200 + rank FROM cx UNION ALL SELECT qid, node_id, 300 + rank FROM ex),
+f AS (SELECT qid, node_id, min(place) AS place FROM u GROUP BY qid, node_id)
+SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY place) - 1 AS INTEGER) AS rank, node_id FROM f""")
+def kg_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = _entity_queries(spark, sf_dir)
+    part = lambda c: q.select("qid", F.lit(0).alias("at"), F.col(c).alias("text"))
+    return graph.seeds(q.select("qid", "text"), part("n_name"), part("p_name"), _nodes(spark, sf_dir))
+
+
+def _region_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query a region: its node, its nations and their suppliers are the seeds."""
+    from pyspark.sql import Window
+
+    nations, suppliers = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    node = lambda kind, c: F.concat(F.lit(kind + ":"), F.col(c).cast("string"))
+    rows = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("qid"), F.struct(F.lit(0).alias("k"), F.col("r_regionkey").cast("long").alias("i")).alias("at"), node("R", "r_regionkey").alias("node_id"))
+    rows = rows.unionByName(nations.select(F.col("n_regionkey").cast("long").alias("qid"), F.struct(F.lit(1).alias("k"), F.col("n_nationkey").cast("long").alias("i")).alias("at"), node("N", "n_nationkey").alias("node_id")))
+    rows = rows.unionByName(suppliers.join(F.broadcast(nations), suppliers.s_nationkey == nations.n_nationkey).select(F.col("n_regionkey").cast("long").alias("qid"), F.struct(F.lit(2).alias("k"), F.col("s_suppkey").alias("i")).alias("at"), node("S", "s_suppkey").alias("node_id")))
+    return rows.select("qid", (F.row_number().over(Window.partitionBy("qid").orderBy("at")) - 1).alias("rank"), "node_id")
+
+
+@register("kg_context")
+def kg_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _graph(spark, sf_dir)
+    return graph.contexts(_region_seeds(spark, sf_dir), nodes, edges)
+
+
+@register("kg_retrieve")
+def kg_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _graph(spark, sf_dir)
+    queries = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("qid"), F.concat(F.lit("place of trade in "), "r_name").alias("text"))
+    claims = queries.select("qid", F.array("text").alias("propositions"))
+    return graph.retrieve(queries, _region_seeds(spark, sf_dir), nodes, edges, claims)
+
+
+# --- Ontology rows -------------------------------------------------------------------------------
+
+_ROWS = "r AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_name || '|' || p_brand ELSE p_partkey || '|' || CASE WHEN p_size % 3 = 0 THEN 'ENG' ELSE 'SPA' END || '|' || p_name || '|' || CASE WHEN p_size % 5 = 0 THEN 'RXNORM' ELSE 'MSH' END || '|' || CASE WHEN p_size % 2 = 0 THEN 'SCD' ELSE 'PT' END || '|' || CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'Has_Ingredient' WHEN 2 THEN 'owns' ELSE 'isa' END || '|' END AS line FROM part)"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    full = F.concat_ws("|", F.col("p_partkey").cast("string"), F.when(size % 3 == 0, "ENG").otherwise("SPA"), "p_name", F.when(size % 5 == 0, "RXNORM").otherwise("MSH"), F.when(size % 2 == 0, "SCD").otherwise("PT"),
+        F.when(size % 4 == 0, "").when(size % 4 == 1, "Has_Ingredient").when(size % 4 == 2, "owns").otherwise("isa"), F.lit(""))
+    rows = table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 4 == 0, F.concat_ws("|", "p_name", "p_brand")).otherwise(full).alias("value"))
+    return ontology.split_rows(rows, {"id": 0, "lat": 1, "name": 2, "sab": 3, "tty": 4, "rela": 5}, 6)
+
+
+_FIELDS = f"{_ROWS}, s AS (SELECT string_split(line, '|') AS f FROM r), c AS (SELECT f[1] AS id, f[2] AS lat, f[3] AS name, f[4] AS sab, f[5] AS tty, f[6] AS rela FROM s WHERE len(f) >= 6)"
+
+
+@register("rrf_parse", f"WITH {_FIELDS} SELECT * FROM c")
+def rrf_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir)
+
+
+@register("filter_in_set", f"WITH {_FIELDS} SELECT id, tty FROM c WHERE tty IN ({_IN(ontology.TERM_TYPES)})")
+def filter_in_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).filter(F.col("tty").isin(*ontology.TERM_TYPES)).select("id", "tty")
+
+
+@register("filter_compound", f"WITH {_FIELDS} SELECT id, lat, sab, tty, rela FROM c WHERE (lat = 'ENG' OR sab = 'RXNORM') AND tty IN ({_IN(ontology.TERM_TYPES)}) AND (rela = '' OR lower(rela) IN ({_IN(ontology.DRUG_RELATIONS)}))")
+def filter_compound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = ontology.keep_concept(F.col("lat"), F.col("sab"), F.col("tty")) & ontology.keep_drug_relation(F.col("rela"))
+    return _lines(spark, sf_dir).filter(kept).select("id", "lat", "sab", "tty", "rela")
+
+
+@register("case_when", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND p_brand = 'Brand#2' THEN 1 ELSE 0 END AS is_preferred FROM part")
+def case_when(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flag = ontology.preferred(F.when(F.col("p_size") % 2 == 0, "Y").otherwise("N"), F.when(F.col("p_brand") == "Brand#2", "P").otherwise("S"))
+    return table(spark, sf_dir, "part").select("p_partkey", flag.alias("is_preferred"))
+
+
+@register("dedupe_first", "SELECT p_name, arg_min(p_partkey, p_partkey) AS p_partkey, arg_min(p_brand, p_partkey) AS p_brand FROM part GROUP BY p_name")
+def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.first_wins(table(spark, sf_dir, "part"), ["p_name"], F.asc("p_partkey")).select("p_name", "p_partkey", "p_brand")
