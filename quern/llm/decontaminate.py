@@ -58,11 +58,12 @@ def sketches(items: DataFrame, threshold: float, width: int) -> DataFrame:
     )
 
 
-def contaminated_pairs(
-    docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text",
-    threshold: float = 0.8, width: int = 5, small_rows: int = 1_000_000, small_chars: int = 8_000_000,
-) -> DataFrame:
-    """item_id, doc_id, n_shingles, n_shared, containment of every pair at ``threshold`` or above."""
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _verified(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text_col: str, threshold: float, width: int, small_rows: int, small_chars: int) -> DataFrame:
+    """item_id, doc_id, text_key, n_shingles, n_shared of the rows that hold an item."""
     items = materialize(items.select(F.col(item_id).alias("item_id"), plain_words(F.col(text_col)).alias("words")).distinct(), "items")
     index = materialize(sketches(items, threshold, width).select("item_id", F.explode("sketch").alias("hash")).distinct(), "sketches")
     chars = items.agg(F.coalesce(F.sum(F.length(F.array_join("words", " "))), F.lit(0))).first()[0]
@@ -79,23 +80,38 @@ def contaminated_pairs(
     own, other = F.array_distinct(shingle_strings(F.col("item_words"), width)), shingle_strings(F.col("words"), width)
     return (
         texts.join(candidates.select(F.col("doc_id").alias("_doc")).distinct(), F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
-        .select("doc_id", plain_words(F.col("text")).alias("words"))
+        .select("doc_id", _text_key(F.col("text")).alias("text_key"), plain_words(F.col("text")).alias("words"))
         .withColumn("strings", F.array_distinct(other)).drop("words")
         .join(pairs, F.col("doc_id").eqNullSafe(F.col("_doc"))).drop("_doc")
         .join(items.select(F.col("item_id").alias("_item"), F.col("words").alias("item_words")), F.col("item_id").eqNullSafe(F.col("_item"))).drop("_item")
         .withColumn("own", own)
-        .select("item_id", "doc_id", F.size("own").alias("n_shingles"), F.size(F.array_intersect("own", "strings")).alias("n_shared"))
+        .select("item_id", "doc_id", "text_key", F.size("own").cast("long").alias("n_shingles"), F.size(F.array_intersect("own", "strings")).cast("long").alias("n_shared"))
         .filter(F.col("n_shared") >= F.col("n_shingles") * threshold - 1e-9)
-        .groupBy("item_id", "doc_id").agg(F.max(F.struct(F.col("n_shared") / F.col("n_shingles"), "n_shingles", "n_shared")).alias("best"))
-        .select("item_id", "doc_id", F.col("best.n_shingles").cast("long").alias("n_shingles"), F.col("best.n_shared").cast("long").alias("n_shared"), F.col("best.col1").alias("containment"))
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, small_found: int = 1_000_000, **options) -> DataFrame:
-    """``docs`` without the documents that hold a test item; options as for :func:`contaminated_pairs`.
+def contaminated_pairs(
+    docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text",
+    threshold: float = 0.8, width: int = 5, small_rows: int = 1_000_000, small_chars: int = 8_000_000,
+) -> DataFrame:
+    """item_id, doc_id, n_shingles, n_shared, containment of every pair at ``threshold`` or above."""
+    share = (F.col("n_shared") / F.col("n_shingles")).alias("share")
+    return (
+        _verified(docs, items, doc_id, item_id, text_col, threshold, width, small_rows, small_chars)
+        .groupBy("item_id", "doc_id").agg(F.max(F.struct(share, "n_shingles", "n_shared")).alias("best"))
+        .select("item_id", "doc_id", "best.n_shingles", "best.n_shared", F.col("best.share").alias("containment"))
+    )
+
+
+def decontaminate(
+    docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text",
+    threshold: float = 0.8, width: int = 5, small_rows: int = 1_000_000, small_chars: int = 8_000_000, small_found: int = 1_000_000,
+) -> DataFrame:
+    """``docs`` without the rows that hold a test item; a clean row that shares its id with one that does stays.
 
-    The ids that go are broadcast if there are at most ``small_found``.
+    The keys of the rows that go are broadcast if there are at most ``small_found``.
     """
-    doc_id = options.get("doc_id", "doc_id")
-    found = materialize(contaminated_pairs(docs, items, **options).select(F.col("doc_id").alias("_found")).distinct(), "found")
-    return docs.join(F.broadcast(found) if found.count() <= small_found else found, docs[doc_id].eqNullSafe(F.col("_found")), "left_anti")
+    found = _verified(docs, items, doc_id, item_id, text_col, threshold, width, small_rows, small_chars)
+    found = materialize(found.select(F.col("doc_id").alias("_found"), F.col("text_key").alias("_key")).distinct(), "found")
+    same = docs[doc_id].eqNullSafe(F.col("_found")) & (_text_key(docs[text_col]) == F.col("_key"))
+    return docs.join(F.broadcast(found) if found.count() <= small_found else found, same, "left_anti")

@@ -3,7 +3,7 @@
 Each line is hashed; a rolling hash over ``WINDOW`` line hashes is taken at every
 line, and a chunk ends after a line whose rolling hash is smaller than both
 neighbours'.  Boundaries depend on the lines around them alone, so inserted lines do
-not shift those elsewhere, and chunks inside a document have at least two lines.
+not shift those elsewhere, and all chunks of a document have at least two lines.
 Chunks of two or more lines that are not blank are compared over the whole corpus by
 digest; of those that repeat, the first occurrence by document id stays, and the
 others are removed after their bytes have been compared with its bytes.
@@ -50,6 +50,7 @@ def chunk_lines(text: str | None) -> list[tuple[int, int, int]]:
     rolled ^= rolled >> np.uint64(29)
     rolled *= np.uint64(0xBF58476D1CE4E5B9)
     cuts = np.flatnonzero((rolled[1:-1] < rolled[:-2]) & (rolled[1:-1] < rolled[2:])) + 2
+    cuts = cuts[cuts < len(lines) - 1]  # the last chunk has two lines too
     edges = [0, *cuts.tolist(), len(lines)]
     full = np.cumsum([0, *(bool(x.strip()) for x in lines)])
     return [

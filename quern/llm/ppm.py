@@ -101,10 +101,10 @@ def _grams(piece, order: int) -> tuple[np.ndarray, np.ndarray]:
     return key[wanted], np.array(sizes)
 
 
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_BASE, -1, 1 << 64)
+def _powers(size: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    inverse, size = pow(_BASE, -1, 1 << 64), size or 2 * PIECE
     with np.errstate(over="ignore"):
-        return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * PIECE, b, np.uint64)])) for b in (_BASE, inverse))
+        return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)])) for b in (_BASE, inverse))
 
 
 def _words(piece, powers) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +112,7 @@ def _words(piece, powers) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b" ".join(body for _, _, body, _ in piece), np.uint8)
     up, down = powers
     if len(data) >= len(up):
-        up, down = (np.resize(p, len(data) + 1) for p in powers)  # one giant word: exponents go round, alike for all
+        up, down = _powers(len(data))  # one giant word
     sizes = np.array([len(body) for _, _, body, _ in piece])
     word = np.concatenate([[False], ~_BLANK[data], [False]])
     starts, ends = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
