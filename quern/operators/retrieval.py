@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.storage import materialize
+from quern.storage import materialize, spread
 
 #: Rows of query terms up to which they are broadcast.
 SMALL = 1_000_000
@@ -52,7 +52,7 @@ def bm25_scores(
     With ``epsilon`` a negative idf becomes epsilon times the mean idf of the vocabulary,
     without it any idf of zero or less becomes ``idf_floor``.
     """
-    words = docs.select("doc_id", tokens(F.col("content")).alias("w"))
+    words = spread(docs.select("doc_id", "content")).select("doc_id", tokens(F.col("content")).alias("w"))
     asked = queries.select("qid", F.explode((query_tokens or tokens)(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
     asked = materialize(asked, "terms")
     terms = small(asked.select("term").distinct())

@@ -47,6 +47,18 @@ def materialize(df: DataFrame, name: str = "table", rows: int | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its input has fewer partitions than there are cores; else as it is.
+
+    A small table in a single file is otherwise worked off by one core.  Plans with a
+    shuffle are left alone: counting their partitions would run them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def release(spark: SparkSession | None = None) -> None:
     """Delete what :func:`materialize` has written (all of it at exit)."""
     keep = []
