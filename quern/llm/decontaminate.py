@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.text import plain_words
-from quern.storage import materialize
+from quern.storage import materialize, spread
 
 
 def _shingled(words: Column, width: int, make) -> Column:
@@ -72,7 +72,7 @@ def _verified(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text
     if chars <= small_chars:
         items = F.broadcast(items)
 
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text_col).alias("text")))
     hashed = texts.select("doc_id", plain_words(F.col("text")).alias("words")).select("doc_id", F.explode(shingle_hashes(F.col("words"), width)).alias("hash"))
     candidates = materialize(hashed.join(index, "hash").select("doc_id", "item_id").distinct(), "candidates")
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.storage import materialize
+from quern.storage import materialize, spread
 
 WINDOW = 2
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -73,7 +73,7 @@ def chunk_table(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.list_(fields))], ["doc_id", "text_key", "found"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.filter(F.contains(F.col(text_col), F.lit("\n"))).select(F.col(id_col).alias("doc_id"), _text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    rows = spread(docs.filter(F.contains(F.col(text_col), F.lit("\n"))).select(F.col(id_col).alias("doc_id"), _text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")))
     return rows.mapInArrow(run, f"doc_id {kind}, text_key long, found array<struct<digest:long,start:int,stop:int>>").filter(F.size("found") > 0)
 
 

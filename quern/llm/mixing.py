@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.text import word_count
-from quern.storage import materialize
+from quern.storage import materialize, spread
 
 #: Points are integers below 2**32; the step is floor(2**32 / golden ratio).
 POINTS = 1 << 32
@@ -125,7 +125,8 @@ def mix(
     The per-source table is broadcast if it has at most ``small_sources`` rows.
     """
     sized = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+        spread(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")))
+        .select("doc_id", "source", word_count(F.col("text")).alias("size"))
         .withColumn("place", F.xxhash64(F.lit("shuffle"), "doc_id", "size")), "sized",
     )
     plan = materialize(_plan(source_targets(sized, weights, max_epochs), block_words, min_blocks), "plan")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.storage import materialize
+from quern.storage import materialize, spread
 
 SYMBOLS = 257
 PIECE = 1 << 20
@@ -398,7 +398,7 @@ def score_corpus(
     spark = docs.sparkSession
     if held_out is None:
         held_out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 1
-    rows = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
+    rows = spread(docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text")))
     table = materialize(counts(rows.filter("not held_out"), order), "counts")
     size = {r.kind: (r.rows, r.n) for r in table.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).collect()}
     (n_grams, _), (n_words, total) = size.get(GRAM, (0, 0)), size.get(WORD, (0, 0))

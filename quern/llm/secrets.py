@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.storage import materialize
+from quern.storage import materialize, spread
 
 # The base patterns, in the order of kinds, and the least length of each.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -105,7 +105,8 @@ def candidates(docs: DataFrame, *, id_col: str, text_col: str, owner_col: str, r
 
     kinds = [docs.schema[c].dataType.simpleString() for c in (id_col, owner_col, repo_col)]
     schema = "doc_id {}, owner {}, repo {}, found array<struct<kind:int,start:long,stop:long,hash:long,live:boolean>>".format(*kinds)
-    return docs.select(*[F.col(c).alias(n) for c, n in ((id_col, "doc_id"), (owner_col, "owner"), (repo_col, "repo"), (text_col, "text"))]).mapInArrow(run, schema)
+    rows = docs.select(*[F.col(c).alias(n) for c, n in ((id_col, "doc_id"), (owner_col, "owner"), (repo_col, "repo"), (text_col, "text"))])
+    return spread(rows).mapInArrow(run, schema)
 
 
 def ownership(found: DataFrame) -> DataFrame:

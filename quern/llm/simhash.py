@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.components import connected_components
-from quern.storage import materialize
+from quern.storage import materialize, spread
 
 #: Shingles counted at a time, so that a huge text needs no huge array.
 _PIECE = 1 << 16
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "text_key", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), _text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    rows = spread(docs.select(F.col(id_col).alias("doc_id"), _text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")))
     return rows.mapInArrow(run, f"doc_id {kind}, text_key long, fp long")
 
 

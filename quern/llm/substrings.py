@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.storage import materialize
+from quern.storage import materialize, spread
 
 WINDOW = 16
 PIECE = 1 << 20
@@ -107,7 +107,7 @@ def chunk_table(docs: DataFrame, *, id_col: str, text_col: str, radius: int) ->
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), digests, ends], ["doc_id", "text_key", "digests", "ends"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.filter(F.length(F.col(text_col)) > 0).select(F.col(id_col).alias("doc_id"), _text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    rows = spread(docs.filter(F.length(F.col(text_col)) > 0).select(F.col(id_col).alias("doc_id"), _text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")))
     return rows.mapInArrow(run, f"doc_id {kind}, text_key long, digests array<long>, ends array<long>")
 
 
