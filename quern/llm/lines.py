@@ -12,7 +12,7 @@ Scale: one Arrow pass gives each document its chunks; digests are counted by a p
 aggregate.  Only documents with a repeated chunk have their bytes looked at again, and
 only those chunks are shuffled, by digest, as plain shuffles on both sides that
 adaptive execution splits where a digest is hot.  The per-document lists that pick
-them are broadcast behind a check of their counted rows.
+them are broadcast behind a check of their counted entries.
 
 Defined cases: lines end at a line feed; null and empty texts have no chunks and stay
 as they are; rows that repeat both id and text are one document and are cut alike; rows
@@ -77,7 +77,12 @@ def chunk_table(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, text_key long, found array<struct<digest:long,start:int,stop:int>>").filter(F.size("found") > 0)
 
 
-def repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", small: int = 200_000) -> DataFrame:
+def _small(lists: DataFrame, column: str, most: int) -> DataFrame:
+    """``lists`` with a broadcast hint if its arrays hold at most ``most`` entries in all."""
+    return F.broadcast(lists) if (lists.agg(F.sum(F.size(column))).first()[0] or 0) <= most else lists
+
+
+def repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", small: int = 400_000) -> DataFrame:
     """doc_id, text_key, start, stop, first_doc_id: the lines [start, stop) of each chunk that goes."""
     table = materialize(chunk_table(docs, id_col=id_col, text_col=text_col), "chunks")
     each = table.select("doc_id", "text_key", F.explode("found").alias("c")).select("doc_id", "text_key", "c.*").distinct()
@@ -89,8 +94,7 @@ def repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         held.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
         .agg(F.collect_list(F.struct("digest", "start", "stop", place.eqNullSafe(F.col("owner")).alias("owns"))).alias("found")), "lists",
     )
-    if lists.count() <= small:
-        lists = F.broadcast(lists)
+    lists = _small(lists, "found", small)
     text = F.col(text_col)
     bodies = (
         docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
@@ -106,12 +110,11 @@ def repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", small: int = 200_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", small: int = 400_000) -> DataFrame:
     """``docs`` without the lines of repeated chunks, and without documents of which nothing is left."""
     gone = materialize(repeated_chunks(docs, id_col=id_col, text_col=text_col, small=small), "gone")
     lists = materialize(gone.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_list(F.struct("start", "stop")).alias("_gone")), "gone")
-    if lists.count() <= small:
-        lists = F.broadcast(lists)
+    lists = _small(lists, "_gone", small)
     names = docs.columns
     kept = F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.exists("_gone", lambda g: (i >= g["start"]) & (i < g["stop"])))
     return (

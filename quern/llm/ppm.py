@@ -388,7 +388,7 @@ def _score_by_joins(rows: DataFrame, table: DataFrame, order: int, words: DataFr
 
 
 def score_corpus(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out=None, order: int = 5, small_grams: int = 6_000_000, small_words: int = 8_000_000,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out=None, order: int = 5, small_grams: int = 4_000_000, small_words: int = 4_000_000,
 ) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
