@@ -112,9 +112,11 @@ def hash_split(rows: DataFrame, key: str, share: float = 0.8) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Corpus chunks from JSON lines: title, content, pmid, source; ids by file name and line are the reader's business."""
-    raw = spark.read.schema("title string, content string, PMID string, pmid string, id string, source string").option("mode", "DROPMALFORMED").json(path)
-    return raw.select("title", "content", F.coalesce("PMID", "pmid", "id", F.lit("")).alias("pmid"), "source", F.col("_metadata.file_name").alias("file_name"))
+    """Corpus chunks from JSON lines: title, content, pmid (of any spelling), source, file_name; lines that are no object are skipped."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file_name"), F.from_json("value", "map<string, string>").alias("m"))
+    field = lambda name: F.try_element_at("m", F.lit(name))
+    some_id = F.coalesce(field("PMID"), field("pmid"), field("id"), F.lit(""))
+    return lines.filter(F.size("m") > 0).select(field("title").alias("title"), field("content").alias("content"), some_id.alias("pmid"), field("source").alias("source"), "file_name")
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:

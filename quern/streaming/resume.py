@@ -31,5 +31,5 @@ def run_stream(spark: SparkSession, source: str, schema, work: Callable[[DataFra
 
 def event_windows(events: DataFrame, *, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """start, event_type, n, total of ``events(ts, event_type, value)`` in tumbling windows; late rows up to ``late`` count."""
-    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     return timed.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
