@@ -22,6 +22,6 @@ def _plain(value):
     return repr(round(value, 9)) if isinstance(value, float) else str(value)
 
 
-def rows_of(frame):
-    frame = frame[sorted(frame.columns)]
-    return sorted(tuple(map(_plain, r)) for r in frame.itertuples(index=False, name=None))
+def rows_of(columns, rows):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted(tuple(_plain(r[i]) for i in order) for r in rows)
