@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.components import connected_components
+from quern.llm.decontaminate import shingle_hashes
+from quern.llm.text import WORD
 from quern.storage import materialize, spread
 
 #: Shingles counted at a time, so that a huge text needs no huge array.
@@ -96,9 +98,13 @@ def _whole_balls(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
 
 
-def _forest(fps: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Links within 4 bits that connect whatever such links connect."""
+def _forest(fps: np.ndarray, all_pairs: int) -> Iterator[tuple[int, int]]:
+    """Links within 4 bits that connect whatever such links connect; of up to ``all_pairs`` fingerprints, all of them."""
     near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
+    if len(fps) <= all_pairs:
+        for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+            yield int(fps[i]), int(fps[j])
+        return
     fresh = np.ones(len(fps), bool)
     for i in range(len(fps)):
         if fresh[i]:
@@ -112,7 +118,7 @@ def _forest(fps: np.ndarray) -> Iterator[tuple[int, int]]:
                     yield int(fps[at]), int(fps[to])
 
 
-def _meet(batches: Iterator[pa.RecordBatch], few: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _meet(batches: Iterator[pa.RecordBatch], few: int, all_pairs: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """From (key, fp) sorted by key: the links of each key's fingerprints, or (fp, fp) for those of a key with more than ``few``."""
     keys, fps = np.empty(0, np.int64), np.empty(0, np.int64)
     for batch in _with_end(batches):
@@ -124,7 +130,7 @@ def _meet(batches: Iterator[pa.RecordBatch], few: int) -> Iterator[tuple[np.ndar
         pairs: list[tuple[int, int]] = []
         for i in np.flatnonzero(stops[:open_] - starts[:open_] > 1):
             met = fps[starts[i] : stops[i]]
-            pairs += _forest(met.view(np.uint64)) if len(met) <= few else [(x, x) for x in met.view(np.uint64).tolist()]
+            pairs += _forest(met.view(np.uint64), all_pairs) if len(met) <= few else [(x, x) for x in met.view(np.uint64).tolist()]
         if batch is not None:
             keys, fps = keys[starts[-1] :], fps[starts[-1] :]
             if len(keys) > 2 * few:
@@ -139,15 +145,16 @@ def _with_end(batches: Iterator) -> Iterator:
     yield None
 
 
-def links(fps: DataFrame, *, few: int = 256, rows: int | None = None) -> DataFrame:
+def links(fps: DataFrame, *, few: int = 256, rows: int | None = None, all_pairs: int = 0) -> DataFrame:
     """a, b: verified links within 4 bits that connect all linked fingerprints of ``fps`` (distinct fp).
 
     Variants that gather at most ``few`` fingerprints have their pairs compared in place and give a
-    spanning forest of the links; larger ones are linked by stars over the whole balls.
+    spanning forest of the links (all links, of at most ``all_pairs``); larger ones are linked by stars
+    over the whole balls.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b in _meet(batches, few):
+        for a, b in _meet(batches, few, all_pairs):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     balls = _half_balls(fps).select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
@@ -166,12 +173,77 @@ def _text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, few: int) -> tuple[DataFrame, DataFrame, int]:
-    """doc_id, text_key, fp of every row; fp, label of every fingerprint; the number of rows."""
+def set_fingerprints(text: str | None, seeds: int, least: int = 5) -> list[int]:
+    """``seeds`` independent SimHashes of the set of words; none for fewer than ``least`` words."""
+    import xxhash
+
+    data = (text or "").encode("utf-8", "surrogatepass").translate(_TO_LOWER).translate(_SPACES)
+    words = [w for w in data.split(b" ") if w]
+    if len(words) < least:
+        return []
+    h = np.array([xxhash.xxh64_intdigest(w) for w in set(words)], np.uint64)
+    out = []
+    for seed in range(seeds):
+        x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (seed + 1) % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(29)
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(x), _PIECE):
+            ones += np.unpackbits(x[at : at + _PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits((2 * ones > len(x)).astype(np.uint8), bitorder="little").view("<u8")[0]))
+    return out
+
+
+def similar_texts(docs: DataFrame, *, text_col: str = "text", seeds: int = 3, threshold: float = 0.8, width: int = 5, few: int = 256, all_pairs: int = 24, small: int = 1_000_000) -> DataFrame:
+    """a, b: hashes of different texts whose sets of ``width``-word shingles have a Jaccard similarity of ``threshold`` or more.
+
+    Candidates are texts whose SimHashes of the set of words, under any of ``seeds`` seeds, are
+    within 4 bits by ball hashing; every pair is verified on its shingles.  A few edited words
+    change many shingles but few words, so these meet where the shingles' own SimHashes do not.
+    """
+    texts = spread(docs.select(_text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.array(set_fingerprints(t.as_py(), seeds, width), np.uint64).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["text_key", "sets"])
+
+    marked = materialize(texts.mapInArrow(run, "text_key long, sets array<long>").filter(F.size("sets") > 0), "sets")
+    rows = marked.count()
+    marked = materialize(marked.groupBy("text_key").agg(F.first("sets").alias("sets")), "sets", rows)
+    found = None
+    for seed in range(seeds):
+        side = marked.select("text_key", F.get("sets", F.lit(seed)).alias("fp"))
+        first = materialize(side.groupBy("fp").agg(F.min("text_key").alias("first")), "first", rows)
+        linked = links(first.select("fp"), few=few, rows=rows, all_pairs=all_pairs)
+        ends = [first.select(F.col("fp").alias(f), F.col("first").alias(n)) for f, n in (("a", "x"), ("b", "y"))]
+        pairs = linked.join(ends[0], "a").join(ends[1], "b").select("x", "y").union(side.join(first, "fp").filter("text_key <> first").select("first", "text_key"))
+        found = pairs if found is None else found.union(pairs)
+    pairs = materialize(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs", rows)
+    keys = materialize(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct(), "keys", rows)
+    blank = F.translate(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.regexp_extract_all(blank, F.lit(WORD), F.lit(0))
+    wanted = texts.join(F.broadcast(keys) if keys.count() <= small else keys, F.col("text_key") == F.col("k"), "left_semi").dropDuplicates(["text_key"])
+    shingled = materialize(wanted.select("text_key", words.alias("words")).select("text_key", F.array_distinct(shingle_hashes(F.col("words"), width)).alias("s")), "shingles")
+    sides = [shingled.select(F.col("text_key").alias(k), F.col("s").alias(f"s{k}")) for k in ("a", "b")]
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(sides[0], "a").join(sides[1], "b").filter(both >= threshold * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, few: int, similar: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """doc_id, text_key, fp of every row; fp, label of every fingerprint; the number of rows.
+
+    ``similar`` (a, b: text keys) are links beside those of the fingerprints.
+    """
     marked = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "fingerprints")
     rows = marked.count()
     fps = materialize(marked.select("fp").distinct(), "fps", rows)
-    labels = materialize(connected_components(links(fps, few=few, rows=rows), "a", "b", rows), "components", rows)
+    found = links(fps, few=few, rows=rows)
+    if similar is not None:
+        texts = materialize(marked.groupBy("text_key").agg(F.min("fp").alias("fp")), "texts", rows)
+        ends = [texts.select(F.col("text_key").alias(k), F.col("fp").alias(f"fp_{k}")) for k in ("a", "b")]
+        found = found.union(similar.join(ends[0], "a").join(ends[1], "b").select("fp_a", "fp_b"))
+    labels = materialize(connected_components(found, "a", "b", rows), "components", rows)
     owners = fps.join(labels, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("label", "fp").alias("label"))
     return marked, materialize(owners, "owners", rows), rows
 
@@ -189,12 +261,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, few: int = 256, small: int = 1_000_000) -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, few: int = 256, small: int = 1_000_000, similarity: float | None = None) -> DataFrame:
     """``docs`` with one document of each component, the one of the smallest id (then text hash); of exact repeats, one.
 
+    With ``similarity`` texts of that Jaccard similarity (:func:`similar_texts`) are linked too.
     The keys of the rows that go are broadcast if there are at most ``small``.
     """
-    marked, owners, rows = _grouped(docs, id_col, text_col, width, few)
+    similar = None if similarity is None else materialize(similar_texts(docs, text_col=text_col, threshold=similarity, few=few, small=small), "similar")
+    marked, owners, rows = _grouped(docs, id_col, text_col, width, few, similar)
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     grouped = materialize(marked.join(owners, F.col("fp") == F.col("_fp")).select("label", "doc_id", "text_key").groupBy("label", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")), "grouped", rows)
     keepers = materialize(grouped.groupBy("label").agg(F.min(key).alias("keeper")), "keepers", rows)

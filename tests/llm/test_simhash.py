@@ -71,8 +71,34 @@ def test_odd_and_empty(odd_docs, no_docs):
     assert len(rows) == odd_docs.count()
     assert {(r.fingerprint, r.component_id) for r in rows if r.doc_id in (2, 3, 4)} == {("0" * 16, 2)}
     assert {r.component_id for r in rows if r.doc_id is None} == {None}
-    kept = simhash.keep_one(odd_docs)
+    assert simhash.keep_one(no_docs, similarity=0.8).count() == 0
+    kept = simhash.keep_one(odd_docs, similarity=0.8)
     assert kept.columns == odd_docs.columns
     ids = sorted((-1 if r.doc_id is None else r.doc_id) for r in kept.collect())
     assert ids.count(5) <= 1 and {-1, 1, 2, 8, 9} <= set(ids) and not {3, 4} & set(ids)
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.keep_one(no_docs).count() == 0
+
+
+def test_similar_texts_are_verified(spark):
+    """Lightly edited texts meet; every pair returned has the similarity, and texts below it stay."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    rows = []
+    for group in range(30):
+        base = [word() for _ in range(200)]
+        rows.append((group * 10, " ".join(base)))
+        for copy, edits in enumerate((1, 2, 12)):
+            text = list(base)
+            for at in rng.sample(range(200), edits):
+                text[at] = word()
+            rows.append((group * 10 + 1 + copy, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = {r.k: r.doc_id for r in docs.selectExpr("xxhash64(text) as k", "doc_id").collect()}
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(196)}
+    texts = {i: shingles(t) for i, t in rows}
+    alike = lambda a, b: len(texts[a] & texts[b]) >= 0.8 * len(texts[a] | texts[b])
+    want = {(a, b) for a in texts for b in texts if a < b and a // 10 == b // 10 and alike(a, b)}
+    got = {tuple(sorted((keys[r.a], keys[r.b]))) for r in simhash.similar_texts(docs).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)
+    kept = {r.doc_id for r in simhash.keep_one(docs, similarity=0.8).collect()}
+    assert {g * 10 for g in range(30)} <= kept and {g * 10 + 3 for g in range(30)} <= kept and len(kept) <= 63
