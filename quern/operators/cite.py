@@ -73,3 +73,17 @@ def graded_scores(answers: DataFrame, docs: DataFrame, entails: Entails = word_s
     both = per_sentence.join(per_doc, "qid")
     f1 = F.try_divide(2 * F.col("recall") * F.col("precision"), F.col("recall") + F.col("precision"))
     return both.select("qid", quantised(F.col("recall")).alias("recall"), quantised(F.col("precision")).alias("precision"), quantised(f1).alias("f1"))
+
+
+def reasoning_scores(records: DataFrame, entails: Entails = word_share) -> DataFrame:
+    """``records(context, reasoning, label, ...)`` with faithfulness and grounding.
+
+    Faithfulness: the reasoning (512 characters) entails that the label is the answer.
+    Grounding: the context (512) entails the reasoning (256).  Without a text both are null.
+    """
+    text = lambda c: F.nullif(F.col(c), F.lit(""))
+    answer = F.concat(F.lit("The answer to this medical question is: "), text("label"), F.lit("."))
+    said = text("reasoning")
+    faithful = F.when(said.isNotNull() & answer.isNotNull(), entails(F.substring(said, 1, 512), answer))
+    grounded = F.when(said.isNotNull() & text("context").isNotNull(), entails(F.substring(text("context"), 1, 512), F.substring(said, 1, 256)))
+    return records.withColumn("faithfulness", quantised(faithful)).withColumn("grounding", quantised(grounded))

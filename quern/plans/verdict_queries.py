@@ -95,3 +95,15 @@ def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("reference"))
     return compress.rouge_l(c.select("conv_id", "turn", F.col("text").alias("answer")).join(before, ["conv_id", "turn"])).select("conv_id", "turn", "rouge_l")
+
+
+@register("reasoning_scores", rf"""WITH t AS (SELECT a.conv_id, a.turn, a.text AS reasoning, b.text AS context FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1 WHERE a.role = 'assistant'),
+x AS (SELECT conv_id, turn, reasoning, context, ['the', 'answer', 'to', 'this', 'medical', 'question', 'is:', 'supported.'] AS h, list_distinct({_WS.format('substring(reasoning, 1, 256)')}) AS asked FROM t)
+SELECT conv_id, turn, CASE WHEN reasoning <> '' THEN floor(len(list_intersect(h, {_WS.format('substring(reasoning, 1, 512)')})) / 8 * 1e6 + 0.5) / 1e6 END AS faithfulness,
+  CASE WHEN reasoning <> '' AND context <> '' THEN floor(len(list_intersect(asked, {_WS.format("substring(context, 1, 512)")})) / greatest(len(asked), 1) * 1e6 + 0.5) / 1e6 END AS grounding FROM x""")
+def reasoning_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns as reasoning, the turn before as its context."""
+    c = table(spark, sf_dir, "conversations")
+    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("context"))
+    rows = c.filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("reasoning"), F.lit("supported").alias("label")).join(before, ["conv_id", "turn"], "left")
+    return cite.reasoning_scores(rows).select("conv_id", "turn", "faithfulness", "grounding")
