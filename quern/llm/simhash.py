@@ -79,23 +79,24 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def _half_balls(fps: DataFrame) -> DataFrame:
-    """fp, key: the half's number and each of its variants within one bit."""
+    """key, fp: for each (seed, fp) and each half, the seed, the half's number and each of its variants within one bit."""
     halves = F.array(
-        F.struct(F.lit(0).cast("long").alias("half"), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).alias("bits")),
-        F.struct(F.lit(1).cast("long").alias("half"), F.shiftrightunsigned("fp", 32).alias("bits")),
+        F.struct(F.lit(0).alias("half"), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).alias("bits")),
+        F.struct(F.lit(1).alias("half"), F.shiftrightunsigned("fp", 32).alias("bits")),
     )
     flips = F.array(*[F.lit(x).cast("long") for x in (0, *(1 << k for k in range(32)))])
+    side = (F.col("seed") * 2 + F.col("h.half")).cast("long")
     return (
-        fps.select("fp", F.explode(halves).alias("h")).select("fp", "h", F.explode(flips).alias("flip"))
-        .select("fp", F.shiftleft("h.half", 32).bitwiseOR(F.col("h.bits").bitwiseXOR(F.col("flip"))).alias("key"))
+        fps.select("seed", "fp", F.explode(halves).alias("h")).select("seed", "fp", "h", F.explode(flips).alias("flip"))
+        .select(F.shiftleft(side, 32).bitwiseOR(F.col("h.bits").bitwiseXOR(F.col("flip"))).alias("key"), "fp")
     )
 
 
 def _whole_balls(fps: DataFrame) -> DataFrame:
-    """fp, key: each variant of the fingerprint within two bits."""
+    """seed, key, fp: each variant of the fingerprint within two bits."""
     bit = [1 << k for k in range(63)] + [-(1 << 63)]
     flips = F.array(*[F.lit(x).cast("long") for x in (0, *bit, *(bit[i] ^ bit[j] for i in range(64) for j in range(i)))])
-    return fps.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
+    return fps.select("seed", "fp", F.explode(flips).alias("flip")).select("seed", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"), "fp")
 
 
 def _forest(fps: np.ndarray, all_pairs: int) -> Iterator[tuple[int, int]]:
@@ -118,8 +119,8 @@ def _forest(fps: np.ndarray, all_pairs: int) -> Iterator[tuple[int, int]]:
                     yield int(fps[at]), int(fps[to])
 
 
-def _meet(batches: Iterator[pa.RecordBatch], few: int, all_pairs: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """From (key, fp) sorted by key: the links of each key's fingerprints, or (fp, fp) for those of a key with more than ``few``."""
+def _meet(batches: Iterator[pa.RecordBatch], few: int, all_pairs: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """From (key, fp) sorted by key: seed and links of each key's fingerprints, or (seed, fp, fp) for those of a key with more than ``few``."""
     keys, fps = np.empty(0, np.int64), np.empty(0, np.int64)
     for batch in _with_end(batches):
         if batch is not None:
@@ -128,16 +129,19 @@ def _meet(batches: Iterator[pa.RecordBatch], few: int, all_pairs: int = 0) -> It
         starts, stops = np.concatenate([[0], edges]).astype(np.int64), np.append(edges, len(keys)).astype(np.int64)
         open_ = len(starts) - 1 if batch is not None else len(starts)  # the last key may go on in the next batch
         pairs: list[tuple[int, int]] = []
+        seeds: list[int] = []
         for i in np.flatnonzero(stops[:open_] - starts[:open_] > 1):
             met = fps[starts[i] : stops[i]]
             pairs += _forest(met.view(np.uint64), all_pairs) if len(met) <= few else [(x, x) for x in met.view(np.uint64).tolist()]
+            seeds += [int(keys[starts[i]] >> 33)] * (len(pairs) - len(seeds))
         if batch is not None:
             keys, fps = keys[starts[-1] :], fps[starts[-1] :]
             if len(keys) > 2 * few:
                 pairs += [(x, x) for x in fps.view(np.uint64).tolist()]
+                seeds += [int(keys[0] >> 33)] * len(fps)
                 keys, fps = keys[: few + 1], fps[: few + 1]
         if pairs:
-            yield tuple(np.array(x, np.uint64).view(np.int64) for x in zip(*pairs, strict=True))
+            yield np.array(seeds, np.int32), *(np.array(x, np.uint64).view(np.int64) for x in zip(*pairs, strict=True))
 
 
 def _with_end(batches: Iterator) -> Iterator:
@@ -146,7 +150,7 @@ def _with_end(batches: Iterator) -> Iterator:
 
 
 def links(fps: DataFrame, *, few: int = 256, rows: int | None = None, all_pairs: int = 0) -> DataFrame:
-    """a, b: verified links within 4 bits that connect all linked fingerprints of ``fps`` (distinct fp).
+    """seed, a, b: verified links within 4 bits that connect all linked fingerprints of one seed (``fps`` is distinct (seed, fp)).
 
     Variants that gather at most ``few`` fingerprints have their pairs compared in place and give a
     spanning forest of the links (all links, of at most ``all_pairs``); larger ones are linked by stars
@@ -154,18 +158,18 @@ def links(fps: DataFrame, *, few: int = 256, rows: int | None = None, all_pairs:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b in _meet(batches, few, all_pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        for seeds, a, b in _meet(batches, few, all_pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(seeds), pa.array(a), pa.array(b)], ["seed", "a", "b"])
 
-    balls = _half_balls(fps).select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
-    met = materialize(balls.mapInArrow(run, "a long, b long").distinct(), "met", rows)
+    balls = _half_balls(fps).repartition("key").sortWithinPartitions("key", "fp")
+    met = materialize(balls.mapInArrow(run, "seed int, a long, b long").distinct(), "met", rows)
     near = met.filter("a <> b")
-    crowded = materialize(met.filter("a = b").select(F.col("a").alias("fp")), "crowded", rows)
+    crowded = materialize(met.filter("a = b").select("seed", F.col("a").alias("fp")), "crowded", rows)
     if crowded.isEmpty():
         return near
     whole = _whole_balls(crowded)
-    centres = materialize(whole.groupBy("key").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "centres")
-    stars = whole.join(centres, "key").select("a", F.col("fp").alias("b")).filter("a <> b").distinct()
+    centres = materialize(whole.groupBy("seed", "key").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "centres")
+    stars = whole.join(centres, ["seed", "key"]).select("seed", "a", F.col("fp").alias("b")).filter("a <> b").distinct()
     return near.union(stars)
 
 
@@ -211,15 +215,12 @@ def similar_texts(docs: DataFrame, *, text_col: str = "text", seeds: int = 3, th
     marked = materialize(texts.mapInArrow(run, "text_key long, sets array<long>").filter(F.size("sets") > 0), "sets")
     rows = marked.count()
     marked = materialize(marked.groupBy("text_key").agg(F.first("sets").alias("sets")), "sets", rows)
-    found = None
-    for seed in range(seeds):
-        side = marked.select("text_key", F.get("sets", F.lit(seed)).alias("fp"))
-        first = materialize(side.groupBy("fp").agg(F.min("text_key").alias("first")), "first", rows)
-        linked = links(first.select("fp"), few=few, rows=rows, all_pairs=all_pairs)
-        ends = [first.select(F.col("fp").alias(f), F.col("first").alias(n)) for f, n in (("a", "x"), ("b", "y"))]
-        pairs = linked.join(ends[0], "a").join(ends[1], "b").select("x", "y").union(side.join(first, "fp").filter("text_key <> first").select("first", "text_key"))
-        found = pairs if found is None else found.union(pairs)
-    pairs = materialize(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs", rows)
+    side = marked.select("text_key", F.posexplode("sets").alias("seed", "fp"))
+    first = materialize(side.groupBy("seed", "fp").agg(F.min("text_key").alias("first")), "first", rows)
+    linked = links(first.select("seed", "fp"), few=few, rows=rows, all_pairs=all_pairs)
+    ends = [first.select("seed", F.col("fp").alias(f), F.col("first").alias(n)) for f, n in (("a", "x"), ("b", "y"))]
+    pairs = linked.join(ends[0], ["seed", "a"]).join(ends[1], ["seed", "b"]).select("x", "y").union(side.join(first, ["seed", "fp"]).filter("text_key <> first").select("first", "text_key"))
+    pairs = materialize(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs", rows)
     keys = materialize(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct(), "keys", rows)
     blank = F.translate(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.regexp_extract_all(blank, F.lit(WORD), F.lit(0))
@@ -238,7 +239,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, few: int,
     marked = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "fingerprints")
     rows = marked.count()
     fps = materialize(marked.select("fp").distinct(), "fps", rows)
-    found = links(fps, few=few, rows=rows)
+    found = links(fps.select(F.lit(0).alias("seed"), "fp"), few=few, rows=rows).select("a", "b")
     if similar is not None:
         texts = materialize(marked.groupBy("text_key").agg(F.min("fp").alias("fp")), "texts", rows)
         ends = [texts.select(F.col("text_key").alias(k), F.col("fp").alias(f"fp_{k}")) for k in ("a", "b")]
