@@ -8,7 +8,7 @@ A whole 64-bit ball of radius 2 has 2,081 variants, which is 16 kB of shuffle fo
 every distinct fingerprint.  So the balls are first drawn in each 32-bit half: of 4
 differing bits one half has at most 2, hence a ball of radius 1 (33 variants) in
 each half finds every link with 66 variants.  One shuffle deals them out, sorted by
-variant.  Where a variant gathers few fingerprints they are verified in place and a
+variant.  Where a variant gathers few fingerprints (1,024) they are verified in place and a
 spanning forest of the links goes out, not all pairs.  Where it gathers many (a large
 group of near copies), no pairs are formed: all its fingerprints emit their whole
 ball of 2,081, and as any two that collide there are within 4 bits, each variant
@@ -94,9 +94,18 @@ def _half_balls(fps: DataFrame) -> DataFrame:
 
 def _whole_balls(fps: DataFrame) -> DataFrame:
     """seed, key, fp: each variant of the fingerprint within two bits."""
-    bit = [1 << k for k in range(63)] + [-(1 << 63)]
-    flips = F.array(*[F.lit(x).cast("long") for x in (0, *bit, *(bit[i] ^ bit[j] for i in range(64) for j in range(i)))])
-    return fps.select("seed", "fp", F.explode(flips).alias("flip")).select("seed", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"), "fp")
+    bit = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    first, second = np.triu_indices(64, 1)
+    flips = np.concatenate([np.zeros(1, np.uint64), bit, bit[first] ^ bit[second]]).view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                part = batch.slice(at, 64)
+                seed, fp = (np.repeat(part.column(i).to_numpy(), len(flips)) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(seed), pa.array(fp ^ np.tile(flips, len(part))), pa.array(fp)], ["seed", "key", "fp"])
+
+    return fps.select("seed", "fp").mapInArrow(run, "seed int, key long, fp long")
 
 
 def _forest(fps: np.ndarray, all_pairs: int) -> Iterator[tuple[int, int]]:
@@ -149,7 +158,7 @@ def _with_end(batches: Iterator) -> Iterator:
     yield None
 
 
-def links(fps: DataFrame, *, few: int = 256, rows: int | None = None, all_pairs: int = 0) -> DataFrame:
+def links(fps: DataFrame, *, few: int = 1024, rows: int | None = None, all_pairs: int = 0) -> DataFrame:
     """seed, a, b: verified links within 4 bits that connect all linked fingerprints of one seed (``fps`` is distinct (seed, fp)).
 
     Variants that gather at most ``few`` fingerprints have their pairs compared in place and give a
@@ -198,7 +207,7 @@ def set_fingerprints(text: str | None, seeds: int, least: int = 5) -> list[int]:
     return out
 
 
-def similar_texts(docs: DataFrame, *, text_col: str = "text", seeds: int = 3, threshold: float = 0.8, width: int = 5, few: int = 256, all_pairs: int = 24, small: int = 1_000_000) -> DataFrame:
+def similar_texts(docs: DataFrame, *, text_col: str = "text", seeds: int = 3, threshold: float = 0.8, width: int = 5, few: int = 1024, all_pairs: int = 24, small: int = 1_000_000) -> DataFrame:
     """a, b: hashes of different texts whose sets of ``width``-word shingles have a Jaccard similarity of ``threshold`` or more.
 
     Candidates are texts whose SimHashes of the set of words, under any of ``seeds`` seeds, are
@@ -249,7 +258,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, few: int,
     return marked, materialize(owners, "owners", rows), rows
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, few: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, few: int = 1024) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), one row a document."""
     marked, owners, rows = _grouped(docs, id_col, text_col, width, few)
     lowest = marked.groupBy("fp").agg(F.min("doc_id").alias("lowest"))
@@ -262,7 +271,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, few: int = 256, small: int = 1_000_000, similarity: float | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, few: int = 1024, small: int = 1_000_000, similarity: float | None = None) -> DataFrame:
     """``docs`` with one document of each component, the one of the smallest id (then text hash); of exact repeats, one.
 
     With ``similarity`` texts of that Jaccard similarity (:func:`similar_texts`) are linked too.

@@ -41,7 +41,7 @@ def test_equals_brute_force(spark, sf):
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(groups.values())
 
 
-@pytest.mark.parametrize("few", [256, 3])
+@pytest.mark.parametrize("few", [1024, 3])
 def test_links_of_dense_groups(spark, few):
     """Random fingerprints around a few centres; small limits send crowded variants through whole balls."""
     rng = random.Random(3)
