@@ -108,15 +108,13 @@ def _whole_balls(fps: DataFrame) -> DataFrame:
     return fps.select("seed", "fp").mapInArrow(run, "seed int, key long, fp long")
 
 
-def _forest(fps: np.ndarray, all_pairs: int) -> Iterator[tuple[int, int]]:
-    """Links within 4 bits that connect whatever such links connect; of up to ``all_pairs`` fingerprints, all of them."""
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
-    if len(fps) <= all_pairs:
-        for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
-            yield int(fps[i]), int(fps[j])
+def _forest(near: np.ndarray, all_pairs: int = 0) -> Iterator[tuple[int, int]]:
+    """Pairs of ``near`` that connect whatever its pairs connect; of up to ``all_pairs`` members, all of them."""
+    if len(near) <= all_pairs:
+        yield from zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1))), strict=True)
         return
-    fresh = np.ones(len(fps), bool)
-    for i in range(len(fps)):
+    fresh = np.ones(len(near), bool)
+    for i in range(len(near)):
         if fresh[i]:
             fresh[i] = False
             stack = [i]
@@ -125,10 +123,16 @@ def _forest(fps: np.ndarray, all_pairs: int) -> Iterator[tuple[int, int]]:
                 for to in np.flatnonzero(near[at] & fresh).tolist():
                     fresh[to] = False
                     stack.append(to)
-                    yield int(fps[at]), int(fps[to])
+                    yield at, to
 
 
-def _meet(batches: Iterator[pa.RecordBatch], few: int, all_pairs: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _linked(fps: np.ndarray) -> list[tuple[int, int]]:
+    """Links within 4 bits that connect whatever such links connect."""
+    values = fps.tolist()
+    return [(values[i], values[j]) for i, j in _forest(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4)]
+
+
+def _meet(batches: Iterator[pa.RecordBatch], few: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """From (key, fp) sorted by key: seed and links of each key's fingerprints, or (seed, fp, fp) for those of a key with more than ``few``."""
     keys, fps = np.empty(0, np.int64), np.empty(0, np.int64)
     for batch in _with_end(batches):
@@ -141,7 +145,7 @@ def _meet(batches: Iterator[pa.RecordBatch], few: int, all_pairs: int = 0) -> It
         seeds: list[int] = []
         for i in np.flatnonzero(stops[:open_] - starts[:open_] > 1):
             met = fps[starts[i] : stops[i]]
-            pairs += _forest(met.view(np.uint64), all_pairs) if len(met) <= few else [(x, x) for x in met.view(np.uint64).tolist()]
+            pairs += _linked(met.view(np.uint64)) if len(met) <= few else [(x, x) for x in met.view(np.uint64).tolist()]
             seeds += [int(keys[starts[i]] >> 33)] * (len(pairs) - len(seeds))
         if batch is not None:
             keys, fps = keys[starts[-1] :], fps[starts[-1] :]
@@ -158,16 +162,15 @@ def _with_end(batches: Iterator) -> Iterator:
     yield None
 
 
-def links(fps: DataFrame, *, few: int = 1024, rows: int | None = None, all_pairs: int = 0) -> DataFrame:
+def links(fps: DataFrame, *, few: int = 1024, rows: int | None = None) -> DataFrame:
     """seed, a, b: verified links within 4 bits that connect all linked fingerprints of one seed (``fps`` is distinct (seed, fp)).
 
     Variants that gather at most ``few`` fingerprints have their pairs compared in place and give a
-    spanning forest of the links (all links, of at most ``all_pairs``); larger ones are linked by stars
-    over the whole balls.
+    spanning forest of the links; larger ones are linked by stars over the whole balls.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for seeds, a, b in _meet(batches, few, all_pairs):
+        for seeds, a, b in _meet(batches, few):
             yield pa.RecordBatch.from_arrays([pa.array(seeds), pa.array(a), pa.array(b)], ["seed", "a", "b"])
 
     balls = _half_balls(fps).repartition("key").sortWithinPartitions("key", "fp")
@@ -207,12 +210,79 @@ def set_fingerprints(text: str | None, seeds: int, least: int = 5) -> list[int]:
     return out
 
 
-def similar_texts(docs: DataFrame, *, text_col: str = "text", seeds: int = 3, threshold: float = 0.8, width: int = 5, few: int = 1024, all_pairs: int = 24, small: int = 1_000_000) -> DataFrame:
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """The number of values that each two of the sets share."""
+    rows = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    _, which, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rows, which = rows[n[which] > 1], which[n[which] > 1]
+    order = np.argsort(which, kind="stable")
+    rows, which = rows[order], np.cumsum(np.diff(which[order], prepend=which[order][:1]) > 0)
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(which[-1]) + 1 if len(which) else 0, 4096):
+        a, b = np.searchsorted(which, (at, at + 4096))
+        part = np.zeros((len(sets), int(which[b - 1]) + 1 - at), np.float32)
+        part[rows[a:b], which[a:b] - at] = 1
+        out += part @ part.T
+    return out.astype(np.float64)
+
+
+def _compare(cells: DataFrame, threshold: float, all_pairs: int, hubs: int) -> DataFrame:
+    """parts, grp, a, b, central: of each cell's texts (cell, grp, parts, text_key, s) all pairs are verified, and links that connect all verified pairs go out (all, of at most ``all_pairs`` texts).
+
+    For a group of several parts the ``hubs`` texts of a cell that share most with the others are given too, with ``a`` and ``b`` alike.
+    """
+
+    def judge(held: list[pa.RecordBatch]) -> Iterator[tuple[int, int, int, int, float]]:
+        parts, grp = held[0].column(2)[0].as_py(), held[0].column(1)[0].as_py()
+        keys, sets = [], []
+        for batch in held:
+            flat, ends = batch.column(4).flatten().to_numpy(), batch.column(4).offsets.to_numpy()
+            keys += batch.column(3).to_pylist()
+            sets += np.split(flat, ends[1:-1] - ends[0])
+        once = {k: x for k, x in zip(keys, sets, strict=True)}
+        keys, sets = list(once), list(once.values())
+        shared, size = _shared(sets), np.array(list(map(len, sets)), float)
+        near = shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-9
+        for i, j in _forest(near, all_pairs):
+            yield parts, grp, min(keys[i], keys[j]), max(keys[i], keys[j]), 0.0
+        if parts > 1 and hubs:
+            central = (shared / np.maximum(size[:, None] + size[None, :] - shared, 1)).mean(axis=1)
+            for i in np.argsort(-central, kind="stable")[:hubs].tolist():
+                yield parts, grp, keys[i], keys[i], float(central[i])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["parts", "grp", "a", "b", "central"], [pa.int32(), *[pa.int64()] * 3, pa.float64()]
+        held: list[pa.RecordBatch] = []
+        for batch in _with_end(batches):
+            out: list[tuple[int, int, int, int, float]] = []
+            cells = batch.column(0).to_numpy() if batch is not None else np.zeros(0, np.int64)
+            edges = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if held and (a == b or held[0].column(0)[0].as_py() != int(cells[a])):
+                    out += judge(held)
+                    held = []
+                if a < b:
+                    held.append(batch.slice(a, b - a))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    rows = cells.select("cell", "grp", "parts", "text_key", "s").repartition("cell").sortWithinPartitions("cell")
+    return rows.mapInArrow(run, "parts int, grp long, a long, b long, central double")
+
+
+def similar_texts(
+    docs: DataFrame, *, text_col: str = "text", seeds: int = 3, threshold: float = 0.8, width: int = 5, few: int = 1024, all_pairs: int = 24, small: int = 1_000_000,
+    block: int = 1024, hubs: int = 32,
+) -> DataFrame:
     """a, b: hashes of different texts whose sets of ``width``-word shingles have a Jaccard similarity of ``threshold`` or more.
 
     Candidates are texts whose SimHashes of the set of words, under any of ``seeds`` seeds, are
-    within 4 bits by ball hashing; every pair is verified on its shingles.  A few edited words
-    change many shingles but few words, so these meet where the shingles' own SimHashes do not.
+    within 4 bits by ball hashing.  A few edited words change many shingles but few words, so
+    these meet where the shingles' own SimHashes do not.  Whatever candidates connect is a group,
+    and in a group every text is compared with every other, on the shingles.  A group of at most
+    ``block`` texts is compared at once; a larger one in blocks, then its ``hubs`` most central
+    texts with all blocks, and at last all texts not yet linked to the largest part with all blocks.
+    Of a group of more than ``all_pairs`` texts, not all pairs go out but such that connect the same texts.
     """
     texts = spread(docs.select(_text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")))
 
@@ -226,18 +296,44 @@ def similar_texts(docs: DataFrame, *, text_col: str = "text", seeds: int = 3, th
     marked = materialize(marked.groupBy("text_key").agg(F.first("sets").alias("sets")), "sets", rows)
     side = marked.select("text_key", F.posexplode("sets").alias("seed", "fp"))
     first = materialize(side.groupBy("seed", "fp").agg(F.min("text_key").alias("first")), "first", rows)
-    linked = links(first.select("seed", "fp"), few=few, rows=rows, all_pairs=all_pairs)
+    linked = links(first.select("seed", "fp"), few=few, rows=rows)
     ends = [first.select("seed", F.col("fp").alias(f), F.col("first").alias(n)) for f, n in (("a", "x"), ("b", "y"))]
     pairs = linked.join(ends[0], ["seed", "a"]).join(ends[1], ["seed", "b"]).select("x", "y").union(side.join(first, ["seed", "fp"]).filter("text_key <> first").select("first", "text_key"))
-    pairs = materialize(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs", rows)
-    keys = materialize(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct(), "keys", rows)
+    groups = connected_components(pairs, "x", "y", rows)
+    large = materialize(groups.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")).filter("parts > 1").select(F.col("label").alias("grp"), "parts"), "large", rows)
+    crowds = large.count()
+    members = groups.join(F.broadcast(large) if crowds <= small else large, F.col("label") == F.col("grp"), "left")
+    members = materialize(members.select(F.col("node").alias("k"), F.col("label").alias("grp"), F.coalesce("parts", F.lit(1)).alias("parts")), "members", rows)
     blank = F.translate(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.regexp_extract_all(blank, F.lit(WORD), F.lit(0))
-    wanted = texts.join(F.broadcast(keys) if keys.count() <= small else keys, F.col("text_key") == F.col("k"), "left_semi").dropDuplicates(["text_key"])
-    shingled = materialize(wanted.select("text_key", words.alias("words")).select("text_key", F.array_distinct(shingle_hashes(F.col("words"), width)).alias("s")), "shingles")
-    sides = [shingled.select(F.col("text_key").alias(k), F.col("s").alias(f"s{k}")) for k in ("a", "b")]
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(sides[0], "a").join(sides[1], "b").filter(both >= threshold * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
+    wanted = texts.join(F.broadcast(members) if members.count() <= small else members, F.col("text_key") == F.col("k")).dropDuplicates(["text_key"])
+    shingled = wanted.select("text_key", "grp", "parts", F.pmod(F.xxhash64("text_key"), F.col("parts")).alias("block"), words.alias("words"))
+    shingled = materialize(shingled.select("text_key", "grp", "parts", "block", F.array_distinct(shingle_hashes(F.col("words"), width)).alias("s")), "shingles")
+
+    compare = lambda x, *by, central=0: materialize(_compare(x.withColumn("cell", F.xxhash64("grp", *by)), threshold, all_pairs, central), "alike")
+    found = compare(shingled, "block", central=hubs)
+    if not crowds:
+        return found.select("a", "b")
+    crowd = shingled.filter("parts > 1")
+    over = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("block")
+    most = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("central"), "a"))
+    central = found.filter("a = b").withColumn("n", most).filter(F.col("n") <= hubs).select(F.col("a").alias("k"))
+    columns = ["text_key", "grp", "parts", "block", "s"]
+    everywhere = crowd.join(central, F.col("text_key") == F.col("k"), "left_semi").select("text_key", "grp", "parts", over, "s")
+    found = found.filter("a <> b").union(compare(crowd.select(*columns).union(everywhere), "block"))
+
+    labels = connected_components(found.filter("parts > 1"), "a", "b", rows)
+    placed = crowd.select("text_key", "grp").join(labels, F.col("text_key") == F.col("node"), "left").select("text_key", "grp", F.coalesce("label", "text_key").alias("label"))
+    placed = materialize(placed, "placed", rows)
+    main = placed.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"))
+    left = materialize(placed.join(main.select("grp", "main"), "grp").filter("label <> main").select(F.col("text_key").alias("k"), F.col("grp").alias("g")), "left", rows)
+    chunks = materialize(left.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks")), "left", rows)
+    if chunks.isEmpty():
+        return found.select("a", "b")
+    crowd = crowd.join(F.broadcast(chunks) if crowds <= small else chunks, F.col("grp") == F.col("g"))
+    alone = crowd.join(left.select("k"), F.col("text_key") == F.col("k"), "left_semi").select("text_key", "grp", "parts", over, "s", F.pmod(F.xxhash64(F.lit(1), "text_key"), F.col("chunks")).alias("chunk"))
+    whole = crowd.select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("chunk"))
+    return found.union(compare(whole.union(alone), "block", "chunk")).select("a", "b")
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, few: int, similar: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int]:

@@ -102,3 +102,44 @@ def test_similar_texts_are_verified(spark):
     assert got <= want and len(got) >= 0.9 * len(want)
     kept = {r.doc_id for r in simhash.keep_one(docs, similarity=0.8).collect()}
     assert {g * 10 for g in range(30)} <= kept and {g * 10 + 3 for g in range(30)} <= kept and len(kept) <= 63
+
+
+@pytest.mark.parametrize("copies, options", [(300, {}), (300, {"block": 40, "hubs": 4}), (300, {"block": 40, "hubs": 0, "few": 8}), (2500, {})])
+def test_crowded_groups_are_verified_whole(spark, copies, options):
+    """Copies of one text, each alike to it but mostly not to one another: what the true pairs connect is connected."""
+    import numpy as np
+
+    rng = random.Random(copies)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    base = [word() for _ in range(200)]
+    texts = [" ".join(base)]
+    for _ in range(copies):
+        text = list(base)
+        for at in rng.sample(range(200), 4 if copies > 1000 else 3):
+            text[at] = word()
+        texts.append(" ".join(text))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = {r.k: r.doc_id for r in docs.selectExpr("xxhash64(text) as k", "doc_id").collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for t in texts]
+    number: dict = {}
+    held = np.zeros((len(texts), 196 + 20 * copies), np.float32)
+    for i, s in enumerate(sets):
+        held[i, [number.setdefault(x, len(number)) for x in s]] = 1
+    both = held @ held.T
+    size = held.sum(axis=1)
+    near = both >= 0.8 * (size[:, None] + size[None, :] - both)
+    pairs = {tuple(sorted((keys[r.a], keys[r.b]))) for r in simhash.similar_texts(docs, **options).collect()}
+    assert all(near[a, b] for a, b in pairs)
+    parent = list(range(len(texts)))
+
+    def find(v):
+        while parent[v] != v:
+            parent[v] = v = parent[parent[v]]
+        return v
+
+    for a, b in pairs:
+        parent[find(a)] = find(b)
+    alike = int(near[0].sum())
+    together = sum(find(i) == find(0) for i in np.flatnonzero(near[0]))
+    print("recall", copies, options, alike, together)
+    assert together >= 0.99 * alike
