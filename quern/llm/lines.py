@@ -4,15 +4,17 @@ Each line is hashed; a rolling hash over ``WINDOW`` line hashes is taken at ever
 line, and a chunk ends after a line whose rolling hash is smaller than both
 neighbours'.  Boundaries depend on the lines around them alone, so inserted lines do
 not shift those elsewhere, and all chunks of a document have at least two lines.
-Chunks of two or more lines that are not blank are compared over the whole corpus by
-digest; of those that repeat, the first occurrence by document id stays, and the
-others are removed after their bytes have been compared with its bytes.
-
-Scale: one Arrow pass gives each document its chunks; digests are counted by a partial
-aggregate.  Only documents with a repeated chunk have their bytes looked at again, and
-only those chunks are shuffled, by digest, as plain shuffles on both sides that
-adaptive execution splits where a digest is hot.  The per-document lists that pick
-them are broadcast behind a check of their counted entries.
+Chunks of two or more lines that are not blank, and beside them every two such lines that
+follow each other with the blank ones between (a shared passage of a few lines holds no
+whole chunk, and of a longer one the edges lie in chunks of their own), are compared over
+the whole corpus by digest; of those that repeat, the first occurrence by document id stays, and the
+others are removed after the SHA-256 of their bytes has been compared with that of its bytes.
+
+Scale: one Arrow pass gives each document its chunks with their SHA-256, so texts are not
+looked at again; digests are counted by a partial aggregate and chunks are shuffled by
+digest, as plain shuffles on both sides that adaptive execution splits where a digest is
+hot.  What goes from a document is joined into ranges; these lists are broadcast behind a
+check of their counted entries.
 
 Defined cases: lines end at a line feed; null and empty texts have no chunks and stay
 as they are; rows that repeat both id and text are one document and are cut alike; rows
@@ -23,6 +25,7 @@ kept by ``dedup_lines`` and not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +40,7 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def chunk_lines(text: str | None) -> list[tuple[int, int, int]]:
-    """(digest, first line, line after the last) of the text's chunks of two or more lines that are not blank."""
+    """(digest, first line, line after the last) of the text's chunks of two or more lines that are not blank, and of each two such lines that follow each other."""
     import xxhash
 
     if not text or "\n" not in text:
@@ -52,11 +55,21 @@ def chunk_lines(text: str | None) -> list[tuple[int, int, int]]:
     cuts = np.flatnonzero((rolled[1:-1] < rolled[:-2]) & (rolled[1:-1] < rolled[2:])) + 2
     cuts = cuts[cuts < len(lines) - 1]  # the last chunk has two lines too
     edges = [0, *cuts.tolist(), len(lines)]
-    full = np.cumsum([0, *(bool(x.strip()) for x in lines)])
-    return [
-        (xxhash.xxh3_64_intdigest(b"\n".join(lines[a:b])) - (1 << 63), a, b)
-        for a, b in zip(edges[:-1], edges[1:], strict=True) if full[b] - full[a] >= 2
-    ]
+    held = np.flatnonzero([bool(x.strip()) for x in lines])
+    first, after = np.searchsorted(held, edges[:-1]), np.searchsorted(held, edges[1:])
+    spans = [(a, b) for a, b, n in zip(edges[:-1], edges[1:], after - first, strict=True) if n >= 2]
+    chunks = [(xxhash.xxh3_64_intdigest(b"\n".join(lines[a:b])) - (1 << 63), a, b) for a, b in spans]
+    spans = list(zip(held[:-1].tolist(), (held[1:] + 1).tolist(), strict=True))
+    digests = [xxhash.xxh3_64_intdigest(b"\n".join(lines[a:b])) - (1 << 63) for a, b in spans]
+    pairs, repeats = [], False
+    for i, (digest, (a, b)) in enumerate(zip(digests, spans, strict=True)):
+        # Where a line is repeated on and on, every other pair, and of an odd number the last three lines.
+        repeats = i > 0 and digest == digests[i - 1] and not repeats
+        if not repeats:
+            pairs.append((digest, a, b))
+        elif digests[i + 1 : i + 2] != [digest]:
+            pairs.append((xxhash.xxh3_64_intdigest(b"\n".join(lines[spans[i - 1][0] : b])) - (1 << 63), spans[i - 1][0], b))
+    return sorted({*chunks, *pairs}, key=lambda x: x[1:])
 
 
 def _text_key(text: Column) -> Column:
@@ -64,17 +77,21 @@ def _text_key(text: Column) -> Column:
 
 
 def chunk_table(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text_key, found (array of digest, start, stop): one row a document that has chunks."""
-    fields = pa.struct([("digest", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+    """doc_id, text_key, found (array of digest, start, stop, body: the bytes' SHA-256): one row a document that has chunks."""
+    fields = pa.struct([("digest", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("body", pa.binary())])
+
+    def found(text: str | None) -> list[dict]:
+        lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
+        return [{"digest": d, "start": a, "stop": b, "body": hashlib.sha256(b"\n".join(lines[a:b])).digest()} for d, a, b in chunk_lines(text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [[{"digest": d, "start": a, "stop": b} for d, a, b in chunk_lines(t.as_py())] for t in batch.column(2)]
+            got = [found(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.list_(fields))], ["doc_id", "text_key", "found"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = spread(docs.filter(F.contains(F.col(text_col), F.lit("\n"))).select(F.col(id_col).alias("doc_id"), _text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")))
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, found array<struct<digest:long,start:int,stop:int>>").filter(F.size("found") > 0)
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, found array<struct<digest:long,start:int,stop:int,body:binary>>").filter(F.size("found") > 0)
 
 
 def _small(lists: DataFrame, column: str, most: int) -> DataFrame:
@@ -86,34 +103,39 @@ def repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """doc_id, text_key, start, stop, first_doc_id: the lines [start, stop) of each chunk that goes."""
     table = materialize(chunk_table(docs, id_col=id_col, text_col=text_col), "chunks")
     each = table.select("doc_id", "text_key", F.explode("found").alias("c")).select("doc_id", "text_key", "c.*").distinct()
-    repeated = each.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_key", "start", "stop")).alias("owner")).filter("n > 1").drop("n")
+    place = F.struct("doc_id", "text_key", "start", "stop", "body")
+    repeated = each.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("owner")).filter("n > 1").drop("n")
     repeated = materialize(repeated, "repeated")
-    held = each.join(repeated.hint("merge"), "digest")
-    place = F.struct("doc_id", "text_key", "start", "stop")
-    lists = materialize(
-        held.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-        .agg(F.collect_list(F.struct("digest", "start", "stop", place.eqNullSafe(F.col("owner")).alias("owns"))).alias("found")), "lists",
-    )
-    lists = _small(lists, "found", small)
-    text = F.col(text_col)
-    bodies = (
-        docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-        .join(lists, F.col("doc_id").eqNullSafe(F.col("_id")) & (_text_key(F.col("text")) == F.col("_key")))
-        .withColumn("lines", F.split("text", "\n"))
-        .select("doc_id", F.col("_key").alias("text_key"), "lines", F.explode("found").alias("c"))
-        .select("doc_id", "text_key", "c.*", F.array_join(F.slice("lines", F.col("c.start") + 1, F.col("c.stop") - F.col("c.start")), "\n").alias("body"))
-    )
-    owners = bodies.filter("owns").select("digest", F.col("doc_id").alias("first_doc_id"), F.col("body").alias("first_body")).distinct()
     return (
-        bodies.filter("not owns").join(owners.hint("merge"), "digest").filter(F.col("body") == F.col("first_body"))
-        .select("doc_id", "text_key", "start", "stop", "first_doc_id").distinct()
+        each.join(repeated.hint("merge"), "digest").filter((F.col("body") == F.col("owner.body")) & ~place.eqNullSafe(F.col("owner")))
+        .select("doc_id", "text_key", "start", "stop", F.col("owner.doc_id").alias("first_doc_id")).distinct()
     )
 
 
+def _merged(lists: DataFrame) -> DataFrame:
+    """``lists`` with the ranges of ``_gone`` joined where they meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for ranges in batch.column(2).to_pylist():
+                joined: list[dict] = []
+                for x in sorted(ranges, key=lambda r: r["start"]):
+                    if joined and x["start"] <= joined[-1]["stop"]:
+                        joined[-1]["stop"] = max(joined[-1]["stop"], x["stop"])
+                    else:
+                        joined.append(x)
+                out.append(joined)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))], ["_id", "_key", "_gone"])
+
+    kind = lists.schema["_id"].dataType.simpleString()
+    return lists.select("_id", "_key", "_gone").mapInArrow(run, f"_id {kind}, _key long, _gone array<struct<start:int,stop:int>>")
+
+
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", small: int = 400_000) -> DataFrame:
     """``docs`` without the lines of repeated chunks, and without documents of which nothing is left."""
     gone = materialize(repeated_chunks(docs, id_col=id_col, text_col=text_col, small=small), "gone")
-    lists = materialize(gone.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_list(F.struct("start", "stop")).alias("_gone")), "gone")
+    lists = materialize(_merged(gone.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_list(F.struct("start", "stop")).alias("_gone"))), "gone")
     lists = _small(lists, "_gone", small)
     names = docs.columns
     kept = F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.exists("_gone", lambda g: (i >= g["start"]) & (i < g["stop"])))

@@ -1,5 +1,8 @@
+import random
 from collections import defaultdict
 
+import pytest
+
 from quern.llm import lines
 
 
@@ -45,3 +48,29 @@ def test_odd_and_empty(odd_docs, no_docs):
     assert out.columns == odd_docs.columns
     assert out.count() == odd_docs.count() - 2
     assert lines.dedup_lines(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("size", range(2, 11))
+def test_planted_passages_are_found_whole(spark, size):
+    """Passages of a few lines in documents that are otherwise different: the first stays, the second goes line for line."""
+    rng = random.Random(size)
+    line = lambda: " ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 9) for _ in range(6))
+    rows, want = [], {}
+    for i in range(0, 60, 2):
+        passage = [line() for _ in range(size)]
+        if size > 3:
+            passage[size // 2] = " "
+        for k in (i, i + 1):
+            before, after = [line() for _ in range(rng.randint(0, 12))], [line() for _ in range(rng.randint(1, 12))]
+            rows.append((k, "\n".join(before + passage + after)))
+            want[k] = "\n".join(before + after) if k % 2 else rows[-1][1]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}
+    print("passages removed whole, of", size, "lines:", sum(got[k] == want[k] for k in range(1, 60, 2)), "of 30")
+    assert got == want
+
+
+def test_repeated_line_keeps_one_pair(spark):
+    rows = [(1, "x\nx\nx\nx\nx\ny"), (2, "a\nx\nx\nx\nb"), (3, "z\nz\nz\nv"), (4, "w\nz\nz\nz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in lines.dedup_lines(docs).collect()) == [(1, "x\nx\nx\ny"), (2, "a\nb"), (3, "z\nz\nz\nv"), (4, "w")]
