@@ -2,8 +2,8 @@
 
 Vectors are quantised to integers and range-partitioned by descending length.  The
 Gram matrix of all vectors gives, by its eigenvectors, the rotation that puts most of
-a product into the first few coordinates.  Every partition is walked in blocks from
-its longest vector down.  A query stops at a block once its length times the block's
+a product into the first few coordinates.  Every partition is walked in blocks, each
+mostly from its longest vector down.  A query skips a block if its length times the block's
 greatest length is below the query's k-th best score so far (Cauchy-Schwarz); for the
 others the product of the first rotated coordinates plus the product of the residual
 lengths bounds each score, and only vectors whose bound reaches the k-th best are
@@ -85,7 +85,7 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 
 
 def _search(batches, q_ids, q, rotation, start, k, lead, block):
-    """Top k of one partition for every query; batches hold vec_id and comps, longest first."""
+    """Top k of one partition for every query; batches hold vec_id and comps, in runs that are longest first."""
     d = q.shape[1]
     turned = q @ rotation
     q_len = np.sqrt((q * q).sum(axis=1))
@@ -99,7 +99,7 @@ def _search(batches, q_ids, q, rotation, start, k, lead, block):
             length = np.sqrt((v * v).sum(axis=1))
             open_ = np.flatnonzero(q_len * length.max() >= floor - _SLACK)
             if not len(open_):
-                return best
+                continue  # not the end: a task may hold several sorted runs
             w = v @ rotation
             rest = np.sqrt((w[:, lead:] ** 2).sum(axis=1))
             bound = turned[open_, :lead] @ w[:, :lead].T + np.outer(q_rest[open_], rest)

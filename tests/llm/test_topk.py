@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import topk
 
@@ -33,3 +34,18 @@ def test_ties_odd_and_empty(spark):
     assert topk.top_k(vectors.filter("false")).count() == 0
     assert topk.top_k(vectors.filter("vec_id = 0")).count() == 0
     assert sorted((r.vec_id, r["rank"]) for r in topk.top_k(vectors.filter("vec_id in (0, 1, 2)")).collect() if r.query_id == 0) != []
+
+
+def test_task_of_several_sorted_files(spark, monkeypatch):
+    """A task that reads shorter vectors' file before a longer ones' scores both."""
+    rng = random.Random(4)
+    rows = [(i, [2.0 ** (i % 40 / 4) * rng.gauss(0, 1) for _ in range(8)]) for i in range(1, 1201)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+    def in_one_task(df, name="table", count=None, write=topk.materialize):
+        held = write(df, name, count)
+        return write(held.repartitionByRange(8, "norm2").sortWithinPartitions(F.desc("norm2")).coalesce(1), name) if name == "vectors" else held
+
+    monkeypatch.setattr(topk, "materialize", in_one_task)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(vectors, seeds=200, block=16).collect())
+    assert got == brute(rows)
