@@ -3,7 +3,8 @@
 Tokens that look disguised (digits or signs among letters, a letter three times or
 more, single letters set apart) become a character lattice: a sign may stand for
 itself, for the letters it imitates or for nothing, a repeated letter for one, two or
-all of its copies, a separator for itself or for nothing.  Viterbi decoding over pairs
+all of its copies, a separator for itself or for nothing.  Tokens and stretches of any
+length are decoded, in linear time; only those without letters are not.  Viterbi decoding over pairs
 of characters, by a trigram language model of characters counted over all texts, picks
 the reading; the document's words with these readings in place are what is scored.
 
@@ -27,6 +28,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,8 @@ PREFIXES = (4, 5, 6)
 _START = zlib.crc32(b"^")
 _PIECE = 1 << 20
 _CACHE = 200_000
+#: Stretches beyond are read as several words, and not remembered.
+_LONG = 80
 
 # What a sign may stand for.
 LEET = {
@@ -105,9 +109,9 @@ def language_model(counts: np.ndarray, weight: float = 8.0) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
-def _lattice(token: str) -> list[list[tuple[str, float]]]:
+def _lattice(token: str) -> Iterator[list[tuple[str, float]]]:
     """For each stretch of the token its readings and their costs (negative log of the channel)."""
-    steps = []
+    narrow = min(map(len, re.findall(" +", token)), default=0)
     for m in re.finditer(r"(.)\1*", token, re.DOTALL):
         run, c = m[0], m[1]
         if c.isalpha():
@@ -117,18 +121,21 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
         elif c in LEET:
             readings = [(run, 2.0)] + [(x * n, 1.0 + 0.5 * (n != len(run))) for x in LEET[c] for n in {1, min(2, len(run))}] + ([("", 2.0)] if not c.isdigit() else [])
         elif c == " ":
-            readings = [(run, 4.0), ("", 0.5)]
+            if len(token) <= _LONG:
+                readings = [(run, 4.0), ("", 0.5)]
+            else:  # many words, and the wider gaps are theirs
+                readings = [(" ", 0.2), ("", 1.6)] if len(run) > narrow else [(" ", 1.6), ("", 0.2)]
         else:
             readings = [(run, 1.0), ("", 1.0)]
-        steps.append(readings)
-    return steps
+        yield readings
 
 
 def restore(token: str, lm: np.ndarray) -> str:
-    """The likeliest reading of one token."""
-    beam: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for readings in [*_lattice(token.lower()), [(" ", 0.0)]]:
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+    """The likeliest reading of one token, of any length."""
+    # Readings are held as (what comes before, last piece), so that long stretches take linear time.
+    beam: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+    for readings in chain(_lattice(token.lower()), [[(" ", 0.0)]]):
+        after: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (cost, text) in beam.items():
             for reading, price in readings:
                 x, y, total = a, b, cost + price
@@ -137,14 +144,18 @@ def restore(token: str, lm: np.ndarray) -> str:
                     total -= lm[x, y, z]
                     x, y = y, z
                 if (x, y) not in after or total < after[x, y][0]:
-                    after[x, y] = (total, text + reading)
+                    after[x, y] = (total, (text, reading))
         beam = after
-    return min(beam.values())[1].strip()
+    at, pieces = min(beam.values(), key=lambda x: x[0])[1], []
+    while at:
+        at, piece = at
+        pieces.append(piece)
+    return "".join(reversed(pieces)).strip()
 
 
 def disguised(text: str) -> list[str]:
     """The stretches of ``text`` that are decoded: mixed tokens, and single letters set apart."""
-    found = [m[0] for m in _SPACED.finditer(text) if len(m[0]) <= 80]
+    found = [m[0] for m in _SPACED.finditer(text)]
     found += [m[2:] for m in found if m[:2] in ONE_LETTER_WORDS and len(m) > 6]
     at = 0
     while m := _MIXED.search(text, at):
@@ -153,7 +164,7 @@ def disguised(text: str) -> list[str]:
             start -= 1
         at = _TOKEN.match(text, start).end()
         core = text[start:at].strip(_EDGES)
-        if 3 <= len(core) <= 40 and _MIXED.search(core) and sum(map(str.isdigit, core)) * 2 < len(core):
+        if len(core) >= 3 and _MIXED.search(core):  # so it holds letters: no mere number
             found.append(core)
     return found
 
@@ -190,12 +201,15 @@ class Reader:
         low = (text or "").lower()
         words = set(low.split())
         for token in disguised(low):
-            if token not in self.readings:
+            reading = self.readings.get(token)
+            if reading is None:
+                reading = restore(token, self.lm)
                 if len(self.readings) >= _CACHE:
                     self.readings.clear()
-                self.readings[token] = restore(token, self.lm)
+                if len(token) <= _LONG:
+                    self.readings[token] = reading
             words.discard(token)
-            words.update(self.readings[token].split())
+            words.update(reading.split())
         found: set[int] = set()
         known = self.words.get
         for word in words:

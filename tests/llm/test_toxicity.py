@@ -25,6 +25,27 @@ def test_spaced_letters(model):
     assert toxicity.restore("l o s e r", model["lm"]) == "loser"
 
 
+@pytest.mark.parametrize("seen, meant", [("1d10t", "idiot"), ("l053r", "loser"), ("5tup1d", "stupid"), ("m0r0n", "moron"), ("st" + "u" * 60 + "pid", "stupid"), ("l" + "." * 50 + "o.s.e.r", "loser")])
+def test_long_and_digit_rich_tokens_are_read(model, seen, meant):
+    assert toxicity.disguised(f"you are {seen} , really")[-1] == seen
+    assert toxicity.restore(seen, model["lm"]) == meant
+
+
+def test_long_spaced_stretches_are_read_whole(model):
+    """An insult beyond the first 80 characters of letters set apart."""
+    plain = "you are nothing but a loser and you should know that you are an idiot"
+    reader = toxicity.Reader(model["lm"], model["hashes"])
+    for seen in ("   ".join(" ".join(w) for w in plain.split()), " ".join(plain.replace(" ", ""))):
+        assert len(seen) > 80 and toxicity.disguised(seen)[0] == seen
+        assert {*reader.features("loser")[1:3], *reader.features("idiot")[1:3]} <= reader.read(seen)
+    many = "x y z w " * 50_000 + "l o s e r"
+    assert len(toxicity.restore(many, model["lm"])) > 50_000
+
+
+def test_numbers_are_left_alone():
+    assert toxicity.disguised("in 1990 , 3.14 1,000,000 12-10-2024 +44 20 7946 0018") == []
+
+
 def test_disguise_does_not_help(data, model):
     docs, labels = data
     rows = toxicity.score(docs, model).join(labels, "doc_id")
