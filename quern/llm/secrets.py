@@ -48,7 +48,7 @@ WIDER = {
     "bearer": (r"\b[Bb]earer\x20+([A-Za-z0-9+/_.=-]{16,})", ("earer ",)),
     "address": (r"\b[a-z][a-z0-9+.-]*://[^\s/:@]+:([^\s/:@]{6,})@", ("://",)),
     "private": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----", ("PRIVATE KEY",)),
-    "mixed": (r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,200}(?![A-Za-z0-9+/_=-])", tuple("0123456789")),
+    "mixed": (r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])", tuple("0123456789")),
 }
 KINDS = (*BASE, *WIDER)
 PLACEHOLDERS = ("example", "sample", "dummy", "changeme", "placeholder", "xxxx", "your", "test", "1234567890")

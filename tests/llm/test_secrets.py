@@ -46,6 +46,11 @@ def test_wider_kinds():
     assert not secrets.live_looking("your-api-key-example-1") and secrets.live_looking("Jf4Gk7Pz1Qx8Wn3Vb6Mc0Rt5")
 
 
+def test_long_runs_are_candidates():
+    key = "".join(chr(65 + i * i % 26) + chr(97 + i * 7 % 26) + str(i % 10) for i in range(300))
+    assert [x for x in secrets.scan(f"key {key} end") if x[0] == "mixed"] == [("mixed", 4, 904, key)]
+
+
 def test_odd_and_empty(odd_docs, no_docs):
     rows = secrets.find_secrets(odd_docs).collect()
     assert len(rows) == odd_docs.count() and {r.spans for r in rows if r.doc_id in (2, 3)} == {""}
