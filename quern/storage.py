@@ -9,44 +9,49 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of a narrow table that one task writes without strain.
-ROWS_A_FILE = 1_000_000
-
 _OWN: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one only where none is set."""
+    """The session's shared folder; where none is set, a temporary one if driver and executors are one process, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="quern-")
     return _OWN[app]
 
 
-def materialize(df: DataFrame, name: str = "table", rows: int | None = None) -> DataFrame:
-    """Write ``df`` once to the shared folder and return a scan of it.
-
-    Where the caller knows about how many ``rows`` there are, no more files are
-    written than those need.
-    """
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once to the shared folder and return a scan of it."""
     spark = df.sparkSession
-    if rows is not None:
-        df = df.coalesce(1 + rows // ROWS_A_FILE)
     path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside go at the end; results are to be written or collected before."""
+    before = {path for _, path in _WRITTEN}
+    try:
+        yield
+    finally:
+        _delete([x for x in _WRITTEN if x[0] is spark and x[1] not in before])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its input has fewer partitions than there are cores; else as it is.
 
@@ -59,18 +64,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
 
 
-def release(spark: SparkSession | None = None) -> None:
-    """Delete what :func:`materialize` has written (all of it at exit)."""
-    keep = []
-    for owner, path in _WRITTEN:
-        if spark is not None and owner is not spark:
-            keep.append((owner, path))
-            continue
+def _delete(tables: list[tuple[SparkSession, str]]) -> None:
+    for owner, path in tables:
         with contextlib.suppress(Exception):
             jvm = owner.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(owner.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    _WRITTEN[:] = keep
+    _WRITTEN[:] = [x for x in _WRITTEN if x not in tables]
+
+
+def release(spark: SparkSession | None = None) -> None:
+    """Delete what :func:`materialize` has written (all of it at exit)."""
+    _delete([x for x in _WRITTEN if spark is None or x[0] is spark])
 
 
 atexit.register(release)
