@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.text import plain_words
+from quern.llm.text import fresh, plain_words
 from quern.storage import materialize, spread
 
 
@@ -112,6 +112,7 @@ def decontaminate(
     The keys of the rows that go are broadcast if there are at most ``small_found``.
     """
     found = _verified(docs, items, doc_id, item_id, text_col, threshold, width, small_rows, small_chars)
-    found = materialize(found.select(F.col("doc_id").alias("_found"), F.col("text_key").alias("_key")).distinct(), "found")
-    same = docs[doc_id].eqNullSafe(F.col("_found")) & (_text_key(docs[text_col]) == F.col("_key"))
+    found_id, found_key = fresh(docs, "found_id", "found_key")
+    found = materialize(found.select(F.col("doc_id").alias(found_id), F.col("text_key").alias(found_key)).distinct(), "found")
+    same = docs[doc_id].eqNullSafe(F.col(found_id)) & (_text_key(docs[text_col]) == F.col(found_key))
     return docs.join(F.broadcast(found) if found.count() <= small_found else found, same, "left_anti")

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.text import fresh
 from quern.storage import materialize, spread
 
 WINDOW = 2
@@ -99,7 +100,7 @@ def _small(lists: DataFrame, column: str, most: int) -> DataFrame:
     return F.broadcast(lists) if (lists.agg(F.sum(F.size(column))).first()[0] or 0) <= most else lists
 
 
-def repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", small: int = 400_000) -> DataFrame:
+def repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key, start, stop, first_doc_id: the lines [start, stop) of each chunk that goes."""
     table = materialize(chunk_table(docs, id_col=id_col, text_col=text_col), "chunks")
     each = table.select("doc_id", "text_key", F.explode("found").alias("c")).select("doc_id", "text_key", "c.*").distinct()
@@ -113,7 +114,7 @@ def repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def _merged(lists: DataFrame) -> DataFrame:
-    """``lists`` with the ranges of ``_gone`` joined where they meet."""
+    """``lists`` (doc_id, text_key, gone) with the ranges of ``gone`` in order and joined where they meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,23 +127,35 @@ def _merged(lists: DataFrame) -> DataFrame:
                     else:
                         joined.append(x)
                 out.append(joined)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))], ["_id", "_key", "_gone"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))], ["doc_id", "text_key", "gone"])
 
-    kind = lists.schema["_id"].dataType.simpleString()
-    return lists.select("_id", "_key", "_gone").mapInArrow(run, f"_id {kind}, _key long, _gone array<struct<start:int,stop:int>>")
+    kind = lists.schema["doc_id"].dataType.simpleString()
+    return lists.select("doc_id", "text_key", "gone").mapInArrow(run, f"doc_id {kind}, text_key long, gone array<struct<start:int,stop:int>>")
+
+
+def _between(lines: Column, gone: Column) -> Column:
+    """The lines outside the ordered ranges ``gone``, stretch by stretch, so that work grows with lines and ranges, not with their product."""
+
+    def stretch(i: Column) -> Column:
+        begin = F.when(i == 0, F.lit(0)).otherwise(F.get(gone, i - 1)["stop"])
+        end = F.when(i == F.size(gone), F.size(lines)).otherwise(F.get(gone, i)["start"])
+        return F.slice(lines, begin + 1, end - begin)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), stretch))
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", small: int = 400_000) -> DataFrame:
     """``docs`` without the lines of repeated chunks, and without documents of which nothing is left."""
-    gone = materialize(repeated_chunks(docs, id_col=id_col, text_col=text_col, small=small), "gone")
-    lists = materialize(_merged(gone.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_list(F.struct("start", "stop")).alias("_gone"))), "gone")
-    lists = _small(lists, "_gone", small)
-    names = docs.columns
-    kept = F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.exists("_gone", lambda g: (i >= g["start"]) & (i < g["stop"])))
+    found = materialize(repeated_chunks(docs, id_col=id_col, text_col=text_col), "gone")
+    lists = materialize(_merged(found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))), "gone")
+    gone_id, gone_key, gone, lines, kept = fresh(docs, "gone_id", "gone_key", "gone", "lines", "kept")
+    lists = _small(lists.select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key), F.col("gone").alias(gone)), gone, small)
+    touched = F.col(gone).isNotNull()
     return (
-        docs.join(lists, docs[id_col].eqNullSafe(F.col("_id")) & (_text_key(docs[text_col]) == F.col("_key")), "left")
-        .withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
-        .filter(F.col("_gone").isNull() | (F.size("_kept") > 0))
-        .withColumn("_text", F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n")))
-        .select(*[F.col("_text").alias(c) if c == text_col else docs[c] for c in names])
+        docs.join(lists, docs[id_col].eqNullSafe(F.col(gone_id)) & (_text_key(docs[text_col]) == F.col(gone_key)), "left")
+        .withColumn(lines, F.when(touched, F.split(F.col(text_col), "\n")))
+        .withColumn(kept, F.when(touched, _between(F.col(lines), F.col(gone))))
+        .filter(~touched | (F.size(kept) > 0))
+        .withColumn(text_col, F.when(touched, F.array_join(kept, "\n")).otherwise(F.col(text_col)))
+        .select(*docs.columns)
     )

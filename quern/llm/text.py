@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but the six ASCII blanks.
@@ -17,3 +17,14 @@ def word_count(text: Column) -> Column:
 def plain_words(text: Column) -> Column:
     """Lower-case runs of letters, marks and digits; null gives no words."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
+
+
+def fresh(docs: DataFrame, *names: str) -> tuple[str, ...]:
+    """``names``, each with as many underscores before it as set it apart from the columns of ``docs``, case aside."""
+    taken, found = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return tuple(found)

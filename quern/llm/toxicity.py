@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.text import fresh
 from quern.storage import materialize, spread
 
 #: Character classes: 0 blank, 1-26 letters, 27-58 other letters, 59 digits, 60 the rest.
@@ -337,4 +338,5 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 def reject(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **options) -> DataFrame:
     """``docs`` without the rows scored ``threshold`` or more."""
     model = train(docs, labels, id_col=id_col, text_col=text_col, **options)
-    return score(docs, model, text_col=text_col, into="_toxicity").filter(F.col("_toxicity") < threshold).drop("_toxicity")
+    (toxicity,) = fresh(docs, "toxicity")
+    return score(docs, model, text_col=text_col, into=toxicity).filter(F.col(toxicity) < threshold).drop(toxicity)

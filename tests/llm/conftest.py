@@ -13,7 +13,8 @@ def odd_docs(spark):
         (5, "another text of the same id", "en", "c"), (6, long, "en", "c"), (7, long + " tail", "fr", "a"), (8, "ß ñ 漢字 \U0001f600 é", "xx", "é"), (9, "one", "en", None),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    for name in ("size", "fp", "text_key", "score", "digest", "label", "hash", "rank", "sid", "block", "node", "n", "start", "row", "owner", "found", "toxic", "vec_id", "key", "words"):
+    for name in ("size", "fp", "text_key", "score", "digest", "hash", "rank", "sid", "block", "node", "n", "start", "row", "owner", "found", "toxic", "vec_id", "key", "words",
+        "same_id", "same_key", "nth", "gone", "kept", "spans", "member", "label", "toxicity", "found_key", "_id", "_key", "_gone", "_kept", "_text", "_spans", "_found", "_toxicity", "_hash", "_nth", "_s", "bucket", "part", "speaker", "lines"):
         docs = docs.selectExpr("*", f"'x' as `{name}`")
     return docs
 

@@ -15,14 +15,14 @@ def test_equals_brute_force(spark, sf):
         for _, a, b in lines.chunk_lines(texts[i]):
             found["\n".join(split[a:b])].append((i, a, b))
     want = {(i, a, b, owners[0][0]) for owners in found.values() for i, a, b in owners[1:]}
-    for small in (200_000, 0):
-        got = {(r.doc_id, r.start, r.stop, r.first_doc_id) for r in lines.repeated_chunks(docs, small=small).collect()}
-        assert got == want and want
+    got = {(r.doc_id, r.start, r.stop, r.first_doc_id) for r in lines.repeated_chunks(docs).collect()}
+    assert got == want and want
     gone = defaultdict(set)
     for i, a, b, _ in want:
         gone[i] |= set(range(a, b))
     left = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in texts.items() if len(gone[i]) < len(t.split("\n"))}
-    assert {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()} == left
+    for small in (200_000, 0):
+        assert {r.doc_id: r.text for r in lines.dedup_lines(docs, small=small).collect()} == left
 
 
 def test_inserted_lines_do_not_shift_chunks():
@@ -70,6 +70,18 @@ def test_planted_passages_are_found_whole(spark, size):
     assert got == want
 
 
+def test_many_lines_and_many_ranges(spark):
+    """A document of many lines, every other passage of which goes, takes seconds."""
+    import time
+
+    text = [f"line {i} of the first" for i in range(60_000)]
+    mixed = [x for i in range(0, 60_000, 4) for x in (text[i], text[i + 1], f"own {i}")]
+    docs = spark.createDataFrame([(1, "\n".join(text)), (2, "\n".join(mixed))], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}
+    assert got == {1: "\n".join(text), 2: "\n".join(f"own {i}" for i in range(0, 60_000, 4))} and time.time() - began < 60
+
+
 def test_repeated_line_keeps_one_pair(spark):
     rows = [(1, "x\nx\nx\nx\nx\ny"), (2, "a\nx\nx\nx\nb"), (3, "z\nz\nz\nv"), (4, "w\nz\nz\nz")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
