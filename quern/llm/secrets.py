@@ -17,7 +17,8 @@ adaptive execution splits.
 
 Defined cases: a null text is empty; a null owner or repository is one value of its
 own; documents that repeat an id are scanned one by one; spans are code points, end
-exclusive.  Extra columns are not read.
+exclusive.  Extra columns are not read.  Which columns name the repository and the owner
+are parameters; by default a document is a repository of its own and its source the owner.
 """
 
 from __future__ import annotations
@@ -44,12 +45,14 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 # Wider kinds, each with a string that every match holds (for speed).
 WIDER = {
     "prefixed": (r"\b(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,})", ("gh", "xox", "sk_live_", "AIza")),
-    "signed": (r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", ("eyJ",)),
+    "signed": (r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", ("eyJ",)),
     "bearer": (r"\b[Bb]earer\x20+([A-Za-z0-9+/_.=-]{16,})", ("earer ",)),
-    "address": (r"\b[a-z][a-z0-9+.-]*://[^\s/:@]+:([^\s/:@]{6,})@", ("://",)),
+    "address": (r"://[^\s/:@]+:([^\s/:@]{6,})@", ("://",)),  # and the scheme before it
     "private": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----", ("PRIVATE KEY",)),
     "mixed": (r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])", tuple("0123456789")),
 }
+_SCHEME = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-")
+_SCHEME_START = re.compile(r"\b[a-z]")
 KINDS = (*BASE, *WIDER)
 PLACEHOLDERS = ("example", "sample", "dummy", "changeme", "placeholder", "xxxx", "your", "test", "1234567890")
 
@@ -85,13 +88,28 @@ def scan(text: str | None) -> list[tuple[str, int, int, str]]:
     found += [("hex", m.start(), m.end(), m[0]) for m in re.finditer(r"[0-9a-f]{16,}", text)]
     for kind, (pattern, marks) in WIDER.items():
         if any(mark in text for mark in marks):
+            end = 0
             for m in re.finditer(pattern, text):
-                value = m[m.lastindex or 0]
+                value, start = m[m.lastindex or 0], m.start()
+                if kind == "address":
+                    start = _scheme(text, start, end)
+                    if start is None:
+                        continue
+                    end = m.end()
                 if kind != "mixed" or (re.search(r"[0-9]", value) and re.search(r"[A-Za-z]", value) and entropy(value) >= 3.5):
-                    found.append((kind, m.start(), m.end(), value))
+                    found.append((kind, start, m.end(), value))
     return found
 
 
+def _scheme(text: str, at: int, least: int) -> int | None:
+    """Where the scheme that ends at ``at`` begins, not before ``least``; None if there is none."""
+    start = at
+    while start > least and text[start - 1] in _SCHEME:
+        start -= 1
+    m = _SCHEME_START.search(text, start, at)
+    return m.start() if m else None
+
+
 _FIELDS = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("hash", pa.int64()), ("live", pa.bool_())])
 
 
