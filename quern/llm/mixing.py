@@ -1,15 +1,16 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Every source's documents are laid out in a shuffled order as one stream of words
-and cut into blocks of equal size.  Slot ``i`` of the schedule is the golden-ratio
-point ``frac(i / phi)``; the source whose stretch of the cumulative weights holds
-the point owns the slot, and its ``k``-th slot takes the ``k``-th block of its
-stream, round and round.  All of it is DataFrame arithmetic: no Python on rows.
-
-Scale: the words of a source are numbered by two-level prefix sums (sums per hash
-bucket, then within the bucket), and slots likewise (counts per run of slots, then
-within the run), so no window ever holds more than one bucket, however large a
-source is.  The per-source table has one row a source.
+Every source's documents are laid out in a shuffled order as one stream of words, which
+goes round and round and is cut into blocks of equal size, the same for all sources.  Slot
+``i`` of the schedule is the golden-ratio point ``frac(i / phi)``; the source whose stretch of
+the cumulative weights holds the point owns the slot, and its ``k``-th slot takes the ``k``-th
+block of its stream.  A source's last block ends at its target, so that its share is met to
+the word.  All of it is DataFrame arithmetic: no Python on rows.
+
+Scale: the words of a source are numbered by prefix sums in three levels (within a bucket of
+some thousand documents, over the buckets of a group, over groups), and slots likewise, so no
+window ever holds more than a bucket's rows or ``GROUP`` sums of a source, which is enough for
+some 10**10 documents a source.  The per-source table has one row a source.
 
 Defined cases: a null or blank text has size 0 and is returned with ``taken`` 0; a
 null source is a source of its own, last in order; sources without words have
@@ -32,6 +33,9 @@ POINTS = 1 << 32
 STEP = 2654435769
 #: Log2 of the points in one cell of the lookup grid.
 CELL_BITS = 20
+#: Log2 of the places whose sums one window of the second level holds.
+GROUP_BITS = 12
+GROUP = 1 << GROUP_BITS
 
 
 @dataclass(frozen=True)
@@ -71,57 +75,69 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...], max_epochs: int
     )
 
 
-def _plan(targets: DataFrame, block_words: int, min_blocks: int) -> DataFrame:
-    """Adds blocks and the source's stretch [low, high) of the points."""
-    size = F.col("source_size")
+def _plan(targets: DataFrame, block_words: int, max_epochs: int) -> DataFrame:
+    """Adds the words and slots a source needs, and its stretch [low, high) of the points."""
     by_sid = Window.orderBy("sid")
     all_rows = by_sid.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    edge = lambda x: F.floor(x / F.nullif(F.col("all_slots"), F.lit(0.0)) * POINTS).cast("long")
+    edge = F.floor(F.col("upto") / F.nullif(F.col("all_slots"), F.lit(0)) * POINTS).cast("long")
     return (
-        targets.withColumn("blocks", F.greatest(F.ceil(size / F.lit(block_words)), F.least(size, F.lit(min_blocks).cast("long"))))
-        .withColumn("slots", F.when(size > 0, F.col("target") * F.col("blocks") / size).otherwise(0.0))
-        .withColumn("upto", F.sum("slots").over(by_sid.rowsBetween(Window.unboundedPreceding, 0)))
+        targets.withColumn("words", F.least(F.round("target").cast("long"), F.col("source_size") * max_epochs))
+        .withColumn("needed", F.expr(f"(words + {block_words - 1}) div {block_words}"))
+        .withColumn("upto", F.sum("needed").over(by_sid.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("all_slots", F.max("upto").over(all_rows))
-        .withColumn("high", F.coalesce(edge(F.col("upto")), F.lit(0)))
-        .withColumn("low", F.coalesce(F.lag("high").over(by_sid), F.lit(0)))
+        .withColumn("high", F.coalesce(edge, F.lit(0).cast("long")))
+        .withColumn("low", F.coalesce(F.lag("high").over(by_sid), F.lit(0).cast("long")))
     )
 
 
-def _schedule(plan: DataFrame, n_slots: int, run: int, max_epochs: int) -> DataFrame:
-    """slot, sid, rank, epoch, block: the owner of every slot and the block it takes."""
+def _ahead(counts: DataFrame, place: str) -> DataFrame:
+    """sid, ``place``, ahead: the sum of ``n`` over the source's smaller places, in two levels of ``GROUP`` places each."""
+    group = F.shiftright(place, GROUP_BITS).alias("group")
+    upto = lambda *keys: Window.partitionBy("sid", *keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    high = counts.groupBy("sid", group).agg(F.sum("n").alias("n")).select("sid", "group", F.coalesce(F.sum("n").over(upto("group")), F.lit(0)).alias("high"))
+    low = counts.withColumn("group", group).withColumn("low", F.coalesce(F.sum("n").over(upto("group", place)), F.lit(0)))
+    return low.join(high, ["sid", "group"]).select("sid", place, (F.col("low") + F.col("high")).alias("ahead"))
+
+
+def _schedule(plan: DataFrame, n_slots: int, run: int, few: bool) -> DataFrame:
+    """slot, sid, rank: the owner of every slot, and which of the owner's slots it is.
+
+    Golden-ratio points fall into each stretch as often as its length says but for a few;
+    slots beyond a source's need are left out, and what sources still lack comes last.
+    """
     spark = plan.sparkSession
     high, low = F.expr("(slot % 4294967296) div 65536"), F.col("slot") % 65536
     point = (high * STEP % POINTS * 65536 + low * STEP) % POINTS
     slots = spark.range(n_slots).withColumnRenamed("id", "slot").withColumn("point", point).withColumn("cell", F.shiftright("point", CELL_BITS))
     owners = plan.filter("high > low").select(
-        "sid", "low", "high", "blocks", F.explode(F.sequence(F.shiftright("low", CELL_BITS), F.shiftright(F.col("high") - 1, CELL_BITS))).alias("cell")
+        "sid", "low", "high", "needed", F.explode(F.sequence(F.shiftright("low", CELL_BITS), F.shiftright(F.col("high") - 1, CELL_BITS))).alias("cell")
     )
     owned = (
-        slots.join(owners, "cell").filter((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
-        .select("slot", "sid", "blocks", F.floor(F.col("slot") / run).alias("run"))
-    )
-    before = (
-        owned.groupBy("sid", "run").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .drop("n")
+        slots.join(F.broadcast(owners) if few else owners, "cell").filter((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
+        .select("slot", "sid", "needed", F.floor(F.col("slot") / run).alias("run"))
     )
+    counts = materialize(owned.groupBy("sid", "run").agg(F.count(F.lit(1)).alias("n")), "slots")
     within = F.row_number().over(Window.partitionBy("sid", "run").orderBy("slot")) - 1
-    return (
-        owned.withColumn("within", within).join(before, ["sid", "run"])
-        .withColumn("rank", F.col("before") + F.col("within"))
-        .filter(F.col("rank") < F.col("blocks") * max_epochs)
-        .select("slot", "sid", "rank", F.expr("rank div blocks").alias("epoch"), F.expr("rank % blocks").alias("block"))
+    scheduled = (
+        owned.withColumn("within", within).join(_ahead(counts, "run"), ["sid", "run"])
+        .withColumn("rank", (F.col("ahead") + F.col("within")).cast("long")).filter("rank < needed").select("slot", "sid", "rank")
+    )
+    lacking = (
+        plan.join(counts.groupBy("sid").agg(F.sum("n").alias("n")), "sid", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).filter("n < needed")
+        .withColumn("later", F.coalesce(F.sum(F.col("needed") - F.col("n")).over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .select("sid", "n", "later", F.explode(F.sequence(F.col("n"), F.col("needed") - 1)).alias("rank"))
+        .select((F.lit(n_slots) + F.col("later") + F.col("rank") - F.col("n")).cast("long").alias("slot"), "sid", "rank")
     )
+    return scheduled.unionByName(lacking)
 
 
 def mix(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3),
-    max_epochs: int = 3, block_words: int = 256, min_blocks: int = 4096, bucket_rows: int = 4096, slot_run: int = 65536, small_sources: int = 100_000,
+    max_epochs: int = 3, block_words: int = 256, bucket_rows: int = 4096, slot_run: int = 65536, small_sources: int = 100_000,
 ) -> Mix:
     """Mix ``docs`` so that each source takes part by its weight.
 
-    A source is cut into blocks of at most ``block_words`` words, and into
-    ``min_blocks`` at least, so that its share is met to a few slots in thousands.
+    Every block has ``block_words`` words, but for a source's last, which ends at its target.
     The per-source table is broadcast if it has at most ``small_sources`` rows.
     """
     sized = materialize(
@@ -129,48 +145,41 @@ def mix(
         .select("doc_id", "source", word_count(F.col("text")).alias("size"))
         .withColumn("place", F.xxhash64(F.lit("shuffle"), "doc_id", "size")), "sized",
     )
-    plan = materialize(_plan(source_targets(sized, weights, max_epochs), block_words, min_blocks), "plan")
+    plan = materialize(_plan(source_targets(sized, weights, max_epochs), block_words, max_epochs), "plan")
     facts = plan.agg(F.max("all_slots").alias("slots"), F.count(F.lit(1)).alias("sources")).first()
-    n_slots = int(facts.slots or 0)
-    n_slots += n_slots < (facts.slots or 0)
-    by_source = F.broadcast(plan) if facts.sources <= small_sources else plan
+    few = facts.sources <= small_sources
+    by_source = F.broadcast(plan) if few else plan
     bits = max(0, (sized.count() // bucket_rows).bit_length())
     bucket = F.shiftrightunsigned("place", 64 - bits) if bits else F.lit(0).cast("long")
 
-    columns = ["sid", "blocks", "source_size", "target"]
     placed = (
-        sized.join(by_source.select(F.col("source").alias("_s"), *columns), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        sized.join(by_source.select(F.col("source").alias("own"), "sid", "source_size", "target", "words"), F.col("source").eqNullSafe(F.col("own"))).drop("own")
         .withColumn("bucket", bucket)
     )
-    ahead = (
-        placed.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
-        .withColumn("ahead", F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .drop("n")
-    )
+    counts = materialize(placed.groupBy("sid", "bucket").agg(F.sum("size").alias("n")), "buckets")
     running = F.sum("size").over(Window.partitionBy("sid", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    laid = placed.withColumn("running", running).join(ahead, ["sid", "bucket"]).withColumn("at", F.col("ahead") + F.col("running") - F.col("size"))
+    laid = placed.withColumn("running", running).join(_ahead(counts, "bucket"), ["sid", "bucket"]).withColumn("at", F.col("ahead") + F.col("running") - F.col("size"))
 
-    # Block j starts at word floor(j * source_size / blocks); products may pass 2**63.
-    block_of = "((cast({} as decimal(20, 0)) * blocks) - 1) div source_size"
-    edge = "(cast({} as decimal(20, 0)) * source_size) div blocks"
+    # A source's stream goes round and round: in round ``epoch`` a document begins at word epoch * source_size + at.
+    asked = (F.col("size") > 0) & (F.col("at") < F.col("words"))
+    edge = F.col("block") * block_words
     pieces = (
-        laid.filter("size > 0")
-        .withColumn("block", F.explode(F.sequence(F.expr(block_of.format("at + 1")), F.expr(block_of.format("at + size")))))
-        .withColumn("from_word", F.greatest(F.col("at"), F.expr(edge.format("block"))) - F.col("at"))
-        .withColumn("n_words", F.least(F.col("at") + F.col("size"), F.expr(edge.format("block + 1"))) - F.col("at") - F.col("from_word"))
+        laid.filter(asked).withColumn("epoch", F.explode(F.expr("sequence(0L, (words - 1 - at) div source_size)")))
+        .withColumn("begin", F.col("epoch") * F.col("source_size") + F.col("at")).withColumn("end", F.least(F.col("begin") + F.col("size"), F.col("words")))
+        .withColumn("block", F.explode(F.expr(f"sequence(begin div {block_words}, (end - 1) div {block_words})")))
+        .withColumn("from_word", F.greatest(F.col("begin"), edge) - F.col("begin"))
+        .withColumn("n_words", F.least(F.col("end"), edge + block_words) - F.col("begin") - F.col("from_word"))
     )
-    schedule = _schedule(plan, n_slots, slot_run, max_epochs)
-    times = schedule.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
+    schedule = _schedule(plan, int(facts.slots or 0), slot_run, few)
+    taking = pieces.join(schedule.withColumnRenamed("rank", "block"), ["sid", "block"])
     kept = ["sid", "at", "doc_id", "size", "source_size", "target"]
-    taken = (
-        pieces.join(times, ["sid", "block"], "left")
-        .groupBy(*kept).agg(F.sum(F.col("n_words") * F.coalesce("times", F.lit(0))).alias("taken"))
-    )
-    result = taken.unionByName(laid.filter("size = 0").select(*kept, F.lit(0).cast("long").alias("taken")))
+    taken = taking.groupBy(*kept).agg(F.sum("n_words").alias("taken"))
+    result = taken.unionByName(laid.filter(~asked).select(*kept, F.lit(0).cast("long").alias("taken")))
     names = by_source.select("sid", "source")
+    rounds = by_source.select("sid", "source", "source_size")
     return Mix(
         documents=result.join(names, "sid").select("doc_id", "size", "source_size", "target", "taken", "source"),
-        schedule=schedule.join(names, "sid").select("slot", "source", "rank", "epoch", "block"),
-        mixed=schedule.join(pieces, ["sid", "block"]).select("slot", "source", "epoch", "doc_id", "from_word", "n_words"),
-        sources=plan.select("source", "source_size", "weight", "target", "blocks"),
+        schedule=schedule.join(rounds, "sid").select("slot", "source", "rank", F.expr(f"(rank * {block_words}) div source_size").alias("epoch")),
+        mixed=taking.drop("source").join(names, "sid").select("slot", "source", "epoch", "doc_id", "from_word", "n_words"),
+        sources=plan.select("source", "source_size", "weight", "target", "needed"),
     )
