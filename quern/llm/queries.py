@@ -90,18 +90,19 @@ WITH clean AS (
 ), speakers AS (
   SELECT DISTINCT conv_id, role AS speaker FROM clean WHERE role <> 'system'
 ), shown AS (
-  SELECT c.conv_id, coalesce(CAST(floor(turn / 64) AS BIGINT), 0) AS part, speaker, turn, role, said, role = speaker AS own,
+  SELECT c.conv_id, dense_rank() OVER (PARTITION BY c.conv_id, speaker ORDER BY floor(turn / 1024) NULLS FIRST) - 1 AS part,
+    speaker, turn, role, said, md5(role || chr(10) || said) AS tie, role = speaker AS own,
     '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS head,
     said || '<|im_end|>' AS body
   FROM clean c JOIN speakers s ON c.conv_id IS NOT DISTINCT FROM s.conv_id
 ), placed AS (
-  SELECT *, length(head) + coalesce(sum(length(head) + length(body) + 1) OVER (
-    PARTITION BY conv_id, part, speaker ORDER BY turn NULLS FIRST, role, said ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (
+    PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
   FROM shown
 ), rendered AS (
-  SELECT conv_id, part, speaker, CAST(count(*) AS BIGINT) AS n_turns, CAST(count(*) FILTER (WHERE own) AS BIGINT) AS n_own,
-    string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role, said) AS text,
-    coalesce(string_agg(CASE WHEN own THEN CAST(start AS BIGINT) || ':' || CAST(start + length(body) AS BIGINT) END, ',' ORDER BY turn NULLS FIRST, role, said), '') AS mask
+  SELECT conv_id, part, speaker, CAST(min(begins) AS BIGINT) AS "start", CAST(count(*) AS BIGINT) AS n_turns, CAST(count(*) FILTER (WHERE own) AS BIGINT) AS n_own,
+    string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, tie) AS text,
+    coalesce(string_agg(CASE WHEN own THEN CAST(begins + length(head) AS BIGINT) || ':' || CAST(begins + length(head) + length(body) AS BIGINT) END, ',' ORDER BY turn NULLS FIRST, tie), '') AS mask
   FROM placed GROUP BY conv_id, part, speaker
 )
 SELECT *, md5(text) AS text_md5 FROM rendered
