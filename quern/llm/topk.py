@@ -9,16 +9,19 @@ others the product of the first rotated coordinates plus the product of the resi
 lengths bounds each score, and only vectors whose bound reaches the k-th best are
 scored, exactly, on the integers.  Thresholds start from the globally longest vectors.
 
-Scale: queries are handled in chunks of at most ``chunk`` rows, so that what is
-broadcast is bounded by ``chunk`` x dimension whatever the number of queries; each
-chunk is one pass over the vectors, and each partition returns k rows a query.  The
-Gram matrix is dimension squared for each partition.
+Scale: queries and vectors are packed into blocks of bounded size, one row each.  A small
+table of the query blocks (their lengths and thresholds) tells each block of vectors which
+query blocks it can matter to at all; to those it is dealt out, and a shuffle by query block
+brings both together, so all is one plan whatever the number of queries.  A pair of blocks
+gives at most k rows a query, cut to k a query before they are shuffled again.  The Gram
+matrix is dimension squared for each partition.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take
 no part; a shorter vector counts as padded with zeros; ties go to the smaller id;
 candidates of the query's own id are left out; rows with a null id take no part; rows
 that repeat an id are each a candidate; exact repeats of a query count once, and
-different queries of one id are ranked together.  Extra columns are not read.
+different queries of one id are ranked together.  Components and scores must fit a long;
+scores are exact, also beyond what a double holds.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,15 +35,17 @@ from pyspark.sql import functions as F
 
 from quern.storage import materialize
 
-#: Bounds are floating-point; scores are exact integers, so half a unit is slack enough.
-_SLACK = 0.5
+#: Bounds are floating-point: half a unit and this share of the lengths' product are slack enough.
+_SLACK, _SHARE = 0.5, 1e-12
+#: Products of lengths below are exact in floating-point.
+_EXACT = 2.0**52
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
-    """List column as rows of float64, zero-padded to d."""
+    """List column as rows of integers, zero-padded to d."""
     sizes = np.diff(column.offsets.to_numpy())
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    out = np.zeros((len(column), d))
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(column), d), np.int64)
     if len(flat):
         rows = np.repeat(np.arange(len(column)), sizes)
         starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -66,7 +71,7 @@ def _rotation(vectors: DataFrame, d: int) -> np.ndarray:
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((d, d))
         for batch in batches:
-            m = _matrix(batch.column(0), d)
+            m = _matrix(batch.column(0), d).astype(float)
             total += m.T @ m
         yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["g"])
 
@@ -84,82 +89,157 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return scores[best], ids[best]
 
 
-def _search(batches, q_ids, q, rotation, start, k, lead, block):
-    """Top k of one partition for every query; batches hold vec_id and comps, in runs that are longest first."""
-    d = q.shape[1]
-    turned = q @ rotation
-    q_len = np.sqrt((q * q).sum(axis=1))
-    q_rest = np.sqrt((turned[:, lead:] ** 2).sum(axis=1))
-    best = [(np.empty(0), np.empty(0, np.int64)) for _ in q_ids]
-    floor = start.copy()
-    for batch in batches:
-        ids, rows = batch.column(0).to_numpy(), _matrix(batch.column(1), d)
-        for at in range(0, len(ids), block):
-            v, v_ids = rows[at : at + block], ids[at : at + block]
-            length = np.sqrt((v * v).sum(axis=1))
-            open_ = np.flatnonzero(q_len * length.max() >= floor - _SLACK)
-            if not len(open_):
-                continue  # not the end: a task may hold several sorted runs
-            w = v @ rotation
-            rest = np.sqrt((w[:, lead:] ** 2).sum(axis=1))
-            bound = turned[open_, :lead] @ w[:, :lead].T + np.outer(q_rest[open_], rest)
-            for i, row in zip(open_, bound >= (floor[open_] - _SLACK)[:, None], strict=True):
-                hit = np.flatnonzero(row & (v_ids != q_ids[i]))
-                if len(hit):
-                    scores, hit_ids = v[hit] @ q[i], v_ids[hit]
-                    best[i] = _top(np.concatenate([best[i][0], scores]), np.concatenate([best[i][1], hit_ids]), k)
-                    if len(best[i][0]) == k:
-                        floor[i] = max(floor[i], best[i][0][-1])
-    return best
+def _blocks(rows: DataFrame, size: int, d: int) -> DataFrame:
+    """ids, comps (flat): every ``size`` rows of a partition, in their order, as one row; long vectors in fewer."""
+    size = max(1, min(size, (1 << 21) // d))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def packed(n: int) -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            part, rest = table.slice(0, n), table.slice(n)
+            held[:] = [b for b in rest.to_batches() if len(b)]
+            comps = _matrix(part.column(1).combine_chunks(), d).ravel()
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.int64())) for x in (part.column(0).to_numpy(), comps)]
+            return pa.RecordBatch.from_arrays(lists, ["ids", "comps"])
+
+        for batch in batches:
+            held.append(batch)
+            while sum(map(len, held)) >= size:
+                yield packed(size)
+        if sum(map(len, held)):
+            yield packed(sum(map(len, held)))
+
+    return rows.select("vec_id", "comps").mapInArrow(run, "ids array<long>, comps array<long>")
+
+
+def _lengths(comps: np.ndarray) -> np.ndarray:
+    return np.sqrt((comps.astype(float) ** 2).sum(axis=1))
+
+
+def _starts(ids: np.ndarray, q: np.ndarray, seed_ids: np.ndarray, seed: np.ndarray, k: int) -> np.ndarray:
+    """For each query a lower bound of its k-th best score, from the seeds."""
+    start = np.full(len(ids), -np.inf)
+    products, q_len, most = q.astype(float) @ seed.astype(float).T, _lengths(q), max(_lengths(seed), default=0.0)
+    for i in range(len(ids)):
+        scores = products[i][seed_ids != ids[i]]
+        if len(scores) >= k:
+            start[i] = np.partition(scores, -k)[-k] - _SHARE * q_len[i] * most
+    return start
+
+
+class _Search:
+    """The k best of each query of a block, over one block of vectors after the other."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, start: np.ndarray, rotation: np.ndarray, k: int, lead: int):
+        self.ids, self.q, self.k, self.lead, self.rotation = ids, q, k, lead, rotation
+        turned = q @ rotation
+        self.head, self.length, self.rest = turned[:, :lead], _lengths(q), np.sqrt((turned[:, lead:] ** 2).sum(axis=1))
+        self.floor = start.copy()
+        self.best = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids]
+
+    def look(self, ids: np.ndarray, v: np.ndarray) -> None:
+        length = _lengths(v)
+        slack = _SLACK + _SHARE * self.length * length.max()
+        open_ = np.flatnonzero(self.length * length.max() >= self.floor - slack)
+        if not len(open_):
+            return
+        w = v @ self.rotation
+        rest = np.sqrt((w[:, self.lead :] ** 2).sum(axis=1))
+        bound = self.head[open_] @ w[:, : self.lead].T + np.outer(self.rest[open_], rest)
+        real = v.astype(float) if self.length.max() * length.max() < _EXACT else v
+        for i, row in zip(open_, bound >= (self.floor - slack)[open_, None], strict=True):
+            hit = np.flatnonzero(row & (ids != self.ids[i]))
+            if len(hit):
+                scores = (real[hit] @ self.q[i]).astype(np.int64)
+                self.best[i] = _top(np.concatenate([self.best[i][0], scores]), np.concatenate([self.best[i][1], ids[hit]]), self.k)
+                if len(self.best[i][0]) == self.k:
+                    self.floor[i] = max(self.floor[i], float(self.best[i][0][-1]))
+
+
+def _ints(array: pa.Array) -> np.ndarray:
+    return array.flatten().to_numpy(zero_copy_only=False)
 
 
 def top_k(
     vectors: DataFrame, queries: DataFrame | None = None, *, id_col: str = "vec_id", vector_col: str = "embedding", query_every: int = 50, k: int = 5,
-    scale: int = 256, lead: int = 16, chunk: int = 4096, seeds: int = 2048, block: int = 1024,
+    scale: int = 256, lead: int = 16, chunk: int = 1024, seeds: int = 2048, block: int = 1024, lane_blocks: int = 16, small: int = 1_000_000,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest integer inner products.
 
     ``queries`` are rows like ``vectors``; by default those whose id is divisible by ``query_every``.
+    They are packed ``chunk`` and the vectors ``block`` to a row.  The table of query blocks'
+    thresholds (two numbers each) is broadcast if it has at most ``small`` rows.
     """
     spark = vectors.sparkSession
     read = lambda x: quantise(x, id_col=id_col, vector_col=vector_col, scale=scale)
     ranked = materialize(read(vectors).repartitionByRange(F.desc("norm2"), F.col("vec_id")).sortWithinPartitions(F.desc("norm2"), "vec_id"), "vectors")
     asked = materialize((ranked.filter(F.col("vec_id") % query_every == 0).drop("norm2") if queries is None else read(queries).drop("norm2")).distinct(), "queries")
-    schema = "query_id long, vec_id long, score long"
     facts = ranked.unionByName(asked.withColumn("norm2", F.lit(0.0))).agg(F.max(F.size("comps"))).first()[0]
-    n = asked.count()
-    if not facts or not n:
+    if not facts or asked.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     d = int(facts)
     lead = min(lead, d)
-    rotation = _rotation(ranked, d)
-
     longest = ranked.orderBy(F.desc("norm2"), "vec_id").limit(seeds).select("vec_id", "comps").toArrow().combine_chunks()
-    seed_ids, seed = longest.column(0).to_numpy(), _matrix(longest.column(1).combine_chunks(), d)
-    chunks = -(-n // chunk)
-    found = []
-    for part in range(chunks):
-        rows = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == part).select("vec_id", "comps").toArrow().combine_chunks()
-        if not rows.num_rows:
-            continue
-        q_ids, q = rows.column(0).to_numpy(), _matrix(rows.column(1).combine_chunks(), d)
-        start = np.full(len(q_ids), -np.inf)
-        for i in range(len(q_ids)):
-            scores = (seed @ q[i])[seed_ids != q_ids[i]]
-            if len(scores) >= k:
-                start[i] = np.partition(scores, -k)[-k]
-        held = spark.sparkContext.broadcast((q_ids, q, rotation, start))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, q, rotation, start = held.value
-            best = _search(batches, ids, q, rotation, start, k, lead, block)
-            own = np.repeat(ids, [len(b[0]) for b in best])
-            scores, hits = (np.concatenate([b[j] for b in best]) for j in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(hits), pa.array(scores.astype(np.int64))], ["query_id", "vec_id", "score"])
-
-        found.append(ranked.select("vec_id", "comps").mapInArrow(run, schema))
-    union = found[0]
-    for more in found[1:]:
-        union = union.unionByName(more)
+    held = spark.sparkContext.broadcast((_rotation(ranked, d), longest.column(0).to_numpy(), _matrix(longest.column(1).combine_chunks(), d)))
+
+    def started(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, seed_ids, seed = held.value
+        for batch in batches:
+            for n in range(len(batch)):
+                part = batch.slice(n, 1)
+                ids, q = _ints(part.column(0)), _ints(part.column(1)).reshape(-1, d)
+                start = _starts(ids, q, seed_ids, seed, k)
+                yield pa.RecordBatch.from_arrays([
+                    *part.columns, pa.ListArray.from_arrays(pa.array([0, len(start)], pa.int32()), pa.array(start, pa.float64())),
+                    pa.array([float(_lengths(q).max())]), pa.array([float(start.min())]),
+                ], ["ids", "comps", "start", "longest", "least"])
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(len(batch)):
+                part = batch.slice(n, 1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([float(_lengths(_ints(part.column(1)).reshape(-1, d)).max())])], ["ids", "comps", "reach"])
+
+    # Queries of like length share a block, so that the short ones are done with early.
+    near = asked.withColumn("norm2", F.aggregate("comps", F.lit(0.0), lambda a, c: a + c.cast("double") * c))
+    near = near.repartitionByRange(F.desc("norm2"), F.col("vec_id")).sortWithinPartitions(F.desc("norm2"), "vec_id")
+    groups = _blocks(near, chunk, d).mapInArrow(started, "ids array<long>, comps array<long>, start array<double>, longest double, least double")
+    groups = materialize(groups.withColumn("group", F.monotonically_increasing_id()), "groups")
+    dealt = materialize(_blocks(ranked, block, d).mapInArrow(measured, "ids array<long>, comps array<long>, reach double"), "blocks")
+
+    # Which query blocks a block of vectors can matter to: by Cauchy-Schwarz, from the longest vector and query.
+    limits = groups.select("group", "longest", "least")
+    limits = F.broadcast(limits) if limits.count() <= small else limits
+    wanted = dealt.join(limits, F.col("longest") * F.col("reach") * (1 + _SHARE) + _SLACK >= F.col("least")).select("group", "reach", F.lit(1).alias("side"), "ids", "comps", F.lit(None).cast("array<double>").alias("start"))
+    both = groups.select("group", F.lit(None).cast("double").alias("reach"), F.lit(0).alias("side"), "ids", "comps", "start").unionByName(wanted)
+    # A query block meets its blocks of vectors in lanes of about ``lane_blocks``, each from the longest down.
+    lanes = 1 + dealt.count() // lane_blocks
+    both = both.withColumn("lane", F.explode(F.when(F.col("side") == 0, F.sequence(F.lit(0), F.lit(lanes - 1))).otherwise(F.array(F.pmod(F.hash("ids"), F.lit(lanes))))))
+    both = both.repartition("group", "lane").sortWithinPartitions("group", "lane", "side", F.desc("reach"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rotation, search = held.value[0], None
+
+        def found() -> pa.RecordBatch:
+            own = np.repeat(search.ids, [len(b[0]) for b in search.best])
+            scores, hits = (np.concatenate([b[j] for b in search.best]) for j in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(hits), pa.array(scores)], ["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            for n in range(len(batch)):
+                part = batch.slice(n, 1)
+                ids, comps = _ints(part.column(3)), _ints(part.column(4)).reshape(-1, d)
+                if part.column(2)[0].as_py() == 0:
+                    if search is not None:
+                        yield found()
+                    search = _Search(ids, comps, _ints(part.column(5)), rotation, k, lead)
+                else:
+                    search.look(ids, comps)
+        if search is not None:
+            yield found()
+
+    hits = both.select("group", "reach", "side", "ids", "comps", "start").mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return union.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -17,7 +17,7 @@ def brute(rows, k=5):
     return sorted(want)
 
 
-@pytest.mark.parametrize("options", [{}, {"chunk": 3, "seeds": 4, "block": 7, "lead": 2}])
+@pytest.mark.parametrize("options", [{}, {"chunk": 3, "seeds": 4, "block": 7, "lead": 2}, {"chunk": 2, "small": 0}])
 def test_equals_brute_force(spark, sf, options):
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(vectors, **options).collect())
@@ -42,10 +42,19 @@ def test_task_of_several_sorted_files(spark, monkeypatch):
     rows = [(i, [2.0 ** (i % 40 / 4) * rng.gauss(0, 1) for _ in range(8)]) for i in range(1, 1201)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
 
-    def in_one_task(df, name="table", count=None, write=topk.materialize):
-        held = write(df, name, count)
+    def in_one_task(df, name="table", write=topk.materialize):
+        held = write(df, name)
         return write(held.repartitionByRange(8, "norm2").sortWithinPartitions(F.desc("norm2")).coalesce(1), name) if name == "vectors" else held
 
     monkeypatch.setattr(topk, "materialize", in_one_task)
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(vectors, seeds=200, block=16).collect())
     assert got == brute(rows)
+
+
+def test_scores_beyond_doubles_are_exact(spark):
+    """Large components whose scores differ in their last digits only."""
+    rng = random.Random(9)
+    rows = [(i, [1_000_003.0 + rng.randint(-3, 3) / 256 for _ in range(64)]) for i in range(1, 400)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(vectors, block=32).collect())
+    assert got == brute(rows) and got[0][3] > 2**61
