@@ -13,7 +13,8 @@ Beside it stands a unigram word score with the same training texts as a base.
 
 Scale: counting is one Arrow pass that merges counts in bounded arrays and then one
 aggregate on (kind, key); it covers every training text, and the tables grow with the
-corpus.  They are broadcast only behind a check of their counted rows; beyond
+corpus.  They are broadcast only behind a check of their counted rows (``small_grams``
+rows take up to 300 MB in each Python worker, with all shorter orders); beyond
 ``small_grams`` or ``small_words`` the same scores come from joins: a text's distinct
 grams meet the table of their order, and only those not found go on to the next
 shorter order.  Texts are processed in pieces of ``PIECE`` bytes, whole, whatever
@@ -37,10 +38,10 @@ from pyspark.sql import functions as F
 from quern.storage import materialize, spread
 
 SYMBOLS = 257
-PIECE = 1 << 20
+PIECE = 1 << 19
 GRAM, WORD = 0, 1
 #: Counts are merged in memory up to so many keys.
-HELD = 1 << 22
+HELD = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
@@ -161,94 +162,85 @@ def counts(texts: DataFrame, order: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-class Hash:
-    """Keys to positions, by open addressing in flat arrays."""
-
-    def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(len(keys) * 2).bit_length())
-        self.slots = np.full(1 << self.bits, -1, np.int32)
-        self.keys = keys
-        todo = np.arange(len(keys), dtype=np.int32)
-        slot = self._first(keys)
-        while len(todo):
-            free = self.slots[slot] < 0
-            self.slots[slot[free]] = todo[free]
-            lost = self.slots[slot] != todo
-            todo, slot = todo[lost], (slot[lost] + 1) & ((1 << self.bits) - 1)
-
-    def _first(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(_BASE)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The position of each key, or -1."""
-        slot = self._first(keys)
-        at = self.slots[slot]
-        if not len(self.keys):
-            return at
-        todo = np.flatnonzero((at >= 0) & (self.keys[at] != keys))
-        while len(todo):
-            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
-            at[todo] = self.slots[slot[todo]]
-            todo = todo[(at[todo] >= 0) & (self.keys[at[todo]] != keys[todo])]
-        return at
-
-
-def trie(keys: np.ndarray, n: np.ndarray, order: int) -> list[dict]:
-    """For each order 0..order: the grams' keys and counts and the contexts with their totals.
-
-    ``total`` and ``distinct`` are a context's own; ``rest_total`` and ``rest_distinct``
-    those of the next shorter context without the symbols that this one has shown.
-    """
-    levels: list[dict] = []
-    for k in range(order, -1, -1):
-        if k < order:
-            short, where = np.unique(keys % np.uint64(SYMBOLS ** (k + 1)), return_inverse=True)
-            below = np.bincount(where, n, len(short)).astype(np.int64)
-            above = levels[-1]
-            seen = np.bincount(above["of"], below[where].astype(float), len(above["contexts"])).astype(np.int64)
-            own = np.searchsorted(contexts_of := np.unique(short // np.uint64(SYMBOLS)), above["contexts"] % np.uint64(SYMBOLS**k))
-            of = np.searchsorted(contexts_of, short // np.uint64(SYMBOLS))
-            total, distinct = np.bincount(of, below, len(contexts_of)).astype(np.int64), np.bincount(of, minlength=len(contexts_of))
-            above["rest_total"], above["rest_distinct"] = total[own] - seen, distinct[own] - above["distinct"]
-            keys, n = short, below
-            levels.append({"keys": keys, "n": n, "contexts": contexts_of, "of": of, "total": total, "distinct": distinct})
-        else:
-            rank = np.argsort(keys)
-            keys, n = keys[rank], n[rank]
-            contexts, of = np.unique(keys // np.uint64(SYMBOLS), return_inverse=True)
-            levels.append({"keys": keys, "n": n, "contexts": contexts, "of": of, "total": np.bincount(of, n, len(contexts)).astype(np.int64), "distinct": np.bincount(of, minlength=len(contexts))})
-    bottom = levels[-1]
-    bottom["rest_total"] = np.zeros(len(bottom["contexts"]), np.int64)
-    bottom["rest_distinct"] = SYMBOLS - bottom["distinct"]
-    return levels[::-1]
+def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The position of each key in the sorted table, or -1."""
+    if not len(table):
+        return np.full(len(keys), -1, np.int64)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, at, -1)
+
+
+def _contexts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts of sorted grams, and each gram's own among them."""
+    short = keys // np.uint64(SYMBOLS)
+    first = np.concatenate([np.ones(min(1, len(keys)), bool), short[1:] != short[:-1]])
+    return short[first], (np.cumsum(first) - 1).astype(np.int32)
+
+
+def _shorter(keys: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The grams of order ``k`` with their counts, of those one order longer, and where each of these went."""
+    short = keys % np.uint64(SYMBOLS ** (k + 1))
+    rank = np.argsort(short, kind="stable").astype(np.int32)
+    short = short[rank]
+    first = np.concatenate([np.ones(min(1, len(short)), bool), short[1:] != short[:-1]])
+    where = np.empty(len(short), np.int32)
+    where[rank] = (np.cumsum(first) - 1).astype(np.int32)
+    below = np.add.reduceat(n[rank].astype(np.int64), np.flatnonzero(first)) if len(n) else np.zeros(0, np.int64)
+    return short[first], below, where
 
 
 class Model:
-    """A trie ready for look-ups: log10 of each symbol's probability."""
+    """A trie of the contexts of order 0 to ``order``, ready for look-ups: log10 of each symbol's probability.
+
+    Each order has its sorted grams with log10 of their count and of their share of the own
+    context, and its sorted contexts with the logs that an escape costs: from the context itself
+    (``escape``), and from it after a longer one has excluded the symbols that it has shown
+    (``log_rest``, ``rest_escape``, kept with the longer one).  Two orders at most are held as
+    counts while it is built, and look-ups are binary searches in sorted arrays, so a gram
+    takes 16 bytes and a context 32.
+    """
 
     def __init__(self, keys: np.ndarray, n: np.ndarray, order: int):
         self.order = order
-        self.levels = []
-        for level in trie(keys, n, order):
-            own = level["total"] + level["distinct"]
-            den = level["rest_total"] + level["rest_distinct"]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                self.levels.append({
-                    "grams": Hash(level["keys"]), "contexts": Hash(level["contexts"]),
-                    "log_n": np.log10(level["n"]).astype(np.float32), "hit": (np.log10(level["n"]) - np.log10(own[level["of"]])).astype(np.float32),
-                    "log_own": np.log10(own), "escape": np.log10(level["distinct"] / own),
-                    "log_rest": np.log10(den), "rest_escape": np.where(den > 0, np.log10(level["rest_distinct"] / den), 0.0),
-                })
+        if np.any(keys[1:] < keys[:-1]):
+            rank = np.argsort(keys)
+            keys, n = keys[rank], n[rank]
+        levels, upper = [], None
+        for k in range(order, -1, -1):
+            if upper is not None:
+                keys, n, where = _shorter(keys, n, k)
+            contexts, of = _contexts(keys)
+            total, distinct = np.bincount(of, n, len(contexts)), np.bincount(of, minlength=len(contexts))
+            if upper is not None:
+                own = np.searchsorted(contexts, levels[-1]["contexts"] % np.uint64(SYMBOLS**k))
+                seen = np.bincount(upper["of"], n[where], len(upper["distinct"]))
+                levels[-1] |= self._rest(total[own] - seen, distinct[own] - upper["distinct"])
+            log_own = np.log10(total + distinct)
+            log_n = np.log10(n).astype(np.float32)
+            levels.append({"keys": keys, "contexts": contexts, "log_n": log_n, "hit": (log_n - log_own[of]).astype(np.float32), "escape": np.log10(distinct) - log_own})
+            upper = {"of": of, "distinct": distinct}
+        levels[-1] |= self._rest(np.zeros(len(upper["distinct"])), SYMBOLS - upper["distinct"])
+        self.levels = levels[::-1]
+
+    @staticmethod
+    def _rest(total: np.ndarray, distinct: np.ndarray) -> dict[str, np.ndarray]:
+        den = total + distinct
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return {"log_rest": np.log10(den), "rest_escape": np.where(den > 0, np.log10(distinct / den), 0.0)}
 
     def score(self, keys: np.ndarray) -> np.ndarray:
         """log10 of the probability of each (order + 1)-gram's last symbol in its context."""
+        each, where = np.unique(keys, return_inverse=True)
+        return self._score(each)[where]
+
+    def _score(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys))
         left = np.arange(len(keys))
         above = np.full(len(keys), -1, np.int64)  # the context one order up, if seen
         for k in range(self.order, -1, -1):
             level, upper = self.levels[k], self.levels[k + 1] if k < self.order else None
             short = keys if k == self.order else keys % np.uint64(SYMBOLS ** (k + 1))
-            gram = level["grams"].find(short)
+            gram = _find(level["keys"], short)
             hit = gram >= 0
             fresh = above < 0
             out[left[hit & fresh]] += level["hit"][gram[hit & fresh]]
@@ -258,14 +250,14 @@ class Model:
             left, keys, above, fresh, short = left[~hit], keys[~hit], above[~hit], fresh[~hit], short[~hit]
             if not len(left):
                 return out
-            context = level["contexts"].find(short // np.uint64(SYMBOLS)).astype(np.int64)
+            context = _find(level["contexts"], short // np.uint64(SYMBOLS))
             new, old = fresh & (context >= 0), ~fresh
             out[left[new]] += level["escape"][context[new]]
             if upper is not None:
                 out[left[old]] += upper["rest_escape"][above[old]]
             above = context
-        never = np.where(above >= 0, self.levels[0]["log_rest"][above] if len(self.levels[0]["log_rest"]) else 0.0, math.log10(SYMBOLS))
-        out[left] -= never
+        bottom = self.levels[0]["log_rest"]
+        out[left] -= np.where(above >= 0, bottom[above], math.log10(SYMBOLS)) if len(bottom) else math.log10(SYMBOLS)
         return out
 
 
@@ -419,8 +411,9 @@ def score_corpus(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = held.value
-        if "model" not in data:
-            data["model"] = Model(*data.pop("grams"), order)
+        if "model" not in data:  # one model a worker process; the counts go once it stands
+            data["model"] = Model(*data["grams"], order)
+            data["grams"] = None
         for batch in batches:
             got = score_texts(((t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(2)), data["model"], data["words"], total)
             columns = [pa.array(x, t) for x, t in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)] if got else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
