@@ -41,6 +41,34 @@ def test_stages_against_brute_force(spark, sf):
     assert decontaminate.contaminated_pairs(held[4], items).count() == 0
 
 
+def test_near_copies_are_found(spark):
+    """Recall of texts of a Jaccard similarity of 0.8 or more against brute force, over all documents of sf0.01 and of edited copies."""
+    import random
+
+    from quern.llm import simhash
+
+    rng = random.Random(4)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    for i, text in list(rows)[::3]:
+        words = (text or "").split()
+        if 40 <= len(words) <= 2000:
+            for at in rng.sample(range(len(words)), max(1, len(words) // 60)):
+                words[at] = f"edit{rng.randrange(10**6)}"
+            rows.append((100_000 + i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = {r.k: r.text for r in docs.selectExpr("xxhash64(coalesce(text, '')) as k", "text").distinct().collect()}
+    sets = {k: word_shingles(t) for k, t in keys.items() if len((t or "").split()) >= 5}
+    holders: dict = {}
+    for k, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    met = {(a, b) for held in holders.values() for a in held for b in held if a < b}
+    want = {(a, b) for a, b in met if similar(sets[a], sets[b])}
+    got = {tuple(sorted((r.a, r.b))) for r in simhash.similar_texts(docs).collect()}
+    print("near copies", len(want), "found", len(want & got))
+    assert len(want) > 150 and got <= want and len(want & got) >= 0.95 * len(want)
+
+
 def test_empty_documents(spark, sf, tmp_path):
     import os
 
