@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators.retrieval import cosine_to, tfidf
+from quern.storage import materialize
 
 
 def pool_sentences(pool: DataFrame) -> DataFrame:
@@ -25,21 +26,32 @@ def _numbered(pool: DataFrame) -> DataFrame:
     return pool_sentences(pool).withColumn("uid", F.col("rank").cast("long") * 1_000_000 + F.col("at"))
 
 
-def relevance(pool: DataFrame, queries: DataFrame) -> DataFrame:
-    """qid, uid, rank, at, sentence, relevance: cosine of TF-IDF vectors to the query; 0 without a shared term."""
-    rows = _numbered(pool)
+def _weighed(pool: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A pool's numbered sentences, and the TF-IDF weights of them and of the queries."""
+    rows = materialize(_numbered(pool), "sentences")
     texts = rows.select(F.col("qid").alias("gid"), "uid", F.col("sentence").alias("text")).unionByName(queries.select(F.col("qid").alias("gid"), F.lit(-1).cast("long").alias("uid"), "text"))
-    scores = cosine_to(tfidf(texts)).withColumnRenamed("gid", "qid")
+    return rows, materialize(tfidf(texts), "weights")
+
+
+def _relevant(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    scores = cosine_to(weights).withColumnRenamed("gid", "qid")
     return rows.join(scores, ["qid", "uid"], "left").withColumn("relevance", F.coalesce("cosine", F.lit(0.0))).drop("cosine")
 
 
+def relevance(pool: DataFrame, queries: DataFrame) -> DataFrame:
+    """qid, uid, rank, at, sentence, relevance: cosine of TF-IDF vectors to the query; 0 without a shared term."""
+    return _relevant(*_weighed(pool, queries))
+
+
 def budget(context_length: int = 32768, ratio: float = 0.4, least: int = 5) -> int:
     """How many sentences a context takes."""
     return max(least, int(context_length * ratio / 200))
 
 
-def _picks(relevance: np.ndarray, vectors: np.ndarray, weight: float, most: int) -> list[int]:
-    """Greedy picks; ties go to the earlier sentence."""
+def _picks(relevance: np.ndarray, rows: list[tuple[list[int], list[float]]], n_terms: int, weight: float, most: int) -> list[int]:
+    """Greedy picks among rows of (term numbers, weights); ties go to the earlier row."""
+    at = np.repeat(np.arange(len(rows)), [len(terms) for terms, _ in rows])
+    terms, values = (np.array([x for row in rows for x in row[i]], kind) for i, kind in ((0, np.int64), (1, float)))
     left = np.ones(len(relevance), bool)
     nearest = np.full(len(relevance), -np.inf)
     picked: list[int] = []
@@ -48,26 +60,25 @@ def _picks(relevance: np.ndarray, vectors: np.ndarray, weight: float, most: int)
         best = int(np.argmax(np.where(left, gain, -np.inf)))
         picked.append(best)
         left[best] = False
-        nearest = np.maximum(nearest, vectors @ vectors[best])
+        chosen = np.zeros(n_terms + 1)
+        chosen[rows[best][0]] = rows[best][1]
+        nearest = np.maximum(nearest, np.bincount(at, values * chosen[terms], len(relevance)))
     return picked
 
 
 def mmr(pool: DataFrame, queries: DataFrame, *, weight: float = 0.7, context_length: int = 32768, ratio: float = 0.4, least: int = 5) -> DataFrame:
     """qid, pick (from 0), rank, at, sentence: the sentences picked, each with its turn."""
-    rows = relevance(pool, queries)
-    texts = rows.select(F.col("qid").alias("gid"), "uid", F.col("sentence").alias("text")).unionByName(queries.select(F.col("qid").alias("gid"), F.lit(-1).cast("long").alias("uid"), "text"))
-    weights = tfidf(texts).groupBy("gid", "uid").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
+    rows, weights = _weighed(pool, queries)
+    rows = _relevant(rows, weights)
+    weights = weights.groupBy("gid", "uid").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
     full = rows.join(weights.withColumnRenamed("gid", "qid"), ["qid", "uid"], "left")
     most = budget(context_length, ratio, least)
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("uid").reset_index(drop=True)
-        names = {t: i for i, t in enumerate(sorted({t for ts in group["terms"] if ts is not None for t in ts}))}
-        vectors = np.zeros((len(group), max(1, len(names))))
-        for i, (terms, values) in enumerate(zip(group["terms"], group["weights"], strict=True)):
-            if terms is not None:
-                vectors[i, [names[t] for t in terms]] = values
-        chosen = _picks(group["relevance"].to_numpy(), vectors, weight, most)
+        names: dict[str, int] = {}
+        lists = [([names.setdefault(t, len(names)) for t in terms], list(values)) if terms is not None else ([], []) for terms, values in zip(group["terms"], group["weights"], strict=True)]
+        chosen = _picks(group["relevance"].to_numpy(), lists, len(names), weight, most)
         return group.loc[chosen, ["qid", "rank", "at", "sentence"]].assign(pick=np.arange(len(chosen), dtype=np.int32))
 
     kind = rows.schema["qid"].dataType.simpleString()

@@ -1,16 +1,19 @@
 """Ranked retrieval for whole tables of queries: BM25, recency, full-text search, TF-IDF, re-ranking.
 
 Inputs are ``docs(doc_id, content)`` and ``queries(qid, text)``; results are rows of
-(qid, rank from 0, doc_id, score) with explicit ties.  Tokens are counted where they
-stand: document frequencies take one partial aggregate over each document's distinct
-tokens, and only tokens of some query are carried further, so no (document, term)
-table of the whole corpus is ever shuffled.
+(qid, rank from 0, doc_id, score) with explicit ties.  A document is scored where it
+stands: document frequencies and sizes take one pass with a partial aggregate, and a
+second pass joins each document's tokens with the broadcast terms of all queries and keeps
+the best k of each query and task, so what is shuffled is k rows a query and task, and
+neither (document, term) nor (query, document) pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,51 +46,146 @@ def document_frequencies(tokens: DataFrame) -> DataFrame:
     return tokens.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def bm25_scores(
-    docs: DataFrame, queries: DataFrame, *, tokens: Callable[[Column], Column] = T.ws_tokens, query_tokens: Callable[[Column], Column] | None = None,
-    k1: float = 1.5, b: float = 0.75, epsilon: float | None = 0.25, idf_floor: float = 1e-6,
+def _weights(
+    words: DataFrame, queries: DataFrame, asks: Callable[[Column], Column], epsilon: float | None, idf_floor: float,
+) -> tuple[DataFrame, float]:
+    """qid, term, qtf, idf of every query's terms that the corpus holds, and the mean length of ``words(w)``."""
+    asked = materialize(queries.select("qid", F.explode(asks(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")), "terms")
+    # A row without a term for each document counts the documents and their tokens in the same pass.
+    none = F.lit(None).cast("string")
+    each = words.select(F.size("w").alias("dl"), F.explode(F.concat(F.array(none), F.array_distinct("w"))).alias("term"))
+    if epsilon is None:
+        wanted = asked.select("term").distinct().union(asked.sparkSession.range(1).select(none.alias("term")))
+        each = each.join(small(wanted.withColumnRenamed("term", "wanted")), F.col("term").eqNullSafe(F.col("wanted")), "left_semi")
+    counted = materialize(each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("total")), "frequencies")
+    size = counted.filter("term is null").select(F.col("df").alias("n"), "total").first() or {"n": 0, "total": 0}
+    frequencies = counted.filter("term is not null")
+    raw = F.ln((F.lit(float(size["n"])) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.when(raw <= 0, F.lit(idf_floor)).otherwise(raw)
+    if epsilon is not None:
+        mean = frequencies.agg(F.avg(raw)).first()[0] or 0.0
+        idf = F.when(raw < 0, F.lit(epsilon * mean)).otherwise(raw)
+    return asked.join(frequencies.select("term", idf.alias("idf")), "term"), (size["total"] or 0) / max(size["n"] or 0, 1) or 1.0
+
+
+class _Best:
+    """The k best documents of each query, by score and then id; rows come in any order and are cut back now and then."""
+
+    def __init__(self, queries: int, k: int, larger_ids: bool, hold: int = 1 << 18):
+        self.k, self.sign, self.hold = k, -1 if larger_ids else 1, max(hold, 2 * queries * k)
+        self.floor = np.full(queries, -np.inf)
+        self.rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, query: np.ndarray, doc: np.ndarray, score: np.ndarray) -> None:
+        good = score >= self.floor[query]
+        self.rows.append((query[good], doc[good], score[good]))
+        self.size += int(good.sum())
+        if self.size > self.hold:
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        query, doc, score = (np.concatenate(x) for x in zip(*self.rows, strict=True)) if self.rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        order = np.lexsort((self.sign * doc, -score, query))
+        query, doc, score = query[order], doc[order], score[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        kept = place < self.k
+        query, doc, score, place = query[kept], doc[kept], score[kept], place[kept]
+        full = place == self.k - 1
+        self.floor[query[full]] = score[full]
+        self.rows, self.size = [(query, doc, score)], len(query)
+        return query, doc, score
+
+
+def _in_place(hits: DataFrame, weights: pa.Table, terms: dict, k: int, larger_ids: bool, avgdl: float, k1: float, b: float) -> DataFrame:
+    """qid, doc_id, score: of each task the k best documents of each query; ``hits(doc, doc_id, dl, term, factor)`` have a document's rows together."""
+    qids, number = np.unique(weights.column("qid").to_numpy(), return_inverse=True)
+    of_term = np.array([terms[t] for t in weights.column("term").to_pylist()], np.int64)
+    order = np.argsort(of_term, kind="stable")
+    weight = weights.column("qtf").to_numpy() * weights.column("idf").to_numpy() * (k1 + 1)
+    starts = np.searchsorted(of_term[order], np.arange(len(terms) + 1))
+    held = hits.sparkSession.sparkContext.broadcast((qids, starts, number[order], weight[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, starts, query_of, weight_of = held.value
+        best = _Best(len(qids), k, larger_ids)
+        kept = None
+
+        def score(doc: np.ndarray, doc_id: np.ndarray, dl: np.ndarray, term: np.ndarray, factor: np.ndarray) -> None:
+            first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+            at = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]).astype(np.int64)]))
+            pair, tf = np.unique(at * len(starts) + term, return_counts=True)
+            at, term = pair // len(starts), pair % len(starts)
+            part = tf / (tf + k1 * (1 - b + b * dl[first][at] / avgdl))
+            n = starts[term + 1] - starts[term]
+            where = np.repeat(starts[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            pair, slot = np.unique(np.repeat(at, n) * len(qids) + query_of[where], return_inverse=True)
+            total = np.bincount(slot, np.repeat(part, n) * weight_of[where], len(pair))
+            at = pair // len(qids)
+            best.add(pair % len(qids), doc_id[first][at], np.floor(total * factor[first][at] * 1e6 + 0.5) / 1e6)
+
+        for batch in _ended(batches):
+            columns = [] if batch is None else [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if kept is not None:
+                columns = [np.concatenate(x) for x in zip(kept, columns, strict=True)] if columns else kept
+            if not columns or not len(columns[0]):
+                continue
+            cut = len(columns[0]) if batch is None else int(np.searchsorted(columns[0] == columns[0][-1], True))  # the last document may go on
+            if cut:
+                score(*[c[:cut] for c in columns])
+            kept = [c[cut:] for c in columns]
+        query, doc, total = best.cut()
+        yield pa.RecordBatch.from_arrays([pa.array(qids[query]), pa.array(doc.astype(np.int64)), pa.array(total.astype(float))], ["qid", "doc_id", "score"])
+
+    return hits.select("doc", "doc_id", "dl", "term", "factor").mapInArrow(run, "qid long, doc_id long, score double")
+
+
+def _ended(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
+
+
+def bm25_best(
+    docs: DataFrame, queries: DataFrame, k: int, *, tokens: Callable[[Column], Column] = T.ws_tokens, query_tokens: Callable[[Column], Column] | None = None,
+    k1: float = 1.5, b: float = 0.75, epsilon: float | None = 0.25, idf_floor: float = 1e-6, factor: Column | None = None, larger_ids: bool = False, limit: int = SMALL,
 ) -> DataFrame:
-    """qid, doc_id, score of all pairs that share a term; repeated query terms count each time.
+    """qid, doc_id, score (quantised): among others the k best documents of each query that share a term with it, ties to the smaller id or the larger.
 
-    With ``epsilon`` a negative idf becomes epsilon times the mean idf of the vocabulary,
-    without it any idf of zero or less becomes ``idf_floor``.
+    Repeated query terms count each time.  With ``epsilon`` a negative idf becomes epsilon times
+    the mean idf of the vocabulary, without it any idf of zero or less becomes ``idf_floor``.
+    ``factor`` multiplies a document's scores.  Ids are integers; rows without one are left out.
+    Documents are scored where they stand if the queries have at most ``limit`` (query, term)
+    pairs, which are broadcast; beyond, terms and pairs are joined by shuffle.
     """
-    words = spread(docs.select("doc_id", "content")).select("doc_id", tokens(F.col("content")).alias("w"))
-    asked = queries.select("qid", F.explode((query_tokens or tokens)(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    asked = materialize(asked, "terms")
-    terms = small(asked.select("term").distinct())
-    frequencies = document_frequencies(words)
-    size = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl")).first()
-    raw = F.ln((F.lit(float(size.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    frequencies = frequencies.withColumn("idf", raw)
-    if epsilon is not None:
-        frequencies = materialize(frequencies, "frequencies")
-        mean = frequencies.agg(F.avg("idf")).first()[0] or 0.0
-        idf = F.when(F.col("idf") < 0, F.lit(epsilon * mean)).otherwise(F.col("idf"))
-    else:
-        idf = F.when(F.col("idf") <= 0, F.lit(idf_floor)).otherwise(F.col("idf"))
-    weighed = asked.join(small(frequencies.join(terms, "term").select("term", idf.alias("idf"))), "term")
-    hits = (
-        words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(terms, "term")
-        .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
+    factor = F.lit(1.0) if factor is None else factor
+    words = spread(docs.filter("doc_id is not null").select("doc_id", "content", factor.cast("double").alias("factor"))).select("doc_id", "factor", tokens(F.col("content")).alias("w"))
+    weighed, avgdl = _weights(words, queries, query_tokens or tokens, epsilon, idf_floor)
+    weighed = materialize(weighed, "weights")
+    held = words.withColumn("doc", F.monotonically_increasing_id()).select("doc", F.col("doc_id").cast("long").alias("doc_id"), F.size("w").alias("dl"), "factor", F.explode("w").alias("term"))
+    if weighed.count() <= limit:
+        got = weighed.select(F.col("qid").cast("long").alias("qid"), "term", "qtf", "idf").toArrow()
+        names = {t: i for i, t in enumerate(sorted(set(got.column("term").to_pylist())))}
+        table = docs.sparkSession.createDataFrame(pa.table({"term": pa.array(list(names), pa.string()), "number": pa.array(range(len(names)), pa.int32())}), "term string, number int")
+        hits = held.join(F.broadcast(table), "term").drop("term").withColumnRenamed("number", "term")
+        return _in_place(hits, got, names, k, larger_ids, avgdl, k1, b)
+    hits = held.join(weighed.select("term").distinct(), "term").groupBy("doc", "doc_id", "dl", "factor", "term").agg(F.count(F.lit(1)).alias("tf"))
     tf = F.col("tf")
-    part = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.lit(size.avgdl or 1.0)))
-    return hits.join(small(weighed), "term").groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
+    part = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
+    scored = hits.join(weighed, "term").groupBy("qid", "doc", "doc_id", "factor").agg(F.sum(part).alias("score"))
+    return scored.select("qid", "doc_id", T.quantised(F.col("score") * F.col("factor")).alias("score"))
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, years: DataFrame | None = None, alpha: float = 0.3, **options) -> DataFrame:
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, year: Column | None = None, alpha: float = 0.3, **options) -> DataFrame:
     """Top k by quantised score, ties to the greater doc_id; documents without a shared term fill up with score 0.
 
-    With ``years(doc_id, year)`` scores are raised by up to ``alpha`` for recency; no year, no change.
+    With ``year``, an expression over ``docs``, scores are raised by up to ``alpha`` for recency; no year, no change.
     """
-    scored = bm25_scores(docs, queries, **options)
-    if years is not None:
-        span = years.agg(F.min("year"), F.max("year")).first()
+    factor = None
+    if year is not None:
+        span = docs.agg(F.min(year), F.max(year)).first()
         low, width = span[0] or 0, max((span[1] or 0) - (span[0] or 0), 1)
-        raised = 1 + F.coalesce(alpha * (F.col("year") - low) / width, F.lit(0.0))
-        scored = scored.join(years, "doc_id", "left").select("qid", "doc_id", (F.col("score") * raised).alias("score"))
-    scored = scored.withColumn("score", T.quantised(F.col("score")))
+        factor = 1 + F.coalesce(alpha * (year - low) / width, F.lit(0.0))
+    scored = bm25_best(docs, queries, k, factor=factor, larger_ids=True, **options)
     # 2k documents of the greatest ids hold k that a query with fewer than k hits has not hit.
     last = docs.select("doc_id").orderBy(F.desc("doc_id")).limit(2 * k)
     filler = queries.select("qid", F.explode(F.array(*[F.lit(r.doc_id) for r in last.collect()])).alias("doc_id")).withColumn("score", F.lit(0.0))
@@ -95,12 +193,12 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, years: DataFrame
     return top(pool, k, F.desc("doc_id")).select("qid", "rank", "doc_id", "score")
 
 
-def search_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def search_topk(docs: DataFrame, queries: DataFrame, k: int = 10, **options) -> DataFrame:
     """Full-text OR search: words of more than three letters or digits, BM25 with k1 1.2; only documents that match."""
     words = lambda x: F.regexp_extract_all(F.lower(T.empty_if_null(x)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     asked = lambda x: F.filter(F.split(F.lower(T.fts_query(x)), " or "), lambda w: w != "")
-    scored = bm25_scores(docs, queries, tokens=words, query_tokens=asked, k1=1.2, epsilon=None)
-    return top(scored.withColumn("score", T.quantised(F.col("score"))), k, F.asc("doc_id")).select("qid", "rank", "doc_id", "score")
+    scored = bm25_best(docs, queries, k, tokens=words, query_tokens=asked, k1=1.2, epsilon=None, **options)
+    return top(scored, k, F.asc("doc_id")).select("qid", "rank", "doc_id", "score")
 
 
 def tfidf(texts: DataFrame, *, max_n: int = 2, max_features: int = 10_000) -> DataFrame:
@@ -110,13 +208,15 @@ def tfidf(texts: DataFrame, *, max_n: int = 2, max_features: int = 10_000) -> Da
     ``max_features`` most frequent of a corpus stay (ties by term).  Weights are
     tf * (ln((1 + n) / (1 + df)) + 1), of unit length.
     """
-    words = texts.select("gid", "uid", T.unicode_tokens(F.col("text")).alias("w"))
+    words = materialize(texts.select("gid", "uid", T.unicode_tokens(F.col("text")).alias("w")), "words")
     grams = F.flatten(F.array(*[T.ngrams(F.col("w"), n) for n in range(1, max_n + 1)]))
     tf = words.select("gid", "uid", F.explode(grams).alias("term")).groupBy("gid", "uid", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = materialize(tf, "tf")
     per_term = tf.groupBy("gid", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     kept = per_term.withColumn("k", F.row_number().over(Window.partitionBy("gid").orderBy(F.desc("cf"), "term"))).filter(F.col("k") <= max_features)
-    sizes = texts.groupBy("gid").agg(F.count(F.lit(1)).alias("n"))
+    sizes = words.groupBy("gid").agg(F.count(F.lit(1)).alias("n"))
     raw = tf.join(kept.select("gid", "term", "df"), ["gid", "term"]).join(sizes, "gid").withColumn("raw", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    raw = materialize(raw.select("gid", "uid", "term", "raw"), "raw")
     norms = raw.groupBy("gid", "uid").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return raw.join(norms, ["gid", "uid"]).select("gid", "uid", "term", (F.col("raw") / F.col("norm")).alias("weight"))
 

@@ -47,11 +47,11 @@ class Pipeline:
     def retrieve(self, queries: DataFrame) -> DataFrame:
         """qid, rank, doc_id and the documents' columns."""
         s, named = self.settings, self.docs
-        years = self.docs.select("doc_id", "year") if s.alpha and "year" in self.docs.columns else None
-        corpus = named.select("doc_id", F.concat_ws(" ", "title", "content").alias("content"))
+        dated = bool(s.alpha) and "year" in named.columns
+        corpus = named.select("doc_id", F.concat_ws(" ", "title", "content").alias("content"), *["year"] * dated)
         pools = {}
         if s.mode in ("bm25", "fused"):
-            pools["bm25"] = retrieval.bm25_topk(corpus, queries, s.pool, years=years, alpha=s.alpha)
+            pools["bm25"] = retrieval.bm25_topk(corpus, queries, s.pool, year=F.col("year") if dated else None, alpha=s.alpha)
         if s.mode in ("search", "fused"):
             pools["search"] = retrieval.search_topk(corpus, queries, s.pool)
         if len(pools) == 1:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
@@ -24,8 +24,8 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
-def _years(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.when(F.col("doc_id") % 7 != 0, (1990 + F.col("doc_id") % 30).cast("int")).alias("year"))
+def _year() -> Column:
+    return F.when(F.col("doc_id") % 7 != 0, (1990 + F.col("doc_id") % 30).cast("int"))
 
 
 _Q = "q AS (SELECT item_id AS qid, text FROM benchmark)"
@@ -90,8 +90,7 @@ m AS (SELECT min(year) AS low, greatest(max(year) - min(year), 1) AS width FROM
 cy AS (SELECT qid, doc_id, floor(score * (1 + coalesce(0.3 * (year - low) / width, 0.0)) * 1e6 + 0.5) / 1e6 AS score FROM cs JOIN y USING (doc_id), m),
 {_filled('cy', 10, 'c10')} {_RANKED.format('c10')}""")
 def bm25_recency_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    return retrieval.bm25_topk(docs, _queries(spark, sf_dir), 10, years=_years(docs))
+    return retrieval.bm25_topk(_docs(spark, sf_dir), _queries(spark, sf_dir), 10, year=_year())
 
 
 @register("fts_bm25_topk", f"WITH {_Q}, {_D}, {_F}, {_searched('fs', 10, 'f10')} {_RANKED.format('f10')}")
@@ -278,7 +277,7 @@ def pmid_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     docs = _docs(spark, sf_dir)
-    years = _years(docs)
+    years = docs.select("doc_id", _year().alias("year"))
     span = years.agg(F.min("year"), F.max("year")).first()
     width = max((span[1] or 0) - (span[0] or 0), 1)
     pool = retrieval.bm25_topk(docs, _queries(spark, sf_dir), 30).filter("score > 0").join(years, "doc_id")

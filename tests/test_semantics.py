@@ -97,6 +97,23 @@ def test_bm25_by_hand(spark):
     assert {r.doc_id for r in top2} <= set(got) and len(top2) == 2
 
 
+@pytest.mark.parametrize("larger", [True, False])
+def test_bm25_in_place_and_by_joins(spark, larger, monkeypatch):
+    """Both ways give the same best documents, with ties, documents longer than a batch, and lists cut back often."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 30)))) for i in range(300)] + [(1000 + i, rows_) for i, rows_ in enumerate(["w1 w2"] * 30)] + [(2000, " ".join(rng.choice(words, 20_000))), (None, "w1"), (2001, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, content string").repartition(5)
+    queries = spark.createDataFrame([(i, " ".join(rng.choice(words, 4))) for i in range(30)] + [(50, "none"), (51, ""), (52, None)], "qid long, text string")
+    monkeypatch.setattr(retrieval._Best, "__init__", lambda self, n, k, larger, hold=0, make=retrieval._Best.__init__: make(self, n, k, larger, 50))
+    tie = F.desc("doc_id") if larger else F.asc("doc_id")
+    best = lambda limit: {(r.qid, r["rank"]): (r.doc_id, r.score) for r in retrieval.top(retrieval.bm25_best(docs, queries, 7, larger_ids=larger, limit=limit), 7, tie).collect()}
+    there, joined = best(1_000_000), best(0)
+    assert {k: v[0] for k, v in there.items()} == {k: v[0] for k, v in joined.items()} and len(there) == 210
+    assert all(there[k][1] == pytest.approx(joined[k][1], abs=2e-6) for k in there)
+    assert retrieval.bm25_topk(docs.filter("false"), queries, 3).count() == 0
+
+
 def test_per_class_domains(spark):
     rows = [("A", "A")] * 3 + [("A", "B"), ("B", "C"), ("B", "B")]
     records = spark.createDataFrame(rows, "gt string, pred string")
@@ -191,12 +208,13 @@ def test_picks_are_greedy():
     v = rng.random((20, 6))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     rel = rng.random(20)
-    assert compress._picks(rel, v, 1.0, 5) == np.argsort(-rel)[:5].tolist()
+    rows = [(list(range(6)), x.tolist()) for x in v]
+    assert compress._picks(rel, rows, 6, 1.0, 5) == np.argsort(-rel)[:5].tolist()
     picked = [int(np.argmax(rel))]
     while len(picked) < 6:
         gain = [-9 if i in picked else 0.7 * rel[i] - 0.3 * max(v[i] @ v[p] for p in picked) for i in range(20)]
         picked.append(int(np.argmax(gain)))
-    assert compress._picks(rel, v, 0.7, 6) == picked
+    assert compress._picks(rel, rows, 6, 0.7, 6) == picked
     assert compress.budget() == 65 and compress.budget(25000) == 50 and compress.budget(100) == 5
 
 
