@@ -41,6 +41,27 @@ def load_bioasq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.from_bioasq(rows).select("id", "answer", "label")
 
 
+@register("load_mmlu", "SELECT item_id AS id, chr(CAST(65 + item_id % 4 AS INTEGER)) AS answer, CAST(4 AS INTEGER) AS n_options FROM benchmark")
+def load_mmlu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"), F.array(*[F.lit(x) for x in ("one", "two", "three", "four")]).alias("choices"), (F.col("item_id") % 4).cast("int").alias("answer"))
+    return D.from_mmlu(rows).select("id", "answer", F.size("options").alias("n_options"))
+
+
+@register("load_medqa_nested", "SELECT item_id AS id, CASE item_id % 3 WHEN 0 THEN 'B' WHEN 1 THEN 'two' ELSE '' END AS answer, CAST(2 AS INTEGER) AS n_options FROM benchmark")
+def load_medqa_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("item_id")
+    rows = table(spark, sf_dir, "benchmark").select(i.alias("id"), F.col("text").alias("question"), F.create_map(F.lit("A"), F.lit("one"), F.lit("B"), F.lit("two")).alias("options"), F.when(i % 3 == 0, "B").alias("answer_idx"), F.when(i % 3 == 1, "two").alias("answer"))
+    return D.from_medqa_nested(rows).select("id", "answer", F.size("options").alias("n_options"))
+
+
+@register("load_bioasq_any", "SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_type = 'click' THEN 'A' ELSE 'B' END AS answer, event_id % 3 = 0 AS open FROM events")
+def load_bioasq_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    kind = F.when(F.col("event_type") == "click", "yes").otherwise(F.col("event_type"))
+    rows = table(spark, sf_dir, "events").select(i.alias("id"), F.lit("?").alias("body"), F.when(i % 3 == 0, "summary").when(i % 3 == 1, "yesno").alias("type"), kind.alias("exact_answer"), F.col("event_type").alias("ideal_answer"))
+    return D.from_bioasq_any(rows).select("id", "answer", F.col("options").isNull().alias("open"))
+
+
 @register("load_medchangeqa", """WITH x AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'REFUTED' WHEN 2 THEN 'NOT ENOUGH INFORMATION' END AS l FROM benchmark)
 SELECT 'q_' || (row_number() OVER (ORDER BY item_id) - 1) AS id, CASE l WHEN 'SUPPORTED' THEN 'A' WHEN 'REFUTED' THEN 'B' ELSE 'C' END AS answer, l AS label FROM x WHERE l IS NOT NULL""")
 def load_medchangeqa(spark: SparkSession, sf_dir: str) -> DataFrame:

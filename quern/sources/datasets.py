@@ -84,6 +84,108 @@ def from_healthfc(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.col("en_claim").alias("question"), _fixed("True", "False", "Mixture").alias("options"), letter.alias("answer"))
 
 
+def from_medqa_nested(rows: DataFrame) -> DataFrame:
+    """rows: id, question, options (map), answer_idx, answer.  The key as given, else the answer's text."""
+    return rows.select("id", "question", "options", F.coalesce("answer_idx", "answer", F.lit("")).alias("answer"))
+
+
+def from_bioasq_any(rows: DataFrame) -> DataFrame:
+    """rows: id, body, type, exact_answer, ideal_answer.  All questions: yes-no ones with options, others with the ideal answer and none."""
+    yesno = F.coalesce("type", F.lit("yesno")) == "yesno"
+    no_options = F.lit(None).cast("map<string,string>")
+    answer = F.when(yesno, F.when(F.coalesce("exact_answer", F.lit("yes")) == "yes", "A").otherwise("B")).otherwise(F.coalesce("ideal_answer", F.lit("")))
+    return rows.select("id", F.coalesce("body", F.lit("")).alias("question"), F.when(yesno, _fixed("yes", "no")).otherwise(no_options).alias("options"), answer.alias("answer"), F.coalesce("type", F.lit("yesno")).alias("type"))
+
+
+# --- Files ---------------------------------------------------------------------------------------
+
+#: The subjects of the medical part of MMLU.
+MMLU_SUBJECTS = ("anatomy", "clinical_knowledge", "college_biology", "college_medicine", "medical_genetics", "professional_medicine")
+
+
+def _lines(spark: SparkSession, path: str, fields: str) -> DataFrame:
+    """The file's lines as records of ``fields``, with ``ord``, the line's number from 0; lines that are no such object are left out.
+
+    Benchmark files have some thousand lines, so that one task numbers them.
+    """
+    place = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+    lines = spark.read.text(path).select("value", *[c.alias(f"_{i}") for i, c in enumerate(place)])
+    numbered = lines.select("value", (F.row_number().over(Window.orderBy("_0", "_1", "_2")) - 1).alias("ord"))
+    return numbered.select("ord", F.from_json("value", fields).alias("r")).select("ord", "r.*")
+
+
+def _limited(rows: DataFrame, most: int | None) -> DataFrame:
+    """The records of the first ``most`` lines."""
+    return rows if most is None else rows.filter(F.col("ord") < most)
+
+
+def _id(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("id", F.coalesce(F.col("id"), F.col("ord").cast("string")))
+
+
+def read_medqa(spark: SparkSession, path: str, count: int | None = None) -> DataFrame:
+    """MedQA from JSON lines, options under their letters or nested under ``options``; an id that is missing is the line's number."""
+    rows = _id(_lines(spark, path, "id string, question string, A string, B string, C string, D string, E string, answer_idx string, answer string, options map<string, string>")).filter("question is not null")
+    rows = _limited(rows, count)
+    return from_medqa(rows.filter("options is null")).unionByName(from_medqa_nested(rows.filter("options is not null")))
+
+
+def read_medmcqa(spark: SparkSession, path: str, most: int | None = 4183) -> DataFrame:
+    return from_medmcqa(_limited(_id(_lines(spark, path, "id string, question string, opa string, opb string, opc string, opd string, cop int")), most).filter("question is not null"))
+
+
+def read_pubmedqa(spark: SparkSession, path: str, most: int | None = 500) -> DataFrame:
+    return from_pubmedqa(_limited(_id(_lines(spark, path, "id string, question string, final_decision string")), most).filter("question is not null"))
+
+
+def read_mmlu(spark: SparkSession, path: str, subjects: tuple[str, ...] = MMLU_SUBJECTS) -> DataFrame:
+    """The medical subjects of MMLU from JSON lines (``_sub`` names the subject; lines without one are kept)."""
+    rows = _id(_lines(spark, path, "id string, question string, choices array<string>, answer int, _sub string")).filter("question is not null")
+    return from_mmlu(rows.filter(F.col("_sub").isNull() | F.col("_sub").isin(*subjects)))
+
+
+def _first(column: str) -> Column:
+    """A field that is a string or a list of strings: the string, or the list's first."""
+    return F.coalesce(F.get(F.from_json(column, "array<string>"), F.lit(0)), F.col(column))
+
+
+def read_bioasq(spark: SparkSession, path: str, count: int | None = None) -> DataFrame:
+    """Yes-no questions of a BioASQ file, one object with ``questions``."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "questions array<struct<id: string, body: string, type: string, exact_answer: string>>").alias("r"))
+    rows = whole.select(F.posexplode("r.questions").alias("ord", "q")).select("ord", "q.*")
+    kept = from_bioasq(_id(rows).withColumn("exact_answer", _first("exact_answer")))
+    if count is None:
+        return kept
+    order = rows.select(F.coalesce("id", F.col("ord").cast("string")).alias("id"), "ord")
+    return kept.join(order, "id").orderBy("ord").limit(count).drop("ord")
+
+
+def read_bioasq_lines(spark: SparkSession, path: str, most: int | None = 500) -> DataFrame:
+    """All question types of BioASQ from JSON lines."""
+    rows = _limited(_id(_lines(spark, path, "id string, body string, type string, exact_answer string, ideal_answer string")), most).filter("body is not null")
+    return from_bioasq_any(rows.withColumn("exact_answer", _first("exact_answer")).withColumn("ideal_answer", _first("ideal_answer")))
+
+
+def _csv(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "DROPMALFORMED").csv(path).withColumn("ord", F.monotonically_increasing_id())
+
+
+def read_medchangeqa(spark: SparkSession, path: str) -> DataFrame:
+    """From a table with the columns Question and Newest Label."""
+    return from_medchangeqa(_csv(spark, path).select("ord", F.col("Question").alias("question"), F.col("`Newest Label`").alias("newest_label")))
+
+
+def read_scifact(spark: SparkSession, path: str) -> DataFrame:
+    return from_scifact(_csv(spark, path).select("ord", "id", "claim", "evidence_label"))
+
+
+def read_healthfc(spark: SparkSession, path: str, split: str = "test") -> DataFrame:
+    """Rows with claim and label; ids number them from 0."""
+    rows = _csv(spark, path).filter("en_claim is not null and label is not null")
+    numbered = rows.withColumn("id", F.concat(F.lit(f"hfc_{split}_"), (F.row_number().over(Window.orderBy("ord")) - 1).cast("string")))
+    return from_healthfc(numbered)
+
+
 def first_percent(rows: DataFrame, percent: float, *order: str) -> DataFrame:
     """The first ceil(n * percent / 100) rows by ``order``."""
     return rows.orderBy(*order).limit(math.ceil(rows.count() * percent / 100))
@@ -157,9 +259,11 @@ def _run_schema():
 def broken_gzip(spark: SparkSession, path: str) -> DataFrame:
     """path, error of the gzip files that do not decompress; files are reported and never deleted."""
     import zlib
+    from collections.abc import Iterator
 
-    @F.udf("string")
-    def probe(content: bytes) -> str | None:
+    import pyarrow as pa
+
+    def error(content: bytes) -> str | None:
         try:
             reader = zlib.decompressobj(31)
             for at in range(0, len(content), 1 << 20):
@@ -168,4 +272,9 @@ def broken_gzip(spark: SparkSession, path: str) -> DataFrame:
         except zlib.error as e:
             return str(e)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", probe("content").alias("error")).filter("error is not null")
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([error(x.as_py()) for x in batch.column(1)], pa.string())], ["path", "error"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    return files.mapInArrow(probe, "path string, error string").filter("error is not null")

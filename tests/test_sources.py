@@ -114,3 +114,39 @@ def test_pipeline_batches(spark):
         assert set(full) == {1, 2} and "heart" in full[1].retrieved_context and full[1].n_votes == 3
     rest = Pipeline(docs, settings).batch_verify(questions, questions.filter("id = 1").select("id")).collect()
     assert [(r.id, r.choice) for r in rest] == [(2, full[2].choice)]
+
+
+def test_benchmark_files(spark, tmp_path):
+    """Each reader opens its file: order, missing ids, broken lines, limits and lists."""
+    import json
+
+    from quern.sources import datasets as D
+
+    def lines(name, rows):
+        path = tmp_path / name
+        path.write_text("\n".join(r if isinstance(r, str) else json.dumps(r) for r in rows) + "\n")
+        return str(path)
+
+    got = lambda df, *columns: [tuple(r[c] for c in columns) for r in df.collect()]
+    path = lines("medqa.jsonl", [{"question": "q0", "A": "x", "B": "y", "answer_idx": "b"}, "not json", {"id": 7, "question": "q2", "A": "x", "answer_idx": "Z"}, {"question": "q3", "options": {"A": "x"}, "answer": "x"}])
+    assert sorted(got(D.read_medqa(spark, path), "id", "question", "answer")) == [("0", "q0", "B"), ("3", "q3", "x"), ("7", "q2", "A")]
+    assert len(got(D.read_medqa(spark, path, 1), "id")) == 1
+    path = lines("medmcqa.jsonl", [{"question": f"q{i}", "opa": "1", "opb": "2", "opc": "", "opd": "4", "cop": i} for i in range(5)])
+    assert sorted(got(D.read_medmcqa(spark, path), "id", "answer")) == [("0", "A"), ("1", "B"), ("2", "C"), ("3", "D"), ("4", "A")]
+    assert len(got(D.read_medmcqa(spark, path, 2), "id")) == 2
+    path = lines("pubmedqa.jsonl", [{"question": "q", "final_decision": d} for d in ("yes", "no", "maybe")])
+    assert sorted(got(D.read_pubmedqa(spark, path), "id", "answer")) == [("0", "A"), ("1", "B"), ("2", "C")]
+    path = lines("mmlu.jsonl", [{"question": "q", "choices": ["a", "b"], "answer": 1, "_sub": "anatomy"}, {"question": "q", "choices": ["a"], "answer": 0, "_sub": "astronomy"}, {"question": "q", "choices": ["a"], "answer": 0}])
+    assert sorted(got(D.read_mmlu(spark, path), "id", "answer")) == [("0", "B"), ("2", "A")]
+    questions = [{"id": "a", "body": "b0", "type": "yesno", "exact_answer": "Yes"}, {"id": "b", "body": "b1", "type": "yesno", "exact_answer": ["no"]}, {"id": "c", "body": "b2", "type": "list", "exact_answer": [["x"]]}]
+    (tmp_path / "bioasq.json").write_text(json.dumps({"questions": questions}, indent=1))
+    assert sorted(got(D.read_bioasq(spark, str(tmp_path / "bioasq.json")), "id", "answer")) == [("a", "A"), ("b", "B")]
+    assert got(D.read_bioasq(spark, str(tmp_path / "bioasq.json"), 1), "id") == [("a",)]
+    path = lines("bioasq.jsonl", [{"body": "b0", "type": "yesno", "exact_answer": "no"}, {"body": "b1", "type": "summary", "ideal_answer": ["long answer"]}, {"body": "b2"}])
+    assert sorted(got(D.read_bioasq_lines(spark, path), "id", "answer", "options")) == [("0", "B", {"A": "yes", "B": "no"}), ("1", "long answer", None), ("2", "A", {"A": "yes", "B": "no"})]
+    (tmp_path / "change.csv").write_text('Question,Newest Label\n"one, two\nlines",SUPPORTED\nq,OTHER\nr,REFUTED\n')
+    assert sorted(got(D.read_medchangeqa(spark, str(tmp_path / "change.csv")), "id", "answer")) == [("q_0", "A"), ("q_1", "B")]
+    (tmp_path / "scifact.csv").write_text("id,claim,evidence_label\n1,c,\n1,c,SUPPORT\n2,d,\n")
+    assert sorted(got(D.read_scifact(spark, str(tmp_path / "scifact.csv")), "id", "answer")) == [("1", "A"), ("2", "C")]
+    (tmp_path / "health.csv").write_text("en_claim,label\nx,2\n,1\ny,true\n")
+    assert sorted(got(D.read_healthfc(spark, str(tmp_path / "health.csv")), "id", "answer")) == [("hfc_test_0", "B"), ("hfc_test_1", "A")]
