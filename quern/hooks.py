@@ -33,10 +33,24 @@ def sentence_claims(question: Column) -> Column:
 
 @dataclass(frozen=True)
 class Hooks:
-    """generate: a vote; decompose: a question's entities; propose: its propositions; entails: premise and hypothesis to 0..1; rerank: query and document to a score."""
+    """What models do; a hook that is None leaves its step out, or takes the stand-in of the operator.
+
+    On columns: ``generate`` a vote from prompt and turn; ``decompose`` a question's entities;
+    ``propose`` its propositions; ``entails`` premise and hypothesis to 0..1 (adds ``support``,
+    each proposition's entailment by the context); ``rerank`` query and document to a score;
+    ``judge`` a prompt to a text with a JSON object; ``similarity`` answer and reference to a
+    score (for measures that need a model).
+    On tables: ``encode`` queries(qid, text) to (qid, embedding); ``compress`` pool and queries
+    to (qid, context); ``search`` queries to live hits(qid, query_idx, rank, title, url, snippet).
+    """
 
     generate: Callable[[Column, Column], Column] = echo_choice
     decompose: Callable[[Column], Column] = T.capitalised_terms
     propose: Callable[[Column], Column] = sentence_claims
     entails: Callable[[Column, Column], Column] | None = None
     rerank: Callable[[Column, Column], Column] | None = None
+    judge: Callable[[Column], Column] | None = None
+    similarity: Callable[[Column, Column], Column] | None = None
+    encode: Callable[[DataFrame], DataFrame] | None = None
+    compress: Callable[[DataFrame, DataFrame], DataFrame] | None = None
+    search: Callable[[DataFrame], DataFrame] | None = None

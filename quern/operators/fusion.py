@@ -32,14 +32,15 @@ def pubmed_key() -> Column:
     return F.coalesce(_filled(F.col("pmid"), F.col("title")), F.col("rank").cast("string"))
 
 
-def rrf(pools: DataFrame, weights: dict[str, float], k: int, key: Column, offset: int = RRF_K) -> DataFrame:
+def rrf(pools: DataFrame, weights: dict[str, float | Column], k: int, key: Column, offset: int = RRF_K) -> DataFrame:
     """qid, rank, doc_id, key, score: the sum of weight / (offset + rank + 1) over each key's places.
 
     Documents of one key collapse and add up; the first by (pool, rank) stands for
-    them, and ties go to it.  Pools are taken in the order of ``weights``.
+    them, and ties go to it.  Pools are taken in the order of ``weights``, which may be
+    expressions over the pools' columns.
     """
     names = list(weights)
-    weight = F.coalesce(*[F.when(F.col("pool") == n, F.lit(float(w))) for n, w in weights.items()])
+    weight = F.coalesce(*[F.when(F.col("pool") == n, w if isinstance(w, Column) else F.lit(float(w))) for n, w in weights.items()])
     place = F.coalesce(*[F.when(F.col("pool") == n, F.lit(i)) for i, n in enumerate(names)])
     fused = (
         pools.filter(F.col("pool").isin(names)).withColumn("_key", key)

@@ -302,3 +302,68 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("ann_topk")
 def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.ann_topk(table(spark, sf_dir, "embeddings"), _asked_vectors(spark, sf_dir), 10)
+
+
+# --- The pipeline's modes ------------------------------------------------------------------------
+
+
+def _mode(spark: SparkSession, sf_dir: str, mode: str, hooks=None, **more) -> DataFrame:
+    from quern.plans.pipeline import Pipeline, Settings
+
+    docs = _docs(spark, sf_dir).select("doc_id", "title", F.coalesce("text", F.lit("")).alias("content"), "pmid", "id", "url")
+    return Pipeline(docs, Settings(mode=mode), hooks, **more).retrieve(_queries(spark, sf_dir)).select("qid", "rank", "doc_id")
+
+
+_FIRST = "SELECT qid, CAST(rank AS INTEGER) AS rank, doc_id FROM {} WHERE rank < {}"
+
+
+@register("mode_bm25", f"WITH {_Q}, {_D}, {_B}, {_filled('bs', 50, 'b50')} {_FIRST.format('b50', 20)}")
+def mode_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mode(spark, sf_dir, "bm25")
+
+
+@register("mode_search", f"WITH {_Q}, {_D}, {_F}, {_searched('fs', 50, 'f50')} {_FIRST.format('f50', 20)}")
+def mode_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mode(spark, sf_dir, "search")
+
+
+@register("mode_moe_flat", f"WITH {_Q}, {_D}, {_F}, {_searched('fs', 50, 'f50')} {_FIRST.format('f50', 20)}")
+def mode_moe_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without graph, vectors and live search the routed pool is the full-text pool."""
+    return _mode(spark, sf_dir, "moe_flat")
+
+
+@register("mode_fused", f"{_POOLS}, {_rrf([('b50', 0.4, 'bm25'), ('f50', 0.6, 'search')], _EVALUATED, 20, 'r')} SELECT qid, CAST(rank AS INTEGER) AS rank, doc_id FROM r")
+def mode_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mode(spark, sf_dir, "fused")
+
+
+@register("mode_dense", """WITH q AS (SELECT item_id AS qid, embedding::DOUBLE[] AS e FROM benchmark JOIN embeddings ON vec_id = item_id),
+s AS (SELECT qid, vec_id AS doc_id, floor(list_inner_product(embedding::DOUBLE[], e) / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_inner_product(e, e)) * 1e6 + 0.5) / 1e6 AS score FROM embeddings, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) - 1 AS rank FROM s)
+SELECT qid, CAST(rank AS INTEGER) AS rank, doc_id FROM r JOIN documents USING (doc_id) WHERE rank < 20""")
+def mode_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stand-in for an encoder looks an item's vector up by its id."""
+    from quern.hooks import Hooks
+
+    held = table(spark, sf_dir, "embeddings")
+    encode = lambda q: q.join(held.select(F.col("vec_id").alias("qid"), "embedding"), "qid").select("qid", "embedding")
+    return _mode(spark, sf_dir, "dense", Hooks(encode=encode), vectors=held.select(F.col("vec_id").alias("doc_id"), "embedding"))
+
+
+@register("mode_moe_graph")
+def mode_moe_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph pool of the parts and nations named in a question, weighed with the full-text pool by the question's domain."""
+    from quern.plans.graph_queries import _graph
+
+    nodes, edges = _graph(spark, sf_dir)
+    return _mode(spark, sf_dir, "moe_graph", nodes=nodes, edges=edges)
+
+
+@register("ann_topk_all_cells", """WITH q AS (SELECT CAST(label AS BIGINT) AS qid, arg_min(embedding, vec_id)::DOUBLE[] AS e FROM embeddings GROUP BY label),
+s AS (SELECT qid, vec_id, floor(list_inner_product(embedding::DOUBLE[], e) / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_inner_product(e, e)) * 1e6 + 0.5) / 1e6 AS score FROM embeddings, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) - 1 AS rank FROM s)
+SELECT qid, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank < 10""")
+def ann_topk_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index asked in all its cells gives the exact answer."""
+    return vectors.ann_topk(table(spark, sf_dir, "embeddings"), _asked_vectors(spark, sf_dir), 10, probes=32)

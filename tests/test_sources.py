@@ -1,6 +1,7 @@
 import gzip
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quern.plans.pipeline import Pipeline, Settings
@@ -150,3 +151,62 @@ def test_benchmark_files(spark, tmp_path):
     assert sorted(got(D.read_scifact(spark, str(tmp_path / "scifact.csv")), "id", "answer")) == [("1", "A"), ("2", "C")]
     (tmp_path / "health.csv").write_text("en_claim,label\nx,2\n,1\ny,true\n")
     assert sorted(got(D.read_healthfc(spark, str(tmp_path / "health.csv")), "id", "answer")) == [("hfc_test_0", "B"), ("hfc_test_1", "A")]
+
+
+def _small_corpus(spark):
+    docs = spark.createDataFrame([(1, "Heart", "The heart is a muscle that pumps blood through the body.", "11"), (2, "Lung", "The lung takes in air and gives oxygen to the blood.", ""), (3, "Bone", "A bone carries the weight of the body every day.", "13")], "doc_id long, title string, content string, pmid string")
+    docs = docs.withColumn("id", F.lit("")).withColumn("url", F.lit(""))
+    questions = spark.createDataFrame([(1, "Does the heart muscle treat the patient with Aspirin?"), (2, "Does the lung take in air?")], "id long, question string").withColumn("options", F.create_map(F.lit("A"), F.lit("yes"), F.lit("B"), F.lit("no")))
+    nodes = spark.createDataFrame([("n1", "Aspirin", "rxnorm", "Drug", "A drug against pain and fever that thins blood.", 0), ("n2", "Heart Attack", "umls", "Disease", "The heart muscle gets too little blood.", 1)], "node_id string, label string, node_type string, sty string, definition string, ord long")
+    edges = spark.createDataFrame([("n1", "may_treat", "n2", "u", 0)], "src string, rel string, dst string, source string, ord long")
+    return docs, questions, nodes, edges
+
+
+def test_routed_pools_and_hooks(spark):
+    """Graph, corpus and live pools meet by the domain's weights; each hook takes part."""
+    from quern.hooks import Hooks
+    from quern.operators import cite
+
+    docs, questions, nodes, edges = _small_corpus(spark)
+    asked = questions.select(F.col("id").alias("qid"), F.col("question").alias("text"))
+    search = lambda q: q.select("qid", F.lit(0).alias("query_idx"), F.lit(0).alias("rank"), F.lit("Heart facts").alias("title"), F.lit("https://www.nih.gov/heart").alias("url"), F.lit("The heart muscle pumps blood, and air goes to the lung.").alias("snippet"))
+    made = Pipeline(docs, Settings(mode="moe_graph", live=True), Hooks(search=search), nodes=nodes, edges=edges)
+    pool = made.retrieve(asked)
+    rows = {(r.qid, r["rank"]): r for r in pool.collect()}
+    first = [rows[1, i] for i in range(sum(q == 1 for q, _ in rows))]
+    assert {r.title for r in first} >= {"KG: Aspirin", "Heart", "Heart facts"} and len({r.doc_id for r in first}) == len(first)
+    # One drug word, no more of other domains: the graph weighs 0.6, so its first document leads; the live one (0.2) is behind the corpus' first.
+    order = [r.title for r in first]
+    assert order.index("Heart") < order.index("Heart facts")
+    live = next(r for r in first if r.title == "Heart facts")
+    assert live.url == "https://www.nih.gov/heart" and "Snippet: The heart muscle" in live.content
+    encode = lambda q: q.select("qid", F.when(F.col("qid") == 1, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))).alias("embedding"))
+    held = spark.createDataFrame([(1, [1.0, 0.1]), (2, [0.1, 1.0]), (3, [0.5, 0.4])], "doc_id long, embedding array<float>")
+    dense = Pipeline(docs, Settings(mode="dense", k=2), Hooks(encode=encode), vectors=held).retrieve(asked)
+    assert sorted((r.qid, r["rank"], r.doc_id) for r in dense.collect()) == [(1, 0, 1), (1, 1, 3), (2, 0, 2), (2, 1, 3)]
+    graphed = Pipeline(docs, Settings(mode="graph"), nodes=nodes, edges=edges).retrieve(asked).collect()
+    assert {r.title for r in graphed if r.qid == 1} >= {"Atomic Propositions"}
+    hooks = Hooks(entails=cite.word_share, compress=lambda pool, q: pool.groupBy("qid").agg(F.concat_ws("; ", F.array_sort(F.collect_list("title"))).alias("context")), rerank=lambda q, d: F.length(d).cast("double"))
+    full = {r.id: r for r in Pipeline(docs, Settings(mode="bm25", k=2), hooks).verify(questions).collect()}
+    assert full[2].retrieved_context.count(";") == 1 and all(0 <= x <= 1 for x in full[1].support) and len(full[1].support) == len(full[1].propositions)
+    for bad in (dict(mode="dense"), dict(mode="graph"), dict(mode="moe_flat", live=True), dict(mode="other")):
+        with pytest.raises(ValueError):
+            Pipeline(docs, Settings(**bad))
+
+
+def test_judge_and_rerun(spark):
+    from quern.operators import votes
+
+    records = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, prompt string")
+    asked = []
+
+    def judge(prompt):
+        asked.append(1)
+        again = F.lit(len(asked) > 1)
+        return F.when(prompt == "a", F.lit('so: {"M5_ADeQ_score": 7, "M8_Hallucination": 1} end')).when((prompt == "b") & again, F.lit('{"M5_ADeQ_score": 3}')).when(prompt == "c", "no object").otherwise("")
+
+    got = {r.id: (r.M5_ADeQ_score, r.M7_Context_Utilization, r.M8_Hallucination, r.M9_Context_Relevancy) for r in votes.judged(records, judge).collect()}
+    assert got == {1: (7.0, 0.0, 1.0, 0.0), 2: (3.0, 0.0, 0.0, 0.0), 3: (0.0, 0.0, 0.0, 0.0)} and len(asked) == 2
+    verdicts = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "id long, choice string")
+    rerun = lambda rows, turn: rows.select("id", F.concat(F.lit("t"), F.lit(turn).cast("string")).alias("trace"), F.when(F.col("id") <= turn + 1, F.col("choice")).otherwise("X").alias("choice"))
+    assert sorted((r.id, r.choice, r.trace, r.runs) for r in votes.rerun_until_match(verdicts, rerun, 1).collect()) == [(1, "A", "t0", 1), (2, "B", "t1", 2), (3, "C", "t1", 2)]
