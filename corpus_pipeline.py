@@ -2,7 +2,15 @@
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet
 and read again as the next stage's documents.  All but the last return the columns of
-``documents``.
+``documents``, whatever further columns there are and whatever their names.
+
+Defined cases: a null text counts as empty everywhere: it scores the base rate of
+toxicity, has no lines to lose, has fingerprint zero (so one document of those without
+words stays), holds no test item and takes part in the mix with size 0.  A null id is an id
+of its own that comes first among lines and last among near copies.  Rows that repeat
+both id and text are one document to line dedup and near-dedup, and one of them stays; rows
+that repeat an id with other texts are judged one by one.  Of near copies the smallest id
+stays, of equal ids the smaller hash of the text.  An empty table gives an empty mix.
 """
 
 from __future__ import annotations
