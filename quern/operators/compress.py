@@ -6,12 +6,15 @@ group (k documents), so the greedy picks run in one grouped Arrow function a que
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.functions.stem import stem
 from quern.operators.retrieval import cosine_to, tfidf
 from quern.storage import materialize
 
@@ -101,13 +104,21 @@ def raw_context(pool: DataFrame) -> DataFrame:
     return listed.select("qid", F.array_join(F.transform("docs", part), "\n").alias("context"))
 
 
-def rouge_l(pairs: DataFrame, a: str = "answer", b: str = "reference") -> DataFrame:
-    """``pairs`` with rouge_l: F1 of the longest common subsequence of lower-case words."""
+def rouge_l(pairs: DataFrame, a: str = "answer", b: str = "reference", stemmed: bool = True) -> DataFrame:
+    """``pairs`` with rouge_l: F1 of the longest common subsequence of words.
+
+    Words are runs of a-z and 0-9 of the lower-case text; with ``stemmed`` those of more than
+    three letters are stemmed, without it words are what blanks separate.
+    """
+
+    def words(text: str | None) -> list[str]:
+        low = (text or "").lower()
+        return [stem(w) if len(w) > 3 else w for w in re.findall("[a-z0-9]+", low)] if stemmed else low.split()
 
     @F.pandas_udf("double")
     def score(left: pd.Series, right: pd.Series) -> pd.Series:
         def one(x: str | None, y: str | None) -> float:
-            p, q = (x or "").lower().split(), (y or "").lower().split()
+            p, q = words(x), words(y)
             if not p or not q:
                 return 0.0
             names = {w: i for i, w in enumerate(dict.fromkeys(q))}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.storage import materialize
+
 
 def write_first_wins(df: DataFrame, path: str, keys: list[str], *order: str) -> None:
     """A table without repeated keys: the first row by ``order`` stays, as an insert that ignores conflicts keeps it."""
@@ -21,6 +23,23 @@ def write_vectors(df: DataFrame, path: str, per_shard: int = 50_000) -> None:
     df.write.mode("overwrite").option("maxRecordsPerFile", per_shard).parquet(path)
 
 
+def merge_vectors(shards: DataFrame, index: str, metadata: str, per_file: int = 50_000) -> None:
+    """Shards(vec_id, embedding, ...) as one index (pos, vec_id, embedding) in the order of their ids, and metadata as JSON (pos, vec_id, ...).
+
+    Positions come from the counts of sorted partitions, so no task numbers the whole table.
+    """
+    spark = shards.sparkSession
+    held = materialize(shards.filter("vec_id is not null").repartitionByRange("vec_id").sortWithinPartitions("vec_id").withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "shards")
+    sizes = sorted((r["_part"], r.n, r.low) for r in held.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("low")).collect())
+    offsets, total = [], 0
+    for part, n, low in sizes:
+        offsets.append((part, total - low))
+        total += n
+    placed = held.join(F.broadcast(spark.createDataFrame(offsets, "_part int, _offset long")), "_part").withColumn("pos", F.col("_at") + F.col("_offset")).drop("_part", "_at", "_offset")
+    placed.select("pos", "vec_id", "embedding").write.mode("overwrite").option("maxRecordsPerFile", per_file).parquet(index)
+    placed.select("pos", *[c for c in shards.columns if c != "embedding"]).write.mode("overwrite").json(metadata)
+
+
 def append_records(df: DataFrame, path: str, run_id: str) -> None:
     """Result records of one run, appended below its own partition."""
     df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)

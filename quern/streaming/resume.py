@@ -19,6 +19,28 @@ def pending(questions: DataFrame, done: DataFrame, key: str = "id") -> DataFrame
     return questions.join(done.select(key).distinct(), key, "left_anti")
 
 
+LEDGER = "name string, status string, n long, at timestamp"
+
+
+def record(ledger: str, entries: DataFrame) -> None:
+    """Append entries(name, status, n, at) of files or shards to the ledger, a Parquet folder."""
+    entries.select("name", "status", F.col("n").cast("long").alias("n"), F.col("at").cast("timestamp").alias("at")).write.mode("append").parquet(ledger)
+
+
+def state(spark: SparkSession, ledger: str) -> DataFrame:
+    """name, status, n, at: each name's last entry; of entries of one time the greater status."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(ledger)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], LEDGER)
+    last = F.max(F.struct("at", "status", "n")).alias("last")
+    return spark.read.schema(LEDGER).parquet(ledger).groupBy("name").agg(last).select("name", "last.status", "last.n", "last.at")
+
+
+def open_files(files: DataFrame, ledger_state: DataFrame, finished: str = "done") -> DataFrame:
+    """The files(name, ...) that the ledger does not know as finished: new, failed or broken off."""
+    return files.join(ledger_state.filter(F.col("status") == finished).select("name"), "name", "left_anti")
+
+
 def run_stream(spark: SparkSession, source: str, schema, work: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> StreamingQuery:
     """Apply ``work`` to new Parquet files under ``source``, exactly once, and stop when all are done."""
 

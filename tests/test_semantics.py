@@ -237,3 +237,25 @@ def test_ann_recall(spark, sf):
     assert len(exact) == len(near) and len(exact & near) >= 0.9 * len(exact)
     few = {(r.qid, r.vec_id) for r in vectors.cosine_topk(v, q, 5).collect()}
     assert few <= exact
+
+
+STEMS = """caresses caress ponies poni ties tie caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl
+sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky skies sky enjoy enjoy relational relat conditional condit rational ration
+valenci valenc hesitanci hesit digitizer digit conformabli conform radicalli radic differentli differ vileli vile analogousli analog vietnamization vietnam predication predic operator oper
+feudalism feudal decisiveness decis hopefulness hope callousness callous formaliti formal sensitiviti sensit sensibiliti sensibl triplicate triplic formative form formalize formal electriciti electr
+electrical electr hopeful hope goodness good revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens irritant irrit replacement replac
+adjustment adjust dependent depend adoption adopt communism commun activate activ angulariti angular homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas
+controll control roll roll dying die analogies analog by by""".split()
+
+
+@pytest.mark.parametrize("word, want", list(zip(STEMS[::2], STEMS[1::2], strict=True)))
+def test_stems(word, want):
+    from quern.functions.stem import stem
+
+    assert stem(word) == want
+
+
+def test_rouge_l_stems_and_punctuation(spark):
+    pair = spark.createDataFrame([("The patients, treated!", "patient is treating the")], "answer string, reference string")
+    assert compress.rouge_l(pair).first().rouge_l == pytest.approx(2 * 2 / 7)
+    assert compress.rouge_l(pair, stemmed=False).first().rouge_l == pytest.approx(2 * 1 / 7)

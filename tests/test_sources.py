@@ -210,3 +210,50 @@ def test_judge_and_rerun(spark):
     verdicts = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "id long, choice string")
     rerun = lambda rows, turn: rows.select("id", F.concat(F.lit("t"), F.lit(turn).cast("string")).alias("trace"), F.when(F.col("id") <= turn + 1, F.col("choice")).otherwise("X").alias("choice"))
     assert sorted((r.id, r.choice, r.trace, r.runs) for r in votes.rerun_until_match(verdicts, rerun, 1).collect()) == [(1, "A", "t0", 1), (2, "B", "t1", 2), (3, "C", "t1", 2)]
+
+
+def test_configuration(tmp_path, monkeypatch):
+    import json
+
+    from quern import config
+
+    monkeypatch.setenv("QUERN_TEST", "here")
+    path = tmp_path / "run.json"
+    path.write_text(json.dumps({"corpus": {"dir": "data/corpus", "url_path": "s3://b/x", "note": "$QUERN_TEST/x"}, "kg": [{"graph_path": "$QUERN_TEST/g"}], "retrieval": {"mode": "medcpt", "k1": 7}, "model": {"name": "m", "votes": 5}, "compression": {"enabled": False}}))
+    got = config.load(str(path))
+    assert got["corpus"] == {"dir": str(tmp_path / "data/corpus"), "url_path": "s3://b/x", "note": "here/x"} and got["kg"][0]["graph_path"] == str(tmp_path / "here/g")
+    s = config.settings(got, k=None, alpha=0.5)
+    assert (s.mode, s.k, s.models, s.n_votes, s.compress, s.alpha) == ("dense", 7, ["m"], 5, False, 0.5)
+    assert config.settings({}, mode="bm25").mode == "bm25"
+
+
+def test_command_line_verifies_what_is_open(spark, tmp_path):
+    from quern import __main__ as cli
+
+    docs, questions, _, _ = _small_corpus(spark)
+    docs.write.parquet(str(tmp_path / "docs"))
+    questions.write.parquet(str(tmp_path / "questions"))
+    args = ["verify", "--docs", str(tmp_path / "docs"), "--questions", str(tmp_path / "questions"), "--out", str(tmp_path / "out"), "--mode", "bm25", "--k", "2"]
+    cli.verify(spark, cli.parser().parse_args([*args, "--percent", "50", "--run-id", "a"]))
+    cli.verify(spark, cli.parser().parse_args([*args, "--run-id", "b"]))
+    assert sorted((r.id, r.run_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "a"), (2, "b")]
+
+
+def test_ledger_of_files(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    files = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
+    assert resume.state(spark, ledger).count() == 0 and resume.open_files(files, resume.state(spark, ledger)).count() == 3
+    entry = lambda *rows: spark.createDataFrame(list(rows), "name string, status string, n int, at string")
+    resume.record(ledger, entry(("a", "done", 5, "2024-01-01"), ("b", "failed", 0, "2024-01-01")))
+    resume.record(ledger, entry(("b", "done", 7, "2024-01-02"), ("c", "started", 0, "2024-01-02")))
+    now = resume.state(spark, ledger)
+    assert {r.name: (r.status, r.n) for r in now.collect()} == {"a": ("done", 5), "b": ("done", 7), "c": ("started", 0)}
+    assert [r.name for r in resume.open_files(files, now).collect()] == ["c"]
+
+
+def test_shards_merge_into_one_index(spark, tmp_path):
+    shards = spark.createDataFrame([(i * 7 % 101, [float(i)], f"t{i * 7 % 101}") for i in range(101)], "vec_id long, embedding array<float>, title string").repartition(9)
+    sinks.merge_vectors(shards, str(tmp_path / "index"), str(tmp_path / "meta"), per_file=10)
+    index = {r.pos: r.vec_id for r in spark.read.parquet(str(tmp_path / "index")).collect()}
+    assert index == {i: i for i in range(101)}
+    assert {r.pos: (r.vec_id, r.title) for r in spark.read.json(str(tmp_path / "meta")).collect()} == {i: (i, f"t{i}") for i in range(101)}
