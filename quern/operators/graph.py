@@ -185,7 +185,9 @@ def seeds(queries: DataFrame, entities: DataFrame, options: DataFrame, nodes: Da
 
 def _relation_lines(hits: DataFrame, prefix: str) -> DataFrame:
     """node, section lines: for each relation its first five distinct labels, relations in order."""
-    labels = F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", "label"))), lambda x: x["label"])), 1, 5)
+    once = hits.groupBy("seed", "rel", "label").agg(F.min("ord").alias("ord"))
+    hits = _ranked(once, ["seed", "rel"], [F.asc("ord"), F.asc("label")], 5)
+    labels = F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: x["label"])
     shown = F.initcap(F.translate("rel", "_", " "))
     lines = hits.groupBy("seed", "rel").agg(labels.alias("labels")).select("seed", "rel", F.concat(F.lit(prefix), shown, F.lit(": "), F.array_join("labels", ", ")).alias("line"))
     return lines.groupBy("seed").agg(F.transform(F.array_sort(F.collect_list(F.struct("rel", "line"))), lambda x: x["line"]).alias("lines"))
@@ -212,7 +214,7 @@ def contexts(seeded: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame
     # Details: of the first three neighbours of each strong relation, their definitions and the bridges to other seeds.
     # Relations come in the order in which the seed's edges first show them.
     rel_at = F.min("ord").over(Window.partitionBy("seed", "rel"))
-    nearest = _ranked(strong.withColumn("rel_at", rel_at), ["seed", "rel"], [F.asc("ord")], 3)
+    nearest = _ranked(strong, ["seed", "rel"], [F.asc("ord")], 3).withColumn("rel_at", rel_at)
     per_query = seeded.select("qid", F.col("node_id").alias("seed"), F.col("rank").alias("seed_rank"))
     details = per_query.join(nearest.withColumnRenamed("rank", "nth").withColumnRenamed("node_id", "via").withColumnRenamed("label", "via_label"), "seed")
     own = nodes.select(F.col("node_id").alias("seed"), F.col("label").alias("seed_label"), "sty", F.col("definition").alias("seed_definition"))

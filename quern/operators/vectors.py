@@ -32,30 +32,54 @@ def _best(qids: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> pa.R
         [pa.array(np.repeat(qids, order.shape[1])), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(scores, order, axis=1).ravel())], ["qid", "vec_id", "score"])
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, chunk: int = 4096) -> DataFrame:
+def _packed(rows: DataFrame, size: int) -> DataFrame:
+    """ids, unit (flat, of unit length): up to ``size`` rows of (id, embedding) as one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), size):
+                part = batch.slice(at, size)
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind)) for x, kind in ((part.column(0).to_numpy(), pa.int64()), (_rows(part.column(1)).ravel(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays(lists, ["ids", "unit"])
+
+    return rows.mapInArrow(run, "ids array<long>, unit array<double>")
+
+
+def _unpacked(batch: pa.RecordBatch, at: int, columns: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    ids, flat = (batch.column(c).slice(at, 1).flatten().to_numpy(zero_copy_only=False) for c in columns)
+    return ids, flat.reshape(len(ids), -1)
+
+
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, chunk: int = 4096, block: int = 1024) -> DataFrame:
     """qid, rank, vec_id, score of ``vectors(vec_id, embedding)`` for ``queries(qid, embedding)``.
 
-    Queries are collected in chunks of about ``chunk``, so what is sent out is bounded;
-    each partition returns k rows a query for the final merge.
+    Up to ``chunk`` queries are sent to where the vectors are, and each task returns k rows a
+    query.  More are packed ``chunk`` to a row and the vectors ``block`` to a row, and a shuffle
+    brings every block of vectors to every block of queries, in one plan.
     """
-    chunks = max(1, -(-queries.count() // chunk))
-    found = []
-    for part in range(chunks):
-        rows = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(chunks)) == part).select("qid", "embedding").toArrow().combine_chunks()
-        if not rows.num_rows:
-            continue
-        asked = (rows.column(0).to_numpy(), _rows(rows.column(1).combine_chunks()))
-
-        def run(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
+    held = vectors.filter("vec_id is not null and embedding is not null").select("vec_id", "embedding")
+    asked = queries.filter("qid is not null and embedding is not null").select("qid", "embedding")
+    schema = "qid long, vec_id long, score double"
+    if asked.count() <= chunk:
+        rows = asked.toArrow().combine_chunks()
+        few = (rows.column(0).to_numpy(), _rows(rows.column(1).combine_chunks()) if rows.num_rows else np.zeros((0, 0)))
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if len(batch):
-                    yield _best(asked[0], batch.column(0).to_numpy(), asked[1] @ _rows(batch.column(1)).T, k)
+                if len(batch) and len(few[0]):
+                    yield _best(few[0], batch.column(0).to_numpy(), few[1] @ _rows(batch.column(1)).T, k)
+
+        return _merge(held.mapInArrow(near, schema), k)
+    groups = materialize(_packed(asked.repartition(max(1, -(-asked.count() // chunk)), "qid"), chunk).withColumn("group", F.monotonically_increasing_id()), "groups")
+    pairs = materialize(_packed(held, block), "blocks").join(groups.select("group", F.col("ids").alias("qids"), F.col("unit").alias("q")).hint("shuffle_replicate_nl"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(len(batch)):
+                (ids, v), (qids, q) = _unpacked(batch, at, (0, 1)), _unpacked(batch, at, (2, 3))
+                yield _best(qids, ids, q @ v.T, k)
 
-        found.append(vectors.filter("vec_id is not null and embedding is not null").select("vec_id", "embedding").mapInArrow(run, "qid long, vec_id long, score double"))
-    union = found[0]
-    for more in found[1:]:
-        union = union.unionByName(more)
-    return _merge(union, k)
+    return _merge(pairs.select("ids", "unit", "qids", "q").mapInArrow(run, schema), k)
 
 
 def _centres(sample: np.ndarray, cells: int, steps: int = 10, seed: int = 7) -> np.ndarray:

@@ -259,3 +259,13 @@ def test_rouge_l_stems_and_punctuation(spark):
     pair = spark.createDataFrame([("The patients, treated!", "patient is treating the")], "answer string, reference string")
     assert compress.rouge_l(pair).first().rouge_l == pytest.approx(2 * 2 / 7)
     assert compress.rouge_l(pair, stemmed=False).first().rouge_l == pytest.approx(2 * 1 / 7)
+
+
+def test_cosine_topk_of_many_queries(spark):
+    """Queries packed in blocks give the same as queries sent out."""
+    rng = np.random.default_rng(3)
+    held = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(300)], "vec_id long, embedding array<double>").repartition(3)
+    asked = held.filter("vec_id < 50").selectExpr("vec_id as qid", "embedding")
+    rows = lambda **o: sorted(map(tuple, vectors.cosine_topk(held, asked, 4, **o).collect()))
+    assert rows() == rows(chunk=7, block=32) and len(rows()) == 200
+    assert vectors.cosine_topk(held, asked.filter("false"), 4).count() == 0
