@@ -44,7 +44,7 @@ PREFIXES = (4, 5, 6)
 #: The hash of the mark that sets a beginning apart from a word.
 _START = zlib.crc32(b"^")
 _PIECE = 1 << 20
-_CACHE = 200_000
+_CACHE = 1 << 16
 #: Stretches beyond are read as several words, and not remembered.
 _LONG = 80
 
