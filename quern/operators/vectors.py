@@ -95,7 +95,7 @@ def _centres(sample: np.ndarray, cells: int, steps: int = 10, seed: int = 7) ->
     return centres
 
 
-def ann_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, cells: int = 32, probes: int = 16, sample: int = 20_000) -> DataFrame:
+def ann_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, cells: int = 32, probes: int = 22, sample: int = 20_000) -> DataFrame:
     """Approximate top k: the index holds every vector in the cell of its nearest centre, and a query looks into ``probes`` cells.
 
     Centres are fitted on at most ``sample`` vectors (the smallest hashes of their ids).

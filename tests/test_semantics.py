@@ -269,3 +269,12 @@ def test_cosine_topk_of_many_queries(spark):
     rows = lambda **o: sorted(map(tuple, vectors.cosine_topk(held, asked, 4, **o).collect()))
     assert rows() == rows(chunk=7, block=32) and len(rows()) == 200
     assert vectors.cosine_topk(held, asked.filter("false"), 4).count() == 0
+
+
+def test_ann_recall_on_every_fiftieth(spark):
+    """At least 0.9 of the exact ten best, for every vector whose id is divisible by 50 against all."""
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    asked = v.filter("vec_id % 50 = 0").selectExpr("vec_id as qid", "embedding")
+    found, best = ({(r.qid, r.vec_id) for r in search(v, asked, 10).collect()} for search in (vectors.ann_topk, vectors.cosine_topk))
+    print("recall", len(found & best) / len(best))
+    assert len(found & best) >= 0.9 * len(best) > 300
