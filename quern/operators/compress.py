@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions.stem import stem
+from quern.hooks import Hooks
 from quern.operators.retrieval import cosine_to, tfidf
 from quern.storage import materialize
 
@@ -134,3 +135,11 @@ def rouge_l(pairs: DataFrame, a: str = "answer", b: str = "reference", stemmed:
         return pd.Series([one(x, y) for x, y in zip(left, right, strict=True)])
 
     return pairs.withColumn("rouge_l", score(F.col(a), F.col(b)))
+
+
+def model_similarity(pairs: DataFrame, hooks: Hooks, a: str = "answer", b: str = "reference") -> DataFrame:
+    """``pairs`` with similarity, as the hook ``similarity`` scores answer and reference; null where either is missing."""
+    if hooks.similarity is None:
+        raise ValueError("a measure of similarity by a model needs the similarity hook")
+    there = F.col(a).isNotNull() & F.col(b).isNotNull()
+    return pairs.withColumn("similarity", F.when(there, hooks.similarity(F.col(a), F.col(b))).cast("double"))

@@ -278,3 +278,13 @@ def test_ann_recall_on_every_fiftieth(spark):
     found, best = ({(r.qid, r.vec_id) for r in search(v, asked, 10).collect()} for search in (vectors.ann_topk, vectors.cosine_topk))
     print("recall", len(found & best) / len(best))
     assert len(found & best) >= 0.9 * len(best) > 300
+
+
+def test_model_similarity_is_the_hooks(spark):
+    from quern.hooks import Hooks
+
+    pairs = spark.createDataFrame([("a b", "b c"), (None, "x")], "answer string, reference string")
+    scored = compress.model_similarity(pairs, Hooks(similarity=cite.word_share)).collect()
+    assert [r.similarity for r in scored] == [0.5, None]
+    with pytest.raises(ValueError):
+        compress.model_similarity(pairs, Hooks())
