@@ -159,7 +159,8 @@ def counts(texts: DataFrame, order: int) -> DataFrame:
                 k = keys[i : i + (1 << 18)].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n[i : i + (1 << 18)])], ["kind", "key", "n"])
 
-    return texts.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    # A task's counts are merged already, so they are dealt out before the aggregate and not merged once more in the executor's heap.
+    return texts.select("text").mapInArrow(run, "kind int, key long, n long").repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
