@@ -40,7 +40,7 @@ from quern.storage import materialize, spread
 SYMBOLS = 257
 PIECE = 1 << 19
 GRAM, WORD = 0, 1
-#: Counts are merged in memory up to so many keys.
+#: Counts are merged in memory, so many new keys at a time and up to so many.
 HELD = 1 << 20
 
 _rng = np.random.default_rng(20240229)
@@ -128,21 +128,23 @@ def _words(piece, powers) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(texts: Iterator[bytes], order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(kind, keys, counts), merged up to HELD keys at a time."""
+    """(kind, keys, counts), merged in memory; a kind's counts go out when they are more than HELD keys."""
     held = {GRAM: [], WORD: []}
     powers = _powers()
 
     def merged(kind):
         keys, n = (np.concatenate(x) for x in zip(*held[kind], strict=True))
-        found, where = np.unique(keys, return_inverse=True)
-        return found, np.bincount(where, n, len(found)).astype(np.int64)
+        rank = np.argsort(keys)
+        keys, n = keys[rank], n[rank]
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+        return keys[first], np.add.reduceat(n, first) if len(first) else n
 
     for piece in _pieces(texts):
         for kind, keys in ((GRAM, _grams(piece, order)[0]), (WORD, _words(piece, powers)[0])):
             held[kind].append(np.unique(keys, return_counts=True))
-            if sum(len(x[0]) for x in held[kind]) > HELD:
+            if sum(len(x[0]) for x in held[kind][1:]) > HELD:
                 held[kind] = [merged(kind)]
-                if len(held[kind][0][0]) > HELD // 2:
+                if len(held[kind][0][0]) > HELD:
                     yield kind, *held[kind].pop()
     for kind in held:
         if held[kind]:
