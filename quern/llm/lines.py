@@ -151,11 +151,14 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     gone_id, gone_key, gone, lines, kept = fresh(docs, "gone_id", "gone_key", "gone", "lines", "kept")
     lists = _small(lists.select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key), F.col("gone").alias(gone)), gone, small)
     touched = F.col(gone).isNotNull()
+    # Ranges that meet are one, so a document of which nothing is left has a single range.  This filter stands first and
+    # needs no lines taken out: one on ``kept`` would be pushed below ``lines``, and the text be split again for every range.
+    whole = (F.size(F.col(gone)) == 1) & (F.get(F.col(gone), F.lit(0))["start"] == 0) & (F.get(F.col(gone), F.lit(0))["stop"] == F.size(F.split(F.col(text_col), "\n")))
     return (
         docs.join(lists, docs[id_col].eqNullSafe(F.col(gone_id)) & (_text_key(docs[text_col]) == F.col(gone_key)), "left")
+        .filter(~touched | ~whole)
         .withColumn(lines, F.when(touched, F.split(F.col(text_col), "\n")))
         .withColumn(kept, F.when(touched, _between(F.col(lines), F.col(gone))))
-        .filter(~touched | (F.size(kept) > 0))
         .withColumn(text_col, F.when(touched, F.array_join(kept, "\n")).otherwise(F.col(text_col)))
         .select(*docs.columns)
     )
