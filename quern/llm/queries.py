@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, decontaminate, lines, mixing, ppm, secrets, simhash, substrings, topk, toxicity
+from quern.llm import chat, decontaminate, lines, middle, mixing, ppm, secrets, simhash, substrings, topk, toxicity
 from quern.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("base_sha256", F.sha2("base_spans", 256)).drop("base_spans")
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.transform(table(spark, sf_dir, "documents"))
+    digests = (F.sha2("output", 256).alias("output_sha256"), F.sha2(middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 OP3_SQL = r"""
 WITH words AS (
   SELECT 0 AS kind, doc_id AS id, row_number() OVER () AS r, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS w FROM documents
@@ -124,6 +130,25 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+OP13_SQL = r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents
+), units AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS u, CAST('0x' || d[1:8] AS BIGINT) AS h1, CAST('0x' || d[9:16] AS BIGINT) AS h2,
+    text = '' OR regexp_matches(text, '<[PSM]>') OR CAST('0x' || d[17:24] AS BIGINT) % 100 >= 90 AS plain, CAST('0x' || d[25:32] AS BIGINT) % 100 < 20 AS spm
+  FROM drawn
+), cuts AS (
+  SELECT *, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b FROM units
+), parts AS (
+  SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM cuts
+)
+SELECT doc_id, CAST(len(u) AS BIGINT) AS n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+  CASE WHEN NOT plain THEN length(prefix) END AS prefix_chars, CASE WHEN NOT plain THEN length(middle) END AS middle_chars,
+  sha256(CASE WHEN plain THEN text WHEN spm THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
 
 def queries() -> dict[str, Query]:
     return {
@@ -137,8 +162,9 @@ def queries() -> dict[str, Query]:
         "op8_simhash": op8_simhash,
         "op9_topk": op9_topk,
         "op10_secrets": op10_secrets,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op6_chat_perspectives": OP6_SQL, "op9_topk": OP9_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op6_chat_perspectives": OP6_SQL, "op9_topk": OP9_SQL, "op13_fill_in_middle": OP13_SQL}
