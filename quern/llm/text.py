@@ -28,3 +28,8 @@ def fresh(docs: DataFrame, *names: str) -> tuple[str, ...]:
         taken.add(name.lower())
         found.append(name)
     return tuple(found)
+
+
+def fold(doc_id: Column) -> Column:
+    """crc32 of the id as text (null: empty), modulo 5; decides what a model may learn from."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
