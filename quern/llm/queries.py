@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, decontaminate, language, lines, middle, mixing, ppm, secrets, simhash, substrings, topk, toxicity
+from quern.llm import chat, decontaminate, language, lines, middle, mixing, ppm, secrets, simhash, substrings, topk, toxicity, whitening
 from quern.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(table(spark, sf_dir, "embeddings"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = middle.transform(table(spark, sf_dir, "documents"))
     digests = (F.sha2("output", 256).alias("output_sha256"), F.sha2(middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
@@ -167,6 +171,7 @@ def queries() -> dict[str, Query]:
         "op9_topk": op9_topk,
         "op10_secrets": op10_secrets,
         "op11_language": op11_language,
+        "op12_whitening": op12_whitening,
         "op13_fill_in_middle": op13_fill_in_middle,
     }
 
