@@ -1,4 +1,4 @@
-"""Inner-product search over vectors: exact, in blocks, and by an inverted file of cells."""
+"""Exact cosine search over vectors, in blocks."""
 
 from __future__ import annotations
 
@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 from quern.storage import materialize
 
 
-def _rows(column: pa.Array) -> np.ndarray:
+def unit_rows(column: pa.Array) -> np.ndarray:
+    """Lists of one length as rows of unit length; zeros stay."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     m = flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
     norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return m / np.where(norms > 0, norms, 1)
 
 
-def _merge(found: DataFrame, k: int) -> DataFrame:
+def merge_ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query, ties to the smaller id, with their rank from 0."""
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k).select("qid", "rank", "vec_id", "score")
 
@@ -39,7 +41,7 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), size):
                 part = batch.slice(at, size)
-                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind)) for x, kind in ((part.column(0).to_numpy(), pa.int64()), (_rows(part.column(1)).ravel(), pa.float64()))]
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind)) for x, kind in ((part.column(0).to_numpy(), pa.int64()), (unit_rows(part.column(1)).ravel(), pa.float64()))]
                 yield pa.RecordBatch.from_arrays(lists, ["ids", "unit"])
 
     return rows.mapInArrow(run, "ids array<long>, unit array<double>")
@@ -62,14 +64,14 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, chunk: int
     schema = "qid long, vec_id long, score double"
     if asked.count() <= chunk:
         rows = asked.toArrow().combine_chunks()
-        few = (rows.column(0).to_numpy(), _rows(rows.column(1).combine_chunks()) if rows.num_rows else np.zeros((0, 0)))
+        few = (rows.column(0).to_numpy(), unit_rows(rows.column(1).combine_chunks()) if rows.num_rows else np.zeros((0, 0)))
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if len(batch) and len(few[0]):
-                    yield _best(few[0], batch.column(0).to_numpy(), few[1] @ _rows(batch.column(1)).T, k)
+                    yield _best(few[0], batch.column(0).to_numpy(), few[1] @ unit_rows(batch.column(1)).T, k)
 
-        return _merge(held.mapInArrow(near, schema), k)
+        return merge_ranked(held.mapInArrow(near, schema), k)
     groups = materialize(_packed(asked.repartition(max(1, -(-asked.count() // chunk)), "qid"), chunk).withColumn("group", F.monotonically_increasing_id()), "groups")
     pairs = materialize(_packed(held, block), "blocks").join(groups.select("group", F.col("ids").alias("qids"), F.col("unit").alias("q")).hint("shuffle_replicate_nl"))
 
@@ -79,44 +81,4 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, chunk: int
                 (ids, v), (qids, q) = _unpacked(batch, at, (0, 1)), _unpacked(batch, at, (2, 3))
                 yield _best(qids, ids, q @ v.T, k)
 
-    return _merge(pairs.select("ids", "unit", "qids", "q").mapInArrow(run, schema), k)
-
-
-def _centres(sample: np.ndarray, cells: int, steps: int = 10, seed: int = 7) -> np.ndarray:
-    """Spherical k-means."""
-    rng = np.random.default_rng(seed)
-    centres = sample[rng.choice(len(sample), min(cells, len(sample)), replace=False)]
-    for _ in range(steps):
-        near = (sample @ centres.T).argmax(axis=1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, sample)
-        norms = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
-        centres = np.where(norms > 0, sums / np.where(norms > 0, norms, 1), centres)
-    return centres
-
-
-def ann_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, cells: int = 32, probes: int = 22, sample: int = 20_000) -> DataFrame:
-    """Approximate top k: the index holds every vector in the cell of its nearest centre, and a query looks into ``probes`` cells.
-
-    Centres are fitted on at most ``sample`` vectors (the smallest hashes of their ids).
-    """
-    fitted = vectors.filter("embedding is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow().combine_chunks()
-    centres = _centres(_rows(fitted.column(0).combine_chunks()), cells)
-
-    def cell_of(n: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if len(batch):
-                    order = np.argsort(-(_rows(batch.column(1)) @ centres.T), axis=1, kind="stable")[:, :n]
-                    at = pa.array(np.repeat(np.arange(len(batch)), order.shape[1]))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(order.ravel().astype(np.int32))], ["id", "embedding", "cell"])
-
-        return run
-
-    schema = "id long, embedding array<float>, cell int"
-    index = materialize(vectors.filter("embedding is not null").select("vec_id", "embedding").mapInArrow(cell_of(1), schema), "cells")
-    asked = queries.select("qid", "embedding").mapInArrow(cell_of(probes), schema).select(F.col("id").alias("qid"), F.col("embedding").alias("q"), "cell")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    score = dot(F.col("embedding"), F.col("q")) / F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("q"), F.col("q")))
-    hits = index.join(asked, "cell").select("qid", F.col("id").alias("vec_id"), (F.floor(score * 1e6 + 0.5) / 1e6).alias("score"))
-    return _merge(hits, k)
+    return merge_ranked(pairs.select("ids", "unit", "qids", "q").mapInArrow(run, schema), k)
