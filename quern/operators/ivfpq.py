@@ -6,8 +6,8 @@ centre has been taken off.  A query looks into its ``probes`` nearest cells, whe
 code words gives approximate scores without the vectors; the ``short`` best are scored exactly.
 
 The index is a table of blocks, (cell, ids, codes), beside small arrays of centres and code words; it can be written and
-read.  Blocks come from a range partitioning by cell and id, so a crowded cell is many blocks over several tasks, and
-queries that ask a cell are packed likewise: what meets in the join on the cell are blocks, not rows.
+read.  Rows are brought together by cell in partitions that adaptive execution splits where a cell is crowded, as a cell may be
+many blocks anywhere; queries that ask a cell are packed likewise: what meets in the join on the cell are blocks, not rows.
 
 Centres and code words are fitted on at most ``sample`` vectors (the smallest hashes of their ids); every vector is indexed.
 """
@@ -104,7 +104,7 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
         if ids:
             yield out()
 
-    return rows.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id").mapInArrow(run, "cell int, ids array<long>, bodies binary")
+    return rows.hint("rebalance", "cell").sortWithinPartitions("cell", "id").mapInArrow(run, "cell int, ids array<long>, bodies binary")
 
 
 def _in_cells(rows: DataFrame, centres: np.ndarray, n: int, body: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:

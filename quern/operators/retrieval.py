@@ -68,7 +68,7 @@ def _weights(
     return asked.join(frequencies.select("term", idf.alias("idf")), "term"), (size["total"] or 0) / max(size["n"] or 0, 1) or 1.0
 
 
-class _Best:
+class Best:
     """The k best documents of each query, by score and then id; rows come in any order and are cut back now and then."""
 
     def __init__(self, queries: int, k: int, larger_ids: bool, hold: int = 1 << 18):
@@ -108,7 +108,7 @@ def _in_place(hits: DataFrame, weights: pa.Table, terms: dict, k: int, larger_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, starts, query_of, weight_of = held.value
-        best = _Best(len(qids), k, larger_ids)
+        best = Best(len(qids), k, larger_ids)
         kept = None
 
         def score(doc: np.ndarray, doc_id: np.ndarray, dl: np.ndarray, term: np.ndarray, factor: np.ndarray) -> None:
@@ -175,17 +175,29 @@ def bm25_best(
     return scored.select("qid", "doc_id", T.quantised(F.col("score") * F.col("factor")).alias("score"))
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, year: Column | None = None, alpha: float = 0.3, **options) -> DataFrame:
+def _search_words(x: Column) -> Column:
+    return F.regexp_extract_all(F.lower(T.empty_if_null(x)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+#: The tokens of a document in an index that serves both searches.
+ANALYSERS: dict[str, Callable[[Column], Column]] = {"space": T.ws_tokens, "words": _search_words}
+
+
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, year: Column | None = None, alpha: float = 0.3, index=None, **options) -> DataFrame:
     """Top k by quantised score, ties to the greater doc_id; documents without a shared term fill up with score 0.
 
     With ``year``, an expression over ``docs``, scores are raised by up to ``alpha`` for recency; no year, no change.
+    With an ``index`` of ``docs`` (:class:`postings.TextIndex`), and without years, it is searched and texts are not read.
     """
     factor = None
     if year is not None:
         span = docs.agg(F.min(year), F.max(year)).first()
         low, width = span[0] or 0, max((span[1] or 0) - (span[0] or 0), 1)
         factor = 1 + F.coalesce(alpha * (year - low) / width, F.lit(0.0))
-    scored = bm25_best(docs, queries, k, factor=factor, larger_ids=True, **options)
+    if index is not None and factor is None:
+        scored = index.best("space", queries, k, larger_ids=True, **options)
+    else:
+        scored = bm25_best(docs, queries, k, factor=factor, larger_ids=True, **options)
     # 2k documents of the greatest ids hold k that a query with fewer than k hits has not hit.
     last = docs.select("doc_id").orderBy(F.desc("doc_id")).limit(2 * k)
     filler = queries.select("qid", F.explode(F.array(*[F.lit(r.doc_id) for r in last.collect()])).alias("doc_id")).withColumn("score", F.lit(0.0))
@@ -193,11 +205,13 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, year: Column | N
     return top(pool, k, F.desc("doc_id")).select("qid", "rank", "doc_id", "score")
 
 
-def search_topk(docs: DataFrame, queries: DataFrame, k: int = 10, **options) -> DataFrame:
-    """Full-text OR search: words of more than three letters or digits, BM25 with k1 1.2; only documents that match."""
-    words = lambda x: F.regexp_extract_all(F.lower(T.empty_if_null(x)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+def search_topk(docs: DataFrame, queries: DataFrame, k: int = 10, index=None, **options) -> DataFrame:
+    """Full-text OR search: words of more than three letters or digits, BM25 with k1 1.2; only documents that match; from the ``index`` of ``docs`` if there is one."""
     asked = lambda x: F.filter(F.split(F.lower(T.fts_query(x)), " or "), lambda w: w != "")
-    scored = bm25_best(docs, queries, k, tokens=words, query_tokens=asked, k1=1.2, epsilon=None, **options)
+    if index is not None:
+        scored = index.best("words", queries, k, asks=asked, k1=1.2, epsilon=None, **options)
+    else:
+        scored = bm25_best(docs, queries, k, tokens=_search_words, query_tokens=asked, k1=1.2, epsilon=None, **options)
     return top(scored, k, F.asc("doc_id")).select("qid", "rank", "doc_id", "score")
 
 

@@ -14,6 +14,7 @@ from quern.functions.labels import normalize_answer
 from quern.functions.text import quantised, render_options, url_domain
 from quern.hooks import Hooks
 from quern.operators import cite, compress, fusion, graph, retrieval, vectors, votes, web
+from quern.operators.postings import TextIndex
 from quern.storage import materialize
 from quern.streaming.resume import pending
 
@@ -50,15 +51,16 @@ class Settings:
 class Pipeline:
     """docs(doc_id, title, content, pmid, id, url[, year]) as the corpus; ``verify`` takes questions(id, question, options).
 
-    ``vectors(doc_id, embedding)`` and the graph's ``nodes`` and ``edges`` are for the modes that need them.
+    ``vectors(doc_id, embedding)`` and the graph's ``nodes`` and ``edges`` are for the modes that need them; an ``index`` of
+    the documents' titles and contents is searched in place of the texts.
     """
 
     def __init__(
         self, docs: DataFrame, settings: Settings | None = None, hooks: Hooks | None = None, *,
-        vectors: DataFrame | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None,
+        vectors: DataFrame | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None, index: TextIndex | None = None,
     ):
         self.docs, self.settings, self.hooks = docs, settings or Settings(), hooks or Hooks()
-        self.vectors, self.nodes, self.edges = vectors, nodes, edges
+        self.vectors, self.nodes, self.edges, self.index = vectors, nodes, edges, index
         mode = self.settings.mode
         if mode not in MODES:
             raise ValueError(f"mode is one of {', '.join(MODES)}")
@@ -78,8 +80,8 @@ class Pipeline:
         dated = bool(s.alpha) and "year" in self.docs.columns
         corpus = self.docs.select("doc_id", F.concat_ws(" ", "title", "content").alias("content"), *["year"] * dated)
         if name == "bm25":
-            return retrieval.bm25_topk(corpus, queries, k, year=F.col("year") if dated else None, alpha=s.alpha).select("qid", "rank", "doc_id")
-        return retrieval.search_topk(corpus, queries, k).select("qid", "rank", "doc_id")
+            return retrieval.bm25_topk(corpus, queries, k, year=F.col("year") if dated else None, alpha=s.alpha, index=self.index).select("qid", "rank", "doc_id")
+        return retrieval.search_topk(corpus, queries, k, index=self.index).select("qid", "rank", "doc_id")
 
     def _named(self, ranked: DataFrame) -> DataFrame:
         return ranked.join(self.docs.select("doc_id", "title", "content", "pmid", "id", "url"), "doc_id").select(*COLUMNS)

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import fusion, ivfpq, retrieval, vectors
+from quern.operators import fusion, ivfpq, postings, retrieval, vectors
 from quern.plans.catalog import register
-from quern.storage import materialize
+from quern.storage import held, materialize, reserve
 from quern.tables import table
 
 
@@ -24,6 +24,18 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
+_INDEXES: dict[tuple, postings.TextIndex] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> postings.TextIndex:
+    """The stored index of the documents, built by the session's first search and kept with its intermediate tables."""
+    docs = _docs(spark, sf_dir).select("doc_id", "content")
+    key = (spark.sparkContext.applicationId, *sorted(docs.inputFiles()))
+    if key not in _INDEXES or not held(_INDEXES[key].path):
+        _INDEXES[key] = postings.TextIndex.create(spark, reserve(spark, "index")).append(docs)
+    return _INDEXES[key]
+
+
 def _year() -> Column:
     return F.when(F.col("doc_id") % 7 != 0, (1990 + F.col("doc_id") % 30).cast("int"))
 
@@ -81,7 +93,7 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("bm25_topk", f"WITH {_Q}, {_D}, {_B}, {_filled('bs', 10, 'b10')} {_RANKED.format('b10')}")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25_topk(_docs(spark, sf_dir), _queries(spark, sf_dir), 10)
+    return retrieval.bm25_topk(_docs(spark, sf_dir), _queries(spark, sf_dir), 10, index=_index(spark, sf_dir))
 
 
 @register("bm25_recency_topk", f"""WITH {_Q}, {_D}, {_bm25('c', _WS, _WS, 1.5, _OKAPI).replace('floor(sum(', '(sum(').replace(' * 1e6 + 0.5) / 1e6 AS score', ') AS score')},
@@ -95,7 +107,7 @@ def bm25_recency_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("fts_bm25_topk", f"WITH {_Q}, {_D}, {_F}, {_searched('fs', 10, 'f10')} {_RANKED.format('f10')}")
 def fts_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.search_topk(_docs(spark, sf_dir), _queries(spark, sf_dir), 10)
+    return retrieval.search_topk(_docs(spark, sf_dir), _queries(spark, sf_dir), 10, index=_index(spark, sf_dir))
 
 
 _GRAMS = r"list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
@@ -114,12 +126,12 @@ _COSINE = "tc AS (SELECT a.gid AS qid, a.uid AS doc_id, floor(sum(a.weight * b.w
 def _pool(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """The BM25 pool with the documents' columns."""
     docs = _docs(spark, sf_dir)
-    return materialize(retrieval.bm25_topk(docs, _queries(spark, sf_dir), k), "pool").join(docs, "doc_id")
+    return materialize(retrieval.bm25_topk(docs, _queries(spark, sf_dir), k, index=_index(spark, sf_dir)), "pool").join(docs, "doc_id")
 
 
 def _search_pool(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    return materialize(retrieval.search_topk(docs, _queries(spark, sf_dir), k), "pool").join(docs, "doc_id")
+    return materialize(retrieval.search_topk(docs, _queries(spark, sf_dir), k, index=_index(spark, sf_dir)), "pool").join(docs, "doc_id")
 
 
 @register("tfidf_weights", f"WITH tx AS (SELECT 0 AS gid, item_id AS uid, text FROM benchmark), {_TFIDF} SELECT uid AS item_id, term, floor(weight * 1e6 + 0.5) / 1e6 AS weight FROM ti")
@@ -153,8 +165,8 @@ def rerank_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("union_pools", f"WITH {_Q}, {_D}, {_B}, {_F}, {_filled('bs', 50, 'b50')}, {_searched('fs', 50, 'f50')} SELECT qid, doc_id, count(*) AS pools, CAST(min(rank) AS INTEGER) AS best FROM (SELECT * FROM b50 UNION ALL SELECT * FROM f50) GROUP BY qid, doc_id")
 def union_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, asked = _docs(spark, sf_dir), _queries(spark, sf_dir)
-    both = retrieval.bm25_topk(docs, asked, 50).unionByName(retrieval.search_topk(docs, asked, 50), allowMissingColumns=True)
+    docs, asked, index = _docs(spark, sf_dir), _queries(spark, sf_dir), _index(spark, sf_dir)
+    both = retrieval.bm25_topk(docs, asked, 50, index=index).unionByName(retrieval.search_topk(docs, asked, 50, index=index), allowMissingColumns=True)
     return both.groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("pools"), F.min("rank").alias("best"))
 
 
@@ -210,7 +222,7 @@ def multi_query_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to eight sub-queries of an item, hits one after the other, fused with the BM25 pool."""
     docs = _docs(spark, sf_dir)
     subs = _queries(spark, sf_dir).select("qid", F.posexplode(T.unique_queries(F.split("text", r"\."), 8)).alias("sub", "text")).select((F.col("qid") * 8 + F.col("sub")).alias("qid"), "text")
-    hits = materialize(retrieval.search_topk(docs, subs, 20), "hits").select(F.expr("qid div 8").alias("qid"), F.col("qid").alias("sub"), "rank", "doc_id")
+    hits = materialize(retrieval.search_topk(docs, subs, 20, index=_index(spark, sf_dir)), "hits").select(F.expr("qid div 8").alias("qid"), F.col("qid").alias("sub"), "rank", "doc_id")
     pool = fusion.concatenated(hits).drop("sub").join(docs, "doc_id").withColumn("pool", F.lit("search"))
     both = pool.unionByName(_pool(spark, sf_dir, 50).drop("score").withColumn("pool", F.lit("bm25")))
     return fusion.rrf(both, {"search": 1.2, "bm25": 1.0}, 20, fusion.pubmed_key())
@@ -280,7 +292,7 @@ def pmid_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
     years = docs.select("doc_id", _year().alias("year"))
     span = years.agg(F.min("year"), F.max("year")).first()
     width = max((span[1] or 0) - (span[0] or 0), 1)
-    pool = retrieval.bm25_topk(docs, _queries(spark, sf_dir), 30).filter("score > 0").join(years, "doc_id")
+    pool = retrieval.bm25_topk(docs, _queries(spark, sf_dir), 30, index=_index(spark, sf_dir)).filter("score > 0").join(years, "doc_id")
     fresh = F.coalesce((F.col("year") - (span[0] or 0)) / width, F.lit(0.0))
     scored = pool.withColumn("score", T.quantised(F.col("score") / F.max("score").over(Window.partitionBy("qid")) + 0.3 * fresh)).drop("rank")
     return retrieval.top(scored, 10, F.asc("doc_id")).select("qid", "rank", "doc_id", "score")
@@ -313,7 +325,8 @@ def _mode(spark: SparkSession, sf_dir: str, mode: str, hooks=None, **more) -> Da
     from quern.plans.pipeline import Pipeline, Settings
 
     docs = _docs(spark, sf_dir).select("doc_id", "title", F.coalesce("text", F.lit("")).alias("content"), "pmid", "id", "url")
-    return Pipeline(docs, Settings(mode=mode), hooks, **more).retrieve(_queries(spark, sf_dir)).select("qid", "rank", "doc_id")
+    index = _index(spark, sf_dir) if mode in ("bm25", "search", "fused", "moe_flat", "moe_graph") else None
+    return Pipeline(docs, Settings(mode=mode), hooks, index=index, **more).retrieve(_queries(spark, sf_dir)).select("qid", "rank", "doc_id")
 
 
 _FIRST = "SELECT qid, CAST(rank AS INTEGER) AS rank, doc_id FROM {} WHERE rank < {}"

@@ -33,12 +33,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def reserve(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes with the intermediate tables."""
+    path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
+def held(path: str) -> bool:
+    """Whether a reserved path has not been released yet."""
+    return any(path == p for _, p in _WRITTEN)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
+    path = reserve(spark, name)
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

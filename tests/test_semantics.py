@@ -105,7 +105,7 @@ def test_bm25_in_place_and_by_joins(spark, larger, monkeypatch):
     rows = [(i, " ".join(rng.choice(words, rng.integers(0, 30)))) for i in range(300)] + [(1000 + i, rows_) for i, rows_ in enumerate(["w1 w2"] * 30)] + [(2000, " ".join(rng.choice(words, 20_000))), (None, "w1"), (2001, None)]
     docs = spark.createDataFrame(rows, "doc_id long, content string").repartition(5)
     queries = spark.createDataFrame([(i, " ".join(rng.choice(words, 4))) for i in range(30)] + [(50, "none"), (51, ""), (52, None)], "qid long, text string")
-    monkeypatch.setattr(retrieval._Best, "__init__", lambda self, n, k, larger, hold=0, make=retrieval._Best.__init__: make(self, n, k, larger, 50))
+    monkeypatch.setattr(retrieval.Best, "__init__", lambda self, n, k, larger, hold=0, make=retrieval.Best.__init__: make(self, n, k, larger, 50))
     tie = F.desc("doc_id") if larger else F.asc("doc_id")
     best = lambda limit: {(r.qid, r["rank"]): (r.doc_id, r.score) for r in retrieval.top(retrieval.bm25_best(docs, queries, 7, larger_ids=larger, limit=limit), 7, tie).collect()}
     there, joined = best(1_000_000), best(0)
