@@ -211,10 +211,10 @@ def train(labelled: DataFrame, *, buckets: int = 1 << 16, smooth: float = 0.5, m
     model = Model(languages, code, weights, np.ones(code.shape), margin)
     if not code.size:
         return model
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = rows.sparkSession.sparkContext.broadcast(model.__dict__)  # plain values: workers need no copy of the package
 
     def right_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, right, n = shared.value, np.zeros(code.shape, np.int64), np.zeros(len(languages), np.int64)
+        m, right, n = Model(**shared.value), np.zeros(code.shape, np.int64), np.zeros(len(languages), np.int64)
         for batch in batches:
             margins, sane = m.margins(batch.column(1).to_pylist())
             own = np.array([number[x] if ok else 0 for x, ok in zip(batch.column(0).to_pylist(), sane, strict=True)], np.int64)
@@ -231,11 +231,11 @@ def train(labelled: DataFrame, *, buckets: int = 1 << 16, smooth: float = 0.5, m
 
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score, runner_up, ambiguous: one row a document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.__dict__)
     rows = spread(docs.select(F.col(id_col).alias("doc_id"), (fold(F.col(id_col)) == 0).alias("held_out"), F.col(text_col).alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = Model(**shared.value)
         names = np.array([*m.languages, None], object)
         for batch in batches:
             margins, sane = m.margins(batch.column(2).to_pylist())

@@ -175,12 +175,12 @@ def _deviation(x: np.ndarray, m: Whitening) -> pa.Array:
 
 def whiten(vectors: DataFrame, model: Whitening, *, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id, deviation, whitened: of each row its squared distance from the mean, times n squared, and its whitened components."""
-    shared, d = vectors.sparkSession.sparkContext.broadcast(model), len(model.sums)
+    shared, d = vectors.sparkSession.sparkContext.broadcast(model.__dict__), len(model.sums)  # plain values: workers need no copy of the package
     rows = integers(vectors, id_col, vec_col, model.scale, model.offset).filter(F.size("x") == (d or -1))
     kind = rows.schema["vec_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = Whitening(**shared.value)
         for batch in batches:
             for at, x in _matrices(batch.column(1), d):
                 w = _project(x, m)
