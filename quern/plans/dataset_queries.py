@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from quern.functions.labels import dataset_of
 from quern.plans import experiments
 from quern.plans.catalog import register
+from quern.sources import articles, rest
 from quern.sources import datasets as D
+from quern.storage import reserve
 from quern.streaming import resume
 from quern.tables import table
 
@@ -135,3 +137,28 @@ def verify_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"), options.alias("options"))
     verdicts = Pipeline(docs).verify(questions)
     return verdicts.select("id", "choice", "n_votes", "n_winner", "n_choices", F.size("propositions").alias("n_propositions"), F.length("retrieved_context").alias("n_context"), "reference_block")
+
+
+@register("rest_fetch", """SELECT CAST(item_id AS VARCHAR) AS id, 'Item ' || item_id AS title, CASE WHEN item_id % 7 = 3 THEN NULL ELSE text END AS abstract, md5('fetch:pubmed:' || item_id || ':1') AS cache_key FROM benchmark WHERE item_id % 5 <> 4
+UNION ALL SELECT CAST(item_id AS VARCHAR), NULL, NULL, md5('fetch:pubmed:' || item_id || ':1') FROM benchmark WHERE item_id % 5 = 4""")
+def rest_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items' records by id, from a service that has four in five of them and fails each request once; twice, the second time from the cache."""
+    items, root = table(spark, sf_dir, "benchmark"), reserve(spark, "service")
+    i = F.col("item_id")
+    rest.Folder.fill(items.filter(i % 5 != 4).select(i.cast("string").alias("id"), F.concat(F.lit("Item "), i.cast("string")).alias("title"), F.when(i % 7 != 3, F.col("text")).alias("abstract")), root)
+    service, ids, cache = rest.Folder(root, failures=1), items.select(i.cast("string").alias("id")), reserve(spark, "answers")
+    rest.lookup(ids, service, cache, pause=0.01)
+    return rest.lookup(ids, service, cache, pause=0.01)
+
+
+@register("read_xml_gz", r"""SELECT CAST(page_id AS VARCHAR) AS pmid, url AS title, 'URL: ' || url || ' Page ' || page_id AS abstract, CAST(1 AS INTEGER) AS n_mesh FROM pages WHERE trim(url) <> ''""")
+def read_xml_gz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' addresses as articles in compressed XML, read back."""
+    escaped = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+    text = F.concat(
+        F.lit("<PubmedArticle><MedlineCitation><PMID Version='1'>"), F.col("page_id").cast("string"), F.lit("</PMID><Article><ArticleTitle>"), escaped,
+        F.lit("</ArticleTitle><Abstract><AbstractText Label='URL'>"), escaped, F.lit("</AbstractText><AbstractText>Page "), F.col("page_id").cast("string"),
+        F.lit("</AbstractText></Abstract></Article><MeshHeadingList><MeshHeading><DescriptorName>Web</DescriptorName></MeshHeading></MeshHeadingList></MedlineCitation></PubmedArticle>"))
+    path = reserve(spark, "archive")
+    table(spark, sf_dir, "pages").filter(F.trim("url") != "").select(text.alias("value")).write.option("compression", "gzip").text(path)
+    return articles.read_articles(spark, path).select("pmid", "title", "abstract", F.size("mesh").alias("n_mesh"))

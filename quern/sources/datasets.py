@@ -221,20 +221,6 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return lines.filter(F.size("m") > 0).select(field("title").alias("title"), field("content").alias("content"), some_id.alias("pmid"), field("source").alias("source"), "file_name")
 
 
-def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    """PubMed articles from (gzipped) XML: pmid, title, abstract (sections as ``Label: text``), mesh; without an abstract none."""
-    schema = (
-        "MedlineCitation struct<PMID: struct<_VALUE: string>, Article: struct<ArticleTitle: string, Abstract: struct<AbstractText: array<struct<_VALUE: string, _Label: string>>>>,"
-        " MeshHeadingList: struct<MeshHeading: array<struct<DescriptorName: struct<_VALUE: string>>>>>"
-    )
-    raw = spark.read.format("xml").option("rowTag", "PubmedArticle").option("mode", "DROPMALFORMED").schema(schema).load(path)
-    m = F.col("MedlineCitation")
-    section = lambda a: F.when(F.coalesce(a["_Label"], F.lit("")) != "", F.concat(a["_Label"], F.lit(": "), a["_VALUE"])).otherwise(a["_VALUE"])
-    abstract = F.array_join(F.transform(m["Article"]["Abstract"]["AbstractText"], section), " ")
-    mesh = F.transform(m["MeshHeadingList"]["MeshHeading"], lambda h: h["DescriptorName"]["_VALUE"])
-    return raw.select(m["PMID"]["_VALUE"].alias("pmid"), m["Article"]["ArticleTitle"].alias("title"), abstract.alias("abstract"), F.coalesce(mesh, F.array().cast("array<string>")).alias("mesh")).filter(F.coalesce("abstract", F.lit("")) != "")
-
-
 RECORD = (
     "id string, question string, gt_answer string, gt_label string, pred_answer string, pred_label string, correct boolean, time_seconds double, atomic_propositions string,"
     " retrieved_context string, vote_distribution map<string, bigint>, reasoning_traces array<struct<model: string, vote_idx: int, step_by_step_thinking: string, choice: string>>"

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.plans.pipeline import Pipeline, Settings
-from quern.sources import datasets, ontology, search, sinks
+from quern.sources import articles, datasets, ontology, search, sinks
 from quern.streaming import resume
 
 
@@ -28,7 +28,7 @@ def test_articles_chunks_and_broken_files(spark, tmp_path):
 <PubmedArticle><MedlineCitation><PMID Version="1">12</PMID><Article><ArticleTitle>None</ArticleTitle></Article></MedlineCitation></PubmedArticle></PubmedArticleSet>"""
     with gzip.open(tmp_path / "a.xml.gz", "wt") as f:
         f.write(xml)
-    got = datasets.read_articles(spark, str(tmp_path / "a.xml.gz")).collect()
+    got = articles.read_articles(spark, str(tmp_path / "a.xml.gz")).collect()
     assert [(r.pmid, r.title, r.abstract, list(r.mesh)) for r in got] == [("11", "One", "AIM: To see. Seen.", ["Heart"])]
     (tmp_path / "bad.gz").write_bytes(gzip.compress(b"x" * 5000)[:-12])
     assert [r.path.rsplit("/", 1)[-1] for r in datasets.broken_gzip(spark, str(tmp_path)).collect()] == ["bad.gz"]
