@@ -1,15 +1,16 @@
-"""A stored full-text index: compressed postings by term, searched range by range with block-max pruning.
+"""A stored full-text index: compressed postings by range of documents, searched with block-max pruning.
 
 The documents of a batch are cut into ranges of up to ``docs`` rows.  A range has one block for each term it holds: the
 documents' numbers within the range as differences and the term's counts in them, as variable-length
 bytes, and the block's best pairs (count, document length), those that no other pair of the block beats in both, from which
-the greatest BM25 part of the block follows for any parameters and any mean length.  Ranges keep their documents' ids and lengths.
-Several analysers can share one index and one reading of the texts.
+the greatest BM25 part of the block follows for any parameters and any mean length.  The blocks of a range are packed by a
+hash of their terms into ``PARTS`` rows, and files hold one analyser's rows of one part, so that a search reads the parts of its terms
+only; a further row has the range's document ids and lengths.  Several analysers can share one index and one reading of the texts.
 
-``entries`` is sorted by analyser and term, so that a search reads the blocks of its terms; ``terms`` holds document
-frequencies.  A batch counts once it is in ``batches``, which is written last: an append that fails leaves nothing that is read.
+``vocabulary`` holds document frequencies by the hash of the term, for their mean.  A batch counts once it is in ``batches``,
+which is written last: an append that fails leaves nothing that is read.
 
-A search brings the blocks of its terms together by range.  A query's floor is the greatest over its terms of the k-th best
+A search takes the blocks of its terms out and brings them together by range.  A query's floor is the greatest over its terms of the k-th best
 block of the term (k different documents score as much by that term alone), raised by what its task has found; a
 range whose blocks' best parts add up to less is passed over undecoded.
 """
@@ -17,6 +18,7 @@ range whose blocks' best parts add up to less is passed over undecoded.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -30,7 +32,9 @@ from quern.operators import retrieval
 from quern.operators.retrieval import Best
 from quern.storage import materialize, spread
 
-ENTRY = "field string, term string, range long, n int, body binary, top_tf array<int>, top_dl array<int>, ids array<long>, dls array<int>"
+PARTS = 16
+HEAD = PARTS
+ENTRY = "range long, terms array<string>, n array<int>, sizes array<int>, body binary, tops array<int>, top_tf array<int>, top_dl array<int>, ids array<long>, dls array<int>"
 BATCH = "field string, n long, total long, batch string"
 #: Pairs of document and query scored at a time.
 PAIRS = 1 << 20
@@ -60,22 +64,27 @@ def from_bytes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, stops
 
 
-def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, kind))
-
-
 def _first(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
 
 
-def encode_range(words: pa.ListArray) -> tuple[pa.Array, np.ndarray, pa.Array, pa.Array, pa.Array, np.ndarray]:
-    """term, n, body, top_tf, top_dl of a range's blocks, and the documents' lengths."""
+def part_of(term: str) -> int:
+    return zlib.crc32(term.encode("utf-8", "surrogatepass")) % PARTS
+
+
+def encode_range(words: pa.ListArray) -> tuple[list[dict], np.ndarray]:
+    """A range's rows, one a part that has terms, and the documents' lengths."""
     dls = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = words.flatten().dictionary_encode()
     if isinstance(coded, pa.ChunkedArray):
         coded = coded.combine_chunks()
+    names = coded.dictionary.to_pylist()
+    parts = np.array([part_of(t) for t in names], np.int64)
+    order = np.argsort(parts, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
     docs = max(1, len(dls))
-    key, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * docs + np.repeat(np.arange(len(dls)), dls), return_counts=True)
+    key, tf = np.unique(place[coded.indices.to_numpy()] * docs + np.repeat(np.arange(len(dls)), dls), return_counts=True)
     term, doc = key // docs, key % docs
     first = _first(term)
     n = np.diff(np.append(first, len(term)))
@@ -83,15 +92,23 @@ def encode_range(words: pa.ListArray) -> tuple[pa.Array, np.ndarray, pa.Array, p
     step[first] = doc[first]
     data, sizes = to_bytes(np.stack([step, tf], axis=1).ravel())
     lengths = np.add.reduceat(sizes, 2 * first) if len(first) else np.zeros(0, np.int64)
-    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    bodies = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
     # Of a block's pairs by falling count, those shorter than all before; a later block lies below all earlier ones.
-    order = np.lexsort((dls[doc], -tf, term))
-    low = dls[doc][order] - term[order] * (int(dls.max(initial=0)) + 1)
+    by = np.lexsort((dls[doc], -tf, term))
+    low = dls[doc][by] - term[by] * (int(dls.max(initial=0)) + 1)
     best = low < np.concatenate([[np.iinfo(np.int64).max], np.minimum.accumulate(low)[:-1]]) if len(low) else np.zeros(0, bool)
-    tops = order[best]
-    per_block = np.bincount(np.searchsorted(term[first], term[tops]), minlength=len(first))
-    return coded.dictionary.take(pa.array(term[first])), n, bodies, _lists(tf[tops], per_block, pa.int32()), _lists(dls[doc[tops]], per_block, pa.int32()), dls
+    pairs = by[best]
+    tops = np.bincount(term[pairs], minlength=len(first))
+    edges, top_edges = np.searchsorted(parts[order], np.arange(PARTS + 1)), np.concatenate([[0], np.cumsum(tops)])
+    rows = []
+    for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        if b > a:
+            top = pairs[top_edges[a] : top_edges[b]]
+            rows.append({
+                "part": p, "terms": [names[i] for i in order[a:b]], "n": n[a:b], "sizes": lengths[a:b], "body": data[offsets[a] : offsets[b]].tobytes(),
+                "tops": tops[a:b], "top_tf": tf[top], "top_dl": dls[doc[top]],
+            })
+    return rows, dls
 
 
 def decode(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,9 +123,14 @@ def decode(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return block, total - np.repeat(total[start] - step[start], n), tf
 
 
+_KINDS = {
+    "field": pa.string(), "part": pa.int32(), "range": pa.int64(), "terms": pa.list_(pa.string()), "n": pa.list_(pa.int32()), "sizes": pa.list_(pa.int32()), "body": pa.binary(),
+    "tops": pa.list_(pa.int32()), "top_tf": pa.list_(pa.int32()), "top_dl": pa.list_(pa.int32()), "ids": pa.list_(pa.int64()), "dls": pa.list_(pa.int32()),
+}
+
+
 def _entries(words: DataFrame, fields: list[str], docs: int, base: int) -> DataFrame:
-    """All blocks, and for each range and analyser a row without a term, of ``words(doc_id, *fields)``; ranges are numbered from ``base``."""
-    columns = [x.split()[0] for x in ENTRY.split(", ")]
+    """All rows of the index, with field and part, of ``words(doc_id, *fields)``; ranges are numbered from ``base``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -119,24 +141,46 @@ def _entries(words: DataFrame, fields: list[str], docs: int, base: int) -> DataF
                 batch = whole.slice(at, docs)
                 number += 1
                 for i, field in enumerate(fields):
-                    term, n, body, top_tf, top_dl, dls = encode_range(batch.column(1 + i))
-                    ids = batch.column(0).to_numpy()
-                    blank = lambda kind, m: pa.nulls(m, kind)
-                    for m, parts in ((1, [blank(pa.string(), 1), pa.array([number]), pa.array([len(ids)], pa.int32()), blank(pa.binary(), 1), blank(pa.list_(pa.int32()), 1), blank(pa.list_(pa.int32()), 1),
-                            _lists(ids, [len(ids)], pa.int64()), _lists(dls, [len(dls)], pa.int32())]),
-                            (len(n), [term, pa.array(np.full(len(n), number)), pa.array(n, pa.int32()), body, top_tf, top_dl, blank(pa.list_(pa.int64()), len(n)), blank(pa.list_(pa.int32()), len(n))])):
-                        yield pa.RecordBatch.from_arrays([pa.array([field] * m, pa.string()), *parts], columns)
+                    rows, dls = encode_range(batch.column(1 + i))
+                    rows.append({"part": HEAD, "ids": batch.column(0).to_numpy(), "dls": dls})
+                    same = {"field": field, "range": number}
+                    yield pa.RecordBatch.from_arrays([pa.array([(r | same).get(c) for r in rows], kind) for c, kind in _KINDS.items()], list(_KINDS))
+
+    return words.mapInArrow(run, f"field string, part int, {ENTRY}")
+
+
+def _matching(rows: DataFrame, terms: list[str], avgdl: float, k1: float, b: float) -> DataFrame:
+    """range, number, n, body, top of the blocks of ``terms``; ``top`` is the greatest part of the block."""
+    held = rows.sparkSession.sparkContext.broadcast(terms)
 
-    return words.mapInArrow(run, ENTRY)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = pa.array(held.value, pa.string())
+        for batch in batches:
+            for i in range(len(batch)):
+                number, names, n, sizes, body, tops, tf, dl = (batch.column(c)[i] for c in range(8))
+                where = pc.index_in(names.values, wanted).to_numpy(zero_copy_only=False)
+                found = np.flatnonzero(~np.isnan(where.astype(float)))
+                if not len(found):
+                    continue
+                n, sizes, tops, tf, dl = (x.values.to_numpy() for x in (n, sizes, tops, tf, dl))
+                most = np.maximum.reduceat(tf / (tf + k1 * (1 - b + b * dl / avgdl)), np.cumsum(tops) - tops)
+                stops, body = np.cumsum(sizes.astype(np.int64)), body.as_py()
+                bodies = [body[stops[j] - sizes[j] : stops[j]] for j in found]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(found), number.as_py())), pa.array(where[found].astype(np.int32)), pa.array(n[found]), pa.array(bodies, pa.binary()), pa.array(most[found])],
+                    ["range", "number", "n", "body", "top"])
+
+    return rows.select("range", "terms", "n", "sizes", "body", "tops", "top_tf", "top_dl").mapInArrow(run, "range long, number int, n int, body binary, top double")
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """The index under ``path``; ``analysers`` name the expressions that make a text's tokens."""
+    """The index under ``path``; ``analysers`` name the expressions that make a text's tokens, ``vocabularies`` those whose mean idf is asked for."""
 
     spark: SparkSession
     path: str
     analysers: dict[str, Callable[[Column], Column]]
+    vocabularies: tuple[str, ...] = ("space",)
 
     @staticmethod
     def create(spark: SparkSession, path: str, analysers: dict[str, Callable[[Column], Column]] | None = None) -> TextIndex:
@@ -144,36 +188,42 @@ class TextIndex:
         spark.createDataFrame([], BATCH).write.parquet(f"{path}/batches")
         return TextIndex(spark, path, analysers or retrieval.ANALYSERS)
 
-    def append(self, docs: DataFrame, *, docs_per_range: int = 2048) -> TextIndex:
+    def append(self, docs: DataFrame, *, docs_per_range: int = 4096) -> TextIndex:
         """Add ``docs(doc_id, content)``, one batch after the other; rows without an id are left out."""
         batch, base = uuid.uuid4().hex, len(self._batches()) << 44
         rows = spread(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "content"))
         words = rows.select("doc_id", *[tokens(F.col("content")).alias(f"_{name}") for name, tokens in self.analysers.items()])
-        held = _entries(words, list(self.analysers), docs_per_range, base).hint("rebalance", "field", "term").sortWithinPartitions("field", "term", "range")
-        held.write.parquet(f"{self.path}/entries/batch={batch}")
-        entries = self.spark.read.schema(ENTRY).parquet(f"{self.path}/entries/batch={batch}")
-        terms = entries.filter("term is not null").groupBy("field", "term").agg(F.sum("n").alias("df"))
-        terms.write.parquet(f"{self.path}/terms/batch={batch}")
-        sizes = entries.filter("term is null").groupBy("field").agg(F.sum("n").alias("n"), F.sum(F.aggregate("dls", F.lit(0).cast("long"), lambda s, x: s + x)).alias("total"))
-        sizes.select("field", "n", "total", F.lit(batch).alias("batch")).coalesce(1).write.mode("append").parquet(f"{self.path}/batches")
+        _entries(words, list(self.analysers), docs_per_range, base).hint("rebalance", "field", "part").write.partitionBy("field", "part").parquet(f"{self.path}/entries/batch={batch}")
+        entries = self._entries([batch], None)
+        for field in self.vocabularies:
+            each = entries.filter((F.col("field") == field) & (F.col("part") < HEAD)).select(F.explode(F.arrays_zip("terms", "n")).alias("t")).select(F.xxhash64("t.terms").alias("term"), F.col("t.n").alias("n"))
+            each.groupBy("term").agg(F.sum("n").cast("long").alias("df")).write.parquet(f"{self.path}/vocabulary/{field}/batch={batch}")
+        sizes = entries.filter(F.col("part") == HEAD).groupBy("field").agg(F.sum(F.size("ids")).alias("n"), F.sum(F.aggregate("dls", F.lit(0).cast("long"), lambda s, x: s + x)).alias("total"))
+        sizes.select("field", F.col("n").cast("long").alias("n"), "total", F.lit(batch).alias("batch")).coalesce(1).write.mode("append").parquet(f"{self.path}/batches")
         return self
 
+    def _entries(self, batches: list[str], field: str | None) -> DataFrame:
+        paths, schema = [f"{self.path}/entries/batch={b}" for b in batches], f"{ENTRY}, batch string, field string, part int"
+        found = self.spark.read.option("basePath", f"{self.path}/entries").schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return found if field is None else found.filter(F.col("field") == field)
+
     def _batches(self) -> list[str]:
         return sorted({r.batch for r in self.spark.read.schema(BATCH).parquet(f"{self.path}/batches").select("batch").collect()})
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        paths = [f"{self.path}/{name}/batch={b}" for b in self._batches()]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-
     def size(self, field: str) -> tuple[int, float]:
         """The number of documents and their mean length."""
         r = self.spark.read.schema(BATCH).parquet(f"{self.path}/batches").filter(F.col("field") == field).agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
         return r.n or 0, (r.total or 0) / max(r.n or 0, 1) or 1.0
 
-    def frequencies(self, field: str) -> DataFrame:
-        """term, df."""
-        found = self._read("terms", "field string, term string, df long").filter(F.col("field") == field).select("term", "df")
-        return found if len(self._batches()) < 2 else found.groupBy("term").agg(F.sum("df").alias("df"))  # a batch has each term once
+    def mean_idf(self, field: str, n: int) -> float:
+        """The mean of ln((n - df + 0.5) / (df + 0.5)) over all terms."""
+        paths = [f"{self.path}/vocabulary/{field}/batch={b}" for b in self._batches()]
+        if not paths:
+            return 0.0
+        terms = self.spark.read.schema("term long, df long").parquet(*paths)
+        if len(paths) > 1:  # a batch has each term once
+            terms = terms.groupBy("term").agg(F.sum("df").alias("df"))
+        return terms.agg(F.avg(F.ln((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))).first()[0] or 0.0
 
     def best(
         self, field: str, queries: DataFrame, k: int, *, asks: Callable[[Column], Column] | None = None, k1: float = 1.5, b: float = 0.75,
@@ -186,53 +236,58 @@ class TextIndex:
         ``skipped`` receives an accumulator of the pairs of query and range that were passed over.
         """
         n, avgdl = self.size(field)
-        frequencies = self.frequencies(field)
-        raw = F.ln((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        idf = F.when(raw <= 0, F.lit(idf_floor)).otherwise(raw)
-        if epsilon is not None:
-            mean = frequencies.agg(F.avg(raw)).first()[0] or 0.0
-            idf = F.when(raw < 0, F.lit(epsilon * mean)).otherwise(raw)
-        blocks = self._read("entries", ENTRY).filter(F.col("field") == field)
+        mean = None if epsilon is None else epsilon * self.mean_idf(field, n)
         asked = queries.select(F.col("qid").cast("long").alias("qid"), F.explode((asks or self.analysers[field])(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
         few = asked.limit(limit + 1).toArrow()
+        entries = self._entries(self._batches(), field)
         if few.num_rows > limit:
-            return self._joined(blocks, materialize(asked.join(frequencies.select("term", idf.alias("idf")), "term"), "weights"), avgdl, k1, b)
+            return self._joined(entries, materialize(asked, "terms"), n, avgdl, mean, k1, b, idf_floor)
         own = sorted(set(few.column("term").to_pylist()))
-        known = frequencies.select("term", idf.alias("idf")).join(F.broadcast(self._numbered(own)), "term").toArrow()
-        weight_of = dict(zip(known.column("number").to_pylist(), known.column("idf").to_pylist(), strict=True))
+        found = materialize(_matching(entries.filter(F.col("part").isin({part_of(t) for t in own}) & (F.col("part") < HEAD)), own, avgdl, k1, b), "blocks")
+        df = np.zeros(len(own))
+        for r in found.groupBy("number").agg(F.sum("n").alias("df")).collect():
+            df[r.number] = r.df
+        raw = np.log((n - df + 0.5) / (df + 0.5))
+        idf = np.where(raw <= 0, idf_floor, raw) if mean is None else np.where(raw < 0, mean, raw)
         number = {t: i for i, t in enumerate(own)}
         term = np.array([number[t] for t in few.column("term").to_pylist()], np.int64)
-        held = np.isin(term, np.fromiter(weight_of, np.int64, len(weight_of)))
-        weight = np.array([weight_of.get(t, 0.0) for t in term]) * few.column("qtf").to_numpy() * (k1 + 1)
-        qid, term, weight = few.column("qid").to_numpy()[held], term[held], weight[held]
-        part = lambda tf, dl: tf / (tf + k1 * (1 - b + b * dl / avgdl))
-        mine = blocks.filter("term is not null").join(F.broadcast(self._numbered(own)), "term").withColumn("top", F.array_max(F.zip_with("top_tf", "top_dl", part)))
+        held = df[term] > 0
+        qid, weight, term = few.column("qid").to_numpy()[held], (idf[term] * few.column("qtf").to_numpy() * (k1 + 1))[held], term[held]
         kth = np.zeros(len(own))
         if n >= floors_from:
             order = Window.partitionBy("number").orderBy(F.desc("top"))
-            for r in mine.select("number", "top").withColumn("k", F.row_number().over(order)).filter(F.col("k") == k).collect():
+            for r in found.select("number", "top").withColumn("k", F.row_number().over(order)).filter(F.col("k") == k).collect():
                 kth[r.number] = r.top
-        heads = blocks.filter("term is null").select("range", F.lit(-1).alias("number"), F.lit(None).cast("binary").alias("body"), F.lit(0.0).alias("top"), "ids", "dls")
-        rows = heads.unionByName(mine.select("range", "number", "body", "top", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<int>").alias("dls")))
+        heads = entries.filter(F.col("part") == HEAD).select("range", F.lit(-1).alias("number"), F.lit(None).cast("binary").alias("body"), F.lit(0.0).alias("top"), "ids", "dls")
+        rows = heads.unionByName(found.select("range", "number", "body", "top", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<int>").alias("dls")))
         counter = self.spark.sparkContext.accumulator(0) if skipped is not None else None
         if skipped is not None:
             skipped.append(counter)
         return _search(rows.repartition("range").sortWithinPartitions("range", "number"), Asked.of(qid, term, weight, kth), k, larger_ids, avgdl, k1, b, counter)
 
-    def _numbered(self, terms: list[str]) -> DataFrame:
-        return self.spark.createDataFrame(pa.table({"term": pa.array(terms, pa.string()), "number": pa.array(range(len(terms)), pa.int32())}), "term string, number int")
-
-    def _joined(self, blocks: DataFrame, weighed: DataFrame, avgdl: float, k1: float, b: float) -> DataFrame:
+    def _joined(self, entries: DataFrame, asked: DataFrame, n: int, avgdl: float, mean: float | None, k1: float, b: float, idf_floor: float) -> DataFrame:
         """More query terms than a task can hold: decoded postings meet them by shuffles."""
-        heads = blocks.filter("term is null").select("range", "ids", "dls")
-        terms = weighed.select("term").distinct()
+        heads = entries.filter(F.col("part") == HEAD).select("range", "ids", "dls")
+
+        def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(len(batch)):
+                    number, names, sizes, body = (batch.column(c)[i] for c in range(4))
+                    sizes, body = sizes.values.to_numpy(), body.as_py()
+                    stops = np.cumsum(sizes.astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), number.as_py())), names.values, pa.array([body[e - s : e] for s, e in zip(sizes, stops, strict=True)], pa.binary())], ["range", "term", "body"])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 block, doc, tf = decode(batch.column(2).to_pylist()) if len(batch) else (np.zeros(0, np.int64),) * 3
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(block)), batch.column(1).take(pa.array(block)), pa.array(doc), pa.array(tf)], ["range", "term", "doc", "tf"])
 
-        postings = blocks.filter("term is not null").join(terms, "term", "left_semi").select("range", "term", "body").mapInArrow(run, "range long, term string, doc long, tf long")
+        blocks = entries.filter(F.col("part") < HEAD).select("range", "terms", "sizes", "body").mapInArrow(taken, "range long, term string, body binary")
+        postings = materialize(blocks.join(asked.select("term").distinct(), "term", "left_semi").select("range", "term", "body").mapInArrow(decoded, "range long, term string, doc long, tf long"), "postings")
+        frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        raw = F.ln((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        idf = F.when(raw <= 0, F.lit(idf_floor)).otherwise(raw) if mean is None else F.when(raw < 0, F.lit(mean)).otherwise(raw)
+        weighed = materialize(asked.join(frequencies.select("term", idf.alias("idf")), "term"), "weights")
         documents = heads.select("range", F.posexplode(F.arrays_zip("ids", "dls")).alias("doc", "d")).select("range", F.col("doc").cast("long").alias("doc"), F.col("d.ids").alias("doc_id"), F.col("d.dls").alias("dl"))
         tf = F.col("tf")
         part = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))

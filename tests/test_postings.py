@@ -23,16 +23,22 @@ def test_bytes_round_trip(values):
 @settings(max_examples=60, deadline=None)
 def test_range_round_trip(docs):
     """Blocks decode to the counts, and their best pairs bound every part and are reached."""
-    term, n, body, top_tf, top_dl, dls = postings.encode_range(pa.array(docs, pa.list_(pa.string())))
+    parts, dls = postings.encode_range(pa.array(docs, pa.list_(pa.string())))
     assert dls.tolist() == [len(d) for d in docs]
     want = {(t, i): c for i, d in enumerate(docs) for t, c in Counter(d).items()}
-    block, doc, tf = postings.decode(body.to_pylist()) if len(body) else ([], [], [])
-    names = term.to_pylist()
-    assert {(names[x], i): c for x, i, c in zip(block, doc, tf, strict=True)} == want and n.sum() == len(want)
     part = lambda c, dl, avg: c / (c + 1.5 * (0.25 + 0.75 * dl / avg))
-    for avg in (1.0, 5.0, 80.0):
-        for t, cs, ls in zip(names, top_tf.to_pylist(), top_dl.to_pylist(), strict=True):
-            assert max(part(c, x, avg) for c, x in zip(cs, ls, strict=True)) == max(part(c, len(docs[i]), avg) for (u, i), c in want.items() if u == t)
+    got = {}
+    for row in parts:
+        assert {postings.part_of(t) for t in row["terms"]} == {row["part"]}
+        stops = np.cumsum(row["sizes"])
+        block, doc, tf = postings.decode([row["body"][e - s : e] for s, e in zip(row["sizes"], stops, strict=True)])
+        got |= {(row["terms"][x], i): c for x, i, c in zip(block, doc, tf, strict=True)}
+        assert np.bincount(block).tolist() == row["n"].tolist()
+        ends = np.cumsum(row["tops"])
+        for t, a, b in zip(row["terms"], ends - row["tops"], ends, strict=True):
+            for avg in (1.0, 5.0, 80.0):
+                assert max(part(c, x, avg) for c, x in zip(row["top_tf"][a:b], row["top_dl"][a:b], strict=True)) == max(part(c, len(docs[i]), avg) for (u, i), c in want.items() if u == t)
+    assert got == want
 
 
 def corpus(spark, n, seed=1):
