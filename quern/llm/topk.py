@@ -9,15 +9,14 @@ others the product of the first rotated coordinates plus the product of the resi
 lengths bounds each score, and only vectors whose bound reaches the k-th best are
 scored, exactly, on the integers.  Thresholds start from the globally longest vectors.
 
-Scale: queries and vectors are packed into blocks of bounded size, one row each.  A small
-table of the query blocks (their lengths and thresholds) tells each block of vectors which
-query blocks it can matter to at all; to those it is dealt out, and a shuffle by query block
-brings both together, so all is one plan whatever the number of queries.  A pair of blocks
-gives at most k rows a query, cut to k a query before they are shuffled again.  The Gram
+Scale: queries and vectors are packed into blocks of bounded size, one row each.  Vectors are many and queries few, so vectors move
+once, into lanes of about ``lane_blocks`` blocks, and query blocks are sent to them: a small table of the lanes' greatest lengths
+tells which lanes a query block can matter to at all.  All is one plan whatever the number of queries.  A lane
+gives at most k rows a query, which are shuffled again.  The Gram
 matrix is dimension squared for each partition.
 
-Defined cases: vectors that are null, empty or hold null or non-finite components take
-no part; a shorter vector counts as padded with zeros; ties go to the smaller id;
+Defined cases: vectors that are null or hold null or non-finite components take
+no part; a shorter vector counts as padded with zeros, so one without components has product 0 with all; ties go to the smaller id;
 candidates of the query's own id are left out; rows with a null id take no part; rows
 that repeat an id are each a candidate; exact repeats of a query count once, and
 different queries of one id are ranked together.  Components and scores must fit a long;
@@ -59,7 +58,7 @@ def quantise(vectors: DataFrame, *, id_col: str, vector_col: str, scale: int) ->
     sane = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))))
     return (
         vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-        .filter(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size("v") > 0)).filter(sane)
+        .filter(F.col("vec_id").isNotNull() & x.isNotNull()).filter(sane)
         .select("vec_id", F.transform("v", lambda c: F.floor(c * scale)).alias("comps"))
         .withColumn("norm2", F.aggregate("comps", F.lit(0.0), lambda a, c: a + c.cast("double") * c))
     )
@@ -177,9 +176,9 @@ def top_k(
     ranked = materialize(read(vectors).repartitionByRange(F.desc("norm2"), F.col("vec_id")).sortWithinPartitions(F.desc("norm2"), "vec_id"), "vectors")
     asked = materialize((ranked.filter(F.col("vec_id") % query_every == 0).drop("norm2") if queries is None else read(queries).drop("norm2")).distinct(), "queries")
     facts = ranked.unionByName(asked.withColumn("norm2", F.lit(0.0))).agg(F.max(F.size("comps"))).first()[0]
-    if not facts or asked.isEmpty():
+    if facts is None or asked.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    d = int(facts)
+    d = max(1, int(facts))
     lead = min(lead, d)
     longest = ranked.orderBy(F.desc("norm2"), "vec_id").limit(seeds).select("vec_id", "comps").toArrow().combine_chunks()
     held = spark.sparkContext.broadcast((_rotation(ranked, d), longest.column(0).to_numpy(), _matrix(longest.column(1).combine_chunks(), d)))
@@ -209,37 +208,35 @@ def top_k(
     groups = materialize(groups.withColumn("group", F.monotonically_increasing_id()), "groups")
     dealt = materialize(_blocks(ranked, block, d).mapInArrow(measured, "ids array<long>, comps array<long>, reach double"), "blocks")
 
-    # Which query blocks a block of vectors can matter to: by Cauchy-Schwarz, from the longest vector and query.
-    limits = groups.select("group", "longest", "least")
-    limits = F.broadcast(limits) if limits.count() <= small else limits
-    wanted = dealt.join(limits, F.col("longest") * F.col("reach") * (1 + _SHARE) + _SLACK >= F.col("least")).select("group", "reach", F.lit(1).alias("side"), "ids", "comps", F.lit(None).cast("array<double>").alias("start"))
-    both = groups.select("group", F.lit(None).cast("double").alias("reach"), F.lit(0).alias("side"), "ids", "comps", "start").unionByName(wanted)
-    # A query block meets its blocks of vectors in lanes of about ``lane_blocks``, each from the longest down.
-    lanes = 1 + dealt.count() // lane_blocks
-    both = both.withColumn("lane", F.explode(F.when(F.col("side") == 0, F.sequence(F.lit(0), F.lit(lanes - 1))).otherwise(F.array(F.pmod(F.hash("ids"), F.lit(lanes))))))
-    both = both.repartition("group", "lane").sortWithinPartitions("group", "lane", "side", F.desc("reach"))
+    n_blocks = dealt.count()
+    lanes = max(1 + n_blocks // lane_blocks, min(n_blocks, spark.sparkContext.defaultParallelism))
+    dealt = dealt.withColumn("lane", F.pmod(F.hash("ids"), F.lit(lanes)))
+    # Which lanes a query block can matter to: by Cauchy-Schwarz, from the longest vector and query.
+    limits = dealt.groupBy("lane").agg(F.max("reach").alias("most"))
+    limits = F.broadcast(limits) if lanes <= small else limits
+    sent = groups.join(limits, F.col("longest") * F.col("most") * (1 + _SHARE) + _SLACK >= F.col("least")).select("lane", F.lit(None).cast("double").alias("reach"), F.lit(1).alias("side"), "ids", "comps", "start")
+    both = dealt.select("lane", "reach", F.lit(0).alias("side"), "ids", "comps", F.lit(None).cast("array<double>").alias("start")).unionByName(sent)
+    # A lane's vectors come first, from the longest down, then the queries.
+    both = both.repartition("lane").sortWithinPartitions("lane", "side", F.desc("reach"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rotation, search = held.value[0], None
-
-        def found() -> pa.RecordBatch:
-            own = np.repeat(search.ids, [len(b[0]) for b in search.best])
-            scores, hits = (np.concatenate([b[j] for b in search.best]) for j in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(hits), pa.array(scores)], ["query_id", "vec_id", "score"])
-
+        rotation, lane, vectors = held.value[0], None, []
         for batch in batches:
             for n in range(len(batch)):
                 part = batch.slice(n, 1)
+                if part.column(0)[0].as_py() != lane:
+                    lane, vectors = part.column(0)[0].as_py(), []
                 ids, comps = _ints(part.column(3)), _ints(part.column(4)).reshape(-1, d)
                 if part.column(2)[0].as_py() == 0:
-                    if search is not None:
-                        yield found()
-                    search = _Search(ids, comps, _ints(part.column(5)), rotation, k, lead)
-                else:
-                    search.look(ids, comps)
-        if search is not None:
-            yield found()
-
-    hits = both.select("group", "reach", "side", "ids", "comps", "start").mapInArrow(run, "query_id long, vec_id long, score long")
+                    vectors.append((ids, comps))
+                    continue
+                search = _Search(ids, comps, _ints(part.column(5)), rotation, k, lead)
+                for block in vectors:
+                    search.look(*block)
+                own = np.repeat(search.ids, [len(b[0]) for b in search.best])
+                scores, hits = (np.concatenate([b[j] for b in search.best]) for j in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(hits), pa.array(scores)], ["query_id", "vec_id", "score"])
+
+    hits = both.select("lane", "reach", "side", "ids", "comps", "start").mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,9 +1,9 @@
 """Toxicity scores after noisy-channel deobfuscation.
 
-Tokens that look disguised (digits or signs among letters, a letter three times or
+Tokens that look disguised (digits or signs among, before or after letters, a letter three times or
 more, single letters set apart) become a character lattice: a sign may stand for
 itself, for the letters it imitates or for nothing, a repeated letter for one, two or
-all of its copies, a separator for itself or for nothing.  Tokens and stretches of any
+all of its copies, a separator for itself or for nothing.  In stretches of over ``_LONG`` characters, which hold several words, wide gaps part words.  Tokens and stretches of any
 length are decoded, in linear time; only those without letters are not.  Viterbi decoding over pairs
 of characters, by a trigram language model of characters counted over all texts, picks
 the reading; the document's words with these readings in place are what is scored.
@@ -58,7 +58,9 @@ SEPARATORS = ".-_*·'"
 ONE_LETTER_WORDS = ("a ", "i ", "o ", "y ", "e ", "u ", "à ", "é ")
 
 _SIGNS = re.escape("".join(LEET))
-_MIXED = re.compile(rf"[^\W\d_][{_SIGNS}{re.escape(SEPARATORS)}]+[^\W\d_]|(?:^|\s)[{_SIGNS}]+[^\W\d_]{{2}}|([^\W\d_])\1\1")
+#: Signs that end a disguised word; others there are taken for punctuation.
+_TAIL = re.escape("0123456789@$€+")
+_MIXED = re.compile(rf"[^\W\d_][{_SIGNS}{re.escape(SEPARATORS)}]+[^\W\d_]|(?:^|\s)[{_SIGNS}]+[^\W\d_]{{2}}|[^\W\d_][{_TAIL}]+(?![{_TAIL}\w])|([^\W\d_])\1\1")
 _TOKEN = re.compile(r"\S+")
 _SPACED = re.compile(r"(?<!\S)[^\W_](?:[ \t.\-_*]+[^\W_]){2,}(?!\S)")
 _EDGES = " \t\r\n.,;:!?*\"'()[]{}|<>-_~#"

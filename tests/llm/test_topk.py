@@ -8,7 +8,7 @@ from quern.llm import topk
 
 
 def brute(rows, k=5):
-    sane = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    sane = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
     for q, a in sane:
         if q % 50 == 0:
@@ -32,6 +32,10 @@ def test_ties_odd_and_empty(spark):
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(vectors).collect())
     assert got == brute(rows)
     assert topk.top_k(vectors.filter("false")).count() == 0
+    short = [(50, [-1.0, 2.0]), (1, []), (2, [1.0, -8.0]), (100, [])]
+    for some in (short, short[1::2]):
+        mixed = spark.createDataFrame(some, "vec_id long, embedding array<float>")
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(mixed).collect()) == brute(some)
     assert topk.top_k(vectors.filter("vec_id = 0")).count() == 0
     assert sorted((r.vec_id, r["rank"]) for r in topk.top_k(vectors.filter("vec_id in (0, 1, 2)")).collect() if r.query_id == 0) != []
 

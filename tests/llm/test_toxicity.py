@@ -115,3 +115,13 @@ def test_odd_and_empty(spark, odd_docs, no_docs):
     assert toxicity.classify(no_docs, labels).count() == 0
     kept = toxicity.reject(odd_docs, labels.filter("false"))
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()
+
+
+def test_disguise_at_either_end_and_inside(spark):
+    """Signs before, inside and behind the letters are read; punctuation and numbers are left alone."""
+    lm = toxicity.language_model(toxicity.count_trigrams(["the idiot and the worthless idiots were stupid idiot worthless " * 200]))
+    for plain, forms in {"idiot": ("1diot", "id1ot", "idio7", "idi0t"), "worthless": ("worthles5", "w0rthless"), "stupid": ("5tupid", "stup1d")}.items():
+        for form in forms:
+            assert toxicity.disguised(f"so {form}, they say") == [form] and toxicity.restore(form, lm) == plain
+    assert toxicity.disguised("a word! a wide (gap) 12 1999 3.5, end? yes") == []
+    assert toxicity.disguised("a$$ and a55.") == ["a$$", "a55"]
