@@ -14,10 +14,10 @@ Beside it stands a unigram word score with the same training texts as a base.
 Scale: counting is one Arrow pass that merges counts in bounded arrays and then one
 aggregate on (kind, key); it covers every training text, and the tables grow with the
 corpus.  They are broadcast only behind a check of their counted rows (``small_grams``
-rows take up to 300 MB in each Python worker, with all shorter orders); beyond
-``small_grams`` or ``small_words`` the same scores come from joins: a text's distinct
-grams meet the table of their order, and only those not found go on to the next
-shorter order.  Texts are processed in pieces of ``PIECE`` bytes, whole, whatever
+rows take up to 300 MB in each Python worker, with all shorter orders).  Beyond, the model is cut into
+shards by the last two bytes of the context, which all orders from two on share (the tables of orders 0 and 1 are small and go to all
+shards).  Texts are taken in groups of about ``group_bytes``; a group's distinct grams go to their shards once, packed, and one
+log a gram comes back to where the group's texts are then scored; no row is made for a text and a gram.  Texts are processed in pieces of ``PIECE`` bytes, whole, whatever
 their length.
 
 Defined cases: a null text is empty (one token, the end); a null id trains; rows that
@@ -28,13 +28,14 @@ choice.  Extra columns are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.postings import from_bytes, to_bytes
 from quern.storage import materialize, spread
 
 SYMBOLS = 257
@@ -203,14 +204,18 @@ class Model:
     takes 16 bytes and a context 32.
     """
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray, order: int):
+    def __init__(self, keys: np.ndarray, n: np.ndarray, order: int, low: tuple[np.ndarray, np.ndarray] | None = None):
+        """With ``low``, the sorted grams and counts of order 1 of the whole corpus, ``keys`` may be those of some contexts only."""
         self.order = order
         if np.any(keys[1:] < keys[:-1]):
             rank = np.argsort(keys)
             keys, n = keys[rank], n[rank]
         levels, upper = [], None
         for k in range(order, -1, -1):
-            if upper is not None:
+            if upper is not None and low is not None and k == 1:
+                where = np.searchsorted(low[0], keys % np.uint64(SYMBOLS**2))
+                keys, n = low
+            elif upper is not None:
                 keys, n, where = _shorter(keys, n, k)
             contexts, of = _contexts(keys)
             total, distinct = np.bincount(of, n, len(contexts)), np.bincount(of, minlength=len(contexts))
@@ -264,20 +269,17 @@ class Model:
         return out
 
 
-def score_texts(texts: Iterator[bytes], model: Model, words: tuple[np.ndarray, np.ndarray], total: int) -> list[tuple[int, int, float, float]]:
-    """(n_tokens, n_known, base_score, score) of each text."""
-    vocabulary, n = words
-    den = math.log10(total + 0.5 * (len(n) + 1))
+def _score_pieces(texts: Iterator[bytes], order: int, gram_logs: Callable[[np.ndarray], np.ndarray], word_logs: Callable[[np.ndarray], np.ndarray], den: float) -> list[tuple[int, int, float, float]]:
+    """(n_tokens, n_known, base_score, score) of each text; ``word_logs`` gives log10(c + 0.5) of distinct words, ``den`` is the log of the base's denominator."""
     powers = _powers()
     rows: list[list] = []
     for piece in _pieces(texts):
-        keys, sizes = _grams(piece, model.order)
+        keys, sizes = _grams(piece, order)
         tokens, numbers = _words(piece, powers)
         found, where = np.unique(tokens, return_inverse=True)
-        at = np.minimum(np.searchsorted(vocabulary, found), max(0, len(vocabulary) - 1))
-        c = np.where(vocabulary[at] == found, n[at], 0)[where] if len(vocabulary) else np.zeros(len(tokens))
-        sums = [np.concatenate([[0], np.cumsum(x)]) for x in (c > 0, np.log10(c + 0.5) - den)]
-        logs = model.score(keys)
+        c = word_logs(found)[where]
+        sums = [np.concatenate([[0], np.cumsum(x)]) for x in (c > 0, c - den)]
+        logs = gram_logs(keys)
         to, token_to = np.cumsum(sizes), np.cumsum(numbers)
         for j, (i, *_) in enumerate(piece):
             if i == len(rows):
@@ -290,6 +292,18 @@ def score_texts(texts: Iterator[bytes], model: Model, words: tuple[np.ndarray, n
     return rows
 
 
+def _word_logs(found: np.ndarray, words: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """log10(c + 0.5) of each word's count c; above 0 if the word is known."""
+    vocabulary, n = words
+    at = _find(vocabulary, found)
+    return np.log10(np.where(at >= 0, n[at], 0) + 0.5) if len(n) else np.full(len(found), math.log10(0.5))
+
+
+def score_texts(texts: Iterator[bytes], model: Model, words: tuple[np.ndarray, np.ndarray], total: int) -> list[tuple[int, int, float, float]]:
+    """(n_tokens, n_known, base_score, score) of each text."""
+    return _score_pieces(texts, model.order, model.score, lambda found: _word_logs(found, words), math.log10(total + 0.5 * (len(words[1]) + 1)))
+
+
 def adaptive_score(text: str | None, order: int = 4) -> float:
     """log10 of the text's probability by a model that starts empty and learns each symbol after coding it."""
     seen: list[dict] = [{} for _ in range(order + 1)]
@@ -317,73 +331,179 @@ def adaptive_score(text: str | None, order: int = 4) -> float:
     return out
 
 
-def _score_by_joins(rows: DataFrame, table: DataFrame, order: int, words: DataFrame, total: int, n_words: int) -> DataFrame:
-    """row, n_tokens, n_known, base_score, score from joins alone; for tables too large to broadcast."""
+SCORES = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _grouped(rows: DataFrame, group_bytes: int) -> DataFrame:
+    """``rows`` with ``group``: texts that follow each other in a task, of about that many bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        base, seen = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            size = seen + np.cumsum([len(x) if x is not None else 0 for x in batch.column(2).cast(pa.binary()).to_pylist()])
+            seen = int(size[-1]) if len(size) else seen
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base + size // group_bytes, pa.int64())], ["doc_id", "held_out", "text", "group"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, text string, group long")
+
+
+def _shards(kind: int, keys: np.ndarray, shards: tuple[int, int]) -> np.ndarray:
+    if kind == WORD:
+        return np.mod(keys.view(np.int64), shards[WORD])
+    return (keys.view(np.int64) // SYMBOLS % SYMBOLS**2 * 40503) % shards[GRAM]
+
+
+def _shard_column(shards: tuple[int, int]):
+    """The same of a table's columns kind and key."""
+    gram = (F.expr(f"key div {SYMBOLS}") % SYMBOLS**2 * 40503) % shards[GRAM]
+    return F.when(F.col("kind") == WORD, F.pmod("key", F.lit(shards[WORD]))).otherwise(gram).cast("int")
+
+
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences; the differences of hashes take all their bits, so they stay as they are."""
+    return to_bytes(np.diff(keys.view(np.int64), prepend=np.int64(0)))[0].tobytes()
+
+
+def _unpack(kind: int, body: bytes) -> np.ndarray:
+    if kind == WORD:
+        return np.frombuffer(body, np.uint64)
+    return np.cumsum(from_bytes(np.frombuffer(body, np.uint8))[0]).view(np.uint64)
+
+
+def _requests(grouped: DataFrame, order: int, shards: tuple[int, int]) -> DataFrame:
+    """kind, shard, group, keys: the distinct grams and words of each group's texts, packed by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, held, group = _powers(), {GRAM: [], WORD: []}, None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for kind, parts in held.items():
+                if parts:
+                    keys = np.unique(np.concatenate(parts))
+                    of = _shards(kind, keys, shards)
+                    rank = np.argsort(of, kind="stable")
+                    edges = np.concatenate([[0], np.flatnonzero(np.diff(of[rank])) + 1, [len(rank)]])
+                    split = [keys[rank[a:b]] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                    bodies = [x.tobytes() if kind == WORD else _pack(x) for x in split]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(len(split), kind, np.int32)), pa.array(of[rank[edges[:-1]]].astype(np.int32)), pa.array(np.full(len(split), group, np.int64)), pa.array(bodies, pa.binary()),
+                    ], ["kind", "shard", "group", "keys"])
+                held[kind] = []
+
+        for batch in batches:
+            groups = batch.column(1).to_numpy()
+            for a, b in _stretches(groups):
+                if groups[a] != group:
+                    yield from out()
+                    group = int(groups[a])
+                for piece in _pieces((t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(0).slice(a, b - a)):
+                    held[GRAM].append(np.unique(_grams(piece, order)[0]))
+                    held[WORD].append(np.unique(_words(piece, powers)[0]))
+                    if sum(map(len, held[GRAM])) > 4 * HELD:
+                        held[GRAM] = [np.unique(np.concatenate(held[GRAM]))]
+                        if len(held[GRAM][0]) > 2 * HELD:
+                            yield from out()
+        yield from out()
+
+    return grouped.select("text", "group").mapInArrow(run, "kind int, shard int, group long, keys binary")
+
+
+def _stretches(*columns: np.ndarray) -> list[tuple[int, int]]:
+    """Where all columns stay the same."""
+    n = len(columns[0])
+    changes = np.zeros(max(n - 1, 0), bool)
+    for c in columns:
+        changes |= c[1:] != c[:-1]
+    edges = [0, *(np.flatnonzero(changes) + 1).tolist(), n]
+    return [(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
+
+
+def _answers(table: DataFrame, requests: DataFrame, order: int, low: tuple[np.ndarray, np.ndarray], shards: tuple[int, int]) -> DataFrame:
+    """kind, group, keys, logs: each request with log10 of its grams' probabilities, or of its words' counts and a half."""
+    held = table.sparkSession.sparkContext.broadcast(low)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, counts, look = None, [], [], None
+        for batch in batches:
+            kinds, of, ask = (batch.column(i).to_numpy() for i in range(3))
+            for a, b in _stretches(kinds, of, ask):
+                kind = int(kinds[a])
+                if (kind, of[a]) != now:
+                    now, keys, counts, look = (kind, of[a]), [], [], None
+                if not ask[a]:
+                    keys.append(batch.column(3).slice(a, b - a).to_numpy().view(np.uint64))
+                    counts.append(batch.column(4).slice(a, b - a).to_numpy())
+                    continue
+                if look is None:
+                    k, n = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (counts, np.int64)))
+                    rank = np.argsort(k)
+                    k, n = k[rank], n[rank]
+                    look = (lambda x, k=k, n=n: _word_logs(x, (k, n))) if kind == WORD else Model(k, n, order, held.value)._score
+                for i in range(a, b):
+                    body = batch.column(6)[i].as_py()
+                    logs = look(_unpack(kind, body)).astype(np.float64 if kind == WORD else np.float32)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(5).slice(i, 1), pa.array([body], pa.binary()), pa.array([logs.tobytes()], pa.binary())], ["kind", "group", "keys", "logs"])
+
+    none = lambda kind: F.lit(None).cast(kind)
+    known = table.select("kind", _shard_column(shards).alias("shard"), F.lit(0).alias("ask"), "key", "n", none("long").alias("group"), none("binary").alias("keys"))
+    asked = requests.select("kind", "shard", F.lit(1).alias("ask"), none("long").alias("key"), none("long").alias("n"), "group", "keys")
+    both = known.unionByName(asked).repartition("kind", "shard").sortWithinPartitions("kind", "shard", "ask")
+    return both.mapInArrow(run, "kind int, group long, keys binary, logs binary")
+
+
+def _score_by_shards(rows: DataFrame, table: DataFrame, order: int, total: int, sizes: tuple[int, int], per_shard: int, group_bytes: int) -> DataFrame:
+    """The result of :func:`score_corpus` with no more of the model in a task than ``per_shard`` grams or so and what a group of texts asks for."""
+    shards = tuple(max(1, -(-n // per_shard)) for n in sizes)
+    got = table.filter(F.col("kind") == GRAM).groupBy((F.col("key") % SYMBOLS**2).alias("key")).agg(F.sum("n").alias("n")).orderBy("key").toArrow()
+    low = (got.column("key").to_numpy().astype(np.uint64), got.column("n").to_numpy())
+    grouped = materialize(_grouped(rows, group_bytes), "rows")
+    answers = _answers(table, _requests(grouped, order, shards), order, low, shards)
+    kind, den = rows.schema["doc_id"].dataType.simpleString(), math.log10(total + 0.5 * (sizes[WORD] + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, look = None, {GRAM: [], WORD: []}, {}
+
+        def table_of(kind: int) -> Callable[[np.ndarray], np.ndarray]:
+            parts = held[kind]
+            keys = np.concatenate([p[0] for p in parts])
+            keys, first = np.unique(keys, return_index=True)  # a group may have asked in several tasks
+            logs = np.concatenate([p[1] for p in parts])[first]
+            return lambda x: logs[np.searchsorted(keys, x)]
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = _powers()
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for piece in _pieces((t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1)):
-                for kind, (keys, sizes) in ((GRAM, _grams(piece, order)), (WORD, _words(piece, powers))):
-                    stops = np.cumsum(sizes)
-                    for (i, *_), a, b in zip(piece, stops - sizes, stops, strict=True):
-                        found, n = np.unique(keys[a:b], return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), ids[i])), pa.array(np.full(len(n), kind, np.int32)), pa.array(found.view(np.int64)), pa.array(n)], ["row", "kind", "key", "m"])
-
-    each = materialize(rows.select("row", "text").mapInArrow(spread, "row long, kind int, key long, m long"), "spread")
-    tables = []
-    grams = table
-    for k in range(order, -1, -1):
-        if k < order:
-            grams = materialize(grams.groupBy((F.col("key") % SYMBOLS ** (k + 1)).alias("key")).agg(F.sum("n").alias("n")), "grams")
-        contexts = grams.groupBy(F.expr(f"key div {SYMBOLS}").alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"))
-        tables.append((grams, materialize(contexts, "contexts")))
-    rest = []
-    for k, (grams, contexts) in zip(range(order, 0, -1), tables[:-1], strict=True):
-        lower, short = tables[order - k + 1]
-        low = lower.select(F.col("key").alias("_key"), F.col("n").alias("_n"))
-        seen = grams.join(low, F.col("key") % SYMBOLS**k == F.col("_key")).groupBy(F.expr(f"key div {SYMBOLS}").alias("context")).agg(F.sum("_n").alias("seen"))
-        below = short.select(F.col("context").alias("_c"), F.col("total").alias("_t"), F.col("distinct").alias("_d"))
-        rest.append(materialize(
-            contexts.join(seen, "context").join(below, F.col("context") % SYMBOLS ** (k - 1) == F.col("_c"))
-            .select("context", "total", "distinct", (F.col("_t") - F.col("seen")).alias("rest_total"), (F.col("_d") - F.col("distinct")).alias("rest_distinct")), "rest",
-        ))
-    rest.append(tables[-1][1].select("context", "total", "distinct", F.lit(0).cast("long").alias("rest_total"), (F.lit(SYMBOLS) - F.col("distinct")).alias("rest_distinct")))
-    no = F.lit(None).cast("long")
-    left = each.filter(F.col("kind") == GRAM).select("row", "key", "m", F.lit(0.0).alias("log"), no.alias("rt"), no.alias("rd"))
-    done = []
-    for k in range(order, -1, -1):
-        (grams, _), contexts = tables[order - k], rest[order - k]
-        own = F.col("rd").isNull()
-        joined = materialize(
-            left.withColumn("_k", F.col("key") % SYMBOLS ** (k + 1))
-            .join(grams.select(F.col("key").alias("_k"), "n"), "_k", "left")
-            .withColumn("context", F.expr(f"_k div {SYMBOLS}")).join(contexts, "context", "left"), "level",
-        )
-        den = F.when(own, F.col("total") + F.col("distinct")).otherwise(F.col("rt") + F.col("rd"))
-        novel = F.when(own, F.col("distinct")).otherwise(F.col("rd"))
-        done.append(joined.filter(F.col("n").isNotNull()).select("row", (F.col("m") * (F.col("log") + F.log10(F.col("n") / den))).alias("score")))
-        left = joined.filter(F.col("n").isNull()).select(
-            "row", "key", "m", (F.col("log") + F.when(den > 0, F.log10(F.try_divide(novel, den))).otherwise(0.0)).alias("log"),
-            F.col("rest_total").alias("rt"), F.col("rest_distinct").alias("rd"),
-        )
-    done.append(left.select("row", (F.col("m") * (F.col("log") - F.log10(F.coalesce("rd", F.lit(SYMBOLS))))).alias("score")))
-    scores = done[0]
-    for more in done[1:]:
-        scores = scores.unionByName(more)
-    scores = scores.groupBy("row").agg(F.sum("score").alias("score"))
-    c = F.coalesce("n", F.lit(0))
-    den = math.log10(total + 0.5 * (n_words + 1))
-    base = (
-        each.filter(F.col("kind") == WORD).join(words, "key", "left").groupBy("row")
-        .agg(F.sum("m").alias("n_tokens"), F.sum(F.when(c > 0, F.col("m")).otherwise(0)).alias("n_known"), F.sum(F.col("m") * (F.log10(c + 0.5) - den)).alias("base_score"))
-    )
-    return base.join(scores, "row")
+            groups, ask = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for a, b in _stretches(groups, ask):
+                if groups[a] != group:
+                    group, held, look = groups[a], {GRAM: [], WORD: []}, {}
+                if not ask[a]:
+                    for i in range(a, b):
+                        k = batch.column(2)[i].as_py()
+                        held[k].append((_unpack(k, batch.column(3)[i].as_py()), np.frombuffer(batch.column(4)[i].as_py(), np.float64 if k == WORD else np.float32)))
+                    continue
+                look = look or {k: table_of(k) for k in held}
+                held = {GRAM: [], WORD: []}
+                part = batch.slice(a, b - a)
+                got = _score_pieces(((t.as_py() or "").encode("utf-8", "surrogatepass") for t in part.column(7)), order, lambda x, look=look: look[GRAM](x).astype(np.float64), look[WORD], den)
+                yield _result(part.column(5), part.column(6), got, total)
+
+    none = lambda kind: F.lit(None).cast(kind)
+    logs = answers.select("group", F.lit(0).alias("ask"), "kind", "keys", "logs", none(kind).alias("doc_id"), none("boolean").alias("held_out"), none("string").alias("text"))
+    texts = grouped.select("group", F.lit(1).alias("ask"), none("int").alias("kind"), none("binary").alias("keys"), none("binary").alias("logs"), "doc_id", "held_out", "text")
+    both = logs.unionByName(texts).repartition("group").sortWithinPartitions("group", "ask")
+    return both.mapInArrow(run, f"doc_id {kind}, held_out boolean, {SCORES}")
+
+
+def _result(ids: pa.Array, held_out: pa.Array, got: list[tuple[int, int, float, float]], total: int) -> pa.RecordBatch:
+    columns = [pa.array([r[i] for r in got], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+    return pa.RecordBatch.from_arrays([ids, held_out, *columns[:2], pa.array(np.full(len(got), total, np.int64)), *columns[2:]], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
 def score_corpus(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out=None, order: int = 5, small_grams: int = 4_000_000, small_words: int = 4_000_000,
+    per_shard: int = 1_000_000, group_bytes: int = 1 << 25,
 ) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -399,10 +519,8 @@ def score_corpus(
     (n_grams, _), (n_words, total) = size.get(GRAM, (0, 0)), size.get(WORD, (0, 0))
     kind = rows.schema["doc_id"].dataType.simpleString()
     grams, words = (table.filter(F.col("kind") == k).select("key", "n") for k in (GRAM, WORD))
-    if n_grams > small_grams or n_words > small_words:
-        numbered = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-        scored = _score_by_joins(numbered, grams, order, words, total, n_words)
-        return numbered.join(scored, "row").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    if order > 1 and (n_grams > small_grams or n_words > small_words):
+        return _score_by_shards(rows, table, order, total, (n_grams, n_words), per_shard, group_bytes)
 
     def arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         got = df.toArrow()
@@ -419,7 +537,6 @@ def score_corpus(
             data["grams"] = None
         for batch in batches:
             got = score_texts(((t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(2)), data["model"], data["words"], total)
-            columns = [pa.array(x, t) for x, t in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)] if got else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns[:2], pa.array(np.full(len(batch), total, np.int64)), *columns[2:]], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            yield _result(batch.column(0), batch.column(1), got, total)
 
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, {SCORES}")

@@ -28,7 +28,7 @@ def test_base_counts_and_both_ways(spark, sf):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 5 == 1, len(words), sum(counts[w] > 0 for w in words), total)
         assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in words), rel=1e-9)
         assert r.score < 0
-    joined = {r.doc_id: r for r in ppm.score_corpus(docs, order=3, small_grams=0).collect()}
+    joined = {r.doc_id: r for r in ppm.score_corpus(docs, order=3, small_grams=0, per_shard=2000, group_bytes=50_000).collect()}
     for i in texts:
         assert joined[i].score == pytest.approx(rows[i].score, rel=1e-6)
         assert joined[i].base_score == pytest.approx(rows[i].base_score, rel=1e-9)
