@@ -7,6 +7,9 @@ first.  Everything is joins and windows over these tables.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,6 +122,32 @@ def bridges(seeds: DataFrame, edges: DataFrame, relations: tuple[str, ...] = HIG
     return out.join(back, "via").filter(F.col("seed") != F.col("other")).select("seed", "rel", "via", "bridge_rel", "other")
 
 
+def paths(seeded: DataFrame, edges: DataFrame, hops: int = 2, *, relations: tuple[str, ...] = (), degree: int | None = None, both_ways: bool = False) -> DataFrame:
+    """qid, node_id, hops, parent, rel of all nodes within ``hops`` edges of ``seeded(qid, node_id)``, by the least number of edges.
+
+    The frontier is expanded level by level, and nodes that were reached before are left out by an anti-join.  Of several edges that reach a
+    node at its level the one whose relation comes first in ``relations`` is its parent's (others after all of these), then the smaller parent and
+    relation.  With ``degree`` only that many edges of a node, by relation and ``ord``, are followed.  Seeds have no parent.
+    """
+    place = F.coalesce(*[F.when(F.col("rel") == r, F.lit(i)) for i, r in enumerate(relations)], F.lit(len(relations)))
+    links = edges.select("src", "dst", "rel", "ord")
+    if both_ways:
+        links = links.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel", "ord"))
+    links = links.groupBy("src", "dst", "rel").agg(F.min("ord").alias("ord")).withColumn("place", place)
+    if degree is not None:
+        links = _ranked(links, ["src"], [F.asc("place"), F.asc("ord"), F.asc("dst")], degree).drop("rank")
+    links = materialize(links.select("src", "dst", "rel", "place"), "links")
+    none = F.lit(None).cast("string")
+    level = materialize(seeded.select("qid", "node_id").distinct().select("qid", "node_id", F.lit(0).alias("hops"), none.alias("parent"), none.alias("rel")), "level")
+    found = level
+    for hop in range(1, hops + 1):
+        reached = level.select("qid", F.col("node_id").alias("src")).join(links, "src").groupBy("qid", F.col("dst").alias("node_id")).agg(F.min(F.struct("place", "src", "rel")).alias("best"))
+        fresh = reached.join(found.select("qid", "node_id"), ["qid", "node_id"], "left_anti")
+        level = materialize(fresh.select("qid", "node_id", F.lit(hop).alias("hops"), F.col("best.src").alias("parent"), F.col("best.rel").alias("rel")), "level")
+        found = found.unionByName(level)
+    return found
+
+
 # --- Linking -------------------------------------------------------------------------------------
 
 
@@ -142,19 +171,50 @@ def link_exact(queries: DataFrame, nodes: DataFrame, most: int = 10) -> DataFram
     return _ranked(hits, ["qid"], [F.asc("place")], most).select("qid", "rank", "node_id")
 
 
-def link_fuzzy(terms: DataFrame, nodes: DataFrame, most: int = 5) -> DataFrame:
+def terms_in(labels: DataFrame, terms: DataFrame, chunk: int = 200_000) -> DataFrame:
+    """label, term of every label of ``labels(label)`` that holds a term of ``terms(term)``, each pair once.
+
+    An Aho-Corasick automaton of up to ``chunk`` distinct terms goes over each label once, so the work is labels and
+    matches, not labels and terms; more terms are several automata.
+    """
+    spark = labels.sparkSession
+    wanted = materialize(terms.select("term").filter("term <> ''").distinct(), "terms")
+    parts = -(-wanted.count() // chunk)
+    numbered = wanted.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(max(parts, 1))))
+
+    def search(held):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for term in held.value:
+                automaton.add_word(term, term)
+            automaton.make_automaton()
+            for batch in batches:
+                pairs = [(x, t) for x in batch.column(0).to_pylist() if x for t in sorted({t for _, t in automaton.iter(x)})]
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)], ["label", "term"])
+
+        return run
+
+    once = labels.select("label").distinct()
+    found = spark.createDataFrame([], "label string, term string")
+    for part in range(parts):
+        held = spark.sparkContext.broadcast([r.term for r in numbered.filter(F.col("part") == part).select("term").collect()])
+        if held.value:
+            found = found.unionByName(once.mapInArrow(search(held), "label string, term string"))
+    return found
+
+
+def link_fuzzy(terms: DataFrame, nodes: DataFrame, most: int = 5, chunk: int = 200_000) -> DataFrame:
     """qid, rank, node_id: nodes whose label holds the term of ``terms(qid, text)`` of three characters or more.
 
-    Nodes with a definition come first, then UMLS nodes, then shorter labels.  Labels are
-    found by the term's first three characters, an equality join, and then compared.
+    Nodes with a definition come first, then UMLS nodes, then shorter labels.
     """
-    wanted = terms.select("qid", F.lower(T.strip(F.col("text"))).alias("term")).filter(F.length("term") >= 3).withColumn("tri", F.substring("term", 1, 3))
+    wanted = materialize(terms.select("qid", F.lower(T.strip(F.col("text"))).alias("term")).filter(F.length("term") >= 3).distinct(), "wanted")
     score = F.when(F.trim(F.coalesce("definition", F.lit(""))) != "", 10).otherwise(0) + F.when(F.col("node_type") == "umls", 5).otherwise(0)
     each = nodes.select("node_id", F.lower("label").alias("label"), score.alias("rank_class"), "ord")
     each = materialize(_ranked(each, ["label", "rank_class"], [F.asc("ord")], most).drop("rank"), "labels")
-    tris = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("label") - 2), lambda i: F.substring(F.col("label"), i, 3)))
-    index = each.select("label").distinct().filter(F.length("label") >= 3).select("label", F.explode(tris).alias("tri"))
-    matched = index.join(wanted, "tri").filter(F.contains("label", "term")).select("qid", "label").distinct()
+    matched = terms_in(each, wanted, chunk).join(wanted, "term").select("qid", "label").distinct()
     hits = matched.join(each, "label").withColumn("score", F.col("rank_class") - F.length("label") * 0.01)
     best = hits.groupBy("qid", "node_id").agg(F.max("score").alias("score"), F.min("ord").alias("ord"))
     return _ranked(best, ["qid"], [F.desc("score"), F.asc("ord")], most).select("qid", "rank", "node_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions.labels import dataset_of
 from quern.plans import experiments
 from quern.plans.catalog import register
-from quern.sources import articles, rest
+from quern.sources import articles, rest, sinks
 from quern.sources import datasets as D
 from quern.storage import reserve
 from quern.streaming import resume
@@ -162,3 +162,15 @@ def read_xml_gz(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = reserve(spark, "archive")
     table(spark, sf_dir, "pages").filter(F.trim("url") != "").select(text.alias("value")).write.option("compression", "gzip").text(path)
     return articles.read_articles(spark, path).select("pmid", "title", "abstract", F.size("mesh").alias("n_mesh"))
+
+
+@register("first_wins_batches", "SELECT o_custkey, min(o_orderkey) AS o_orderkey, arg_min(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY o_custkey")
+def first_wins_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's first order, from three batches of orders inserted one after the other, the second of them twice."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    low, high = orders.approxQuantile("o_orderkey", [0.3, 0.6], 0.05) if not orders.isEmpty() else (0, 0)
+    first = sinks.FirstWins(spark, reserve(spark, "customers"), ("o_custkey",))
+    key = F.col("o_orderkey")
+    for name, batch in (("a", key <= low), ("b", (key > low) & (key <= high)), ("b", key <= high), ("c", key > high)):
+        first.insert(orders.filter(batch), name, "o_orderkey")
+    return first.read()

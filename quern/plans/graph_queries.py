@@ -284,3 +284,22 @@ def case_when(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("dedupe_first", "SELECT p_name, arg_min(p_partkey, p_partkey) AS p_partkey, arg_min(p_brand, p_partkey) AS p_brand FROM part GROUP BY p_name")
 def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.first_wins(table(spark, sf_dir, "part"), ["p_name"], F.asc("p_partkey")).select("p_name", "p_partkey", "p_brand")
+
+
+_BOTH = f"""xe AS (SELECT 'N:' || n_nationkey AS src, 'R:' || n_regionkey AS dst, 'part_of' AS rel FROM nation UNION ALL SELECT 'R:' || n_regionkey, 'N:' || n_nationkey, 'isa' FROM nation
+  UNION ALL SELECT 'S:' || s_suppkey, 'N:' || s_nationkey, 'associated_with' FROM supplier
+  UNION ALL SELECT 'S:' || l_suppkey, 'P:' || l_partkey, CASE l_linenumber % 3 WHEN 0 THEN 'may_treat' WHEN 1 THEN 'associated_with' ELSE 'causes' END FROM lineitem
+  UNION ALL SELECT 'P:' || l_partkey, 'S:' || l_suppkey, 'may_be_treated_by' FROM lineitem),
+xb AS (SELECT src, dst, rel, CASE rel WHEN 'causes' THEN 0 WHEN 'may_treat' THEN 1 ELSE 2 END AS place FROM (SELECT * FROM xe UNION SELECT dst, src, rel FROM xe))"""
+
+
+@register("kg_paths", f"""WITH RECURSIVE {_BOTH}, xn AS (SELECT DISTINCT src, dst FROM xb),
+xr(qid, node_id, hops) AS (SELECT r_regionkey, 'R:' || r_regionkey, 0 FROM region UNION SELECT qid, dst, hops + 1 FROM xr JOIN xn ON src = node_id WHERE hops < 3),
+xd AS (SELECT qid, node_id, min(hops) AS hops FROM xr GROUP BY qid, node_id),
+xp AS (SELECT d.qid, d.node_id, d.hops, b.src AS parent, b.rel, row_number() OVER (PARTITION BY d.qid, d.node_id ORDER BY b.place, b.src, b.rel) AS k
+  FROM xd d LEFT JOIN (SELECT u.qid, u.hops, b.* FROM xd u JOIN xb b ON b.src = u.node_id) b ON b.qid = d.qid AND b.dst = d.node_id AND b.hops = d.hops - 1)
+SELECT CAST(qid AS BIGINT) AS qid, node_id, CAST(hops AS INTEGER) AS hops, parent, rel FROM xp WHERE k = 1""")
+def kg_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies within three edges of each region, with the edge it is reached by."""
+    seeded = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("qid"), F.concat(F.lit("R:"), F.col("r_regionkey").cast("string")).alias("node_id"))
+    return graph.paths(seeded, _edge_rows(spark, sf_dir), 3, relations=("causes", "may_treat"), both_ways=True)

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.storage import materialize
 
+LEDGER = "name string, batch string, at timestamp"
+
 
 def write_first_wins(df: DataFrame, path: str, keys: list[str], *order: str) -> None:
     """A table without repeated keys: the first row by ``order`` stays, as an insert that ignores conflicts keeps it."""
@@ -14,6 +21,61 @@ def write_first_wins(df: DataFrame, path: str, keys: list[str], *order: str) ->
     df.withColumn("_k", nth).filter("_k = 1").drop("_k").write.mode("overwrite").parquet(path)
 
 
+@dataclass(frozen=True)
+class FirstWins:
+    """A table that batches are inserted into, one after the other, and in which the first row of a key stays.
+
+    Rows lie in ``buckets`` by the hash of their key, and a batch is compared with the buckets it touches only.  A batch's rows are
+    written first and its line in the ledger last: what the ledger does not name is never read, so an insert that fails leaves
+    the table as it was and can be done again; a batch whose name is in the ledger is not inserted twice.
+    """
+
+    spark: SparkSession
+    path: str
+    keys: tuple[str, ...]
+    buckets: int = 64
+
+    def ledger(self) -> DataFrame:
+        """name, batch, at (time of the insert) of all inserted batches."""
+        try:
+            return self.spark.read.schema(LEDGER).parquet(f"{self.path}/ledger")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], LEDGER)
+
+    def _data(self) -> DataFrame | None:
+        batches = sorted(r.batch for r in self.ledger().select("batch").collect())
+        return self.spark.read.option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/data/batch={b}" for b in batches]) if batches else None
+
+    def read(self) -> DataFrame | None:
+        """The table, or None before the first insert."""
+        data = self._data()
+        return None if data is None else data.drop("batch", "bucket")
+
+    def write(self, df: DataFrame, batch: str, *order: str) -> None:
+        """The rows of the batch whose keys are new, without an entry in the ledger."""
+        nth = F.row_number().over(Window.partitionBy(*self.keys).orderBy(*order))
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        rows = materialize(df.withColumn("_k", nth).filter("_k = 1").drop("_k").withColumn("bucket", bucket), "batch")
+        held = self._data()
+        if held is not None:
+            touched = [r.bucket for r in rows.select("bucket").distinct().collect()]
+            known = held.filter(F.col("bucket").isin(touched)).select(*[F.col(k).alias(f"_{k}") for k in self.keys])
+            same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in self.keys]
+            rows = rows.join(known, reduce(lambda a, b: a & b, same), "left_anti")
+        rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/batch={batch}")
+
+    def insert(self, df: DataFrame, name: str, *order: str) -> bool:
+        """Insert the batch ``name``; of its rows of one key the first by ``order`` counts.  False if it was inserted before."""
+        if not self.ledger().filter(F.col("name") == name).isEmpty():
+            return False
+        batch = uuid.uuid4().hex
+        self.write(df, batch, *order)
+        self.spark.range(1).select(F.lit(name).alias("name"), F.lit(batch).alias("batch"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(f"{self.path}/ledger")
+        return True
+
+
 def write_corpus(df: DataFrame, path: str, per_file: int = 1000) -> None:
     """JSON lines, ``per_file`` documents to a file."""
     df.write.mode("overwrite").option("maxRecordsPerFile", per_file).json(path)
