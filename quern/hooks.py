@@ -1,16 +1,18 @@
 """Model hooks: what a model does to a column or a table, with stand-ins that need no model.
 
-A hook is a plain callable, so a real model is a pandas UDF put in its place.
+A hook is a plain callable; :func:`batched` makes one of a real model.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from typing import Protocol
+from typing import Any, Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import pandas_udf
 
 from quern.functions import text as T
 
@@ -31,6 +33,49 @@ def sentence_claims(question: Column) -> Column:
     return T.sentences(question)
 
 
+def batched(load: Callable[[], Callable[..., Any]], returns: str, *, rows: int = 256) -> Callable[..., Column]:
+    """A hook on columns from a model that is loaded once a worker process and asked for ``rows`` rows at a time.
+
+    ``load()`` gives a function from equally long lists, one a column, to a list of results of the type ``returns``.
+    A worker process serves many tasks, and keeps the model between them.
+    """
+    key = f"{load.__module__}.{load.__qualname__}:{id(load)}"
+
+    @pandas_udf(returns)
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        import sys
+        import types
+
+        # The function comes anew with each task; modules stay as long as the process.
+        models = sys.modules.setdefault("_quern_models", types.ModuleType("_quern_models")).__dict__
+        if key not in models:
+            models[key] = load()
+        for columns in batches:
+            lists = [c.tolist() for c in (columns if isinstance(columns, tuple) else (columns,))]  # a single column comes by itself
+            out: list = []
+            for at in range(0, len(lists[0]), rows):
+                out.extend(models[key](*[x[at : at + rows] for x in lists]))
+            yield pd.Series(out)
+
+    return lambda *columns: run(*columns)
+
+
+def letter_encoder() -> Callable[[list], list]:
+    """A stand-in for an encoder: how often each of the 26 letters occurs."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return lambda texts: [[float((t or "").lower().count(c)) for c in letters] for t in texts]
+
+
+def shared_words() -> Callable[[list, list], list]:
+    """A stand-in for a re-ranker or an entailment model: the share of the second text's distinct words that the first holds."""
+
+    def score(premises: list, hypotheses: list) -> list:
+        held = [(set((p or "").lower().split()), set((h or "").lower().split())) for p, h in zip(premises, hypotheses, strict=True)]
+        return [len(a & b) / len(b) if b else 0.0 for a, b in held]
+
+    return score
+
+
 @dataclass(frozen=True)
 class Hooks:
     """What models do; a hook that is None leaves its step out, or takes the stand-in of the operator.

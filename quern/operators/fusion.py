@@ -50,7 +50,7 @@ def rrf(pools: DataFrame, weights: dict[str, float | Column], k: int, key: Colum
         )
     )
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "first")
-    return fused.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k).select("qid", "rank", F.col("first.doc_id").alias("doc_id"), F.col("_key").alias("key"), "score")
+    return fused.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1).select("qid", "rank", F.col("first.doc_id").alias("doc_id"), F.col("_key").alias("key"), "score")
 
 
 def concatenated(hits: DataFrame, order: str = "sub") -> DataFrame:

@@ -152,7 +152,8 @@ def paths(seeded: DataFrame, edges: DataFrame, hops: int = 2, *, relations: tupl
 
 
 def _ranked(rows: DataFrame, by: list[str], order: list[Column], most: int) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).filter(F.col("rank") < most)
+    # The number itself is compared, so that a task keeps ``most`` rows of a group before they are shuffled.
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= most).withColumn("rank", F.col("rank") - 1)
 
 
 def link_exact(queries: DataFrame, nodes: DataFrame, most: int = 10) -> DataFrame:

@@ -32,7 +32,8 @@ def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
 def top(scored: DataFrame, k: int, *ties: Column, by: str = "qid") -> DataFrame:
     """The first k rows of each query by score, then ``ties``; adds rank from 0."""
     order = Window.partitionBy(by).orderBy(F.desc("score"), *ties)
-    return scored.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
+    # The number itself is compared, so that a task keeps k rows of a query before they are shuffled.
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 def corpus_stats(tokens: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def unit_rows(column: pa.Array) -> np.ndarray:
 def merge_ranked(found: DataFrame, k: int) -> DataFrame:
     """The k best rows of each query, ties to the smaller id, with their rank from 0."""
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k).select("qid", "rank", "vec_id", "score")
+    return found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).select("qid", (F.col("n") - 1).alias("rank"), "vec_id", "score")
 
 
 def _best(qids: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> pa.RecordBatch:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern import hooks
 from quern.operators import cite, compress
 from quern.plans.catalog import register
 from quern.plans.retrieval_queries import _B, _D, _Q, _TFIDF, _WS, _filled, _pool, _queries
@@ -107,3 +108,19 @@ def reasoning_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("context"))
     rows = c.filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("reasoning"), F.lit("supported").alias("label")).join(before, ["conv_id", "turn"], "left")
     return cite.reasoning_scores(rows).select("conv_id", "turn", "faithfulness", "grounding")
+
+
+_WORDS_OF = r"list_distinct(list_filter(string_split_regex(lower({}), '\s+'), lambda w: w <> ''))"
+
+
+@register("model_hooks", f"""WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS text, coalesce(source, '') || ' ' || coalesce(lang, '') AS claim FROM documents),
+c AS (SELECT doc_id, text, {_WORDS_OF.format('text')} AS a, {_WORDS_OF.format('claim')} AS b FROM t)
+SELECT doc_id, CAST(length(regexp_replace(text, '[^a-z]', '', 'g')) AS DOUBLE) AS letters, CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS e,
+  CASE WHEN len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / CAST(len(b) AS DOUBLE) END AS support FROM c""")
+def model_hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document through the stand-ins of an encoder and of an entailment model, each loaded once a worker and asked in batches."""
+    encode, entails = hooks.batched(hooks.letter_encoder, "array<double>"), hooks.batched(hooks.shared_words, "double")
+    docs = table(spark, sf_dir, "documents")
+    claim = F.concat_ws(" ", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    made = docs.select("doc_id", encode(F.col("text")).alias("vector"), entails(F.col("text"), claim).alias("support"))
+    return made.select("doc_id", F.aggregate("vector", F.lit(0.0), lambda s, x: s + x).alias("letters"), F.get("vector", F.lit(4)).alias("e"), "support")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_KEPT: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,22 +46,24 @@ def held(path: str) -> bool:
     return any(path == p for _, p in _WRITTEN)
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` once to the shared folder and return a scan of it."""
+def materialize(df: DataFrame, name: str = "table", *, keep: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and return a scan of it; with ``keep`` it outlives the :func:`scope` it is written in."""
     spark = df.sparkSession
     path = reserve(spark, name)
+    if keep:
+        _KEPT.add(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextlib.contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
-    """Intermediate tables written inside go at the end; results are to be written or collected before."""
+    """Intermediate tables written inside go at the end, but for those to keep; other results are to be written or collected before."""
     before = {path for _, path in _WRITTEN}
     try:
         yield
     finally:
-        _delete([x for x in _WRITTEN if x[0] is spark and x[1] not in before])
+        _delete([x for x in _WRITTEN if x[0] is spark and x[1] not in before | _KEPT])
 
 
 def spread(df: DataFrame) -> DataFrame:
