@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.retrieval import small
@@ -140,6 +140,26 @@ def build(vectors: DataFrame, *, cells: int | None = None, copies: int = 6, samp
     return Index(centres, words, materialize(_packed(entries, block).withColumnRenamed("bodies", "codes"), "cells"))
 
 
+def _cut(query: np.ndarray, vec: np.ndarray, score: np.ndarray, short: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``short`` best candidates of each query, each candidate once, by query."""
+    order = np.lexsort((-score, vec, query))
+    query, vec, score = query[order], vec[order], score[order]
+    first = np.concatenate([np.ones(min(1, len(query)), bool), (query[1:] != query[:-1]) | (vec[1:] != vec[:-1])])
+    query, vec, score = query[first], vec[first], score[first]
+    if short:
+        order = np.lexsort((vec, -score, query))
+        order = order[np.arange(len(order)) - np.searchsorted(query, query[order]) < short]
+        query, vec, score = query[order], vec[order], score[order]
+    return query, vec, score
+
+
+def _lists(query: np.ndarray, vec: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    """qid, vec_ids, near: one row a query, of rows by query."""
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(query)), bool), query[1:] != query[:-1]]))
+    edges = pa.array(np.append(first, len(query)), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(query[first]), pa.ListArray.from_arrays(edges, pa.array(vec)), pa.ListArray.from_arrays(edges, pa.array(score))], ["qid", "vec_ids", "near"])
+
+
 class _Shortest:
     """The ``short`` best candidates of each query among those seen, each candidate once."""
 
@@ -150,28 +170,36 @@ class _Shortest:
         self.rows.append(columns)
         self.size += len(columns[0])
         if self.size > self.hold:
-            self._cut()
+            self.rows = [self._best()]
+            self.size = len(self.rows[0][0])
             if self.size > self.hold // 2:  # too many queries to wait for better ones
                 yield self.out()
 
-    def _cut(self) -> None:
-        query, vec, score = (np.concatenate(x) for x in zip(*self.rows, strict=True))
-        order = np.lexsort((-score, vec, query))
-        query, vec, score = query[order], vec[order], score[order]
-        first = np.concatenate([[True], (query[1:] != query[:-1]) | (vec[1:] != vec[:-1])])
-        query, vec, score = query[first], vec[first], score[first]
-        if self.short:
-            order = np.lexsort((vec, -score, query))
-            order = order[np.arange(len(order)) - np.searchsorted(query, query[order]) < self.short]
-            query, vec, score = query[order], vec[order], score[order]
-        self.rows, self.size = [(query, vec, score)], len(query)
+    def _best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return _cut(*(np.concatenate(x) for x in zip(*self.rows, strict=True)), self.short) if self.rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
     def out(self) -> pa.RecordBatch:
-        if self.rows:
-            self._cut()
-        columns = self.rows[0] if self.rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        self.rows, self.size = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["qid", "vec_id", "near"])
+        best, self.rows, self.size = self._best(), [], 0
+        return _lists(*best)
+
+
+def _merged(parts: DataFrame, short: int | None) -> DataFrame:
+    """qid, vec_ids, near: the best of all tasks' lists of a query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        for batch in batches:
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            new = (np.repeat(batch.column(0).to_numpy(), sizes), batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy())
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+            done = int(np.searchsorted(held[0] == held[0][-1], True)) if len(held[0]) else 0  # the last query may go on
+            if done:
+                yield _lists(*_cut(*(x[:done] for x in held), short))
+                held = [x[done:] for x in held]
+            held = list(_cut(*held, short))
+        yield _lists(*_cut(*held, short))
+
+    return parts.repartition("qid").sortWithinPartitions("qid").mapInArrow(run, "qid long, vec_ids array<long>, near array<double>")
 
 
 def candidates(index: Index, queries: DataFrame, probes: int, short: int | None, group: int = 256) -> DataFrame:
@@ -198,11 +226,8 @@ def candidates(index: Index, queries: DataFrame, probes: int, short: int | None,
                 yield from best.add(np.repeat(qids, kept.shape[1]), ids[kept].ravel(), np.take_along_axis(score, kept, axis=1).ravel())
         yield best.out()
 
-    near = met.select("cell", "ids", "codes", "qids", "bodies").mapInArrow(run, "qid long, vec_id long, near double").groupBy("qid", "vec_id").agg(F.max("near").alias("near"))
-    if not short:
-        return near.select("qid", "vec_id")
-    order = Window.partitionBy("qid").orderBy(F.desc("near"), "vec_id")
-    return near.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= short).select("qid", "vec_id")
+    parts = met.select("cell", "ids", "codes", "qids", "bodies").mapInArrow(run, "qid long, vec_ids array<long>, near array<double>")
+    return _merged(parts, short).select("qid", F.explode("vec_ids").alias("vec_id"))
 
 
 def search(index: Index | None, vectors: DataFrame, queries: DataFrame, k: int = 10, *, probes: int | None = None, short: int | None = 200) -> DataFrame:
