@@ -58,9 +58,9 @@ SEPARATORS = ".-_*·'"
 ONE_LETTER_WORDS = ("a ", "i ", "o ", "y ", "e ", "u ", "à ", "é ")
 
 _SIGNS = re.escape("".join(LEET))
-#: Signs that end a disguised word; others there are taken for punctuation.
+#: Signs that end a disguised word, one or two of them; others there are taken for punctuation, more for a number or a row of signs.
 _TAIL = re.escape("0123456789@$€+")
-_MIXED = re.compile(rf"[^\W\d_][{_SIGNS}{re.escape(SEPARATORS)}]+[^\W\d_]|(?:^|\s)[{_SIGNS}]+[^\W\d_]{{2}}|[^\W\d_][{_TAIL}]+(?![{_TAIL}\w])|([^\W\d_])\1\1")
+_MIXED = re.compile(rf"[^\W\d_](?:[{_SIGNS}{re.escape(SEPARATORS)}]+[^\W\d_]|[{_TAIL}]{{1,2}}(?![{_TAIL}\w]))|(?:^|\s)[{_SIGNS}]+[^\W\d_]{{2}}|([^\W\d_])\1\1")
 _TOKEN = re.compile(r"\S+")
 _SPACED = re.compile(r"(?<!\S)[^\W_](?:[ \t.\-_*]+[^\W_]){2,}(?!\S)")
 _EDGES = " \t\r\n.,;:!?*\"'()[]{}|<>-_~#"

@@ -123,5 +123,5 @@ def test_disguise_at_either_end_and_inside(spark):
     for plain, forms in {"idiot": ("1diot", "id1ot", "idio7", "idi0t"), "worthless": ("worthles5", "w0rthless"), "stupid": ("5tupid", "stup1d")}.items():
         for form in forms:
             assert toxicity.disguised(f"so {form}, they say") == [form] and toxicity.restore(form, lm) == plain
-    assert toxicity.disguised("a word! a wide (gap) 12 1999 3.5, end? yes") == []
+    assert toxicity.disguised("a word! a wide (gap) 12 1999 3.5, end? yes page$$$ user1234") == []
     assert toxicity.disguised("a$$ and a55.") == ["a$$", "a55"]
