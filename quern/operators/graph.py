@@ -8,12 +8,15 @@ first.  Everything is joins and windows over these tables.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators.retrieval import small
 from quern.storage import materialize
 
 # Relations that carry knowledge, by their use, and relations to skip.
@@ -122,6 +125,98 @@ def bridges(seeds: DataFrame, edges: DataFrame, relations: tuple[str, ...] = HIG
     return out.join(back, "via").filter(F.col("seed") != F.col("other")).select("seed", "rel", "via", "bridge_rel", "other")
 
 
+def _numbered(ids: DataFrame) -> DataFrame:
+    """``ids(node_id)`` with numbers from 0 without gaps."""
+    rows = materialize(ids.select("node_id", F.monotonically_increasing_id().alias("at")), "numbers")
+    part = F.shiftright("at", 33)
+    sizes = sorted((r.part, r.n) for r in rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    if not sizes:
+        return rows.select("node_id", F.lit(0).alias("number"))
+    starts = F.create_map(*[F.lit(x) for (p, _), start in zip(sizes, accumulate((n for _, n in sizes), initial=0)) for x in (p, start)])
+    return rows.select("node_id", (F.element_at(starts, part) + F.col("at").bitwiseAND((1 << 33) - 1)).cast("int").alias("number"))
+
+
+#: A group of seeds are 2 ** SHIFT whose numbers follow each other.
+SHIFT = 4
+
+
+def _pair_counts(rows: DataFrame, pairs: int) -> DataFrame:
+    """seed, other, bridges of ``rows(group, seeds, others)``, those of a group one after the other: how often the two meet in a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            keys, times = (np.concatenate(x) for x in zip(*held, strict=True))
+            if len(held) > 1:
+                keys, slot = np.unique(keys, return_inverse=True)
+                times = np.bincount(slot, times, len(keys)).astype(np.int64)
+            return keys, times
+
+        def out() -> pa.RecordBatch:
+            keys, times = merged() if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(times)], ["seed", "other", "bridges"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            na, nb = (np.diff(batch.column(c).offsets.to_numpy()).astype(np.int64) for c in (1, 2))
+            a, b = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in (1, 2))
+            starts = np.cumsum(nb) - nb
+            row = np.repeat(np.arange(len(batch)), na)  # of each seed
+            reach = np.cumsum(nb[row])
+            at = 0
+            while at < len(row):
+                stop = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + pairs, side="right")))
+                n = nb[row[at:stop]]
+                seed, other = np.repeat(a[at:stop], n), b[np.repeat(starts[row[at:stop]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                keys, times = np.unique((seed << 32 | other)[seed != other], return_counts=True)
+                at = stop
+                if not len(keys):
+                    continue
+                # Groups follow each other: those between the first and the last of these pairs are whole.
+                group = keys >> 32 + SHIFT
+                low, high = np.searchsorted(group, group[0], side="right"), np.searchsorted(group, group[-1])
+                if held and held[0][0][0] >> 32 + SHIFT != group[0]:
+                    yield out()
+                held.append((keys[:low], times[:low]))
+                if len(held) > 64:
+                    held[:] = [merged()]
+                if group[0] != group[-1]:
+                    yield out()
+                    if high > low:
+                        held.append((keys[low:high], times[low:high]))
+                        yield out()
+                    held.append((keys[high:], times[high:]))
+        yield out()
+
+    return rows.select("group", "seeds", "others").mapInArrow(run, "seed int, other int, bridges long")
+
+
+def bridge_counts(seeds: DataFrame, edges: DataFrame, relations: tuple[str, ...] = HIGH_OUT, *, block: int = 4096, pairs: int = 1 << 21) -> DataFrame:
+    """seed, other, bridges: the number of rows that :func:`bridges` has for each two seeds, which are not made one by one.
+
+    Seeds go by number.  Each node between has its seeds and its others as lists, the lists of others are sent to groups of
+    seeds, and a task counts the pairs of one group after the other, up to ``pairs`` at a time.
+    """
+    strong = edges.filter(F.col("rel").isin(*relations)).select("src", "dst")
+    ids = _numbered(seeds.select("node_id").distinct())
+    known = small(ids)
+    ends = lambda own, via, name: strong.join(known, F.col(own) == F.col("node_id")).select(F.col(via).alias("via"), F.col("number").alias(name))
+    group = F.shiftright("seed", SHIFT)
+    out = ends("src", "dst", "seed").groupBy("via", group.alias("group")).agg(F.collect_list("seed").alias("seeds"))
+    back = ends("dst", "src", "other").groupBy("via").agg(F.collect_list("other").alias("others"))
+    back = back.select("via", F.explode(F.transform(F.sequence(F.lit(1), F.size("others"), F.lit(block)), lambda i: F.slice("others", i, block))).alias("others"))
+    met = out.join(back, "via").select("group", "seeds", "others").repartition("group").sortWithinPartitions("group")
+    counted = _pair_counts(met, pairs)
+    name = lambda c: known.select(F.col("number").alias(c + "_number"), F.col("node_id").alias(c))
+    return (
+        counted.withColumnsRenamed({"seed": "seed_number", "other": "other_number"}).join(name("seed"), "seed_number").join(name("other"), "other_number")
+        .select("seed", "other", "bridges")
+    )
+
+
 def paths(seeded: DataFrame, edges: DataFrame, hops: int = 2, *, relations: tuple[str, ...] = (), degree: int | None = None, both_ways: bool = False) -> DataFrame:
     """qid, node_id, hops, parent, rel of all nodes within ``hops`` edges of ``seeded(qid, node_id)``, by the least number of edges.
 
