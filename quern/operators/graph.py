@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators.retrieval import small
-from quern.storage import materialize
+from quern.storage import dealt, materialize
 
 # Relations that carry knowledge, by their use, and relations to skip.
 USEFUL_RELATIONS = (
@@ -257,14 +257,15 @@ def link_exact(queries: DataFrame, nodes: DataFrame, most: int = 10) -> DataFram
     Longer runs come first, then earlier ones, then earlier nodes.  As a node has one
     label and only ``most`` are wanted, no more nodes of a label are joined.
     """
-    words = queries.select("qid", T.ascii_tokens(F.col("text")).alias("w"))
+    # Queries are dealt out once; what follows keeps their texts' rows where they are.
+    words = dealt(queries.select("qid", "text"), "qid").select("qid", T.ascii_tokens(F.col("text")).alias("w"))
     each = F.array(*[F.struct(F.lit(n).alias("n"), T.ngrams(F.col("w"), n).alias("g")) for n in range(5, 0, -1)])
     grams = words.select("qid", F.explode(each).alias("e")).select("qid", "e.n", F.posexplode("e.g").alias("at", "gram"))
     single = (F.col("n") == 1) & ((F.length("gram") < 4) | F.col("gram").isin(*STOPWORDS))
-    found = grams.filter(~single).groupBy("qid", "gram").agg(F.min(F.struct((-F.col("n")).alias("n"), "at")).alias("place"))
     labels = _ranked(nodes.select(F.lower("label").alias("gram"), "node_id", "ord").distinct(), ["gram"], [F.asc("ord")], most).drop("rank")
-    hits = found.join(labels, "gram").groupBy("qid", "node_id").agg(F.min(F.struct("place", "ord")).alias("place"))
-    return _ranked(hits, ["qid"], [F.asc("place")], most).select("qid", "rank", "node_id")
+    hits = grams.filter(~single).join(small(materialize(labels, "labels")), "gram")
+    best = hits.groupBy("qid", "node_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "at", "ord")).alias("place"))
+    return _ranked(best, ["qid"], [F.asc("place")], most).select("qid", "rank", "node_id")
 
 
 def terms_in(labels: DataFrame, terms: DataFrame, chunk: int = 200_000) -> DataFrame:

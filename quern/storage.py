@@ -78,6 +78,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` by ``columns`` over all shuffle partitions: groups and windows by these stay there, and few rows that become many are not put together."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def _delete(tables: list[tuple[SparkSession, str]]) -> None:
     for owner, path in tables:
         with contextlib.suppress(Exception):
