@@ -311,9 +311,11 @@ def link_fuzzy(terms: DataFrame, nodes: DataFrame, most: int = 5, chunk: int = 2
     score = F.when(F.trim(F.coalesce("definition", F.lit(""))) != "", 10).otherwise(0) + F.when(F.col("node_type") == "umls", 5).otherwise(0)
     each = nodes.select("node_id", F.lower("label").alias("label"), score.alias("rank_class"), "ord")
     each = materialize(_ranked(each, ["label", "rank_class"], [F.asc("ord")], most).drop("rank"), "labels")
-    matched = terms_in(each, wanted, chunk).join(wanted, "term").select("qid", "label").distinct()
-    hits = matched.join(each, "label").withColumn("score", F.col("rank_class") - F.length("label") * 0.01)
-    best = hits.groupBy("qid", "node_id").agg(F.max("score").alias("score"), F.min("ord").alias("ord"))
+    # What a term finds is the same for all queries, and beyond its best nodes none is any query's.
+    hits = terms_in(each, wanted, chunk).join(each, "label").withColumn("score", F.col("rank_class") - F.length("label") * 0.01)
+    found = hits.groupBy("term", "node_id").agg(F.max("score").alias("score"), F.min("ord").alias("ord"))
+    found = materialize(_ranked(found, ["term"], [F.desc("score"), F.asc("ord")], most).drop("rank"), "found")
+    best = dealt(wanted, "qid").join(small(found), "term").groupBy("qid", "node_id").agg(F.max("score").alias("score"), F.min("ord").alias("ord"))
     return _ranked(best, ["qid"], [F.desc("score"), F.asc("ord")], most).select("qid", "rank", "node_id")
 
 
