@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators.retrieval import small
 from quern.plans.catalog import register
+from quern.storage import materialize
 from quern.tables import table
 
 
@@ -58,9 +60,28 @@ WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\
 g AS (SELECT w[i] || ' ' || w[i + 1] AS bigram, doc_id FROM w, unnest(range(1, len(w))) AS b(i))
 SELECT bigram, count(*) AS times, count(DISTINCT doc_id) AS docs FROM g GROUP BY bigram HAVING count(DISTINCT doc_id) > 1""")
 def bigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select("doc_id", T.unicode_tokens(F.col("text")).alias("w"))
-    per_doc = words.select("doc_id", F.explode(T.ngrams(F.col("w"), 2)).alias("bigram")).groupBy("doc_id", "bigram").agg(F.count(F.lit(1)).alias("n"))
-    return per_doc.groupBy("bigram").agg(F.sum("n").alias("times"), F.count(F.lit(1)).alias("docs")).filter("docs > 1")
+    return pair_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """bigram, times, docs of ``docs(doc_id, text)``, for bigrams of more than one document.
+
+    A document's pairs are in its row, so that a row tells which of them are its first, and all are added up before they are shuffled.
+    Only ids that several rows share are brought together with their pairs.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 and doc_id is not null").select("doc_id")
+    shared = materialize(ids, "shared")
+    some = not shared.isEmpty()
+    pairs = lambda rows: rows.select("doc_id", T.unicode_tokens(F.col("text")).alias("w")).select("doc_id", F.array_sort(T.ngrams(F.col("w"), 2)).alias("g"))
+    once = pairs(docs.join(small(shared), "doc_id", "left_anti") if some else docs)
+    # Equal pairs stand together; a row without an id is no document.
+    marked = F.transform("g", lambda x, i: F.struct(x.alias("bigram"), ((i == 0) | (x != F.get("g", i - 1))).alias("first")))
+    each = once.select("doc_id", F.explode(marked).alias("e"))
+    counted = each.select("e.bigram", (F.col("e.first") & F.col("doc_id").isNotNull()).cast("long").alias("docs"), F.lit(1).cast("long").alias("times"))
+    if some:
+        several = pairs(docs.join(small(shared), "doc_id", "left_semi")).select("doc_id", F.explode("g").alias("bigram"))
+        counted = counted.unionByName(several.groupBy("doc_id", "bigram").agg(F.count(F.lit(1)).alias("times")).select("bigram", F.lit(1).cast("long").alias("docs"), "times"))
+    return counted.groupBy("bigram").agg(F.sum("times").alias("times"), F.sum("docs").alias("docs")).filter("docs > 1")
 
 
 @register("chunk_words", r"""
