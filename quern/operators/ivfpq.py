@@ -56,7 +56,17 @@ class Index:
 def nearest(rows: np.ndarray, centres: np.ndarray, n: int = 1, squared: bool = False) -> np.ndarray:
     """The numbers of the ``n`` centres of greatest product with each row, or of least distance."""
     away = (centres * centres).sum(axis=1) / 2 if squared else 0.0
-    return np.concatenate([np.argsort(away - rows[i : i + ROWS] @ centres.T, axis=1, kind="stable")[:, :n] for i in range(0, len(rows), ROWS)] or [np.zeros((0, n), np.int64)])
+
+    def first(far: np.ndarray) -> np.ndarray:
+        # A whole row is sorted only where all of it is asked for.
+        if n == 1:
+            return np.argmin(far, axis=1)[:, None]
+        if n >= far.shape[1]:
+            return np.argsort(far, axis=1, kind="stable")
+        some = np.sort(np.argpartition(far, n - 1, axis=1)[:, :n], axis=1)
+        return np.take_along_axis(some, np.argsort(np.take_along_axis(far, some, axis=1), axis=1, kind="stable"), axis=1)
+
+    return np.concatenate([first(away - rows[i : i + ROWS] @ centres.T) for i in range(0, len(rows), ROWS)] or [np.zeros((0, n), np.int64)])
 
 
 def k_means(rows: np.ndarray, k: int, *, spherical: bool, steps: int = 12, seed: int = 7) -> np.ndarray:
@@ -230,6 +240,14 @@ def candidates(index: Index, queries: DataFrame, probes: int, short: int | None,
     return _merged(parts, short).select("qid", F.explode("vec_ids").alias("vec_id"))
 
 
+def _in_asked_cells(index: Index, queries: DataFrame, probes: int, group: int = 256) -> DataFrame:
+    """vec_id, qids: every vector in the cells that queries look into, once, with these queries."""
+    asked = queries.filter("qid is not null and embedding is not null").select(F.col("qid").cast("long").alias("id"), "embedding")
+    groups = _packed(_in_cells(spread(asked), index.centres, min(probes, len(index.centres)), lambda unit, cells: unit[:, :0]), group)
+    met = index.blocks.select("cell", "ids").join(groups.select("cell", F.col("ids").alias("qids")), "cell")
+    return met.select(F.explode("ids").alias("vec_id"), "qids").groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("qids"))).alias("qids"))
+
+
 def search(index: Index | None, vectors: DataFrame, queries: DataFrame, k: int = 10, *, probes: int | None = None, short: int | None = 200) -> DataFrame:
     """qid, rank, vec_id, score: the ``k`` best of ``vectors`` for ``queries(qid, embedding)`` by exact cosine among the candidates.
 
@@ -237,9 +255,12 @@ def search(index: Index | None, vectors: DataFrame, queries: DataFrame, k: int =
     """
     if index is None:
         return merge_ranked(queries.select(F.col("qid").cast("long").alias("qid"), F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score")).filter("false"), k)
-    pairs = materialize(candidates(index, queries, probes or max(1, len(index.centres) // 10), short), "candidates")
+    probes, held = probes or max(1, len(index.centres) // 10), vectors.filter("vec_id is not null and embedding is not null").select("vec_id", "embedding")
     # A repeated id is a vector of its own each time.
-    rows = vectors.filter("vec_id is not null and embedding is not null").select("vec_id", "embedding").join(small(pairs), "vec_id")
+    if short is None:  # nothing is to be ranked by code, and no query's candidates come together
+        rows = held.join(_in_asked_cells(index, queries, probes), "vec_id").select("vec_id", "embedding", F.explode("qids").alias("qid"))
+    else:
+        rows = held.join(small(materialize(candidates(index, queries, probes, short), "candidates")), "vec_id")
     both = rows.join(small(queries.select(F.col("qid").cast("long").alias("qid"), F.col("embedding").alias("q")), 4096), "qid")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
