@@ -30,12 +30,14 @@ from pyspark.sql import functions as F
 
 from quern.operators import retrieval
 from quern.operators.retrieval import Best
-from quern.storage import materialize, spread
+from quern.storage import arrow_rows, materialize, spread
 
 PARTS = 16
 HEAD = PARTS
 ENTRY = "range long, terms array<string>, n array<int>, sizes array<int>, body binary, tops array<int>, top_tf array<int>, top_dl array<int>, ids array<long>, dls array<int>"
 BATCH = "field string, n long, total long, batch string"
+#: Rows of a range's terms handed to a worker at a time.
+WIDE = 32
 #: Pairs of document and query scored at a time.
 PAIRS = 1 << 20
 
@@ -193,7 +195,8 @@ class TextIndex:
         batch, base = uuid.uuid4().hex, len(self._batches()) << 44
         rows = spread(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "content"))
         words = rows.select("doc_id", *[tokens(F.col("content")).alias(f"_{name}") for name, tokens in self.analysers.items()])
-        _entries(words, list(self.analysers), docs_per_range, base).hint("rebalance", "field", "part").write.partitionBy("field", "part").parquet(f"{self.path}/entries/batch={batch}")
+        with arrow_rows(self.spark, docs_per_range):
+            _entries(words, list(self.analysers), docs_per_range, base).hint("rebalance", "field", "part").write.partitionBy("field", "part").parquet(f"{self.path}/entries/batch={batch}")
         entries = self._entries([batch], None)
         for field in self.vocabularies:
             each = entries.filter((F.col("field") == field) & (F.col("part") < HEAD)).select(F.explode(F.arrays_zip("terms", "n")).alias("t")).select(F.xxhash64("t.terms").alias("term"), F.col("t.n").alias("n"))
@@ -243,7 +246,8 @@ class TextIndex:
         if few.num_rows > limit:
             return self._joined(entries, materialize(asked, "terms"), n, avgdl, mean, k1, b, idf_floor)
         own = sorted(set(few.column("term").to_pylist()))
-        found = materialize(_matching(entries.filter(F.col("part").isin({part_of(t) for t in own}) & (F.col("part") < HEAD)), own, avgdl, k1, b), "blocks")
+        with arrow_rows(self.spark, WIDE):
+            found = materialize(_matching(entries.filter(F.col("part").isin({part_of(t) for t in own}) & (F.col("part") < HEAD)), own, avgdl, k1, b), "blocks")
         df = np.zeros(len(own))
         for r in found.groupBy("number").agg(F.sum("n").alias("df")).collect():
             df[r.number] = r.df

@@ -66,6 +66,18 @@ def scope(spark: SparkSession) -> Iterator[None]:
         _delete([x for x in _WRITTEN if x[0] is spark and x[1] not in before | _KEPT])
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is run inside hands Python at most ``rows`` rows at a time: for wide rows, of which a usual batch fills a worker's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows if int(before) <= 0 else min(rows, int(before)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its input has fewer partitions than there are cores; else as it is.
 
