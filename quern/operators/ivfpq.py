@@ -216,7 +216,8 @@ def candidates(index: Index, queries: DataFrame, probes: int, short: int | None,
     """qid, vec_id: the ``short`` best by code of the cells each query looks into, or all that are in them."""
     asked = queries.filter("qid is not null and embedding is not null").select(F.col("qid").cast("long").alias("id"), "embedding")
     groups = _packed(_in_cells(spread(asked), index.centres, min(probes, len(index.centres)), lambda unit, cells: unit), group)
-    met = index.blocks.join(groups.select("cell", F.col("ids").alias("qids"), "bodies"), "cell")
+    # Blocks meet by shuffle: as a broadcast they would go through the driver.
+    met = index.blocks.join(groups.select("cell", F.col("ids").alias("qids"), "bodies").hint("merge"), "cell")
     held = queries.sparkSession.sparkContext.broadcast((index.centres, index.words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +245,7 @@ def _in_asked_cells(index: Index, queries: DataFrame, probes: int, group: int =
     """vec_id, qids: every vector in the cells that queries look into, once, with these queries."""
     asked = queries.filter("qid is not null and embedding is not null").select(F.col("qid").cast("long").alias("id"), "embedding")
     groups = _packed(_in_cells(spread(asked), index.centres, min(probes, len(index.centres)), lambda unit, cells: unit[:, :0]), group)
-    met = index.blocks.select("cell", "ids").join(groups.select("cell", F.col("ids").alias("qids")), "cell")
+    met = index.blocks.select("cell", "ids").join(groups.select("cell", F.col("ids").alias("qids")).hint("merge"), "cell")
     return met.select(F.explode("ids").alias("vec_id"), "qids").groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("qids"))).alias("qids"))
 
 
@@ -260,7 +261,7 @@ def search(index: Index | None, vectors: DataFrame, queries: DataFrame, k: int =
     if short is None:  # nothing is to be ranked by code, and no query's candidates come together
         rows = held.join(_in_asked_cells(index, queries, probes), "vec_id").select("vec_id", "embedding", F.explode("qids").alias("qid"))
     else:
-        rows = held.join(small(materialize(candidates(index, queries, probes, short), "candidates")), "vec_id")
+        rows = held.join(materialize(candidates(index, queries, probes, short), "candidates").hint("merge"), "vec_id")
     both = rows.join(small(queries.select(F.col("qid").cast("long").alias("qid"), F.col("embedding").alias("q")), 4096), "qid")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
