@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators.retrieval import small
+from quern.operators.retrieval import SMALL, small
 from quern.storage import dealt, materialize
 
 # Relations that carry knowledge, by their use, and relations to skip.
@@ -78,14 +78,18 @@ def last_wins(edges: DataFrame) -> DataFrame:
 
 
 def known_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges whose ends are both nodes."""
+    """Edges whose ends are both nodes, those of a source in one place."""
     ids = nodes.select("node_id").distinct()
-    return edges.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
+    few = ids.count() <= SMALL
+    side = lambda end: ids.select(F.col("node_id").alias(end)).hint("broadcast" if few else "merge")
+    # The join on the source comes last: by its shuffle edges lie by source, and what follows by pair needs no other.
+    kept = edges.join(side("dst"), "dst", "left_semi").join(side("src"), "src", "left_semi")
+    return kept.repartition("src") if few else kept
 
 
 def build(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The graph: first row of a node wins, last relation of a pair wins, loose ends go."""
-    kept = first_wins(nodes, ["node_id"], F.asc("ord"))
+    kept = materialize(first_wins(nodes, ["node_id"], F.asc("ord")), "nodes")
     return kept, last_wins(known_ends(edges, kept))
 
 
@@ -116,6 +120,28 @@ def neighbours(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, *, incoming
     )
 
 
+def first_neighbours(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 5, *, incoming: bool = False, cut: int = 10) -> DataFrame:
+    """Of :func:`neighbours` without junk labels, for each seed and relation, at least all those by ``ord`` up to the ``most``-th distinct label.
+
+    Edges are cut to the first ``cut`` of a seed and relation (and their equals) before labels are joined; where these show too few labels all
+    edges of the seed and relation are taken.
+    """
+    near, far = ("dst", "src") if incoming else ("src", "dst")
+    own = edges.join(small(seeds.select(F.col("node_id").alias("seed")).distinct()), F.col(near) == F.col("seed")).select("seed", "rel", F.col(far).alias("node_id"), "ord")
+    ends = nodes.select("node_id", "label", "definition")
+    first = own.withColumn("_n", F.rank().over(Window.partitionBy("seed", "rel").orderBy("ord"))).filter(F.col("_n") <= cut).drop("_n")
+    first = materialize(first.join(ends, "node_id", "left").select("seed", "rel", "node_id", "label", "definition", "ord"), "first")
+    clean = ~is_junk(F.col("label"))
+    shown = first.groupBy("seed", "rel").agg(F.count(F.lit(1)).alias("n"), F.size(F.collect_set(F.when(clean, F.col("label")))).alias("labels"))
+    short = materialize(shown.filter((F.col("n") >= cut) & (F.col("labels") < most)).select("seed", "rel"), "short")
+    first = first.filter(clean)
+    if short.isEmpty():
+        return first
+    short = small(short)
+    rest = own.join(short, ["seed", "rel"], "left_semi").join(ends, "node_id").filter(clean).select(*first.columns)
+    return first.join(short, ["seed", "rel"], "left_anti").select(*first.columns).unionByName(rest)
+
+
 def bridges(seeds: DataFrame, edges: DataFrame, relations: tuple[str, ...] = HIGH_OUT) -> DataFrame:
     """seed, rel, via, bridge_rel, other: two edges of the given relations from one seed to another."""
     strong = edges.filter(F.col("rel").isin(*relations))
@@ -363,11 +389,10 @@ def contexts(seeded: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame
     quiet = edges.filter(~F.col("rel").isin(*SKIPPED_RELATIONS))
     known = quiet.filter(F.col("rel").isin(*HIGH_OUT, *MEDIUM))
     first_five = lambda hits: _ranked(hits, ["seed", "rel"], [F.asc("ord")], 5).drop("rank")
-    clean = ~is_junk(F.col("label"))
-    out = neighbours(ids, nodes, known).filter(clean)
+    # No more of a relation is shown than its first five labels and first three neighbours.
+    out = first_neighbours(ids, nodes, known)
     strong, medium = out.filter(F.col("rel").isin(*HIGH_OUT)), first_five(out.filter(F.col("rel").isin(*MEDIUM)))
-    strong = materialize(strong, "strong")
-    back = first_five(neighbours(ids, nodes, quiet.filter(F.col("rel").isin(*HIGH_IN, *MEDIUM)), incoming=True).filter(clean))
+    back = first_five(first_neighbours(ids, nodes, quiet.filter(F.col("rel").isin(*HIGH_IN, *MEDIUM)), incoming=True))
     out_lines, in_lines = _relation_lines(strong.unionByName(medium), "- "), _relation_lines(back, "- [Inverse] ")
 
     # Details: of the first three neighbours of each strong relation, their definitions and the bridges to other seeds.
@@ -393,11 +418,12 @@ def contexts(seeded: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame
     fresh = details.join(speaking, (F.col("qid") == F.col("_q")) & (F.col("via") == F.col("_n")) & (F.col("_r") < F.col("seed_rank")), "left_anti")
     defined = fresh.filter(F.length(F.trim("definition")) > 30).select("qid", "seed", F.struct("rel_at", "nth", F.lit(0).cast("long").alias("kind"), F.lit(-1).alias("other")).alias("place"),
         F.concat(F.lit("  ["), "via_label", F.lit("]: "), F.substring(F.trim("definition"), 1, 200)).alias("line"))
-    others = seeded.select(F.col("qid").alias("_q"), F.col("node_id").alias("other"), F.col("rank").alias("other_rank"))
-    links = edges.filter(F.col("rel").isin(*HIGH_OUT)).select(F.col("src").alias("via"), F.col("dst").alias("other"), F.col("rel").alias("bridge_rel"))
     names = nodes.select(F.col("node_id").alias("other"), F.col("label").alias("other_label"))
+    others = small(materialize(seeded.select("qid", F.col("node_id").alias("other"), F.col("rank").alias("other_rank")).join(names, "other"), "others"))
+    links = edges.filter(F.col("rel").isin(*HIGH_OUT)).select(F.col("src").alias("via"), F.col("dst").alias("other"), F.col("rel").alias("bridge_rel"))
+    links = links.join(small(ids.withColumnRenamed("node_id", "other")), "other", "left_semi")
     bridged = (
-        fresh.join(links, "via").filter(F.col("other") != F.col("seed")).join(others, ["other"]).filter(F.col("qid") == F.col("_q")).join(names, "other")
+        fresh.join(links, "via").filter(F.col("other") != F.col("seed")).join(others, ["qid", "other"])
         .select("qid", "seed", F.struct("rel_at", "nth", F.lit(1).cast("long").alias("kind"), F.col("other_rank").alias("other")).alias("place"),
             F.concat(F.lit("  ["), "via_label", F.lit("] --"), "bridge_rel", F.lit("--> ["), "other_label", F.lit("]")).alias("line"))
     )
