@@ -441,7 +441,8 @@ def retrieve(queries: DataFrame, seeded: DataFrame, nodes: DataFrame, edges: Dat
     """qid, rank, title, content, score: the seeds' documents in order that pass the relevance gate, propositions first, all of score 1."""
     from quern.operators.retrieval import relevance_gate
 
-    docs = contexts(seeded, nodes, edges).select("qid", "rank", F.col("rank").cast("long").alias("doc_id"), "title", "content")
+    # The gate reads the documents twice.
+    docs = materialize(contexts(seeded, nodes, edges).select("qid", "rank", F.col("rank").cast("long").alias("doc_id"), "title", "content"), "documents")
     if propositions is not None:
         text = F.concat(F.lit("Key medical claims to verify:\n"), F.array_join(F.transform("propositions", lambda p: F.concat(F.lit("- "), p)), "\n"))
         docs = docs.unionByName(propositions.filter(F.size("propositions") > 0).select("qid", F.lit(-1).alias("rank"), F.lit(-2).cast("long").alias("doc_id"), F.lit("Atomic Propositions").alias("title"), text.alias("content")))
