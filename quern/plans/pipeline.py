@@ -84,7 +84,9 @@ class Pipeline:
         return retrieval.search_topk(corpus, queries, k, index=self.index).select("qid", "rank", "doc_id")
 
     def _named(self, ranked: DataFrame) -> DataFrame:
-        return ranked.join(self.docs.select("doc_id", "title", "content", "pmid", "id", "url"), "doc_id").select(*COLUMNS)
+        # What was found goes to the documents, whose texts stay where they are.
+        found = retrieval.small(materialize(ranked.select("qid", "rank", "doc_id"), "found"))
+        return self.docs.select("doc_id", "title", "content", "pmid", "id", "url").join(found, "doc_id").select(*COLUMNS)
 
     def _graph_pool(self, queries: DataFrame, options: DataFrame | None) -> DataFrame:
         entities = queries.select("qid", F.posexplode(self.hooks.decompose(F.col("text"))).alias("at", "text"))
