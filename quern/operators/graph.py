@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators.postings import from_bytes, to_bytes
 from quern.operators.retrieval import SMALL, small
 from quern.storage import dealt, materialize
 
@@ -162,80 +163,174 @@ def _numbered(ids: DataFrame) -> DataFrame:
     return rows.select("node_id", (F.element_at(starts, part) + F.col("at").bitwiseAND((1 << 33) - 1)).cast("int").alias("number"))
 
 
-#: A group of seeds are 2 ** SHIFT whose numbers follow each other.
-SHIFT = 4
+#: A group of seeds are at most 2 ** SHIFT whose numbers follow each other, and fewer where those of one would have over MEETINGS on average.
+SHIFT, MEETINGS = 8, 1 << 24
+#: Rows of a task that groups ends, and bytes of a task that counts pairs, as tasks are dealt out.
+TASK_ROWS, TASK_BYTES = 2_000_000, 96 << 20
 
 
-def _pair_counts(rows: DataFrame, pairs: int) -> DataFrame:
-    """seed, other, bridges of ``rows(group, seeds, others)``, those of a group one after the other: how often the two meet in a row."""
+def _lasting(rows: DataFrame, relations: tuple[str, ...]) -> DataFrame:
+    """src, dst of the pairs whose last relation in ``rows(src, dst, rel, source, ord)`` is one of those given; a pair can come several times.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+    Rows are put in order only for pairs that have relations of both kinds.
+    """
+    wanted = F.coalesce(F.col("rel").isin(*relations), F.lit(False))
+    strong = rows.filter(wanted).select("src", "dst")
+    weak = materialize(rows.filter(~wanted).select("src", "dst").distinct(), "weak")
+    mixed = materialize(strong.join(small(weak), ["src", "dst"], "left_semi").distinct(), "mixed")
+    if mixed.isEmpty():
+        return strong
+    mixed = small(mixed)
+    last = last_wins(rows.join(mixed, ["src", "dst"], "left_semi")).filter(wanted).select("src", "dst")
+    return strong.join(mixed, ["src", "dst"], "left_anti").unionByName(last)
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, times = (np.concatenate(x) for x in zip(*held, strict=True))
-            if len(held) > 1:
-                keys, slot = np.unique(keys, return_inverse=True)
-                times = np.bincount(slot, times, len(keys)).astype(np.int64)
-            return keys, times
 
-        def out() -> pa.RecordBatch:
-            keys, times = merged() if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(times)], ["seed", "other", "bridges"])
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, and how many each has."""
+    return column.flatten().to_numpy().astype(np.int64), np.diff(column.offsets.to_numpy()).astype(np.int64)
+
+
+def _by_group(lists: DataFrame, shift: int, most: int = 16 << 20) -> DataFrame:
+    """group, seeds, others of ``lists(seeds, others)``: a row for each group among its seeds; others as bytes, sorted, each as the distance from the one before."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            na, nb = (np.diff(batch.column(c).offsets.to_numpy()).astype(np.int64) for c in (1, 2))
-            a, b = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in (1, 2))
-            starts = np.cumsum(nb) - nb
-            row = np.repeat(np.arange(len(batch)), na)  # of each seed
-            reach = np.cumsum(nb[row])
+            (a, na), (b, nb) = (_lists(batch.column(c)) for c in (0, 1))
+            row = np.repeat(np.arange(len(batch)), na)
+            a = a[np.lexsort((a, row))]
+            b = b[np.lexsort((b, np.repeat(np.arange(len(batch)), nb)))]
+            ends = np.concatenate([[0], np.cumsum(nb)])
+            steps, firsts = np.diff(b, prepend=0), ends[:-1][nb > 0]
+            steps[firsts] = b[firsts]
+            data, sizes = to_bytes(steps)
+            places = np.concatenate([[0], np.cumsum(sizes)])[ends].astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(places), pa.py_buffer(data)])
+            first = np.flatnonzero(np.diff(row << 32 | a >> shift, prepend=-1))
+            starts = np.append(first, len(a)).astype(np.int32)
+            reach = np.cumsum(np.diff(places)[row[first]].astype(np.int64))
             at = 0
-            while at < len(row):
-                stop = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + pairs, side="right")))
-                n = nb[row[at:stop]]
-                seed, other = np.repeat(a[at:stop], n), b[np.repeat(starts[row[at:stop]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                keys, times = np.unique((seed << 32 | other)[seed != other], return_counts=True)
+            while at < len(first):
+                stop = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + most, side="right")))
+                seeds = pa.ListArray.from_arrays(starts[at : stop + 1] - starts[at], pa.array(a[starts[at] : starts[stop]].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array((a[first[at:stop]] >> shift).astype(np.int32)), seeds, packed.take(pa.array(row[first[at:stop]]))], ["group", "seeds", "others"])
                 at = stop
-                if not len(keys):
-                    continue
-                # Groups follow each other: those between the first and the last of these pairs are whole.
-                group = keys >> 32 + SHIFT
-                low, high = np.searchsorted(group, group[0], side="right"), np.searchsorted(group, group[-1])
-                if held and held[0][0][0] >> 32 + SHIFT != group[0]:
-                    yield out()
-                held.append((keys[:low], times[:low]))
-                if len(held) > 64:
-                    held[:] = [merged()]
-                if group[0] != group[-1]:
-                    yield out()
-                    if high > low:
-                        held.append((keys[low:high], times[low:high]))
-                        yield out()
-                    held.append((keys[high:], times[high:]))
-        yield out()
+
+    return lists.select("seeds", "others").mapInArrow(run, "group int, seeds array<int>, others binary")
+
+
+def _met(held: list[pa.RecordBatch], pairs: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """seed, other and how often they meet in the rows of a group, whole seeds of about ``pairs`` meetings at a time."""
+    table = pa.Table.from_batches(held).combine_chunks()
+    a, na = _lists(table.column("seeds").chunk(0))
+    others = table.column("others").chunk(0)
+    places = np.frombuffer(others.buffers()[1], np.int32)[others.offset : others.offset + len(others) + 1]
+    steps, stops = from_bytes(np.frombuffer(others.buffers()[2], np.uint8)[places[0] : places[-1]])
+    ends = np.searchsorted(stops, places - places[0], side="right")
+    nb, total = np.diff(ends), np.concatenate([[0], np.cumsum(steps)])
+    b = total[1:] - np.repeat(total[ends[:-1]], nb)
+    order = np.argsort(a, kind="stable")
+    a, row = a[order], np.repeat(np.arange(len(na)), na)[order]
+    last = np.append(np.flatnonzero(np.diff(a)), len(a) - 1)  # of each seed
+    reach = np.cumsum(nb[row])[last]
+    at = 0
+    while at < len(last):
+        stop = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + pairs, side="right")))
+        part = slice(last[at - 1] + 1 if at else 0, last[stop - 1] + 1)
+        n = nb[row[part]]
+        other = b[np.repeat(ends[row[part]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        seeds = a[last[at:stop]]
+        low, width = other.min(), int(np.ptp(other)) + 1
+        keys = np.repeat(np.searchsorted(seeds, a[part]), n) * width + (other - low)
+        if len(seeds) * width <= 4 * len(keys):
+            counts = np.bincount(keys)
+            keys = np.flatnonzero(counts)
+            times = counts[keys]
+        else:
+            keys = np.sort(keys.astype(np.int32) if len(seeds) * width < 1 << 31 else keys)
+            first = np.flatnonzero(np.diff(keys, prepend=-1))
+            keys, times = keys[first].astype(np.int64), np.diff(first, append=len(keys))
+        seed, other = seeds[keys // width], keys % width + low
+        apart = seed != other
+        yield seed[apart], other[apart], times[apart]
+        at = stop
+
+
+def _pair_counts(rows: DataFrame, pairs: int, most: int) -> DataFrame:
+    """seed, other, bridges of ``rows(group, seeds, others)``, those of a group one after the other: how often the two meet in a row.
+
+    The rows of a group are held, up to ``most`` bytes; of longer groups the counts are held and added up.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        sums: list[tuple[np.ndarray, np.ndarray]] = []
+        size, group = 0, None
+
+        def add() -> None:
+            sums.extend((seed << 32 | other, times) for seed, other, times in _met(held, pairs))
+            held.clear()
+            keys, times = (np.concatenate(x) for x in zip(*sums, strict=True))
+            keys, slot = np.unique(keys, return_inverse=True)
+            sums[:] = [(keys, np.bincount(slot, times, len(keys)).astype(np.int64))]
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if sums and held:
+                add()
+            found = ((keys >> 32, keys & 0xFFFFFFFF, times) for keys, times in sums) if sums else _met(held, pairs) if held else ()
+            for seed, other, times in found:
+                yield pa.RecordBatch.from_arrays([pa.array(seed.astype(np.int32)), pa.array(other.astype(np.int32)), pa.array(times)], ["seed", "other", "bridges"])
+            held.clear()
+            sums.clear()
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            groups = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(groups)]
+            for start, stop in zip(cuts, cuts[1:]):
+                if groups[start] != group:
+                    yield from done()
+                    size, group = 0, groups[start]
+                held.append(batch.slice(start, stop - start))
+                size += held[-1].nbytes
+                if size > most:
+                    add()
+                    size = 0
+        yield from done()
 
     return rows.select("group", "seeds", "others").mapInArrow(run, "seed int, other int, bridges long")
 
 
-def bridge_counts(seeds: DataFrame, edges: DataFrame, relations: tuple[str, ...] = HIGH_OUT, *, block: int = 4096, pairs: int = 1 << 21) -> DataFrame:
+def bridge_counts(
+    seeds: DataFrame, edges: DataFrame, relations: tuple[str, ...] = HIGH_OUT, *, nodes: DataFrame | None = None, block: int = 4096, pairs: int = 1 << 18,
+    most: int = 16 << 20,
+) -> DataFrame:
     """seed, other, bridges: the number of rows that :func:`bridges` has for each two seeds, which are not made one by one.
 
-    Seeds go by number.  Each node between has its seeds and its others as lists, the lists of others are sent to groups of
-    seeds, and a task counts the pairs of one group after the other, up to ``pairs`` at a time.
+    With ``nodes`` the edges are rows that are not built yet (see :func:`build`): of these only ends are moved, and seeds must be among the nodes.
+
+    Seeds are numbered by id, as those with ids alike often share nodes.  Each node between has its seeds and its others as lists; the others are
+    sent, packed, once to each group of seeds, and a task counts the pairs of one group after the other, up to ``pairs`` at a time.
     """
-    strong = edges.filter(F.col("rel").isin(*relations)).select("src", "dst")
-    ids = _numbered(seeds.select("node_id").distinct())
+    spark = seeds.sparkSession
+    deal = lambda df, parts, key: df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts), key)
+    strong = edges.filter(F.col("rel").isin(*relations)).select("src", "dst") if nodes is None else _lasting(edges, relations)
+    ids = _numbered(seeds.select("node_id").distinct().orderBy("node_id"))
+    count = ids.count()
     known = small(ids)
-    ends = lambda own, via, name: strong.join(known, F.col(own) == F.col("node_id")).select(F.col(via).alias("via"), F.col("number").alias(name))
-    group = F.shiftright("seed", SHIFT)
-    out = ends("src", "dst", "seed").groupBy("via", group.alias("group")).agg(F.collect_list("seed").alias("seeds"))
-    back = ends("dst", "src", "other").groupBy("via").agg(F.collect_list("other").alias("others"))
-    back = back.select("via", F.explode(F.transform(F.sequence(F.lit(1), F.size("others"), F.lit(block)), lambda i: F.slice("others", i, block))).alias("others"))
-    met = out.join(back, "via").select("group", "seeds", "others").repartition("group").sortWithinPartitions("group")
-    counted = _pair_counts(met, pairs)
+    ends = lambda own, via, back: strong.join(known, F.col(own) == F.col("node_id")).select(F.col(via).alias("via"), "number", F.lit(back).alias("back"))
+    ways = deal(ends("src", "dst", False).unionByName(ends("dst", "src", True)), 2 * strong.count() // TASK_ROWS, "via")
+    lists = ways.groupBy("via").agg(F.collect_list(F.when(~F.col("back"), F.col("number"))).alias("seeds"), F.collect_list(F.when(F.col("back"), F.col("number"))).alias("others"))
+    lists = lists.filter("size(seeds) > 0 and size(others) > 0")
+    if nodes is not None:
+        lists = lists.join(nodes.select(F.col("node_id").alias("via")), "via", "left_semi").select(F.array_distinct("seeds").alias("seeds"), F.array_distinct("others").alias("others"))
+    lists = materialize(lists.select("seeds", F.explode(F.transform(F.sequence(F.lit(1), F.size("others"), F.lit(block)), lambda i: F.slice("others", i, block))).alias("others")), "lists")
+    met, rows = (x or 0 for x in lists.agg(F.sum(F.size("seeds").cast("long") * F.size("others")), F.sum(F.size("seeds"))).first())
+    size = 3 * met + 48 * rows
+    shift = max(0, min(SHIFT, min(count // (4 * spark.sparkContext.defaultParallelism), MEETINGS * count // max(1, met)).bit_length() - 1))
+    counted = _pair_counts(deal(_by_group(lists, shift), min(size // TASK_BYTES, count >> shift), "group").sortWithinPartitions("group"), pairs, most)
     name = lambda c: known.select(F.col("number").alias(c + "_number"), F.col("node_id").alias(c))
     return (
         counted.withColumnsRenamed({"seed": "seed_number", "other": "other_number"}).join(name("seed"), "seed_number").join(name("other"), "other_number")
